@@ -215,7 +215,7 @@ def outcome(text: Column) -> Column:
 
 
 def title_keywords(title: Column) -> Column:
-    return F.filter(F.transform(F.split(title, " - "), F.trim), lambda x: F.length(x) > 2)
+    return F.filter(F.transform(F.split(title, " - "), lambda x: F.trim(x)), lambda x: F.length(x) > 2)
 
 
 def split_keywords(words: Column) -> Column:

@@ -1 +1,275 @@
-"""Queries."""
+"""Queries of sources, extraction, chunking and conversations (§2.1, 2.10, 2.11 of the survey).
+
+Where the tables have no legal text, decisions are made of the documents' own rows: headings, citations and votes are
+put around parts of their texts."""
+
+from __future__ import annotations
+
+from corpusq.operators import chunk as C
+from corpusq.operators import conversation as Q
+from corpusq.operators import extract as E
+from corpusq.plans.registry import query, table
+from corpusq.sources import readers as I
+from pyspark.sql import functions as F
+
+_HEAD = "'ECLI:FI:KKO:', 1990 + doc_id % 30, ':', doc_id % 80, '\nDate of issue\nJanuary ', 1 + doc_id % 28, ', ', 1990 + doc_id % 30, '\nDiary number\nS', 1990 + doc_id % 30, '/', doc_id, '\nKeywords\n', source, '\n', lang, '\nCase year\n', 1990 + doc_id % 30, '\n'"
+_BODY = "'Reasoning\n', left(text, 300), ' KKO 1999:', doc_id % 50, ' and KKO ', 1990 + doc_id % 30, ':', doc_id % 80, ', C-', doc_id, '/18; RL 10:', doc_id % 9, ', 5 luvun ', doc_id % 7, ' §, Regulation (EU) No 12/', doc_id % 30, '\nJudgment\nTuomio ', substr(text, 300, 100), ' Äänestys ', 3 + doc_id % 3, '-', doc_id % 3, '\n'"
+DECISION = f"concat({_HEAD}, 'Background of the matter\n', left(text, 80), '\n', {_BODY})"
+
+
+def decisions(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", "source", "lang", "text", f"{DECISION} AS full_text")
+
+
+_V = "CAST({} AS VARCHAR)".format
+
+
+@query(f"SELECT doc_id, 'ECLI:FI:KKO:' || {_V('1990 + doc_id % 30')} || ':' || {_V('doc_id % 80')} AS ecli, 'S' || {_V('1990 + doc_id % 30')} || '/' || {_V('doc_id')} AS diary, 1990 + doc_id % 30 AS year, {_V('1990 + doc_id % 30')} || '-01-' || lpad({_V('1 + doc_id % 28')}, 2, '0') AS date, [source, lang] AS keywords FROM documents")
+def e1_e2_header(spark, d):
+    return decisions(spark, d).select("doc_id", E.header(F.col("full_text")).alias("h")).select("doc_id", "h.ecli", "h.diary", "h.year", "h.date", "h.keywords")
+
+
+@query(f"SELECT doc_id, ['Anna ' || source, 'Bo Ek'] AS names, 'Eva' AS rapporteur FROM documents")
+def e3_judges(spark, d):
+    t = F.concat(F.lit("x. The case has been resolved by President Anna "), F.col("source"), F.lit(" and Bo Ek. Rapporteur Eva."))
+    return table(spark, d, "documents").select("doc_id", E.judges(t).alias("j")).select("doc_id", "j.*")
+
+
+@query(f"SELECT doc_id, 3 + doc_id % 3 + doc_id % 3 AS total, doc_id % 3 AS dissenting, {_V('3 + doc_id % 3')} || '-' || {_V('doc_id % 3')} AS strength FROM documents")
+def e4_vote(spark, d):
+    return decisions(spark, d).select("doc_id", E.vote(F.col("full_text")).alias("v")).select("doc_id", "v.*")
+
+
+@query(f"SELECT doc_id, lang AS name, {_V('1 + doc_id % 28')} || '.4.2023' AS date, '23/' || {_V('doc_id')} AS number FROM documents")
+def e5_lower_court(spark, d):
+    t = F.concat(F.lit("A\n"), F.col("lang"), F.lit(" District Court judgment "), (1 + F.col("doc_id") % 28).cast("string"), F.lit(".4.2023 no. 23/"), F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").select("doc_id", E.lower_court(t).alias("c")).select("doc_id", "c.*")
+
+
+@query(f"""SELECT doc_id, CASE WHEN 1990 + doc_id % 30 = 1999 AND doc_id % 50 = doc_id % 80 THEN ['KKO:1999:' || {_V('doc_id % 50')}] ELSE ['KKO:1999:' || {_V('doc_id % 50')}, 'KKO:' || {_V('1990 + doc_id % 30')} || ':' || {_V('doc_id % 80')}] END AS cases,
+['C-' || {_V('doc_id')} || '/18'] AS eu_cases, ['Regulation (EU) No 12/' || {_V('doc_id % 30')}] AS regulations FROM documents""")
+def e6_citations(spark, d):
+    return decisions(spark, d).select("doc_id", E.citations(F.col("full_text")).alias("c")).select("doc_id", "c.cases", "c.eu_cases", "c.regulations")
+
+
+@query(f"""WITH c AS (SELECT doc_id, unnest(['KKO:1999:' || {_V('doc_id % 50')}, 'KKO:' || {_V('1990 + doc_id % 30')} || ':' || {_V('doc_id % 80')}]) AS r, 'KKO:' || {_V('1990 + doc_id % 30')} || ':' || {_V('doc_id % 80')} AS own FROM documents)
+SELECT DISTINCT doc_id AS source, r AS referenced_id, 'cited_case' AS reference_type FROM c WHERE r <> own""")
+def e7_e8_reference_edges(spark, d):
+    own = F.concat(F.lit("KKO:"), (1990 + F.col("doc_id") % 30).cast("string"), F.lit(":"), (F.col("doc_id") % 80).cast("string"))
+    c = decisions(spark, d).select("doc_id", E.citations(F.col("full_text"), own).alias("c"))
+    return E.reference_edges(c, "doc_id", "c").where("reference_type = 'cited_case'")
+
+
+@query("SELECT doc_id, ['background', 'reasoning', 'judgment'] AS kinds, length(trim(left(text, 80), ' ' || chr(10))) AS n FROM documents")
+def e9_e10_sections(spark, d):
+    s = E.sections(decisions(spark, d).select("doc_id", "full_text"), "full_text")
+    return s.select("doc_id", F.transform("sections", lambda x: x["type"]).alias("kinds"), F.length(F.col("sections")[0]["content"]).alias("n"))
+
+
+@query("SELECT doc_id, false AS enough, ['background', 'reasoning', 'judgment'] AS kinds FROM documents")
+def e11_sufficiency(spark, d):
+    s = E.sections(decisions(spark, d).select("doc_id", F.concat(F.lit("x " * 400), "full_text").alias("full_text")), "full_text")
+    return s.select("doc_id", E.sufficient("sections", "full_text").alias("enough"), F.transform(E.stored_sections("sections"), lambda x: x["type"]).alias("kinds"))
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(left(text, 200), ' ' || chr(10))) > 100 THEN ['background', 'reasoning', 'judgment'] ELSE ['reasoning', 'judgment'] END AS kinds FROM documents")
+def e12_marked_sections(spark, d):
+    t = F.concat(F.left("text", F.lit(200)), F.lit("\nLegal context\nabc\nOn those grounds\nx"))
+    s = E.marked_sections(table(spark, d, "documents").select("doc_id", t.alias("t")), "t", [("judgment", "^On those grounds"), ("reasoning", "^Legal context")])
+    return s.select("doc_id", F.transform("sections", lambda x: x["type"]).alias("kinds"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][^.]*\.')) AS x, unnest(range(len(regexp_extract_all(text, '[A-Z][^.]*\.')))) AS i FROM documents),
+u AS (SELECT doc_id, trim(x) AS x, min(i) AS i FROM m WHERE length(trim(x)) >= 20 GROUP BY 1, 2), o AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM u), f AS (SELECT doc_id, min(i) AS stop FROM o WHERE s > 400 GROUP BY 1)
+SELECT d.doc_id, coalesce(string_agg(o.x, ' | ' ORDER BY o.i) FILTER (o.i < coalesce(f.stop, 1000000000)), '') AS facts FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY 1""")
+def e13_e14_phrases(spark, d):
+    return table(spark, d, "documents").select("doc_id", E.phrases(F.col("text"), [r"[A-Z][^.]*\."], 20, 400).alias("facts"))
+
+
+@query(r"SELECT doc_id, nullif(left(trim(regexp_replace(regexp_extract(t, '(?s)^Reasoning\n(.*)\nJudgment\n', 1), '^\s+|\s+$', '', 'g')), 120), '') AS excerpt FROM (SELECT doc_id, 'Reasoning' || chr(10) || left(text, 300) || chr(10) || 'Judgment' || chr(10) || 'x' AS t FROM documents)")
+def e15_e16_excerpts(spark, d):
+    t = F.concat(F.lit("Reasoning\n"), F.left("text", F.lit(300)), F.lit("\nJudgment\nx"))
+    return table(spark, d, "documents").select("doc_id", E.excerpt(t, "Reasoning", "Judgment", 120).alias("excerpt"))
+
+
+@query(f"SELECT doc_id, ['5 luvun ' || {_V('doc_id % 7')} || ' §', 'RL 10:' || {_V('doc_id % 9')}, {_V('doc_id % 7')} || ' §'] AS provisions FROM documents")
+def e17_provisions(spark, d):
+    t = F.expr("concat('RL 10:', doc_id % 9, ', 5 luvun ', doc_id % 7, ' § x ', doc_id % 7, ' §')")
+    return table(spark, d, "documents").select("doc_id", E.provisions(t).alias("provisions"))
+
+
+@query("SELECT doc_id, round(least(3 / 10 + 1 / 5.0 * 0 + 0.15, 1.0), 4) AS confidence FROM documents")
+def e18_provision_confidence(spark, d):
+    t = F.expr("concat('RL 10:', doc_id % 9, ', 5 luvun ', doc_id % 7, ' §')")
+    return table(spark, d, "documents").select("doc_id", E.provision_report(t)["confidence"].alias("confidence"))
+
+
+@query("SELECT doc_id, 2 AS n, strpos(t, '5 luvun') - 1 AS first FROM (SELECT doc_id, left(replace(text, '§', ''), 50) || ' 5 luvun 3 §' AS t FROM documents)")
+def e19_provision_contexts(spark, d):
+    t = F.concat(F.left(F.replace("text", F.lit("§"), F.lit("")), F.lit(50)), F.lit(" 5 luvun 3 §"))
+    c = E.provision_contexts(table(spark, d, "documents").select("doc_id", t.alias("t")), "t")
+    return c.select("doc_id", F.size("contexts").alias("n"), F.col("contexts")[0]["position"].alias("first"))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'KKO:2001:' || {_V('doc_id')} WHEN doc_id % 3 = 1 THEN 'KHO:2002:' || {_V('doc_id')} ELSE 'URL:' || left(sha256('https://x/' || {_V('doc_id')}), 16) END AS case_id FROM documents")
+def e21_case_id(spark, d):
+    k, i = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    title, url = F.when(k == 0, F.concat(F.lit("KKO 2001:"), i)).otherwise("x"), F.when(k == 1, F.concat(F.lit("https://x/kho/2002/"), i)).otherwise(F.concat(F.lit("https://x/"), i))
+    return table(spark, d, "documents").select("doc_id", E.derived_case_id(title, url, F.lit("")).alias("case_id"))
+
+
+@query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), lang) AS lang, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), 'new') AS source FROM documents")
+def e22_merge_extraction(spark, d):
+    new = F.struct(F.expr("CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END").alias("lang"), F.lit("new").alias("source"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.expr("CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END").alias("source"), new.alias("x"))
+    return E.merged_extraction(docs, "x", ["lang"], ["source"])
+
+
+_XML = "concat('<?xml version=\"1.0\"?><akomaNtoso xmlns=\"http://x\"><docTitle>Act ', doc_id, '</docTitle><docDate date=\"2020-01-', lpad(doc_id % 28 + 1, 2, '0'), '\"/><section id=\"a\"><num>1 §</num><heading>', lang, '</heading><p>', source, '  text</p></section><section><p>x</p></section><a href=\"f', doc_id, '.pdf\"/><a href=\"x.html\"/></akomaNtoso>')"
+
+
+@query(f"SELECT doc_id, 'Act ' || {_V('doc_id')} AS title, ['1 §'] AS numbers, [lang] AS headings, [source || ' text'] AS contents, ['f' || {_V('doc_id')} || '.pdf'] AS pdf_links, '2020-01-' || lpad({_V('doc_id % 28 + 1')}, 2, '0') AS date FROM documents")
+def s10_e23_e24_e25_statute_xml(spark, d):
+    s = I.statutes(table(spark, d, "documents").selectExpr("doc_id", f"{_XML} AS xml"), "doc_id", "xml")
+    part = lambda n: F.transform("sections", lambda x: x[n])
+    return s.select("doc_id", "title", part("number").alias("numbers"), part("heading").alias("headings"), part("content").alias("contents"), "pdf_links", "date")
+
+
+@query("SELECT conv_id, turn, l.quality AS quality FROM conversations LEFT JOIN labels l ON l.doc_id = conv_id")
+def e26_attach_structured(spark, d):
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("conv_id"), "quality")
+    return table(spark, d, "conversations").join(labels, "conv_id", "left").select("conv_id", "turn", "quality")
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'cjeu' ELSE 'general_court' END AS court_type, 2011 AS case_year, CASE WHEN doc_id % 3 = 0 THEN 'E' || {_V('doc_id')} ELSE CASE WHEN doc_id % 2 = 0 THEN '62011CJ' ELSE '62011TJ' END || {_V('doc_id')} || '_' || lang END AS case_id FROM documents")
+def e27_eu_document(spark, d):
+    docs = table(spark, d, "documents").selectExpr("doc_id", "lang", "concat(CASE WHEN doc_id % 2 = 0 THEN '62011CJ' ELSE '62011TJ' END, doc_id) AS celex", "CASE WHEN doc_id % 3 = 0 THEN concat('E', doc_id) ELSE '' END AS ecli", "'2011-02-03' AS date")
+    return E.eu_document(docs).select("doc_id", "court_type", "case_year", "case_id")
+
+
+@query("""SELECT doc_id, i - 1 AS line, CASE WHEN trim(x) = '' THEN 'blank' WHEN regexp_matches(trim(x), '^\\d+\\.\\s') THEN 'numbered' WHEN length(trim(x)) < 60 AND NOT regexp_matches(trim(x), '[.;:,]$') THEN 'sub_heading' ELSE 'body' END AS kind
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)""")
+def e28_line_kinds(spark, d):
+    return E.line_kinds(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def c1_sub_chunks(spark, d):
+    """Paragraph chunks of all documents, their lines taken as paragraphs."""
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("t"))
+    return C.sub_chunks(docs, "t").select("doc_id", F.posexplode("chunks").alias("chunk", "text"))
+
+
+@query()
+def c2_section_rows(spark, d):
+    s = E.sections(decisions(spark, d).select("doc_id", "source", "full_text"), "full_text")
+    return C.section_rows(s, "doc_id", F.col("source"), "sections")
+
+
+@query(f"SELECT doc_id, [NULL, '1', '2'] AS numbers FROM documents")
+def c3_numbered_sections(spark, d):
+    t = F.concat(F.lit("Preamble\n§ 1 "), F.regexp_replace(F.left("text", F.lit(50)), "\n", " "), F.lit("\n§ 2 b"))
+    return table(spark, d, "documents").select("doc_id", F.transform(C.numbered_sections(t), lambda x: x["number"]).alias("numbers"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 95)) AS s FROM w)
+SELECT doc_id, s // 95 AS chunk, array_to_string(w[s + 1:s + 100], ' ') AS text FROM s""")
+def c4_word_windows(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(C.word_windows(F.col("text"), 100, 5)).alias("chunk", "text"))
+
+
+@query()
+def c5_c6_section_chunks(spark, d):
+    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).cast("string").alias("number"), x.alias("text")))
+    c = C.section_chunks(table(spark, d, "documents").select("doc_id", parts.alias("parts")), "parts", 200, 40, 20)
+    return c.select("doc_id", F.posexplode("chunks").alias("chunk", "c")).select("doc_id", "chunk", "c.number", "c.text", "c.merged")
+
+
+@query()
+def c7_embedding(spark, d):
+    return C.hashed_embedding(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "embedding")
+
+
+@query()
+def s8_html_text(spark, d):
+    return I.html_text(table(spark, d, "pages"), "page_id", "html")
+
+
+@query(r"""SELECT DISTINCT page_id, CASE WHEN starts_with(h, '/') THEN 'https://x.org' || h ELSE h END AS link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS h FROM pages) WHERE contains(h, '/t')""")
+def s9_links(spark, d):
+    return I.links(table(spark, d, "pages"), "page_id", "html", "/t", "https://x.org/")
+
+
+@query(f"SELECT doc_id, 'C-' || {_V('doc_id')} || '/18' AS number, '01/02/2018' AS date, NULL AS ecli, CASE WHEN doc_id % 2 = 0 THEN 'Parties of ' || source ELSE 'C-' || {_V('doc_id')} || '/18' END AS title FROM documents")
+def s16_result_cells(spark, d):
+    cells = F.array(F.concat(F.lit("C-"), F.col("doc_id").cast("string"), F.lit("/18")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Parties of "), "source")).otherwise("x"), F.lit("01/02/2018"))
+    return table(spark, d, "documents").select("doc_id", I.result_cells(cells).alias("c")).select("doc_id", "c.*")
+
+
+@query("SELECT doc_id, coalesce(arg_max(x, (length(x), -i)), '') AS block FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) GROUP BY 1")
+def s19_main_block(spark, d):
+    return table(spark, d, "documents").select("doc_id", I.main_block(F.split("text", "\n", -1)).alias("block"))
+
+
+@query("SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
+def w8_w15_last_messages(spark, d):
+    return Q.last_messages(table(spark, d, "conversations"), 2).select("conv_id", "turn", "text")
+
+
+@query("SELECT conv_id, arg_max(text, turn) FILTER (role = 'user' AND contains(lower(text), 'tion')) AS message FROM conversations GROUP BY 1")
+def w9_latest_matching(spark, d):
+    return Q.latest_matching(table(spark, d, "conversations"), (F.col("role") == "user") & F.contains(F.lower("text"), F.lit("tion")), "message")
+
+
+@query("SELECT conv_id, length(arg_max(text, turn) FILTER (role = 'assistant')) < 180 AS short FROM conversations GROUP BY 1")
+def w10_last_assistant(spark, d):
+    m = Q.latest_matching(table(spark, d, "conversations"), F.col("role") == "assistant", "message")
+    return m.select("conv_id", (F.length("message") < 180).alias("short"))
+
+
+@query("SELECT conv_id, left(arg_min(text, turn) FILTER (role = 'user'), 80) AS title FROM conversations GROUP BY 1")
+def w11_titles(spark, d):
+    return Q.titles(table(spark, d, "conversations"))
+
+
+@query("""SELECT conv_id, string_agg(upper(left(role, 1)) || substr(role, 2) || ': ' || left(text, 50), chr(10) ORDER BY turn) AS history FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) GROUP BY 1""")
+def f38_history(spark, d):
+    return Q.history(table(spark, d, "conversations"), 4, 50)
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS query, NULL::INT AS first, NULL::INT AS last FROM conversations WHERE role = 'user' GROUP BY 1")
+def q1_resolved_queries(spark, d):
+    return Q.resolved_queries(table(spark, d, "conversations"), ["tion"])
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 AND c_nationkey = 3 THEN 'new' ELSE c_name END AS title FROM customer WHERE NOT (c_nationkey = 3 AND c_custkey % 4 = 1)")
+def q2_conversation_store(spark, d):
+    c = table(spark, d, "customer").selectExpr("c_custkey AS id", "c_name AS title", "CAST(c_nationkey AS STRING) AS user_id")
+    after = Q.saved(c, c.where("id % 4 = 0").withColumn("title", F.lit("new")), "3")
+    return Q.deleted(after, c.where("id % 4 = 1"), "3").select("id", "title")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type AS rating, count(*) AS n FROM events GROUP BY 1, 2")
+def q3_feedback(spark, d):
+    return Q.ratings(table(spark, d, "events").selectExpr("ts AS created_at", "event_type AS rating"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'answer' WHEN o_orderkey % 3 > 0 THEN 'reason' WHEN o_orderkey % 4 < 2 THEN 'reformulate' ELSE 'give_up' END AS step FROM orders")
+def q4_routing(spark, d):
+    intent = F.when(F.col("o_orderstatus") == "F", "greeting").otherwise("legal_search")
+    return table(spark, d, "orders").select("o_orderkey", Q.next_step(intent, F.col("o_orderkey") % 3, F.col("o_orderkey") % 4).alias("step"))
+
+
+@query("SELECT doc_id, doc_id % 3 = 2 AS asks FROM documents")
+def q5_year_clarification(spark, d):
+    t = F.expr("CASE doc_id % 3 WHEN 0 THEN concat('KKO:2001:', doc_id) WHEN 1 THEN 'in 2001' ELSE 'vastuu' END")
+    return table(spark, d, "documents").select("doc_id", Q.asks_for_years(t).alias("asks"))
+
+
+@query("SELECT doc_id AS query_id, doc_id % 6 = 0 AS document_analysis FROM documents")
+def q6_document_analysis(spark, d):
+    q = table(spark, d, "documents").selectExpr("doc_id AS query_id", "CASE WHEN doc_id % 2 = 0 THEN 'analyse my document' ELSE 'x' END AS text")
+    hits = table(spark, d, "documents").selectExpr("doc_id AS query_id", "CASE WHEN doc_id % 3 = 0 THEN 'CLIENT:1' ELSE 'KKO:1' END AS case_id")
+    return Q.document_analysis(hits, q, "(?i)my document|this contract")
+
+

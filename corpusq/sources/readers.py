@@ -14,20 +14,19 @@ from pyspark.sql import types as T
 TYPE_DIRECTORIES = {"precedent": "precedents", "leave_to_appeal": "leaves_to_appeal", "ruling": "rulings", "other_decision": "other"}
 
 REFERENCE = T.StructType().add("ref_id", "string").add("ref_type", "string")
+_TEXTS = "case_id court_type court_code decision_type decision_date diary_number ecli title full_text url judges vote_strength"
+_NUMBERS = "case_year judges_total judges_dissenting"
+_LISTS = "legal_domains cited_laws cited_cases cited_eu_cases cited_regulations"
 #: A court decision in the JSON files.
-CASE = (
-    T.StructType()
-    .add("case_id", "string").add("court_type", "string").add("court_code", "string").add("decision_type", "string").add("case_year", "int")
-    .add("decision_date", "string").add("diary_number", "string").add("ecli", "string").add("title", "string").add("full_text", "string").add("url", "string")
-    .add("legal_domains", "array<string>").add("cited_laws", "array<string>").add("cited_cases", "array<string>").add("cited_eu_cases", "array<string>").add("cited_regulations", "array<string>")
-    .add("judges", "string").add("judges_total", "int").add("judges_dissenting", "int").add("vote_strength", "string").add("is_precedent", "boolean")
-    .add("references", T.ArrayType(REFERENCE))
+CASE = T.StructType(
+    [T.StructField(c, T.StringType()) for c in _TEXTS.split()] + [T.StructField(c, T.IntegerType()) for c in _NUMBERS.split()]
+    + [T.StructField(c, T.ArrayType(T.StringType())) for c in _LISTS.split()] + [T.StructField("is_precedent", T.BooleanType()), T.StructField("references", T.ArrayType(REFERENCE))]
 )
 
 
 def year_files(spark: SparkSession, path: str, schema: T.StructType = CASE) -> DataFrame:
     """Documents of JSON files that each hold one array; rows that don't parse, or have no case id, are left out (S3)."""
-    read = spark.read.schema(schema.add("_bad", "string")).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).json(path)
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", True).json(path)
     return read.where("_bad IS NULL AND case_id IS NOT NULL").drop("_bad")
 
 
