@@ -65,7 +65,7 @@ def positional_index(documents: DataFrame, terms: np.ndarray, id_col: str = "doc
                 order = np.argsort(at[hit], kind="stable")
                 hit = hit[order]
                 own, starts = np.unique(at[hit], return_index=True)
-                ends = np.append(starts[1:], len(hit))
+                ends = np.append(starts[1:], len(hit))[: len(own)]
                 places = hit.astype("<u4")
                 doc_ids = np.array([x if x is not None else 0 for x in ids[i:j].to_pylist()], "<i8")
                 given = np.array([x is not None for x in ids[i:j].to_pylist()], np.uint8)
