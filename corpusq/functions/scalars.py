@@ -234,7 +234,7 @@ def extension(name: Column) -> Column:
 
 def compacted(text: Column, n: int = 1400) -> Column:
     """The first characters, cut behind a whole word."""
-    return F.when(F.length(text) <= n, text).otherwise(F.regexp_replace(F.left(text, F.lit(n)), r"\s+\S*$", ""))
+    return F.when(F.length(text) <= n, text).otherwise(F.regexp_replace(F.left(text, F.lit(n)), r"\s+\S*\z", ""))
 
 
 def score_light(score: Column) -> Column:

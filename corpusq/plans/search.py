@@ -99,7 +99,7 @@ def r4_fts_and(spark, d):
     return _and(spark, d)
 
 
-@query(rf"""WITH {QUERIES_SQL}, {TOKENS_SQL}, q2 AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))[1:3] AS w FROM q)
+@query(rf"""WITH {QUERIES_SQL}, {TOKENS_SQL}, q1 AS (SELECT query_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM q), q2 AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:3] AS w FROM q1)
 SELECT query_id, id, len(list_intersect(tok.w, q2.w)) AS n FROM q2, tok WHERE list_has_all(tok.w, q2.w) AND len(q2.w) > 0""")
 def r9_plain_and(spark, d):
     q = asked(spark, d).select("query_id", F.concat_ws(" ", F.slice(F.array_distinct(N.tokens(F.col("text"))), 1, 3)).alias("text"))
