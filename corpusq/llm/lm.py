@@ -26,7 +26,7 @@ ADDED = 0.1
 #: Steps of the quantised log10 probabilities, from 0 down to -12.
 STEPS = 65_535
 LOWEST = -12.0
-#: A word with more than 1 / HOT of a block's tokens may be a hot context; there are HOT such contexts at most.
+#: A word with more than 1 / HOT of all tokens is a hot context; there are HOT such contexts at most.
 HOT = 1000
 BLOCK_BYTES = 8 << 20
 
@@ -230,8 +230,10 @@ def lm_scores(documents: DataFrame, held_out_of: int = 10, shards: int | None =
 
 
 def hot_contexts(blocks: DataFrame, n_train: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and training counts of words with more than 1 / HOT of all training tokens: at most HOT of
-    them, and a word that has that share has it in one block at least."""
+    """Hashes, ascending, and training counts of words with more than 1 / HOT of all training tokens.
+
+    Blocks where a word has less than half that share hold less than half of its count. So the counts of the other
+    blocks come to more than 1 / (2 HOT) of all tokens, which is true of fewer than 2 HOT words; these are counted."""
 
     def frequent(only: set[int] | None):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,14 +242,14 @@ def hot_contexts(blocks: DataFrame, n_train: int) -> tuple[np.ndarray, np.ndarra
                     words, counts = np.frombuffer(x["words"], "<u8"), _big(x["counts"])
                     held = np.frombuffer(x["held"], np.uint8)
                     words, counts = np.append(words, BEGIN), np.append(counts, len(held) - int(held.sum()))
-                    keep = counts * HOT > x["n_train"] if only is None else np.isin(words.view(np.int64), list(only))
+                    keep = counts * 2 * HOT > x["n_train"] if only is None else np.isin(words.view(np.int64), list(only))
                     yield pa.RecordBatch.from_pydict({"word": words[keep].view(np.int64), "n": counts[keep]})
 
         return rows
 
     blocks = blocks.select("words", "counts", "n_train", "held")
-    some = blocks.mapInArrow(frequent(None), "word long, n long").select("word").distinct()
-    ids = {x[0] for x in some.toLocalIterator()}  # a block names HOT words at most, and blocks name much the same
+    some = blocks.mapInArrow(frequent(None), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * HOT > n_train)
+    ids = {x[0] for x in some.collect()}  # 2 HOT at most
     totals = blocks.mapInArrow(frequent(ids), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HOT > n_train).collect()
     words = np.array([x[0] for x in totals], np.int64).view(np.uint64)
     order = np.argsort(words)
