@@ -58,13 +58,13 @@ def prefix_search(queries: DataFrame, index: DataFrame, k: int, text_col: str =
     Index terms are joined by their prefixes of the lengths that are asked for: an equi-join, where "starts with"
     would compare each pattern with each term."""
     p = queries.select("query_id", F.explode(N.prefix_patterns(F.col(text_col))).alias("p")).select("query_id", "p.*")
-    p = p.withColumns({"n": F.when(F.col("is_prefix"), F.length("pattern")).otherwise(0), "groups": F.lit(None).cast("int")}).drop("groups")
-    lengths = p.where("n > 0").select("n").distinct()
+    p = p.withColumn("n", F.when(F.col("is_prefix"), F.length("pattern")).otherwise(0))
     terms = index.select("term").distinct()
-    # A term has at most a dozen prefix lengths to be looked up by: 6 to 0.8 of a word.
-    by_prefix = terms.join(F.broadcast(lengths), F.length("term") >= F.col("n")).select("term", "n", F.left("term", F.col("n")).alias("pattern"))
+    # Each term is looked up by all of its prefixes that a pattern can be: six letters and more.
+    longer = terms.where(F.length("term") >= N.LEAST_PREFIX).select("term", F.explode(F.sequence(F.lit(N.LEAST_PREFIX), F.length("term"))).alias("n"))
+    by_prefix = longer.select("term", "n", F.left("term", F.col("n")).alias("pattern"))
     whole = terms.select("term", F.lit(0).alias("n"), F.col("term").alias("pattern"))
-    met = p.join(by_prefix.unionByName(whole), ["n", "pattern"]).select("query_id", "group", "pattern", "is_prefix", "term")
+    met = p.join(by_prefix.unionByName(whole).hint("merge"), ["n", "pattern"]).select("query_id", "group", "pattern", "is_prefix", "term")
     hits = index.join(met, "term").select("query_id", "id", "group", "pattern", "is_prefix").distinct()
     need = p.groupBy("query_id").agg(F.max("group").alias("n_groups"))
     found = hits.groupBy("query_id", "id").agg(F.count_distinct(F.when(F.col("group") > 0, F.col("group"))).alias("g"), F.count_if(F.col("group") == 0).alias("extras"), F.count("*").cast("double").alias("score"))

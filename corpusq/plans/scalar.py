@@ -36,7 +36,7 @@ def f4_regexp_matches(spark, d):
 
 @query("SELECT c_custkey, concat_ws(' ', c_name, c_mktsegment, n_name) AS doc FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def f5_search_text(spark, d):
-    j = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.select("c_custkey", S.search_text(F.col("c_name"), F.col("c_mktsegment"), F.col("n_name")).alias("doc"))
 
 
