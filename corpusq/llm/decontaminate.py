@@ -16,6 +16,8 @@ from corpusq.llm.text import ALNUM, Words, slices, utf8
 
 #: Windows of benchmark items that are held in memory at once; more are matched in further rounds.
 WINDOWS_AT_ONCE = 200_000
+#: Words of the benchmark that are broadcast at most, eight bytes each.
+MOST_TERMS = 4_000_000
 #: Candidate starts that are intersected at once.
 CANDIDATES_AT_ONCE = 1 << 21
 
@@ -44,21 +46,22 @@ def windows(benchmark: DataFrame, width: int = 10, item_col: str = "item_id", te
     return items.mapInArrow(cut, "item_id string, terms array<long>")
 
 
-def positional_index(documents: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings of the given terms (sorted 64-bit hashes) in all documents, one row per block of documents and term:
+def positional_index(documents: DataFrame, terms: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings of the given terms (sorted 64-bit hashes; None: of all words) in all documents, one row per block of documents and term:
     the places of the term, counted in words from the start of the block, as unsigned 32-bit numbers. A row with doc_ids
     stands for no term; it lists the documents of the block and the place of each one's first word."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(terms)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, block = shared.value, TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             buf, off = utf8(batch.column(1))
             ids = batch.column(0)
             for i, j in slices(off):
                 w = Words(buf, off, i, j, ALNUM)
                 hashes = w.hashes()
+                known = np.unique(hashes) if shared.value is None else shared.value
                 at = np.searchsorted(known, hashes)
                 at[at == len(known)] = 0
                 hit = np.flatnonzero(known[at] == hashes) if len(known) else np.zeros(0, np.int64)
@@ -200,13 +203,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10, i
     also rows with equal or null ids; null and empty texts have no words and are clean. An empty ``documents`` gives
     an empty table, an empty ``benchmark`` clean documents. Further columns of either table are not looked at.
 
-    The index is written to the shared folder; postings are kept for words of the benchmark only, and a block holds
+    The index is written to the shared folder; postings are kept for words of the benchmark only (of all words if it has millions of them), and a block holds
     about 4 MB of text or one longer document, so each task's memory is bounded whatever passage or word is frequent.
     """
     spark = documents.sparkSession
     rows = written(windows(benchmark, width), "benchmark-windows")
-    vocabulary = rows.select(F.explode("terms").alias("t")).distinct()
-    terms = np.sort(np.array([x[0] for x in vocabulary.toLocalIterator()], np.int64).view(np.uint64))
+    vocabulary = written(rows.select(F.explode("terms").alias("t")).distinct(), "benchmark-terms")
+    # Up to MOST_TERMS words of the benchmark are sent to the tasks; beyond that, all words are indexed.
+    terms = np.sort(np.array([x[0] for x in vocabulary.collect()], np.int64).view(np.uint64)) if vocabulary.count() <= MOST_TERMS else None
     index = written(positional_index(documents, terms, id_col, text_col), "positional-index")
     spans = passages(index, rows).where("kind = 'phrase'")
     merged = spans.groupBy("block", "doc").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
