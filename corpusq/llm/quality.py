@@ -55,7 +55,7 @@ def quality_rules(
     line_limit: int = 10,
     line_share: float = 0.001,
     min_line_chars: int = 10,
-    min_left: float = 0.5,
+    min_left: float = 0.3,
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
@@ -64,10 +64,11 @@ def quality_rules(
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. A line is common to a host (null is a host
     of its own) if its key has ``min_line_chars`` code points and stands in more than ``line_limit`` distinct documents of
-    the host and in more than ``line_share`` of them. Common lines are removed from the document's cleaned text.
+    the host and in more than ``line_share`` of its rows; documents of equal text are one, so that copies alone make no
+    line common. Common lines are removed from all documents of the host but the one of least id, which keeps them.
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_share`` per cent of the words stand in
-    3-word windows found twice or more. ``kept``: not base_failed, and of the document's words, lines that are not
-    common hold at least ``min_words`` and the share ``min_left``.
+    3-word windows found twice or more. ``kept``: not base_failed, and at least the share ``min_left`` of the
+    document's words stands in lines that it keeps.
 
     Null and empty texts have no words and fail. Rows that share an id count once for a line; each row gets its own
     verdict. Returns a row for each row: doc_id, the measures, n_common_words, base_failed, kept. An empty table
@@ -77,28 +78,28 @@ def quality_rules(
     of all rows is a partial sum per task there, and on the way back a join that Spark can split.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), host_col), F.lit("")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "host", "text")).withColumn("row2", F.xxhash64(F.lit(7), "doc_id", "host", "text"))
+    docs = docs.withColumn("t", F.xxhash64(F.lit(3), "text")).withColumn("row", F.xxhash64("doc_id", "host", "text")).withColumn("row2", F.xxhash64(F.lit(7), "doc_id", "host", "text"))
     # The null key stands for the row itself: its words count how often the very same row occurs.
     keys = F.transform(F.split("text", "\n", -1), lambda x: F.translate(F.trim(x, F.lit(BLANKS)), UPPER, LOWER))
     keys = F.concat(F.array(F.lit(None).cast("string")), F.filter(keys, lambda k: F.length(k) >= min_line_chars))
-    lines = docs.select("doc_id", "host", "row", "row2", F.explode(keys).alias("key"))
+    lines = docs.select("doc_id", "host", "t", "row", "row2", F.explode(keys).alias("key"))
     hashed = [F.when(F.col("key").isNotNull(), h).alias(n) for n, h in (("a", F.xxhash64("key")), ("b", F.xxhash64(F.lit(7), "key")))]
-    lines = lines.select("doc_id", "host", "row", "row2", *hashed, F.when(F.col("key").isNull(), 1).otherwise(F.size(_words(F.col("key")))).alias("n"))
+    lines = lines.select("doc_id", "host", "t", "row", "row2", *hashed, F.when(F.col("key").isNull(), 1).otherwise(F.size(_words(F.col("key")))).alias("n"))
     # One row for each document and line, with the words that all its occurrences hold.
-    lines = written(lines.groupBy("doc_id", "host", "row", "row2", "a", "b").agg(F.sum("n").alias("words")), "host-lines")
+    lines = written(lines.groupBy("doc_id", "host", "t", "row", "row2", "a", "b").agg(F.sum("n").alias("words")), "host-lines")
     rows = lines.where("a IS NULL").select("host", "row", "row2", F.col("words").alias("copies"))
     hosts = rows.groupBy("host").agg(F.sum("copies").alias("host_rows"))
-    counted = lines.where("a IS NOT NULL").groupBy("host", "a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    common = counted.where((F.col("n") > line_limit) & ~F.col("least").eqNullSafe(F.col("most")))
-    common = written(common.join(hosts.hint("merge"), "host").where(F.col("n") > F.col("host_rows") * line_share).select("host", "a", "b"), "common-lines")
-    lost = lines.join(common, ["host", "a", "b"]).groupBy("row", "row2").agg(F.sum("words").alias("lost"))
+    counted = lines.where("a IS NOT NULL").groupBy("host", "a", "b").agg(F.count_distinct("t").alias("n"), F.min("doc_id").alias("first_id"))
+    common = counted.where(F.col("n") > line_limit).join(hosts.hint("merge"), "host").where(F.col("n") > F.col("host_rows") * line_share)
+    common = written(common.select("host", "a", "b", "first_id"), "common-lines")
+    lost = lines.join(common, ["host", "a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("row", "row2").agg(F.sum("words").alias("lost"))
     lost = lost.join(rows.hint("merge"), ["row", "row2"]).select("row", "row2", F.expr("lost div copies").alias("lost"))
     # Written, so that no filter on what follows is unfolded through all the steps of the measures.
-    measured = written(text_measures(docs).drop("text", "host"), "measures")
+    measured = written(text_measures(docs).drop("text", "host", "t"), "measures")
     out = measured.join(lost.hint("merge"), ["row", "row2"], "left").withColumn("n_common_words", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_share)
     left = F.col("n_words") - F.col("n_common_words")
     return out.withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common_words", "base_failed",
-        (~failed & (left >= min_words) & (left >= F.col("n_words") * min_left)).alias("kept"),
+        (~failed & (left >= F.col("n_words") * min_left)).alias("kept"),
     )
