@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,21 +29,25 @@ STEPS = 65_535
 LOWEST = -12.0
 #: A word with more than 1 / HOT of all tokens is a hot context; there are HOT such contexts at most.
 HOT = 1000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 
 _BLOCKS = "block long, n_train long, doc_ids binary, held binary, lengths binary, words binary, counts binary, tokens binary"
 _ASKED = "shard long, block long, contexts binary, sizes binary, next binary, counts binary"
 _SAID = "kind string, shard long, block long, codes binary, known binary, spread binary, hot array<long>, n_contexts long, level binary"
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """``x`` as the narrowest unsigned numbers that hold it, behind their width."""
-    width = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+def _small(x: np.ndarray) -> bytes:
+    """Small numbers in the fewest bytes that hold the greatest, byte by byte of equal weight, compressed."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    planes = x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :width].T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _big(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), np.uint8).reshape(x[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : x[0]] = planes.T
+    return out.reshape(-1).view("<i8")
 
 
 class EliasFano:
@@ -107,7 +112,11 @@ def token_blocks(documents: DataFrame, id_col: str, text_col: str, held_out_of:
                 ids = batch.column(0)[i:j].to_pylist()
                 held = np.array([x is not None and zlib.crc32(str(x).encode()) % held_out_of == 0 for x in ids])
                 w = Words(buf, off, i, j)
-                words, inverse = np.unique(w.hashes(), return_inverse=True)
+                words, inverse, often = np.unique(w.hashes(), return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")  # frequent words have small numbers
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                words, inverse = words[order], rank[inverse]
                 n = np.diff(w.first)
                 counts = np.bincount(inverse[np.repeat(~held, n)], minlength=len(words))
                 given = np.array([x is not None for x in ids])
@@ -148,14 +157,15 @@ class _Block:
         context = np.empty_like(self.following)
         context[1:] = self.following[:-1]
         context[ends - total + 1] = begin
-        self.doc = np.repeat(np.arange(len(self.n)), total)
+        self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), total)
         pairs, self.inverse = np.unique(context << 32 | self.following, return_inverse=True)
+        del context, tokens, body
         train = ~self.held[self.doc]
         counts = np.bincount(self.inverse[train], minlength=len(pairs))
         # In the order of the hashes of contexts, so that a shard's contexts are a stretch.
         own = self.words[pairs >> 32]
         order = np.lexsort((self.words[pairs & 0xFFFFFFFF], own))
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         self.inverse = rank[self.inverse]
         self.context, self.next, self.counts = pairs[order] >> 32, pairs[order] & 0xFFFFFFFF, counts[order]
@@ -184,7 +194,7 @@ def lm_scores(documents: DataFrame, held_out_of: int = 10, shards: int | None =
     row per part of the trie with its levels: contexts' hashes, pointers to their pairs and pairs (the context's place
     and 32 bits of the next word's hash) as Elias-Fano sequences, and a quantised log10 probability for each pair.
 
-    Each block of about 8 MB of text asks for each distinct pair once, with its count. A part of the trie adds up
+    Each block of about 6 MB of text asks for each distinct pair once, with its count. A part of the trie adds up
     the counts of its contexts over all blocks, builds its levels, maps them to memory and answers each block by
     successor search. Contexts with more than 1 / 1000 of a block's words that are that frequent on the whole are split by
     their next word. All tables grow with the distinct pairs of blocks, and none is gathered in one place.
@@ -294,7 +304,7 @@ def _trie(shared):
         ends = np.cumsum([len(k) for k in keys])
         for b, c, k, end in zip(rows["block"], contexts, keys, ends, strict=True):
             place = np.searchsorted(level1, c)
-            out.append({"kind": "answer", "shard": shard, "block": b, "codes": found[end - len(k) : end].tobytes(), "known": _small(total[place]), "spread": _small(spread[place])})
+            out.append({"kind": "answer", "shard": shard, "block": b, "codes": _small(found[end - len(k) : end]), "known": _small(total[place]), "spread": _small(spread[place])})
         return pd.DataFrame(out).reindex(columns=[x.split()[0] for x in _SAID.split(", ")]).astype({"block": "Int64", "n_contexts": "Int64"}).replace({np.nan: None})
 
     return part
@@ -329,7 +339,7 @@ def _scorer(shared, shards: int):
         shard = _shard_of(contexts, following, hot, shards)
         order = np.argsort(shard, kind="stable")
         codes = np.empty(len(order), np.int64)
-        codes[order] = np.concatenate([np.frombuffer(c, "<u2") for c in answers["codes"]])
+        codes[order] = np.concatenate([_big(c) for c in answers["codes"]])
         starts = np.concatenate([np.append(True, (c := contexts[own])[1:] != c[:-1]) for own in np.split(order, np.searchsorted(shard[order], np.arange(1, shards))) if len(own)])
         known, spread = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.int64)
         asked = b.context[order[starts]]
