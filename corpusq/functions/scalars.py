@@ -278,3 +278,17 @@ def header_parts(answer: Column) -> Column:
 def search_text(*columns: Column) -> Column:
     """The text that metadata search looks at."""
     return F.concat_ws(" ", *columns)
+
+
+def court_scope(text: Column) -> Column:
+    """The court that a question is limited to: KKO or KHO where it names only one of them."""
+    kko, kho = text.rlike(r"(?i)\bKKO\b|korkein oikeus|supreme court"), text.rlike(r"(?i)\bKHO\b|korkein hallinto-oikeus|supreme administrative court")
+    return F.when(kko & ~kho, "KKO").when(kho & ~kko, "KHO")
+
+
+def case_page(case_id: Column, base: str, directories: dict[str, str], subtype: Column) -> Column:
+    """The page of a decision: null unless its id has court, year and number and its subtype a directory."""
+    p = id_parts(case_id)
+    directory = F.create_map(*[F.lit(x) for kv in directories.items() for x in kv])[subtype]
+    # Concatenation gives null where a part is missing.
+    return F.concat(F.lit(base + "/"), F.lower(p["court"]), F.lit("/"), directory, F.lit("/"), p["year"].cast("string"), F.lit("/"), p["number"].cast("string"))

@@ -394,3 +394,18 @@ def u5_intersection(spark, d):
 @query("SELECT DISTINCT source, lang FROM documents")
 def u7_distinct(spark, d):
     return table(spark, d, "documents").select("source", "lang").distinct()
+
+
+@query("SELECT conv_id * 1000 + turn AS id, left(c.text, 40) AS text, source, lang, round(1.0 / (turn + 1), 6) AS score FROM conversations c JOIN documents d ON d.doc_id = c.conv_id")
+def j21_hit_struct(spark, d):
+    """Hits with the columns of their parent as one nested value."""
+    parents = table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.struct("source", "lang").alias("metadata"))
+    j = table(spark, d, "conversations").join(parents, "conv_id")
+    hit = F.struct((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.left("text", F.lit(40)).alias("text"), "metadata", (F.lit(1.0) / (F.col("turn") + 1)).alias("score"))
+    return j.select(hit.alias("hit")).select("hit.id", "hit.text", "hit.metadata.source", "hit.metadata.lang", F.round("hit.score", 6).alias("score"))
+
+
+@query("SELECT p_partkey, list_filter(w, lambda x, i: list_position(w, x) = i) AS unique_words, list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: NOT list_contains(['small', 'large'], x)) AS rest FROM (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_name, ' ') AS w FROM part)")
+def u4_u6_ordered_sets(spark, d):
+    w = F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " ")
+    return table(spark, d, "part").select("p_partkey", F.array_distinct(w).alias("unique_words"), F.array_except(w, F.array(F.lit("small"), F.lit("large"))).alias("rest"))

@@ -239,3 +239,15 @@ def f45_drop_lines(spark, d):
 def f47_year_of_slashed_date(spark, d):
     t = _made(spark, d, "date_format(o_orderdate, 'dd/MM/yyyy')", "orders", "o_orderkey")
     return t.select("o_orderkey", F.regexp_extract("t", r"^\d{2}/\d{2}/(\d{4})$", 1).cast("int").alias("y"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'KKO' WHEN 1 THEN 'KHO' END AS scope FROM documents")
+def f26_court_scope(spark, d):
+    t = _made(spark, d, "CASE doc_id % 4 WHEN 0 THEN concat('mitä KKO sanoo ', source) WHEN 1 THEN 'korkein hallinto-oikeus' WHEN 2 THEN 'kko ja kho' ELSE source END")
+    return t.select("doc_id", S.court_scope(F.col("t")).alias("scope"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 AND lang IN ('en', 'de') THEN 'https://x.org/' || CASE doc_id % 3 WHEN 0 THEN 'kko' ELSE 'kho' END || '/' || CASE lang WHEN 'en' THEN 'precedents' ELSE 'rulings' END || '/' || CAST(1980 + doc_id % 40 AS VARCHAR) || '/' || CAST(doc_id % 97 AS VARCHAR) END AS url FROM documents")
+def f48_case_page(spark, d):
+    t = _made(spark, d, _IDS, more="lang")
+    return t.select("doc_id", S.case_page(F.col("t"), "https://x.org", {"en": "precedents", "de": "rulings"}, F.col("lang")).alias("url"))
