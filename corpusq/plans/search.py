@@ -58,6 +58,13 @@ def _and(spark, d):
     return R.keyword_search(q, *_index(spark, d, q, "and"), 25, "and")
 
 
+def _both(spark, d):
+    """The OR and the AND channel over one index, as the terms of the second are among those of the first."""
+    q = asked(spark, d)
+    index, sizes = _index(spark, d, q, "or")
+    return R.keyword_search(q, index, sizes, 25), R.keyword_search(q, index, sizes, 25, "and")
+
+
 @query(rf"SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ('the', 'la'))[1:30] AS w FROM documents")
 def n1_analyzer(spark, d):
     return table(spark, d, "documents").select("doc_id", F.slice(N.tokens(F.col("text"), ["the", "la"]), 1, 30).alias("w"))
@@ -170,19 +177,20 @@ rrf AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf_score,
 
 @query(f"WITH {QUERIES_SQL}, {TOKENS_SQL}, {OR_SQL}, {AND_SQL}, {RRF_SQL} SELECT * FROM rrf")
 def r16_rrf_merge(spark, d):
-    return X.rrf({"or": _or(spark, d), "and": _and(spark, d)})
+    return X.rrf(dict(zip(("or", "and"), _both(spark, d), strict=True)))
 
 
 @query(f"WITH {QUERIES_SQL}, {TOKENS_SQL}, {OR_SQL}, {AND_SQL}, {RRF_SQL} SELECT query_id, id, rrf_score FROM rrf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) <= 20")
 def r17_hybrid_search(spark, d):
-    fused = X.rrf({"or": _or(spark, d), "and": _and(spark, d)})
+    fused = X.rrf(dict(zip(("or", "and"), _both(spark, d), strict=True)))
     return L.top_per_key(fused, ["query_id"], [F.col("rrf_score").desc(), F.col("id")], 20).select("query_id", "id", "rrf_score")
 
 
 @query(f"WITH {QUERIES_SQL}, {TOKENS_SQL}, {OR_SQL}, {AND_SQL}, a AS (SELECT query_id, id, score, 0 AS n FROM ors UNION ALL SELECT query_id, id, score, 1 FROM ands) SELECT query_id, id, max(score) AS score FROM a GROUP BY 1, 2")
 def r18_multi_query(spark, d):
     none = F.lit(0.0)
-    both = _or(spark, d).withColumns({"alt_no": F.lit(0), "rrf_score": none}).unionByName(_and(spark, d).withColumns({"alt_no": F.lit(1), "rrf_score": none}))
+    first, second = _both(spark, d)
+    both = first.withColumns({"alt_no": F.lit(0), "rrf_score": none}).unionByName(second.withColumns({"alt_no": F.lit(1), "rrf_score": none}))
     return X.with_alternatives(both).select("query_id", "id", "score")
 
 
@@ -255,11 +263,17 @@ def approximate(spark, embeddings, k: int = 10, bucket: float = 1.0, tables: int
     return L.top_per_key(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
-@query()
+@query(f"""WITH {QUERIES_SQL}, {TOKENS_SQL}, {OR_SQL}, {AND_SQL}, {RRF_SQL},
+h AS (SELECT rrf.query_id, id, rrf_score, channel, q.text AS q, d.text AS t, source, lang FROM rrf JOIN q USING (query_id) JOIN documents d ON d.doc_id = id QUALIFY row_number() OVER (PARTITION BY rrf.query_id ORDER BY rrf_score DESC, id) <= 50),
+s AS (SELECT *, len(list_filter(w, lambda x: contains(lower(t), x))) / nullif(len(w), 0) AS share FROM (SELECT *, {_WORDS} AS w FROM h)), r AS (SELECT *, coalesce(round(share, 6), 0.0) AS rerank_score FROM s),
+b AS (SELECT *, round(1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, id)) + 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id)), 9) AS blended FROM r),
+f AS (SELECT *, round(blended * pow(CASE WHEN share >= 0.5 THEN 1 + share * 0.5 ELSE 1.0 END, 0.5), 9) AS final FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, id) AS p FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY p) AS nth FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS pos FROM n WHERE p <= 2 OR nth <= 3)
+SELECT query_id, pos, id, source, lang, channel, rrf_score, rerank_score, final FROM k WHERE pos <= 10""")
 def r25_hybrid_pipeline(spark, d):
     """All steps of retrieval: OR and AND channels fused, filtered, reranked by words in common, blended, boosted, capped."""
     q = asked(spark, d)
-    fused = X.rrf({"or": _or(spark, d), "and": _and(spark, d)})
+    fused = X.rrf(dict(zip(("or", "and"), _both(spark, d), strict=True)))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("doc_text"), "source", "lang")
     # At most 50 rows for each query are joined with texts.
     hits = L.top_per_key(fused, ["query_id"], [F.col("rrf_score").desc(), F.col("id")], 50)
