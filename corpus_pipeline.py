@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is one of ``ids`` (unique); null is an id like others."""
+    """The rows of ``docs`` whose doc_id is one of ``ids`` (unique); null is an id like others. Kept ids grow with the
+    documents, so they are never broadcast: a merge join moves the same share of the texts at every size."""
     keys = ids.select(F.coalesce("_id", F.lit(0)).alias("_key"), F.col("_id").isNull().alias("_null"))
     named = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()})
-    return named.join(keys, ["_key", "_null"], "left_semi").select(*docs.columns)
+    return named.join(keys.hint("merge"), ["_key", "_null"], "left_semi").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
