@@ -18,6 +18,8 @@ TREES, DEPTH = 32, 6
 LEAST_DEPTH = 3
 #: Rows of a region that are all compared; a larger one is taken a level deeper.
 REGION = 12
+#: About so many nodes of a larger region make a chunk; blocks of two chunks are compared at once.
+BLOCK = 256
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -102,18 +104,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def forest_candidates(classes: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes that are neighbours in one of the sorted orders of (node, first, rest).
+def forest_regions(classes: DataFrame) -> DataFrame:
+    """node, p, q, n3, least3 of (node, first, rest) for each order in which other nodes share the node's first three
+    MinHash values: p holds the number of the order and these values, q the three that follow."""
+    rows = classes.select("node", F.explode(F.arrays_zip("first", "rest")).alias("x")).select("node", F.col("x.first").alias("p"), F.col("x.rest").alias("q"))
+    shared = rows.groupBy("p").agg(F.count("*").alias("n3"), F.min("node").alias("least3")).where("n3 > 1")
+    return written(rows.join(shared.hint("merge"), "p"), "forest-regions")
+
+
+def forest_candidates(rows: DataFrame) -> DataFrame:
+    """Pairs a < b of nodes that are neighbours in one of the sorted orders of ``forest_regions``.
 
-    ``first`` holds the number of the order and the first three MinHash values of each order, ``rest`` the three that
-    follow. A node's region in an order is what shares its longest common prefix with it: it begins at three values,
+    A node's region in an order is what shares its longest common prefix with it: it begins at three values,
     and where more than ``REGION`` nodes share those, it goes a value deeper, up to six. Nodes of a region are all
     paired. A node that a deeper level parts from the rest is paired with the least node of the level before; more
     than ``REGION`` nodes with equal prefixes of all six are paired with the least and with the next of their kind.
+    What these pairs leave open in regions of more than ``REGION`` nodes, ``dense_links`` finds.
     """
-    rows = classes.select("node", F.explode(F.arrays_zip("first", "rest")).alias("x")).select("node", F.col("x.first").alias("p"), F.col("x.rest").alias("q"))
-    shared = rows.groupBy("p").agg(F.count("*").alias("n3"), F.min("node").alias("least3")).where("n3 > 1")
-    rows = written(rows.join(shared.hint("merge"), "p"), "forest-regions")
     small = rows.where(F.col("n3") <= REGION)
     dense = rows.where(F.col("n3") > REGION)
     deep = [F.shiftright("q", 32), F.shiftright("q", 16), F.col("q")]
@@ -148,6 +155,66 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     return both.withColumn("i", common).where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b")
 
 
+def _block_links(percent: int):
+    """applyInArrow over the rows of one block: links a, b that connect what confirmed pairs connect there."""
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, component, main = (table.column(x).to_numpy() for x in ("node", "component", "main"))
+        sets = table.column("shingles").chunk(0)
+        n = np.diff(sets.offsets.to_numpy())
+        token, of = sets.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+        _, token, times = np.unique(token, return_inverse=True, return_counts=True)
+        # Only shingles that two nodes hold add to an intersection.
+        held = times > 1
+        of, token = of[held[token]], (np.cumsum(held) - 1)[token[held[token]]]
+        common = np.zeros((len(n), len(n)), np.float32)
+        order = np.argsort(token, kind="stable")
+        of, token = of[order], token[order]
+        for i in range(0, int(held.sum()), 4096):
+            u, v = np.searchsorted(token, (i, i + 4096))
+            x = np.zeros((len(n), 4096), np.float32)
+            x[of[u:v], token[u:v] - i] = 1
+            common += x @ x.T
+        common = common.astype(np.int64)
+        near = (common * 100 >= (n[:, None] + n[None, :] - common) * percent) & (component[:, None] != component[None, :]) & ~(main[:, None] & main[None, :])
+        near[np.arange(len(n)), np.arange(len(n))] = True
+        root = node.copy()
+        while True:
+            least = np.where(near, root[None, :], np.iinfo(np.int64).max).min(axis=1)
+            if (least == root).all():
+                break
+            root = least
+        out = root != node
+        return pa.table({"a": root[out], "b": node[out]})
+
+    return links
+
+
+def dense_links(regions: DataFrame, found: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Links a, b that connect the components of ``found`` (node, component; a node without one is its own) wherever a
+    pair of a region of more than ``REGION`` nodes is similar by its full ``sets``: all pairs of such a region whose
+    components differ are compared.
+
+    The nodes of a region's largest component are only compared with the others. Nodes are dealt into chunks of about
+    ``BLOCK``, and two chunks are compared in one block, where links are found on the spot; so neither pairs nor a
+    region are ever rows of one table or task.
+    """
+    rows = regions.where(F.col("n3") > REGION).select("node", "p").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = written(rows, "dense-rows")
+    shares = rows.groupBy("p", "component").agg(F.count("*").alias("n"))
+    largest = shares.groupBy("p").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    largest = largest.select("p", F.col("m.component").alias("c"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("others"))
+    rows = rows.join(largest.hint("merge"), "p").withColumn("main", F.col("component") == F.col("c"))
+    chunk = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    # The others' chunks have the numbers 0, 1, ..., those of the largest component -1, -2, ...
+    rows = rows.withColumn("chunk", F.when(F.col("main"), -1 - chunk).otherwise(chunk))
+    partner = F.explode(F.sequence(F.when(F.col("main"), F.lit(0)).otherwise(-F.col("mains")), F.col("others") - 1))
+    rows = rows.withColumn("with", partner).select("node", "component", "main", "p", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
+    rows = rows.join(sets.hint("merge"), "node")
+    return rows.groupBy("p", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``documents``.
 
@@ -160,8 +227,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, i
 
     Equal sets are collapsed to the least id that has them first. Candidates come from ``forest_candidates`` and are
     confirmed on full sets: first one candidate of each node, then those that lead out of a component found that way.
-    The forest misses a pair of similarity 0.75 with a chance of 3 in 10^8 while its regions stay at three values,
-    and of 2 in 1000 if all its regions are so crowded that they go to six.
+    Last, ``dense_links`` compares all nodes of crowded regions that are in different components by then. A pair of
+    similarity 0.75 is missed if it shares three values in none of the orders, a chance of 3 in 10^8, however crowded
+    its regions are.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(docs.mapInArrow(_set_rows(shingle, "signature"), "doc_id long, n_shingles long, a long, b long, first array<long>, rest array<long>"), "signatures")
@@ -169,7 +237,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, i
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     leads = written(full.groupBy(*keys).agg(F.min("doc_id").alias("node")), "set-classes")
     nodes = full.join(leads.hint("merge"), keys).where("doc_id = node").select("node", "first", "rest").dropDuplicates(["node", "first"])
-    pairs = written(forest_candidates(nodes), "candidates")
+    regions = forest_regions(nodes)
+    pairs = written(forest_candidates(regions), "candidates")
     members = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-members")
     texts = docs.join(members, "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_set_rows(shingle, "set"), "doc_id long, shingles array<long>").select(F.col("doc_id").alias("node"), "shingles").distinct(), "candidate-sets")
@@ -178,7 +247,10 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, i
     side = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
     open_pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
     more = written(confirmed(written(open_pairs, "open-candidates"), sets, percent), "links")
-    found = written(components(links.unionByName(more)), "components")
+    links = written(links.unionByName(more), "links")
+    found = written(components(links), "components")
+    dense = written(dense_links(regions, found, sets, percent), "links")
+    found = written(components(links.unionByName(dense)), "components")
     roots = leads.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("root"))
     # Nodes are least ids of their classes, so the least node of a component is the least id in it.
     out = signed.select("doc_id", *keys).join(roots.hint("merge"), keys, "left")

@@ -110,6 +110,22 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_duplicates_in_a_template_group(spark):
+    """Texts of shared passages, similar by about 0.7 to all others, and planted pairs over 0.75 among them."""
+    r = random.Random(5)
+    passages = [" ".join(f"p{k}x{j}" for j in range(12)) for k in range(60)]
+    rows = []
+    for i in range(300):
+        own = [f"o{i}y{j}" for j in range(75)]
+        rows.append((i, " ".join([p for p in passages if r.random() < 0.9] + own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, rows[-1][1].replace(f"o{i}y40", "other").replace("p7x", "q7x").replace("p30x", "q30x")))
+    want = groups(rows)
+    assert 20 < len({c for _, c in want.values()}) < 300
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == {i: c for i, (_, c) in want.items()}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (103, 102), (101, 103)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
