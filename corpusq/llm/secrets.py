@@ -11,11 +11,26 @@ from pyspark.sql import functions as F
 
 from corpusq.llm.storage import written
 
-#: A candidate's value: letters, digits and joining signs, at least 12 of them, one a digit.
-VALUE = r"[A-Za-z0-9+/_\-]{12,}"
+#: A value by its form: three dotted parts (JWT and the like), or at least 12 letters, digits and joining signs.
+VALUE = r"[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{16,}|SG\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}|[A-Za-z0-9+/_\-]{12,}"
+#: One of them must have a digit, or change from small to capital letters three times.
+MIXED = r"[0-9]|[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z]"
+#: A value by its form with the name and sign of assignment right before it.
+FORM = rf"(?:[A-Za-z0-9_\-]+[\"'`\]]*[=:]+>?[\"'`(]*)?(?:{VALUE})"
 #: Names before a value that say that it is secret, and the form of cloud access keys.
-NAMES = r"(?i)(passw(or)?d|secret|token|api[_-]?key|access[_-]?key|credential|bearer)"
+NAMES = r"(?i)(passw(or)?d|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|bearer)"
 ACCESS_KEY = r"^(AKIA|ASIA)[A-Z0-9]{16}$"
+#: A name and what assigns to it; after it in the same word, a value of any characters up to its quote or the word's end.
+ASSIGNS = rf"{NAMES}[A-Za-z0-9_\-]*[\"'`\])]*(?:=>|[=:])+"
+ASSIGNED = rf"{ASSIGNS}(?:\"[^\"]+|'[^']+|`[^`]+|[^\"'`]+)"
+#: Words before that assign the whole next word, and an assignment whose quote a later word closes.
+BEFORE = rf"(?:{ASSIGNS}|{NAMES}[A-Za-z0-9_\-]*[\"'`\])]* (?:=>|:=|[=:]+)|(?i)\bbearer)$"
+OPEN = rf"{ASSIGNS}(\"[^\"]*|'[^']*|`[^`]*)$"
+QUOTED = "^(\"[^\"]+\"|'[^']+'|`[^`]+`)"
+#: Tokens of services that their form tells.
+SERVICE = r"^(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{16,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|[sr]k_(live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35}|npm_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)$"
+#: Unnamed values that may be keys as well as digests or identifiers: long hex, and long mixes of small, capital and digit.
+UNSURE = r"^([0-9a-fA-F]{32,}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_\-]{20,})$"
 #: Words in a value or path that say that it is none.
 PLACEHOLDER = r"(?i)(example|sample|dummy|test|xxxx|placeholder|changeme|0{8}|1234567)"
 
@@ -26,16 +41,45 @@ FEATURES = [
 
 
 def candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """doc_id, path, at (the word's place in the text), word, value, before, after: each word that holds a value."""
+    """doc_id, path, at (the word's place in the text), lead, value, before, after: each value of each word, with what
+    names it in the word (lead) and the words around.
+
+    Values are all matches of ``VALUE`` that are ``MIXED``, and whatever is assigned to a name of ``NAMES``: of any
+    characters and length, in the word itself, the next word, or between quotes over several words. A value assigned
+    without quotes counts up to the end of the word and up to the first of ``& , ;`` as well. A value that one word
+    holds several times counts once there.
+    """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.where(F.col("text").rlike(r"[0-9]"))
     words = docs.select("doc_id", "path", F.filter(F.split(F.translate("text", "\t\n\x0b\f\r", "     "), " "), lambda w: w != "").alias("words"))
     around = lambda i: F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1))  # noqa: E731  a place beyond the words is null
-    holds = lambda w: (F.length(w) >= 12) & w.rlike(r"[0-9]") & w.rlike(VALUE)
-    found = F.filter(F.transform("words", lambda w, i: F.when(holds(w), F.struct(i.alias("at"), w.alias("word"), around(i).alias("before"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))), lambda x: x.isNotNull())
+    holds = lambda w: (F.length(w) >= 12) & w.rlike(MIXED) & w.rlike(VALUE)
+    named = lambda w, i: w.rlike(ASSIGNS) | ((i > 0) & F.get("words", F.greatest(i - 1, F.lit(0))).rlike(rf"{NAMES}|[=:]$|=>$") & around(i).rlike(BEFORE))
+    # The words that follow are only joined where a quote is open.
+    rest = lambda w, i: F.when(F.regexp_count(w, F.lit("[\"'`]")) > 0, F.when(w.rlike(OPEN) | (w.rlike("^[\"'`]") & around(i).rlike(BEFORE)), F.array_join(F.slice("words", i + 2, F.size("words")), " ")))
+    found = F.filter(
+        F.transform("words", lambda w, i: F.when(holds(w) | named(w, i), F.struct(i.alias("at"), w.alias("word"), around(i).alias("before"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after"), rest(w, i).alias("rest")))),
+        lambda x: x.isNotNull(),
+    )
     rows = words.select("doc_id", "path", F.explode(found).alias("x")).select("doc_id", "path", "x.*")
-    value = F.array_max(F.transform(F.filter(F.regexp_extract_all("word", F.lit(f"({VALUE})")), lambda v: v.rlike("[0-9]")), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))["v"]
-    return rows.withColumn("value", value).where("value IS NOT NULL")
+    whole = F.concat_ws(" ", "word", "rest")
+    pair = lambda lead, value: F.struct(lead.alias("lead"), value.alias("value"))
+    split = lambda m, form: pair(F.regexp_extract(m, f"^(.*?)(?:{form})$", 1), F.regexp_extract(m, f"({form})$", 1))
+    forms = F.filter(F.transform(F.regexp_extract_all("word", F.lit(FORM), F.lit(0)), lambda m: split(m, VALUE)), lambda x: x["value"].rlike(MIXED))
+    assigned = F.transform(
+        F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(0)),
+        lambda m: pair(F.regexp_extract(m, f"^({ASSIGNS}[\"'`]?)", 1), F.regexp_replace(m, f"^{ASSIGNS}[\"'`]?", "")),
+    )
+    cut = F.transform(F.filter(assigned, lambda x: ~x["lead"].rlike("[\"'`]$")), lambda x: pair(x["lead"], F.regexp_extract(x["value"], "^([^&,;]*)", 1)))
+    follows = F.col("before").rlike(BEFORE)
+    empty = F.expr("cast(array() as array<struct<lead:string,value:string>>)")
+    quoted = F.when(F.col("rest").isNotNull() & F.col("word").rlike(OPEN), F.regexp_extract(F.regexp_replace(whole, f"^.*?{ASSIGNS}(?=[\"'`])", ""), QUOTED, 1)).when(follows, F.regexp_extract(whole, QUOTED, 1)).otherwise("")
+    quoted = F.when(F.length(quoted) > 2, F.array(pair(F.left(quoted, F.lit(1)), F.substr(quoted, F.lit(2), F.length(quoted) - 2)))).otherwise(empty)
+    bare = F.when(follows & ~F.col("word").rlike("^[\"'`]"), F.array(pair(F.lit(""), F.regexp_replace("word", "[\"'`,;]+$", "")))).otherwise(empty)
+    values = F.filter(F.concat(quoted, assigned, cut, bare, forms), lambda x: F.length(x["value"]) > 0)
+    # Once for each value: what names it comes first.
+    rows = rows.withColumn("x", F.array_sort(F.transform(values, lambda x, i: F.struct(x["value"].alias("value"), i.alias("i"), x["lead"].alias("lead")))))
+    once = F.filter("x", lambda x, i: (i == 0) | (F.get("x", F.greatest(i - 1, F.lit(0)))["value"] != x["value"]))
+    return rows.select("doc_id", "path", "at", "before", "after", F.explode(once).alias("x")).select("doc_id", "path", "at", "x.lead", "x.value", "before", "after")
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -57,18 +101,21 @@ def features(found: DataFrame) -> DataFrame:
         "transitions": _share(v, r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"), "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.length(v),
         "hex": flag(v.rlike("^[0-9a-f]+$")), "only_digits": flag(v.rlike("^[0-9]+$")), "longest_letters": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(v, F.lit("([A-Za-z]+)")), F.length)), F.lit(0)),
         "coverage": F.coalesce(F.col("covered"), F.lit(0)) / F.length(v), "path_test": flag(F.col("path").rlike(PLACEHOLDER)), "path_length": F.length("path"),
-        "named": flag(F.col("word").rlike(NAMES)), "assigned": flag(F.col("word").rlike("[=:]") | F.col("before").rlike("[=:]$")), "quoted": flag(F.col("word").rlike("^[\"'`]")),
+        "named": flag(F.col("lead").rlike(NAMES)), "assigned": flag(F.col("lead").rlike("[=:]") | F.col("before").rlike("[=:]$")), "quoted": flag(F.col("lead").rlike("[\"'`]$")),
         "name_before": flag(F.col("before").rlike(NAMES)), "placeholder": flag(v.rlike(PLACEHOLDER)), "words_after": F.length("after"),
     }
     return x.withColumns({k: c.cast("double") for k, c in columns.items()}).drop("covered")
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """``label`` of findings by their form, where no reviewed labels are given: 1 for an access key or a named
-    assignment of a mixed value, 0 for numbers, placeholders and values that nothing names; null where forms disagree."""
+    """``label`` of findings by their form, where no reviewed labels are given: 1 for an access key, a service's token
+    or a named assignment of a mixed value of 12 signs, 0 for numbers, placeholders and values that nothing names; null
+    where forms disagree or don't tell: unnamed long hex or mixed values, and named ones that are short or not mixed."""
     v = F.col("value")
-    named = (F.col("word").rlike(NAMES) | F.col("before").rlike(NAMES)) & (F.col("word").rlike("[=:]") | F.col("before").rlike("[=:]$"))
-    label = F.when(v.rlike(PLACEHOLDER) | v.rlike("^[0-9]+$"), 0).when(v.rlike(ACCESS_KEY), 1).when(named & v.rlike("[A-Za-z]"), 1).when(~named, 0)
+    name = F.col("lead").rlike(NAMES) | F.col("before").rlike(NAMES)
+    named = name & (F.col("lead").rlike("[=:]") | F.col("before").rlike("[=:]$"))
+    label = F.when(v.rlike(PLACEHOLDER) | v.rlike("^[0-9]+$"), 0).when(v.rlike(ACCESS_KEY) | v.rlike(SERVICE), 1)
+    label = label.when(named & (F.length(v) >= 12) & v.rlike("[A-Za-z]") & v.rlike(MIXED), 1).when(~name & ~v.rlike(UNSURE) & ~v.rlike(r"^\S+\.\S+\.\S+$"), 0)
     return found.withColumn("label", label.cast("double"))
 
 
@@ -88,7 +135,7 @@ def train(labelled: DataFrame, trees: int = 30, depth: int = 6, most_rows: int =
 def secret_scan(documents: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", most_rows: int = 20_000) -> DataFrame:
     """Findings in all documents: doc_id, at, value, kind, probability, is_secret.
 
-    A candidate is a word that holds 12 or more letters, digits and signs of joining, with a digit. The forest is
+    Each value of ``candidates`` is a finding; a word may have several. The forest is
     trained on ``labels`` (doc_id, value, label 0 or 1, reviewed findings) or, without them, on labels by form
     (``rule_labels``), at most ``most_rows`` of them. Where labels of only one kind occur, the labels by form decide.
 

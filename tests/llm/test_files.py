@@ -68,6 +68,24 @@ def test_secret_scan_edges(spark):
     assert set(FEATURES) <= set(features(candidates(docs)).columns)
 
 
+def test_all_values_of_a_word_are_candidates(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NSJ9.SflKxwRJSMeKKF2QT4fwpM"
+    texts = [
+        '{"password":"p4ss.W0rd!,x","id":"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1","api_key":"k3yk3yk3yk3yk3y"}',
+        "http://h/path1path1path1path1path1?token=t0kent0kent0k&x=1",
+        f"see {jwt} there", "password: hunter", 'passphrase = "correct horse battery" end', "secret=a.b#c", 'x "token":"one two" y',
+    ]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = candidates(docs).collect()
+    got = {(r["doc_id"], r["value"]) for r in rows}
+    want = {(0, "p4ss.W0rd!,x"), (0, "a" * 31 + "1"), (0, "k3yk3yk3yk3yk3y"), (1, "t0kent0kent0k"), (2, jwt), (3, "hunter"), (4, "correct horse battery"), (5, "a.b#c"), (6, "one two")}
+    assert want <= got and len(got) == len(rows)
+    labels = {r["value"]: r["label"] for r in rule_labels(candidates(docs)).collect()}
+    assert labels[jwt] == 1 and labels["k3yk3yk3yk3yk3y"] == 1
+    unnamed = spark.createDataFrame([(1, "ghp_abcdefghij9876543210abcdefghij x", "s"), (2, "d41d8cd98f00b204e9800998ecf8427e", "s"), (3, "part-of-a-page-12", "s")], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["label"] for r in rule_labels(candidates(unnamed)).collect()} == {1: 1.0, 2: None, 3: 0.0}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
 
