@@ -53,7 +53,10 @@ def candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = docs.select("doc_id", "path", F.filter(F.split(F.translate("text", "\t\n\x0b\f\r", "     "), " "), lambda w: w != "").alias("words"))
     around = lambda i: F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1))  # noqa: E731  a place beyond the words is null
     holds = lambda w: (F.length(w) >= 12) & w.rlike(MIXED) & w.rlike(VALUE)
-    named = lambda w, i: w.rlike(ASSIGNS) | ((i > 0) & F.get("words", F.greatest(i - 1, F.lit(0))).rlike(rf"{NAMES}|[=:]$|=>$") & around(i).rlike(BEFORE))
+    # What BEFORE and ASSIGNS can't do without is looked for first, as patterns on every word are slow.
+    last = lambda i: F.when(i > 0, F.get("words", F.greatest(i - 1, F.lit(0)))).otherwise("")
+    ends = lambda w: w.endswith("=") | w.endswith(":") | w.endswith(">") | (F.lower(F.right(w, F.lit(6))) == "bearer")
+    named = lambda w, i: ((w.contains("=") | w.contains(":")) & w.rlike(ASSIGNS)) | (ends(last(i)) & around(i).rlike(BEFORE))
     # The words that follow are only joined where a quote is open.
     rest = lambda w, i: F.when(F.regexp_count(w, F.lit("[\"'`]")) > 0, F.when(w.rlike(OPEN) | (w.rlike("^[\"'`]") & around(i).rlike(BEFORE)), F.array_join(F.slice("words", i + 2, F.size("words")), " ")))
     found = F.filter(
