@@ -77,7 +77,8 @@ def quality_rules(
     A line's key is the line without blanks at its ends, A-Z lower-cased. A line is common to a host (null is a host
     of its own) if its key has ``min_line_chars`` code points and stands in more than ``line_limit`` distinct documents of
     the host and in more than ``line_share`` of its rows; documents of equal text are one, so that copies alone make no
-    line common. Common lines are removed from all documents of the host but the one of least id, which keeps them.
+    line common. Common lines count as lost (the text isn't changed) in all
+    documents of the host but the one of least id, which keeps them.
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_share`` per cent of the words stand in
     3-word windows found twice or more. ``kept``: not base_failed, and at least the share ``min_left`` of the
     document's words stands in lines that it keeps.
