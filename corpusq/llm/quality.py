@@ -71,14 +71,15 @@ def quality_rules(
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
+    with_text: bool = False,
 ) -> DataFrame:
     """Measures documents, finds the lines that many documents of a host share, and rejects what is left depleted.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. A line is common to a host (null is a host
     of its own) if its key has ``min_line_chars`` code points and stands in more than ``line_limit`` distinct documents of
     the host and in more than ``line_share`` of its rows; documents of equal text are one, so that copies alone make no
-    line common. Common lines count as lost (the text isn't changed) in all
-    documents of the host but the one of least id, which keeps them.
+    line common. Common lines are lost in all documents of the host but
+    the one of least id, which keeps them; ``with_text`` adds the text without the lost lines (null gives an empty text).
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat_share`` per cent of the words stand in
     3-word windows found twice or more. ``kept``: not base_failed, and at least the share ``min_left`` of the
     document's words stands in lines that it keeps.
@@ -105,14 +106,18 @@ def quality_rules(
     counted = lines.where("a IS NOT NULL").groupBy("host", "a", "b").agg(F.count_distinct("t").alias("n"), F.min("doc_id").alias("first_id"))
     common = counted.where(F.col("n") > line_limit).join(hosts.hint("merge"), "host").where(F.col("n") > F.col("host_rows") * line_share)
     common = written(common.select("host", "a", "b", "first_id"), "common-lines")
-    lost = lines.join(common, ["host", "a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("row", "row2").agg(F.sum("words").alias("lost"))
-    lost = lost.join(rows.hint("merge"), ["row", "row2"]).select("row", "row2", F.expr("lost div copies").alias("lost"))
+    lost = lines.join(common, ["host", "a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("row", "row2")
+    gone = [F.collect_set(F.struct("a", "b")).alias("gone")] if with_text else []
+    lost = lost.agg(F.sum("words").alias("lost"), *gone)
+    lost = lost.join(rows.hint("merge"), ["row", "row2"]).select("row", "row2", F.expr("lost div copies").alias("lost"), *(["gone"] if with_text else []))
     # Written, so that no filter on what follows is unfolded through all the steps of the measures.
-    measured = written(text_measures(docs).drop("text", "host", "t"), "measures")
+    measured = written(text_measures(docs).drop(*([] if with_text else ["text"]), "host", "t"), "measures")
     out = measured.join(lost.hint("merge"), ["row", "row2"], "left").withColumn("n_common_words", F.coalesce("lost", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_share)
+    stays = lambda x: ~F.exists("gone", lambda g: (g["a"] == F.xxhash64(_lowered(F.trim(x, F.lit(BLANKS))))) & (g["b"] == F.xxhash64(F.lit(7), _lowered(F.trim(x, F.lit(BLANKS))))))
+    text = [F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")).alias("text")] if with_text else []
     left = F.col("n_words") - F.col("n_common_words")
     return out.withColumn("base_failed", failed).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_common_words", "base_failed",
-        (~failed & (left >= F.col("n_words") * min_left)).alias("kept"),
+        (~failed & (left >= F.col("n_words") * min_left)).alias("kept"), *text,
     )

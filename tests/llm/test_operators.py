@@ -286,6 +286,19 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules(none).count() == 0
 
 
+def test_text_without_common_lines(spark, docs):
+    rows, held = made(), {}
+    for i, t, s, *_ in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= 10:
+                held.setdefault((s, key(line)), []).append((t, i))
+    common = {k: min((i for _, i in x if i is not None), default=None) for k, x in held.items() if len({t for t, _ in x}) > 1}
+    want = [(i, "\n".join(x for x in (t or "").split("\n") if common.get((s, key(x)), i) == i)) for i, t, s, *_ in rows]
+    assert sum(len(t or "") for _, t, *_ in rows) > sum(len(t) for _, t in want)
+    got = quality_rules(docs, line_limit=1, line_share=0, with_text=True).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_line_dedup(spark, docs, none):
     rows = made()
     first = {}
