@@ -108,7 +108,7 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 OP8 = """
 WITH p AS (SELECT page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h, max(page_id) OVER (PARTITION BY coalesce(html, '')) top FROM pages),
 b AS (SELECT *, array_to_string(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (5 * i + 1)::INT, 5))::INT >> s::INT) & 31) + 1)::INT, 1)).array_to_string('')), '') d FROM p)
-SELECT page_id, strlen(html)::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM b
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top IS DISTINCT FROM page_id THEN top END AS refers_to FROM b
 """
 
 OP9 = f"""

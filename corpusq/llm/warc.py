@@ -24,6 +24,8 @@ VERSION = b"WARC/1.1"
 DICTIONARY_FROM, DICTIONARY_BYTES = 64, 32 << 10
 #: Payload bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 32 << 20
+#: Tasks that read archives, where there are so many.
+READ_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -35,11 +37,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, payload_digest: str | None = None) -> bytes:
-    """A response with its payload or, with ``refers_to``, a revisit without one."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, payload_digest: str | None = None, name: str = "") -> bytes:
+    """A response with its payload or, with ``refers_to``, a revisit without one. A page without an id goes by ``name``."""
     body = b"" if refers_to is not None else payload
     head = [
-        VERSION, b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"), f"WARC-Record-ID: <urn:page:{page_id}>".encode(), b"WARC-Target-URI: " + re.sub(r"[\r\n]", "", url or "").encode(), b"WARC-Date: " + DATE.encode(),
+        VERSION, b"WARC-Type: " + (b"revisit" if refers_to is not None else b"response"), f"WARC-Record-ID: <urn:{f'page:{page_id}' if page_id is not None else f'unnamed:{name}'}>".encode(), b"WARC-Target-URI: " + re.sub(r"[\r\n]", "", url or "").encode(), b"WARC-Date: " + DATE.encode(),
         f"WARC-Payload-Digest: sha1:{payload_digest or digest(payload)}".encode(), f"X-Payload-Length: {len(payload)}".encode(),
     ]
     if refers_to is not None:
@@ -128,13 +130,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Of records with equal payloads of at least ``least_bytes`` bytes, that with the largest id is a response and the
     others are revisits that refer to it; rows that repeat the largest id with the same payload are responses too. A
-    null html is an empty payload. Rows without an id are left out, as a record must be named.
+    null html is an empty payload. A row without an id is never referred to: it revisits the largest id of its payload,
+    or is a response where its payload has none; its record is named by its archive and place.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b"")).alias("payload")).where("page_id IS NOT NULL")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    # Only payloads that occur with several ids lead to revisits: what has one id needs no join.
-    firsts = rows.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to != least").drop("least")
-    joined = rows.join(written(firsts, "repeated-payloads"), "sha", "left").withColumn("refers_to", F.when(F.col("refers_to") != F.col("page_id"), F.col("refers_to")))
+    # Only payloads of several rows lead to revisits: what occurs once needs no join.
+    firsts = rows.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    joined = rows.join(written(firsts, "repeated-payloads"), "sha", "left").withColumn("refers_to", F.when(~F.col("refers_to").eqNullSafe(F.col("page_id")), F.col("refers_to")))
     root, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
     root.create_dir(base, recursive=True)
 
@@ -154,7 +157,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         for batch in batches:
             for i, url, payload, refers_to in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                held.append(record(i, url, payload, refers_to))
+                held.append(record(i, url, payload, refers_to, name=f"{task.partitionId()}-{n}-{len(held)}"))
                 size += len(payload)
                 if size >= ARCHIVE_BYTES:
                     yield flush()
@@ -177,10 +180,10 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str) -> Data
                 out, found = [], 0
                 for headers, body in read_archive(data):
                     found += 1
-                    refers_to = headers.get("warc-refers-to")
+                    name, refers_to = headers["warc-record-id"], headers.get("warc-refers-to")
                     out.append(
                         {
-                            "page_id": int(headers["warc-record-id"][10:-1]), "url": headers.get("warc-target-uri"), "record_type": headers["warc-type"], "refers_to": int(refers_to[10:-1]) if refers_to else None,
+                            "page_id": int(name[10:-1]) if name.startswith("<urn:page:") else None, "url": headers.get("warc-target-uri"), "record_type": headers["warc-type"], "refers_to": int(refers_to[10:-1]) if refers_to else None,
                             "payload_digest": headers["warc-payload-digest"].removeprefix("sha1:"), "payload_bytes": int(headers["x-payload-length"]), "body": body,
                         }
                     )
@@ -192,7 +195,9 @@ def read_archives(spark: SparkSession, archives: DataFrame, folder: str) -> Data
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_RECORDS)
 
-    return archives.repartition(F.col("path")).mapInArrow(load, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, body binary")
+    # Dealt out evenly by number: partitions that a key makes would be joined to few, as paths are few bytes.
+    tasks = max(1, min(archives.count(), READ_TASKS))
+    return archives.repartition(tasks).mapInArrow(load, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, body binary")
 
 
 _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("body", pa.binary())])

@@ -16,8 +16,11 @@ from pyspark.sql import functions as F  # noqa: E402
 def test_round_trip(spark):
     html = ["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "é" * 4000, "<p>a</p>"]
     rows = [(i, f"http://x/{i}\r\n", h, 5) for i, h in enumerate(html)] + [(6, "http://x/6", "<p>a</p>", 5), (None, "u", "z", 5)]
-    got = {r["page_id"]: r for r in warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, payload int")).collect()}
+    rows.append((None, "v", "<p>a</p>", 5))
+    found = warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string, payload int")).collect()
+    got = {r["page_id"]: r for r in found if r["page_id"] is not None}
     assert sorted(got) == list(range(7))
+    assert sorted((r["record_type"], r["refers_to"], r["payload_bytes"]) for r in found if r["page_id"] is None) == [("response", None, 1), ("revisit", 6, 8)]
     for i, h in enumerate(html):
         body = (h or "").encode()
         same = [j for j, x in enumerate(html) if (x or "") == (h or "")]
@@ -26,6 +29,14 @@ def test_round_trip(spark):
     assert warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark, monkeypatch):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 3000).alias("html")).repartition(8)
+    read = warc_round_trip(pages)
+    parts = read.select(F.spark_partition_id().alias("p"), "page_id", "payload_bytes").collect()
+    assert len({r["p"] for r in parts}) > 1
+    assert {(r["page_id"], r["payload_bytes"]) for r in parts} == {(i, 3000 * len(str(i))) for i in range(400)}
+
+
 def test_broken_archives():
     data = archive([record(i, "u", f"page {i} ".encode() * 50, None) for i in range(5)])
     assert [b for _, b in read_archive(data)] == [f"page {i} ".encode() * 50 for i in range(5)]
