@@ -186,6 +186,55 @@ def test_shards(spark, docs, none):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_shards_are_those_of_the_rule(spark, docs):
+    """Shard and slot by brute force, with the hashes that order rows and part sources."""
+    import struct
+
+    import xxhash
+
+    def hashed(*values):
+        h = 42
+        for k, v in enumerate(values):
+            if v is not None:
+                h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q" if k else "<i", v), seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    rows, sources = [], {}
+    for i, t, s, *_ in made():
+        row = (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+        name = "" if s is None else f"={s}"
+        sources.setdefault(name, []).append((hashed(17, *row), row, s))
+    total = len(made())
+    alike = {n: sorted((hashed(17, x), x) for x, own in sources.items() if len(own) == n) for n in {len(x) for x in sources.values()}}
+    for name, own in sources.items():
+        nth, k = alike[len(own)].index((hashed(17, name), name)), len(alike[len(own)])
+        own.sort(key=lambda x: (x[0], x[1][0] is not None, x[1][0] or 0))
+        for rank, (h, row, s) in enumerate(own):
+            above, below = (rank * 2 * k + 2 * nth + 1) * total, len(own) * 2 * k
+            rows.append((above // below, above % below / below, name, h, row, s))
+    rows.sort(key=lambda x: (*x[:4], x[4][0] or 0))
+    want, slots = [], Counter()
+    for at, (*_, row, s) in enumerate(rows):
+        k = at * 8 // total
+        want.append((row[0], s, row[1], row[2], k, slots[k]))
+        slots[k] += 1
+    got = [tuple(r) for r in shard(docs, shards=8).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_shards_of_many_small_sources(spark):
+    """Sources of one row each are spread over buckets and shards like others."""
+    from corpusq.llm.sharding import BUCKET_ROWS
+
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 3 == 0, F.lit("big")).otherwise(F.concat(F.lit("h"), "id")).alias("source"))
+    got = shard(docs, shards=8).cache()
+    by = got.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "big").alias("big")).collect()
+    assert {r["n"] for r in by} == {7500} and all(abs(r["big"] - 2500) <= 2 for r in by)
+    assert got.select("shard", "slot").distinct().count() == 60_000
+    fraction = F.floor((F.col("shard") * 7500 + F.col("slot")) / BUCKET_ROWS)
+    assert got.where("source != 'big'").groupBy(fraction).count().agg(F.max("count")).first()[0] <= BUCKET_ROWS
+
+
 def test_lm_scores(spark, docs, none):
     rows = made()
     train = [lower(t) for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 10]
