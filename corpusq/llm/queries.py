@@ -94,10 +94,9 @@ w AS (SELECT *, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') w, string_split(te
 t AS (SELECT doc_id, i p, array_to_string(w[i:i+2], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) i FROM w)),
 g AS (SELECT doc_id, p FROM t QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rep AS (SELECT doc_id, count(DISTINCT q) n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) q FROM g) GROUP BY 1),
-l AS (SELECT doc_id, host, text, translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k FROM (SELECT doc_id, host, text, unnest(ls) x FROM w)),
-hosts AS (SELECT host, count(*) n FROM d GROUP BY 1),
-common AS (SELECT host, k, first_id FROM (SELECT host, k, count(DISTINCT text) n, min(doc_id) first_id FROM l WHERE length(k) >= 10 GROUP BY 1, 2) c JOIN hosts USING (host) WHERE c.n > 10 AND c.n > hosts.n * 0.001),
-lost AS (SELECT doc_id, sum(len(regexp_extract_all(k, '[^ \t\n\x0b\f\r]+'))) n FROM l JOIN common USING (host, k) WHERE doc_id <> first_id GROUP BY 1),
+l AS (SELECT doc_id, host, translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k FROM (SELECT doc_id, host, unnest(ls) x FROM w)),
+common AS (SELECT host, k FROM l WHERE length(k) >= 10 GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 10),
+lost AS (SELECT doc_id, sum(len(regexp_extract_all(k, '[^ \t\n\x0b\f\r]+'))) n FROM l JOIN common USING (host, k) GROUP BY 1),
 m AS (SELECT doc_id, len(w)::BIGINT n_words, length(array_to_string(w, ''))::BIGINT word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT n_symbols,
  (len(list_filter(ls, lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')))))::BIGINT n_dup_lines,
  coalesce(rep.n, 0)::BIGINT n_repeat_words, coalesce(lost.n, 0)::BIGINT n_common_words FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id))

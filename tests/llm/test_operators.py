@@ -17,7 +17,7 @@ from corpusq.llm.lines import line_dedup  # noqa: E402
 from corpusq.llm.lm import lm_scores  # noqa: E402
 from corpusq.llm.minhash import REGION, components, near_duplicates  # noqa: E402
 from corpusq.llm.pieces import PieceEncoder, encode_decode  # noqa: E402
-from corpusq.llm.quality import quality_rules  # noqa: E402
+from corpusq.llm.quality import quality_rows, quality_rules  # noqa: E402
 from corpusq.llm.sharding import shard  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -313,39 +313,50 @@ def key(line):
     return lower(line.strip(" \t\n\x0b\f\r"))
 
 
-def test_quality_rules(spark, docs, none):
-    rows = made()
-    hosts = Counter(s for *_, s, _, _, _, _ in [(i, t, s, 0, 0, 0, 0) for i, t, s, *_ in rows])
+def lines_of_hosts(rows, limit, by_text=False, first_keeps=False):
+    """(source, key) of common lines with the id that keeps them."""
     held = {}
     for i, t, s, *_ in rows:
         for line in (t or "").split("\n"):
             if len(key(line)) >= 10:
-                held.setdefault((s, key(line)), []).append((t, i))
-    common = {k: min((i for _, i in x if i is not None), default=None) for k, x in held.items() if len({t for t, _ in x}) > 2 and len({t for t, _ in x}) > 0.1 * hosts[k[0]]}
-    want = []
+                held.setdefault((s, key(line)), set()).add((t, i))
+    n = lambda x: len({t for t, _ in x} if by_text else {i for _, i in x if i is not None})
+    return {k: min((i for _, i in x if i is not None), default=None) if first_keeps else None for k, x in held.items() if n(x) > limit}
+
+
+def judged(rows, limit=2, **how):
+    """Measures, verdict and cleaned text of each row."""
+    common, out = lines_of_hosts(rows, limit, **how), []
     for i, t, s, *_ in rows:
         w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
         at = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
         repeats = {k + j for k in range(len(w) - 2) if at[tuple(w[k : k + 3])] > 1 for j in range(3)}
-        lost = sum(len(words(x)) for x in (t or "").split("\n") if (s, key(x)) in common and common[s, key(x)] != i)
+        gone = lambda x: (s, key(x)) in common and (i is None or common[s, key(x)] != i)  # noqa: B023, E731
+        lost = sum(len(words(x)) for x in (t or "").split("\n") if gone(x))
         failed = len(w) < 20 or 100 * len(repeats) > 50 * len(w)
-        want.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(repeats), lost, failed, not failed and len(w) - lost >= 0.3 * len(w)))
-    got = quality_rules(docs, min_words=20, line_limit=2, line_share=0.1)
+        row = (i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(repeats), lost, failed, not failed and len(w) - lost >= 0.3 * len(w))
+        out.append((row, None if t is None else "\n".join(x for x in t.split("\n") if not gone(x))))
+    return out
+
+
+@pytest.mark.parametrize("how", [{}, {"by_text": True}, {"first_keeps": True}])
+def test_quality_rules(spark, docs, none, how):
+    want = [row for row, _ in judged(made(), **how)]
+    assert sum(r[6] > 0 for r in want) > 3
+    got = quality_rules(docs, min_words=20, line_limit=2, **how)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
     assert quality_rules(none).count() == 0
 
 
-def test_text_without_common_lines(spark, docs):
-    rows, held = made(), {}
-    for i, t, s, *_ in rows:
-        for line in (t or "").split("\n"):
-            if len(key(line)) >= 10:
-                held.setdefault((s, key(line)), []).append((t, i))
-    common = {k: min((i for _, i in x if i is not None), default=None) for k, x in held.items() if len({t for t, _ in x}) > 1}
-    want = [(i, "\n".join(x for x in (t or "").split("\n") if common.get((s, key(x)), i) == i)) for i, t, s, *_ in rows]
-    assert sum(len(t or "") for _, t, *_ in rows) > sum(len(t) for _, t in want)
-    got = quality_rules(docs, line_limit=1, line_share=0, with_text=True).select("doc_id", "text").collect()
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+def test_rows_without_common_lines(spark, docs, none):
+    rows = made()
+    found = judged(rows)
+    assert any(t != text for (_, t, *_), (_, text) in zip(rows, found))
+    for only in (True, False):
+        want = [(r[0], text, *r[2:]) for r, (row, text) in zip(rows, found) if row[-1] or not only]
+        got = quality_rows(docs, min_words=20, line_limit=2, only_kept=only)
+        assert got.columns == docs.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert quality_rows(none).count() == 0
 
 
 def test_line_dedup(spark, docs, none):
