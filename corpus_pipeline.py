@@ -6,7 +6,7 @@ from corpusq.llm.decontaminate import contamination
 from corpusq.llm.lines import deduped_rows
 from corpusq.llm.minhash import near_duplicates
 from corpusq.llm.pieces import encode_decode
-from corpusq.llm.quality import quality_rules
+from corpusq.llm.quality import quality_rows
 from corpusq.llm.queries import PIECES
 from corpusq.llm.storage import written
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +21,17 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return named.join(keys.hint("merge"), ["_key", "_null"], "left_semi").select(*docs.columns)
 
 
+def _counted(rows: DataFrame, before: DataFrame) -> DataFrame:
+    """``rows`` with n_chars of the text as it is now, where there is such a column; it keeps its type."""
+    if "n_chars" not in before.columns:
+        return rows
+    return rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(before.schema["n_chars"].dataType))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows that share an id stay if one of them is kept."""
-    kept = quality_rules(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return _only(docs, written(kept, "kept-ids"))
+    """Rows that the quality rules keep, each by its own verdict, without the lines that many documents of a host
+    share; n_chars follows the text."""
+    return _counted(quality_rows(docs), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
