@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusq.llm.storage import written
+from corpusq.llm.storage import forget, written
 from corpusq.llm.text import Words, mix, slices, utf8
 
 #: Signature orders of the forest, and the MinHash values that each order sorts by.
@@ -18,8 +18,8 @@ TREES, DEPTH = 32, 6
 LEAST_DEPTH = 3
 #: Rows of a region that are all compared; a larger one is taken a level deeper.
 REGION = 12
-#: About so many nodes of a larger region make a chunk; blocks of two chunks are compared at once.
-BLOCK = 256
+#: Rows of an order that a task is meant to hold.
+TASK_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
@@ -81,70 +81,90 @@ def _set_rows(size: int, what: str):
     return rows
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of all nodes of ``edges`` (a, b), by alternating large and small
     stars: each round sums up least neighbours, and no node's neighbours are ever gathered."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = written(edges, "edges")
-    state = None
-    for _ in range(most_rounds):
+    state, now = None, ()
+    while now != state:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    else:
-        raise RuntimeError("components: no end after so many rounds")
+        before, edges = edges, written(small, "edges")
+        forget(before)
+        state, now = now, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def forest_regions(classes: DataFrame) -> DataFrame:
-    """node, p, q, n3, least3 of (node, first, rest) for each order in which other nodes share the node's first three
-    MinHash values: p holds the number of the order and these values, q the three that follow."""
-    rows = classes.select("node", F.explode(F.arrays_zip("first", "rest")).alias("x")).select("node", F.col("x.first").alias("p"), F.col("x.rest").alias("q"))
-    shared = rows.groupBy("p").agg(F.count("*").alias("n3"), F.min("node").alias("least3")).where("n3 > 1")
-    return written(rows.join(shared.hint("merge"), "p"), "forest-regions")
-
-
-def forest_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs a < b of nodes that are neighbours in one of the sorted orders of ``forest_regions``.
-
-    A node's region in an order is what shares its longest common prefix with it: it begins at three values,
-    and where more than ``REGION`` nodes share those, it goes a value deeper, up to six. Nodes of a region are all
-    paired. A node that a deeper level parts from the rest is paired with the least node of the level before; more
-    than ``REGION`` nodes with equal prefixes of all six are paired with the least and with the next of their kind.
-    What these pairs leave open in regions of more than ``REGION`` nodes, ``dense_links`` finds.
+_FOREST = "a long, b long, region long"
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over a stretch of the sorted orders (p, q, node): candidate pairs a < b, and for each row of a crowded
+    or cut region its node as a and the region's three values."""
+    held = list(batches)
+    if not held:
+        return
+    node, p, q = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
+    n = len(node)
+    # The longest common prefix of each row and the one before, in MinHash values; below three it doesn't matter.
+    differs = (q[1:] ^ q[:-1]).view(np.uint64)
+    lcp = np.zeros(n, np.int64)
+    lcp[1:] = np.where(p[1:] == p[:-1], LEAST_DEPTH + np.searchsorted(-np.array([1 << 32, 1 << 16, 1]), -differs.astype(np.int64)), 0)
+    out_a, out_b = [], []
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        out_a.append(np.minimum(x, y)[x != y])
+        out_b.append(np.maximum(x, y)[x != y])
+
+    inside = np.ones(n, bool)  # rows whose region is crowded one level above
+    for depth in range(LEAST_DEPTH, DEPTH + 1):
+        starts = np.flatnonzero(lcp < depth)
+        sizes = np.diff(starts, append=n)
+        run = np.repeat(np.arange(len(starts)), sizes)
+        small = inside & (sizes[run] <= REGION)
+        for k in range(1, REGION):
+            i = np.flatnonzero(small[:-k] & (run[:-k] == run[k:])) if n > k else []
+            if len(i):
+                add(node[i], node[i + k])
+        crowded = inside & (sizes[run] > REGION)
+        least = np.minimum.reduceat(node, starts)[run]
+        add(node[crowded], least[crowded])
+        # Neighbours in the order share the longest prefixes.
+        i = np.flatnonzero(crowded[:-1] & (run[:-1] == run[1:]))
+        add(node[i], node[i + 1])
+        if depth == LEAST_DEPTH:
+            # A region that another task may hold a part of counts as crowded.
+            marked = crowded | (run == 0) | (run == run[-1])
+        inside = crowded
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    pairs = np.unique(np.stack([a, b], 1), axis=0)
+    none = lambda k: pa.nulls(k, pa.int64())
+    for i in range(0, len(pairs), 100_000):
+        own = pairs[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), none(len(own))], ["a", "b", "region"])
+    at = np.flatnonzero(marked)
+    yield pa.RecordBatch.from_arrays([pa.array(node[at]), none(len(at)), pa.array(p[at])], ["a", "b", "region"])
+
+
+def forest(nodes: DataFrame) -> DataFrame:
+    """The neighbours of ``nodes`` (node, first, rest) in the sorted orders of the forest.
+
+    Each of the 32 orders sorts all nodes by six MinHash values; a task holds a stretch of an order. A node's region
+    is what shares its longest common prefix with it: it begins at three values, and where more than ``REGION`` nodes
+    share those, it goes a value deeper, up to six. Nodes of a region are all paired. In a larger one, a node is paired
+    with those before and after it in the order, whose common prefix with it is longest, and with the least node.
+
+    Returns rows of pairs a < b with a null region, and rows of a node as a with the region of more than ``REGION``
+    nodes (or one that a stretch's border cuts) that it is in; what pairs leave open there, ``crowded_pairs`` finds.
     """
-    small = rows.where(F.col("n3") <= REGION)
-    dense = rows.where(F.col("n3") > REGION)
-    deep = [F.shiftright("q", 32), F.shiftright("q", 16), F.col("q")]
-    out = _pairs_within(small.select("node", "p", F.lit(3).alias("depth"), F.lit(0).cast("long").alias("k")))
-    level = dense.withColumn("least", F.col("least3"))
-    for depth, prefix in zip((4, 5, 6), deep, strict=True):
-        level = level.withColumn("k", prefix).drop("n")
-        sizes = level.groupBy("p", "k").agg(F.count("*").alias("n"), F.min("node").alias("own_least"))
-        level = written(level.join(sizes.hint("merge"), ["p", "k"]), "forest-level")
-        out = out.unionByName(level.select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")))
-        out = out.unionByName(_pairs_within(level.where(F.col("n").between(2, REGION)).select("node", "p", F.lit(depth).alias("depth"), "k")))
-        level = level.where(F.col("n") > REGION).withColumn("least", F.col("own_least")).drop("own_least")
-    # What shares all six values: the least of it, and by a second hash the next in a run of about REGION nodes.
-    runs = level.withColumn("run", F.pmod(F.xxhash64("node", "p"), F.ceil(F.col("n") / REGION)))
-    out = out.unionByName(level.select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b")))
-    after = F.lead("node").over(Window.partitionBy("p", "k", "run").orderBy("node"))
-    out = out.unionByName(runs.select(F.col("node").alias("a"), after.alias("b")).where("b IS NOT NULL"))
-    return out.where("a < b").distinct()
-
-
-def _pairs_within(rows: DataFrame) -> DataFrame:
-    """All pairs of each region; a region has REGION rows at most."""
-    right = rows.select(F.col("node").alias("b"), "p", "depth", "k")
-    return rows.select(F.col("node").alias("a"), "p", "depth", "k").join(right.hint("shuffle_hash"), ["p", "depth", "k"]).where("a < b").select("a", "b")
+    rows = nodes.select("node", F.explode(F.arrays_zip("first", "rest")).alias("x")).select("node", F.col("x.first").alias("p"), F.col("x.rest").alias("q"))
+    n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * TREES // TASK_ROWS))
+    return rows.repartitionByRange(n, "p", "q", "node").sortWithinPartitions("p", "q", "node").mapInArrow(_neighbours, _FOREST)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -155,64 +175,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     return both.withColumn("i", common).where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b")
 
 
-def _block_links(percent: int):
-    """applyInArrow over the rows of one block: links a, b that connect what confirmed pairs connect there."""
-
-    def links(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        node, component, main = (table.column(x).to_numpy() for x in ("node", "component", "main"))
-        sets = table.column("shingles").chunk(0)
-        n = np.diff(sets.offsets.to_numpy())
-        token, of = sets.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
-        _, token, times = np.unique(token, return_inverse=True, return_counts=True)
-        # Only shingles that two nodes hold add to an intersection.
-        held = times > 1
-        of, token = of[held[token]], (np.cumsum(held) - 1)[token[held[token]]]
-        common = np.zeros((len(n), len(n)), np.float32)
-        order = np.argsort(token, kind="stable")
-        of, token = of[order], token[order]
-        for i in range(0, int(held.sum()), 4096):
-            u, v = np.searchsorted(token, (i, i + 4096))
-            x = np.zeros((len(n), 4096), np.float32)
-            x[of[u:v], token[u:v] - i] = 1
-            common += x @ x.T
-        common = common.astype(np.int64)
-        near = (common * 100 >= (n[:, None] + n[None, :] - common) * percent) & (component[:, None] != component[None, :]) & ~(main[:, None] & main[None, :])
-        near[np.arange(len(n)), np.arange(len(n))] = True
-        root = node.copy()
-        while True:
-            least = np.where(near, root[None, :], np.iinfo(np.int64).max).min(axis=1)
-            if (least == root).all():
-                break
-            root = least
-        out = root != node
-        return pa.table({"a": root[out], "b": node[out]})
-
-    return links
-
-
-def dense_links(regions: DataFrame, found: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Links a, b that connect the components of ``found`` (node, component; a node without one is its own) wherever a
-    pair of a region of more than ``REGION`` nodes is similar by its full ``sets``: all pairs of such a region whose
-    components differ are compared.
-
-    The nodes of a region's largest component are only compared with the others. Nodes are dealt into chunks of about
-    ``BLOCK``, and two chunks are compared in one block, where links are found on the spot; so neither pairs nor a
-    region are ever rows of one table or task.
+def crowded_pairs(regions: DataFrame, found: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """All pairs a < b of nodes of crowded ``regions`` (node, region) that are in different components of ``found``
+    (node, component; a node without one is its own) and may be similar: an exact join over the rarest shingles.
+
+    Shingles that one component alone holds can't be shared by such a pair, so they count as rarest of all; the others
+    follow by the number of nodes that hold them. Of a pair of the least similarity, the smaller set has a common
+    shingle among its first size - 2 p size / (100 + p) + 1 and the larger among its first size - p size / 100 + 1.
+    Pairs whose sizes or places leave too few common shingles are not made. Texts of one template share all but
+    what is their own, and that is rarest: they meet nowhere.
     """
-    rows = regions.where(F.col("n3") > REGION).select("node", "p").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = written(rows, "dense-rows")
-    shares = rows.groupBy("p", "component").agg(F.count("*").alias("n"))
-    largest = shares.groupBy("p").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
-    largest = largest.select("p", F.col("m.component").alias("c"), F.ceil(F.col("m.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("others"))
-    rows = rows.join(largest.hint("merge"), "p").withColumn("main", F.col("component") == F.col("c"))
-    chunk = F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
-    # The others' chunks have the numbers 0, 1, ..., those of the largest component -1, -2, ...
-    rows = rows.withColumn("chunk", F.when(F.col("main"), -1 - chunk).otherwise(chunk))
-    partner = F.explode(F.sequence(F.when(F.col("main"), F.lit(0)).otherwise(-F.col("mains")), F.col("others") - 1))
-    rows = rows.withColumn("with", partner).select("node", "component", "main", "p", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
-    rows = rows.join(sets.hint("merge"), "node")
-    return rows.groupBy("p", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
+    rows = regions.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rows.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("region")
+    nodes = written(rows.join(mixed.hint("merge"), "region").select("node", "component").distinct(), "crowded-nodes")
+    own = nodes.join(sets.hint("merge"), "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    common = own.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    common = written(common.select("token", "n"), "common-shingles")
+    by_node = Window.partitionBy("node")
+    place = F.col("size") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("n", "token"))
+    placed = own.join(common.hint("merge"), "token").withColumn("place", place)
+    least = f"({percent} * size + 99) div 100"
+    placed = written(placed.where(f"place <= size - {least} + 1").select("node", "component", "size", "token", "place"), "rarest-shingles")
+    small = placed.where(f"place <= size - (2 * {percent} * size + {99 + percent}) div {100 + percent} + 1")
+    sides = [t.select("token", *(F.col(c).alias(c + k) for c in ("node", "component", "size", "place"))) for t, k in ((small, "x"), (placed, "y"))]
+    pairs = sides[0].join(sides[1].hint("merge"), "token").where("componentx != componenty AND (sizex < sizey OR (sizex = sizey AND nodex < nodey))")
+    pairs = pairs.where(f"100 * sizex >= {percent} * sizey AND ({100 + percent}) * (1 + least(sizex - placex, sizey - placey)) >= {percent} * (sizex + sizey)")
+    return pairs.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+
+
+def _more(links: DataFrame, found: DataFrame) -> DataFrame:
+    return written(links.unionByName(written(found, "links")), "links")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,11 +217,10 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, i
     linked with nothing. Rows that share an id each go by their own set. Rows with null ids are linked with nothing,
     keep component_id null and kept true. An empty table gives an empty table; further columns are not looked at.
 
-    Equal sets are collapsed to the least id that has them first. Candidates come from ``forest_candidates`` and are
-    confirmed on full sets: first one candidate of each node, then those that lead out of a component found that way.
-    Last, ``dense_links`` compares all nodes of crowded regions that are in different components by then. A pair of
-    similarity 0.75 is missed if it shares three values in none of the orders, a chance of 3 in 10^8, however crowded
-    its regions are.
+    Equal sets are collapsed to the least id that has them first. Candidates come from ``forest`` and are confirmed on
+    full sets: first one candidate of each node, then those that lead out of a component found that way. Last,
+    ``crowded_pairs`` finds what is left between components in crowded regions, exactly. A pair of similarity 0.75 is
+    missed if it shares three values in none of the orders, a chance of 3 in 10^8, however crowded its regions are.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(docs.mapInArrow(_set_rows(shingle, "signature"), "doc_id long, n_shingles long, a long, b long, first array<long>, rest array<long>"), "signatures")
@@ -237,20 +228,23 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, i
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     leads = written(full.groupBy(*keys).agg(F.min("doc_id").alias("node")), "set-classes")
     nodes = full.join(leads.hint("merge"), keys).where("doc_id = node").select("node", "first", "rest").dropDuplicates(["node", "first"])
-    regions = forest_regions(nodes)
-    pairs = written(forest_candidates(regions), "candidates")
-    members = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidate-members")
-    texts = docs.join(members, "doc_id", "left_semi")
+    nodes = written(nodes, "forest-nodes")
+    trees = written(forest(nodes), "forest")
+    pairs = written(trees.where("region IS NULL").select("a", "b").distinct(), "candidates")
+    regions = trees.where("region IS NOT NULL").select(F.col("a").alias("node"), "region")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(regions.select(F.col("node").alias("doc_id"))).distinct()
+    texts = docs.join(written(members, "candidate-members"), "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_set_rows(shingle, "set"), "doc_id long, shingles array<long>").select(F.col("doc_id").alias("node"), "shingles").distinct(), "candidate-sets")
     links = written(confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent), "links")
     found = written(components(links), "components")
     side = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
-    open_pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
-    more = written(confirmed(written(open_pairs, "open-candidates"), sets, percent), "links")
-    links = written(links.unionByName(more), "links")
+    left_open = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+    links = _more(links, confirmed(written(left_open, "open-candidates"), sets, percent))
     found = written(components(links), "components")
-    dense = written(dense_links(regions, found, sets, percent), "links")
-    found = written(components(links.unionByName(dense)), "components")
+    crowded = written(crowded_pairs(regions, found, sets, percent), "crowded-candidates")
+    links = _more(links, confirmed(crowded, sets, percent))
+    found = components(links)
+    forget(nodes, trees, pairs, sets)
     roots = leads.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("root"))
     # Nodes are least ids of their classes, so the least node of a component is the least id in it.
     out = signed.select("doc_id", *keys).join(roots.hint("merge"), keys, "left")

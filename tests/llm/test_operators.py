@@ -126,6 +126,58 @@ def test_near_duplicates_in_a_template_group(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_pairs_among_pages_of_one_site(spark):
+    """A third of each page is its own, which makes all alike by 0.72; pairs of 0.75 to 0.78 lose none of their links."""
+    import numpy as np
+
+    r, rows = random.Random(6), []
+    site = [f"s{j}" for j in range(254)]
+    for i in range(1500):
+        own = [f"o{i}y{j}" for j in range(46)]
+        rows.append((i, " ".join(site + own)))
+        if i % 5 == 0:
+            k = r.randint(7, 9)
+            rows.append((10_000 + i, " ".join(site + own[:k] + [f"n{i}y{j}" for j in range(46 - k)])))
+    r.shuffle(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    at, number = list(sets), {}
+    codes = [[number.setdefault(g, len(number)) for g in sets[i]] for i in at]
+    often = Counter(c for own in codes for c in own)
+    used = {c: k for k, c in enumerate(c for c, n in often.items() if n > 1)}
+    m = np.zeros((len(at), len(used)), np.float32)
+    for k, own in enumerate(codes):
+        m[k, [used[c] for c in own if c in used]] = 1
+    both, n = m @ m.T, np.array([len(x) for x in codes])
+    share = both / (n[:, None] + n[None, :] - both)
+    linked = {tuple(sorted((at[i], at[j]))) for i, j in zip(*np.nonzero(np.triu(share >= 0.75, 1)), strict=True)}
+    assert len(linked) == 300 and 0.7 < np.median(share) < 0.745
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = {i: i for i in at} | {b: a for a, b in linked}
+    assert got == want
+
+
+def test_neighbours_in_the_sorted_orders():
+    """Regions deepen where they are crowded; rows stand beside what shares their longest prefix."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusq.llm.minhash import _neighbours
+
+    q = lambda *v: v[0] << 32 | v[1] << 16 | v[2]
+    rows = [(1, 5, q(1, 1, 1)), (2, 5, q(9, 9, 9))]  # a small region
+    rows += [(10 + i, 6, q(1, 1, i)) for i in range(3)] + [(20 + i, 6, q(2 + i, 0, 0)) for i in range(REGION)]  # a crowded one
+    rows += [(0, 4, 0), (99, 7, 0)]
+    rows.sort(key=lambda x: (x[1], x[2], x[0]))
+    batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(3)], ["node", "p", "q"])
+    got = [r for b in _neighbours(iter([batch])) for r in b.to_pylist()]
+    pairs = {(r["a"], r["b"]) for r in got if r["region"] is None}
+    assert {(1, 2), (10, 11), (10, 12), (11, 12), (20, 21), (12, 20)} <= pairs and (21, 23) not in pairs
+    assert {(10, 20 + i) for i in range(REGION)} <= pairs
+    assert {r["a"] for r in got if r["region"] == 6} == {*range(10, 13), *range(20, 20 + REGION)}
+    assert {r["a"] for r in got if r["region"] in (4, 7)} == {0, 99} and not any(r["region"] == 5 for r in got)
+    assert np.array(list(pairs)).min() > 0
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 101), (103, 102), (101, 103)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
