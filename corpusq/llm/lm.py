@@ -1,14 +1,12 @@
-"""Scores of texts by a word bigram model in an Elias-Fano trie that is split over tasks."""
+"""Scores of texts by a word trigram model in an Elias-Fano trie that is split over tasks."""
 
 from __future__ import annotations
 
-import tempfile
+import mmap
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -18,22 +16,34 @@ from pyspark.sql import functions as F
 from corpusq.llm.storage import written
 from corpusq.llm.text import Words, mix, slices, utf8
 
-#: What the text begins with (a context, no token) and ends with (a token), as hashes.
+#: What a text begins with (a context, no token) and ends with (a token), as hashes.
 BEGIN, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
-#: Taken off each count of a pair; what is taken off is the context's mass for words not seen after it.
-DISCOUNT = 0.75
 #: Added to a word's count in the unigram model.
 ADDED = 0.1
-#: Steps of the quantised log10 probabilities, from 0 down to -12.
-STEPS = 65_535
-LOWEST = -12.0
-#: A word with more than 1 / HOT of all tokens is a hot context; there are HOT such contexts at most.
-HOT = 1000
-BLOCK_BYTES = 6 << 20
+#: The weight, in tokens, of the model of lower order: of single words under pairs, of pairs under triples.
+WEIGHTS = (500.0, 4.0)
+#: Steps of quantised log10 numbers, over twelve decades.
+STEPS, DECADES = 65_535, 12.0
+#: Text bytes of a block, and sequences or words that a part of the trie is meant to be asked for.
+BLOCK_BYTES, PART_ASKED = 8 << 20, 3_000_000
+#: A pair of words with more than 1 / HOT of all tokens is split into SPLIT parts; there are fewer than HOT such pairs.
+HOT, SPLIT = 10_000, 32
+#: Words of the code book that shortens messages, and blocks that it is taken from. It changes no result.
+BOOK, BOOK_BLOCKS = 65_535, 64
+
+_BLOCKS = "block long, n_train long, n_words long, n_triples long, doc_ids binary, held binary, lengths binary, words binary, counts binary, tokens binary"
+_ASKED = "part long, block long, contexts binary, totals binary, sizes binary, next binary, rare binary, counts binary"
+_SAID = "part long, block long, totals binary, codes binary"
+_MODEL = "part long, n_contexts long, n_sequences long, levels binary"
+_KINDS = {"long": pa.int64(), "binary": pa.large_binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
-_BLOCKS = "block long, n_train long, doc_ids binary, held binary, lengths binary, words binary, counts binary, tokens binary"
-_ASKED = "shard long, block long, contexts binary, sizes binary, next binary, counts binary"
-_SAID = "kind string, shard long, block long, codes binary, known binary, spread binary, hot array<long>, n_contexts long, level binary"
+
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _KINDS[t] if t != "binary" else pa.binary()) for n, t in (x.split() for x in ddl.split(", "))])
+
+
+def _rows(rows: list[dict], ddl: str) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=_arrow(ddl))
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -68,37 +78,91 @@ class EliasFano:
         self.n, self.low = data[:16].view("<i8").tolist()
         self.lows = data[16 : 16 + self.n * self.low // 8].reshape(self.n, self.low // 8) if self.low else np.zeros((self.n, 0), np.uint8)
         self.bits = data[16 + self.n * self.low // 8 :]
-        # How many numbers come before each chunk of 4096 bytes.
-        self.before = np.cumsum([0, *(int(np.bitwise_count(self.bits[i : i + 4096]).sum()) for i in range(0, len(self.bits), 4096))])
-
-    def chunks(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Stretches of the sequence with the place of their first number."""
-        for k in range(len(self.before) - 1):
-            at = np.flatnonzero(np.unpackbits(self.bits[4096 * k : 4096 * (k + 1)])) + 4096 * 8 * k
-            first, n = int(self.before[k]), len(at)
-            out = np.zeros((n, 8), np.uint8)
-            out[:, : self.low // 8] = self.lows[first : first + n]
-            high = (at - first - np.arange(n)).astype(np.uint64) << np.uint64(self.low)
-            yield first, out.reshape(-1).view("<u8") | high
-
-    def places(self, asked: np.ndarray) -> np.ndarray:
-        """The place of each asked number (ascending), -1 where it isn't there: a successor search per stretch."""
-        out = np.full(len(asked), -1, np.int64)
-        for first, own in self.chunks():
-            if len(own):
-                a, b = np.searchsorted(asked, own[0]), np.searchsorted(asked, own[-1], "right")
-                at = np.searchsorted(own, asked[a:b])
-                hit = own[at] == asked[a:b]
-                out[a:b][hit] = first + at[hit]
-        return out
+
+    def values(self) -> np.ndarray:
+        at = np.flatnonzero(np.unpackbits(self.bits))
+        out = np.zeros((self.n, 8), np.uint8)
+        out[:, : self.low // 8] = self.lows
+        return out.reshape(-1).view("<u8") | (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
+
+
+def _places(sequence: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The place of each asked number in an ascending sequence, -1 where it isn't there."""
+    if not len(sequence):
+        return np.full(len(asked), -1, np.int64)
+    at = np.minimum(np.searchsorted(sequence, asked), len(sequence) - 1)
+    return np.where(sequence[at] == asked, at, -1)
 
 
 def _code(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(log10 / LOWEST * (STEPS - 1)), 0, STEPS - 1).astype("<u2")
+    return np.clip(np.rint(np.abs(log10) / DECADES * (STEPS - 1)), 0, STEPS - 1).astype("<u2")
+
+
+def _power(code: np.ndarray, sign: int) -> np.ndarray:
+    return 10.0 ** (sign * code / (STEPS - 1) * DECADES)
+
+
+class Trie:
+    """A part of the trie over mapped memory: contexts (hashes of pairs of words) with quantised log10 counts, pointers
+    to the end of each context's successors, successors, and a quantised log10 probability for each.
 
+    The words that follow in this part are numbered by their hashes. A successor is stored as its number on top of the
+    last value of the context before, so that the successors of all contexts are one ascending sequence; it is looked
+    for relative to its context, between the context's pointers alone."""
 
-def _value(code: np.ndarray) -> np.ndarray:
-    return code / (STEPS - 1) * LOWEST
+    @staticmethod
+    def packed(contexts: np.ndarray, totals: np.ndarray, words: np.ndarray, of: np.ndarray, number: np.ndarray, counts: np.ndarray) -> bytes:
+        """Of contexts (ascending) seen ``totals`` times and their successors: the context's place, the word's number
+        (both ascending) and the count of each."""
+        ends = np.cumsum(np.bincount(of, minlength=len(contexts)))
+        span = np.zeros(len(contexts), np.int64)
+        span[of] = number + 1  # the last of each context counts, as numbers ascend
+        base = np.cumsum(span) - span
+        stored = (base[of] + number + 1).astype(np.uint64)
+        prob = counts / (totals[of] + WEIGHTS[1])
+        levels = [
+            EliasFano.packed(contexts, 1 << 64), _code(np.log10(totals)).tobytes(), EliasFano.packed(ends.astype(np.uint64), len(of) + 1), EliasFano.packed(words, 1 << 64),
+            EliasFano.packed(stored, int(span.sum()) + 1), _code(np.log10(prob)).tobytes(),
+        ]
+        return b"".join(len(x).to_bytes(8, "little") + x for x in levels)
+
+    def __init__(self, data: np.ndarray):
+        parts, at = [], 0
+        while at < len(data):
+            n = int.from_bytes(data[at : at + 8].tobytes(), "little")
+            parts.append(data[at + 8 : at + 8 + n])
+            at += 8 + n
+        self.contexts, self.pointers, self.words, self.successors = (EliasFano(parts[k]) for k in (0, 2, 3, 4))
+        self.totals, self.probabilities = (np.frombuffer(parts[k], "<u2") for k in (1, 5))
+
+    def ask(self, contexts: np.ndarray, of: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For contexts (hashes): codes of their log10 counts; for words (hashes) after contexts[of]: codes of log10
+        probabilities. STEPS stands for what was never seen."""
+        place = _places(self.contexts.values(), contexts)
+        totals = np.where(place >= 0, self.totals[place] if len(self.totals) else STEPS, STEPS)
+        ends, stored = self.pointers.values().astype(np.int64), self.successors.values().astype(np.int64)
+        own = place[of]
+        number = _places(self.words.values(), following)
+        out = np.full(len(of), STEPS, np.int64)
+        live = np.flatnonzero((own >= 0) & (number >= 0))
+        own = own[live]
+        if not len(own):
+            return totals, out
+        lo, hi = np.where(own > 0, ends[own - 1], 0), ends[own]
+        end = hi
+        key = np.where(lo > 0, stored[lo - 1], 0) + number[live] + 1
+        open_ = np.flatnonzero(lo < hi)
+        lo, hi = lo.copy(), hi.copy()
+        while len(open_):  # the successor of key between the pointers
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = stored[mid] < key[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        hit = lo < end
+        hit[hit] = stored[lo[hit]] == key[hit]
+        out[live[hit]] = self.probabilities[lo[hit]]
+        return totals, out
 
 
 def token_blocks(documents: DataFrame, id_col: str, text_col: str, held_out_of: int) -> DataFrame:
@@ -120,250 +184,289 @@ def token_blocks(documents: DataFrame, id_col: str, text_col: str, held_out_of:
                 n = np.diff(w.first)
                 counts = np.bincount(inverse[np.repeat(~held, n)], minlength=len(words))
                 given = np.array([x is not None for x in ids])
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": [block], "n_train": [int(n[~held].sum() + (~held).sum())], "doc_ids": [np.array([x or 0 for x in ids], "<i8").tobytes() + given.astype(np.uint8).tobytes()],
-                        "held": [held.astype(np.uint8).tobytes()], "lengths": [_small(n)], "words": [words.astype("<u8").tobytes()], "counts": [_small(counts)], "tokens": [_small(inverse)],
-                    },
-                    schema=_arrow(_BLOCKS),
-                )
+                row = {
+                    "block": block, "n_train": int(n[~held].sum() + (~held).sum()), "n_words": len(words), "n_triples": len(inverse) + len(n), "doc_ids": np.array([x or 0 for x in ids], "<i8").tobytes() + given.astype(np.uint8).tobytes(),
+                    "held": held.astype(np.uint8).tobytes(), "lengths": _small(n), "words": words.astype("<u8").tobytes(), "counts": _small(counts), "tokens": _small(inverse),
+                }
+                yield from _rows([row], _BLOCKS).to_batches()
                 block += 1
 
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, _BLOCKS)
 
 
-_KINDS = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    return pa.schema([(n, _KINDS[t]) for n, t in (x.split() for x in ddl.split(", "))])
-
-
 class _Block:
-    """A block's pairs of neighbours: distinct ones in order of context and next word, and where each token has its own."""
+    """A block's pairs and triples of words: distinct ones, training counts, and where each token has its own."""
 
     def __init__(self, x: dict):
         self.words = np.append(np.frombuffer(x["words"], "<u8"), [BEGIN, END])
         self.n = _big(x["lengths"])
         self.held = np.frombuffer(x["held"], np.uint8).astype(bool)
         begin, end = len(self.words) - 2, len(self.words) - 1
-        tokens, first = _big(x["tokens"]), np.cumsum(self.n) - self.n
-        total = self.n + 1
+        tokens, total = _big(x["tokens"]), self.n + 1
         ends = np.cumsum(total) - 1
-        self.following = np.full(len(tokens) + len(self.n), end)
-        body = np.ones(len(self.following), bool)
+        starts = ends - total + 1
+        self.token = np.full(len(tokens) + len(self.n), end)
+        body = np.ones(len(self.token), bool)
         body[ends] = False
-        self.following[body] = tokens
-        context = np.empty_like(self.following)
-        context[1:] = self.following[:-1]
-        context[ends - total + 1] = begin
+        self.token[body] = tokens
+        self.before = np.empty_like(self.token)
+        self.before[1:] = self.token[:-1]
+        self.before[starts] = begin
         self.doc = np.repeat(np.arange(len(self.n), dtype=np.int32), total)
-        pairs, self.inverse = np.unique(context << 32 | self.following, return_inverse=True)
-        del context, tokens, body
         train = ~self.held[self.doc]
-        counts = np.bincount(self.inverse[train], minlength=len(pairs))
-        # In the order of the hashes of contexts, so that a shard's contexts are a stretch.
-        own = self.words[pairs >> 32]
-        order = np.lexsort((self.words[pairs & 0xFFFFFFFF], own))
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order))
-        self.inverse = rank[self.inverse]
-        self.context, self.next, self.counts = pairs[order] >> 32, pairs[order] & 0xFFFFFFFF, counts[order]
-
-
-def _shard_of(context: np.ndarray, following: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """By context; a hot context's pairs by both words."""
-    key = context.copy()
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-        is_hot = hot[at] == context
-        key[is_hot] = mix(context[is_hot] ^ mix(following[is_hot].copy()))
-    return (mix(key) % np.uint64(shards)).astype(np.int64)
-
-
-def lm_scores(documents: DataFrame, held_out_of: int = 10, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+        pairs, self.pair = np.unique(self.before << 32 | self.token, return_inverse=True)
+        # The last pair is what texts begin with: nothing twice.
+        self.totals = np.append(np.bincount(self.pair[train], minlength=len(pairs)), int((~self.held).sum()))
+        first = self.words[np.append(pairs >> 32, begin)]
+        second = self.words[np.append(pairs & 0xFFFFFFFF, begin)]
+        self.contexts = mix(mix(first.copy()) * np.uint64(0x9E3779B97F4A7C15) + second)
+        context = np.empty_like(self.pair)
+        context[1:] = self.pair[:-1]
+        context[starts] = len(pairs)
+        triples, self.triple = np.unique(context << 32 | self.token, return_inverse=True)
+        self.of, self.next = triples >> 32, triples & 0xFFFFFFFF
+        self.counts = np.bincount(self.triple[train], minlength=len(triples))
+
+    def dealt(self, hot: np.ndarray, parts: int) -> None:
+        """Puts contexts and triples into the order of parts, and in a part into that of contexts: ``entry`` holds the
+        context of each entry and ``part`` its part; ``order`` the triples, ``at`` the entry of each."""
+        k = len(self.contexts)
+        is_hot = _places(hot, self.contexts) >= 0
+        plain, split = np.flatnonzero(~is_hot), np.flatnonzero(is_hot)
+        context = np.concatenate([plain, np.repeat(split, SPLIT)])
+        salt = np.concatenate([np.zeros(len(plain), np.uint64), np.tile(np.arange(1, SPLIT + 1, dtype=np.uint64), len(split))])
+        part = (mix(self.contexts[context] + salt * np.uint64(0xD1B54A32D192ED03)) % np.uint64(parts)).astype(np.int64)
+        place = np.empty(len(context), np.int64)
+        order = np.lexsort((salt, self.contexts[context], part))
+        context, part = context[order], part[order]
+        new = np.append(True, (context[1:] != context[:-1]) | (part[1:] != part[:-1]))  # a split context comes once to a part
+        place[order] = np.cumsum(new) - 1
+        self.entry, self.part = context[new], part[new]
+        first = np.zeros(k, np.int64)  # where a context's entries began, before they were ordered
+        first[plain] = np.arange(len(plain))
+        first[split] = len(plain) + SPLIT * np.arange(len(split))
+        own = first[self.of]
+        salted = np.flatnonzero(is_hot[self.of])
+        own[salted] += (mix(self.words[self.next[salted]].copy()) % np.uint64(SPLIT)).astype(np.int64)
+        at = place[own]
+        self.order = np.argsort(at, kind="stable")
+        self.at = at[self.order]
+        self.place = place[first]  # an entry of each context
+
+
+def _parts(n: int) -> int:
+    return max(4, -(-n // PART_ASKED))
+
+
+def lm_scores(documents: DataFrame, held_out_of: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Learns a model from the documents whose crc32(id as text) mod ``held_out_of`` isn't 0 and scores all.
 
-    Words stand between [\\x20\\x09-\\x0D], lower-cased in A-Z; a text (null: an empty one) is its words and one end.
-    The model: log10 of (c(v, w) - 0.75) / c(v) for pairs of words seen in training; for other pairs, the mass that
-    is left of the context v times the unigram probability (c(w) + 0.1) / (N + 0.1 (V + 1)); the latter alone after
-    contexts not seen. Rows whose id is null are trained on. Repeated rows count as often as they stand there. With
-    no training document, N and V are 0. An empty table gives an empty table; further columns are not looked at.
+    Words stand between [\\x20\\x09-\\x0D], lower-cased in A-Z; a text (null: an empty one) is its words and one end,
+    after two begins. The model is a hierarchy of Dirichlet priors: p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+    p(w | v) = (c(v, w) + 500 p(w)) / (c(v) + 500), p(w | u, v) = (c(u, v, w) + 4 p(w | v)) / (c(u, v) + 4), each of
+    which sums to one. Counts are those of all training documents. Rows whose id is null are trained on. Repeated rows
+    count as often as they stand there. With no training document, N and V are 0. An empty table gives an empty table;
+    further columns are not looked at.
 
     Returns (scores, model). scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. model: one
-    row per part of the trie with its levels: contexts' hashes, pointers to their pairs and pairs (the context's place
-    and 32 bits of the next word's hash) as Elias-Fano sequences, and a quantised log10 probability for each pair.
+    row per part of the trie with its levels (see ``Trie``). Words and pairs are told apart by 64 bits.
 
-    Each block of about 6 MB of text asks for each distinct pair once, with its count. A part of the trie adds up
-    the counts of its contexts over all blocks, builds its levels, maps them to memory and answers each block by
-    successor search. Contexts with more than 1 / 1000 of a block's words that are that frequent on the whole are split by
-    their next word. All tables grow with the distinct pairs of blocks, and none is gathered in one place.
+    Blocks of about 8 MB of text ask for their distinct words first, then for their distinct pairs and triples, with
+    counts. A part adds up the counts of all blocks, builds its levels, maps them to memory and answers each block by
+    successor search. Parts hold about 3 million asked triples each, at every size of the input; triples go by their
+    first two words, and those of pairs with more than 1 / 10,000 of all tokens by the third as well. A block and a part
+    exchange one row each way. All tables grow with the distinct triples of blocks; none is gathered in one place.
     """
     spark = documents.sparkSession
     blocks = written(token_blocks(documents, id_col, text_col, held_out_of), "token-blocks")
-    n_blocks, n_train = blocks.agg(F.count("*"), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    shards = shards or max(4, min(1 << 20, n_blocks))
-    hot = hot_contexts(blocks, n_train)
-    shared = spark.sparkContext.broadcast(hot)
+    n_train, n_words, n_triples = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_words", "n_triples"))).first()
+    parts = _parts(n_words)
+    asked = blocks.select("block", "words", "counts", "held").mapInArrow(_ask_words(parts), "part long, block long, words binary, counts binary")
+    known = written(asked.groupBy("part").applyInArrow(_word_part, "part long, block long, n_distinct long, counts binary"), "word-counts")
+    # The blocks of a part all carry the number of its distinct words.
+    distinct = known.groupBy("part").agg(F.max("n_distinct").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = spark.sparkContext.broadcast((code_book(blocks), hot_contexts(blocks, n_triples)))
+    word_parts, parts = parts, _parts(n_triples)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, hot = shared.value
         for batch in batches:
             for x in batch.to_pylist():
-                b = _Block(x)
-                contexts, following = b.words[b.context], b.words[b.next]
-                shard = _shard_of(contexts, following, shared.value[0], shards)
-                order = np.argsort(shard, kind="stable")
-                edges = np.searchsorted(shard[order], np.arange(shards + 1))
-                for s in np.unique(shard).tolist():
-                    own = order[edges[s] : edges[s + 1]]
-                    c = contexts[own]
-                    starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "shard": [s], "block": [x["block"]], "contexts": [c[starts].astype("<u8").tobytes()], "sizes": [_small(np.diff(starts, append=len(c)))],
-                            "next": [(following[own] >> np.uint64(32)).astype("<u4").tobytes()], "counts": [_small(b.counts[own])],
-                        },
-                        schema=_arrow(_ASKED),
-                    )
-
-    asked = blocks.mapInArrow(ask, _ASKED)
-    said = written(asked.groupBy("shard").applyInPandas(_trie(shared), _SAID), "trie-answers")
-    model = said.where("kind = 'model'").select("shard", "n_contexts", "hot", "level")
-    n_contexts = model.agg(F.coalesce(F.sum("n_contexts"), F.lit(0))).first()[0]
-    spread = np.zeros(len(hot[0]), np.int64)
-    for x in model.select(F.posexplode("hot")).groupBy("pos").agg(F.sum("col").alias("n")).collect():  # HOT at most
-        spread[x[0]] = x[1]
-    totals = spark.sparkContext.broadcast((*hot, spread, n_train, n_contexts + len(hot[0])))
-    answers = said.where("kind = 'answer'").select("block", "shard", "codes", "known", "spread")
-    scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scorer(totals, shards), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                yield from _ask(_Block(x), x["block"], book, hot, parts)
+
+    asked = blocks.drop("doc_ids", "counts").mapInArrow(ask, _ASKED)
+    said = asked.groupBy("part").applyInArrow(_part(shared, False), _SAID)
+    model = asked.groupBy("part").applyInArrow(_part(shared, True), _MODEL)
+    empty = F.lit(None).cast("binary")
+    answers = said.unionByName(known.select((-1 - F.col("part")).alias("part"), "block", F.col("counts").alias("totals"), empty.alias("codes")))
+    score = _scorer(shared, parts, word_parts, n_train, distinct)
+    scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scores, model
 
 
-def hot_contexts(blocks: DataFrame, n_train: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and training counts of words with more than 1 / HOT of all training tokens.
-
-    Blocks where a word has less than half that share hold less than half of its count. So the counts of the other
-    blocks come to more than 1 / (2 HOT) of all tokens, which is true of fewer than 2 HOT words; these are counted."""
-
-    def frequent(only: set[int] | None):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for x in batch.to_pylist():
-                    words, counts = np.frombuffer(x["words"], "<u8"), _big(x["counts"])
-                    held = np.frombuffer(x["held"], np.uint8)
-                    words, counts = np.append(words, BEGIN), np.append(counts, len(held) - int(held.sum()))
-                    keep = counts * 2 * HOT > x["n_train"] if only is None else np.isin(words.view(np.int64), list(only))
-                    yield pa.RecordBatch.from_pydict({"word": words[keep].view(np.int64), "n": counts[keep]})
-
-        return rows
-
-    blocks = blocks.select("words", "counts", "n_train", "held")
-    some = blocks.mapInArrow(frequent(None), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * HOT > n_train)
-    ids = {x[0] for x in some.collect()}  # 2 HOT at most
-    totals = blocks.mapInArrow(frequent(ids), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HOT > n_train).collect()
-    words = np.array([x[0] for x in totals], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return words[order], np.array([x[1] for x in totals], np.int64)[order]
-
-
-def _trie(shared):
-    def part(rows: pd.DataFrame) -> pd.DataFrame:
-        hot, hot_counts = shared.value
-        rows = rows.sort_values("block").reset_index(drop=True)
-        contexts = [np.frombuffer(x, "<u8") for x in rows["contexts"]]
-        sizes = [_big(x) for x in rows["sizes"]]
-        level1 = np.unique(np.concatenate(contexts))
-        keys, counts = [], []
-        for c, s, n, k in zip(contexts, sizes, rows["next"], rows["counts"], strict=True):
-            place = np.repeat(np.searchsorted(level1, c), s).astype(np.uint64)
-            keys.append(place << np.uint64(32) | np.frombuffer(n, "<u4"))
-            counts.append(_big(k))
-        asked, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(inverse, np.concatenate(counts), minlength=len(asked)).astype(np.int64)
-        pairs, count = asked[count > 0], count[count > 0]
-        own = (pairs >> np.uint64(32)).astype(np.int64)
-        total = np.bincount(own, count, minlength=len(level1)).astype(np.int64)
-        spread = np.bincount(own, minlength=len(level1))  # distinct words after each context
-        hot_at = np.minimum(np.searchsorted(hot, level1), max(0, len(hot) - 1))
-        is_hot = hot[hot_at] == level1 if len(hot) else np.zeros(len(level1), bool)
-        if len(hot):
-            total[is_hot] = hot_counts[hot_at[is_hot]]
-        codes = _code(np.log10((count - DISCOUNT) / total[own]))
-        pointers = np.cumsum(spread).astype("<u8")
-        level = [EliasFano.packed(level1, 1 << 64), EliasFano.packed(pointers, len(pairs) + 1), EliasFano.packed(pairs, len(level1) << 32), codes.tobytes()]
-        model = b"".join(len(x).to_bytes(8, "little") + x for x in level)
-        hot_spread = np.zeros(len(hot), np.int64)
-        hot_spread[hot_at[is_hot]] = spread[is_hot]
-        shard = rows["shard"].iloc[0]
-        out = [{"kind": "model", "shard": shard, "n_contexts": int(((total > 0) & ~is_hot).sum()), "hot": hot_spread, "level": model}]
-        with tempfile.TemporaryDirectory() as d:
-            Path(d, "level").write_bytes(model)
-            levels = Trie(np.memmap(Path(d, "level"), np.uint8, "r"))
-            found = levels.codes(asked)[inverse].astype("<u2")
-            del levels
-        ends = np.cumsum([len(k) for k in keys])
-        for b, c, k, end in zip(rows["block"], contexts, keys, ends, strict=True):
-            place = np.searchsorted(level1, c)
-            out.append({"kind": "answer", "shard": shard, "block": b, "codes": _small(found[end - len(k) : end]), "known": _small(total[place]), "spread": _small(spread[place])})
-        return pd.DataFrame(out).reindex(columns=[x.split()[0] for x in _SAID.split(", ")]).astype({"block": "Int64", "n_contexts": "Int64"}).replace({np.nan: None})
+def _word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of words by part and hash, and where parts begin and end in it."""
+    part = (mix(words.copy()) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((words, part))
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
-    return part
 
+def _ask_words(parts: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                words, counts = np.frombuffer(x["words"], "<u8"), _big(x["counts"])
+                words, counts = np.append(words, END), np.append(counts, int((np.frombuffer(x["held"], np.uint8) == 0).sum()))
+                order, edges = _word_order(words, parts)
+                rows = []
+                for s in np.flatnonzero(np.diff(edges)).tolist():
+                    own = order[edges[s] : edges[s + 1]]
+                    rows.append({"part": s, "block": x["block"], "words": EliasFano.packed(words[own], 1 << 64), "counts": _small(counts[own])})
+                yield from _rows(rows, "part long, block long, words binary, counts binary").to_batches()
+
+    return ask
 
-class Trie:
-    """A part of the model over mapped memory."""
 
-    def __init__(self, data: np.ndarray):
-        self.parts, at = [], 0
-        while at < len(data):
-            n = int.from_bytes(data[at : at + 8].tobytes(), "little")
-            self.parts.append(data[at + 8 : at + 8 + n])
-            at += 8 + n
-        self.contexts, self.pointers, self.pairs = (EliasFano(x) for x in self.parts[:3])
-        self.probabilities = np.frombuffer(self.parts[3], "<u2")
+def _word_part(table: pa.Table) -> pa.Table:
+    """Counts of a part's words over all blocks, for each block those of its own."""
+    rows = table.to_pylist()
+    words = [EliasFano(np.frombuffer(x["words"], np.uint8)).values() for x in rows]
+    level, inverse = np.unique(np.concatenate(words), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([_big(x["counts"]) for x in rows])).astype(np.int64)
+    n = int((counts > 0).sum())
+    said = np.split(counts[inverse], np.cumsum([len(w) for w in words])[:-1])
+    return _rows([{"part": x["part"], "block": x["block"], "n_distinct": n, "counts": _small(c)} for x, c in zip(rows, said, strict=True)], "part long, block long, n_distinct long, counts binary")
 
-    def codes(self, asked: np.ndarray) -> np.ndarray:
-        """The code of each pair (ascending), STEPS where it was never seen. A pair is asked for by its context's
-        place and the next word, so that the successors of all contexts are one ascending sequence."""
-        place = self.pairs.places(asked)
-        return np.where(place >= 0, self.probabilities[place] if len(self.probabilities) else STEPS, STEPS)
+
+def code_book(blocks: DataFrame) -> np.ndarray:
+    """Hashes, ascending, of words that are frequent in a few blocks: they have two bytes in messages, others nine."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                words = np.frombuffer(x, "<u8")[:BOOK].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"word": words, "weight": 1.0 / (1 + np.arange(len(words)))})
+
+    some = blocks.select("words", F.xxhash64("block").alias("h")).orderBy("h").limit(BOOK_BLOCKS).select("words")
+    rows = some.mapInArrow(first, "word long, weight double").groupBy("word").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "word").limit(BOOK).collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def hot_contexts(blocks: DataFrame, n: int) -> np.ndarray:
+    """Hashes, ascending, of pairs of words with more than 1 / HOT of all ``n`` tokens, by the blocks in which they have at
+    least half that share: fewer than HOT. The list only says what is split, so it needs no exact counts."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                b = _Block(x)
+                often = np.append(np.bincount(b.pair, minlength=len(b.contexts) - 1), len(b.n))
+                keep = often * 2 * HOT > len(b.token)
+                yield pa.RecordBatch.from_pydict({"context": b.contexts[keep].view(np.int64), "n": often[keep]})
+
+    found = blocks.select("held", "lengths", "words", "tokens").mapInArrow(frequent, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    # Small inputs have nothing to split.
+    rows = found.where((F.col("n") * HOT > n) & (F.col("n") > PART_ASKED // 100)).collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+
+def _ask(b: _Block, block: int, book: np.ndarray, hot: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """The rows that a block sends to parts: contexts with counts, and their successors with counts."""
+    b.dealt(hot, parts)
+    edges = np.searchsorted(b.part, np.arange(parts + 1))
+    cuts = np.searchsorted(b.at, edges)
+    sizes = np.bincount(b.at, minlength=len(b.entry))
+    number = _places(book, b.words)
+    code = np.where(number >= 0, number, BOOK)
+    rows, held = [], 0
+    for s in np.flatnonzero(np.diff(edges)).tolist():
+        e, t = slice(edges[s], edges[s + 1]), b.order[cuts[s] : cuts[s + 1]]
+        following = b.next[t]
+        rare = following[code[following] == BOOK]
+        row = {
+            "part": s, "block": block, "contexts": EliasFano.packed(b.contexts[b.entry[e]], 1 << 64), "totals": _small(b.totals[b.entry[e]]), "sizes": _small(sizes[e]),
+            "next": _small(code[following]), "rare": b.words[rare].astype("<u8").tobytes(), "counts": _small(b.counts[t]),
+        }
+        rows.append(row)
+        held += sum(len(v) for v in row.values() if isinstance(v, bytes))
+        if held > 8 << 20:
+            yield from _rows(rows, _ASKED).to_batches()
+            rows, held = [], 0
+    yield from _rows(rows, _ASKED).to_batches()
+
+
+def _part(shared, as_model: bool):
+    def part(table: pa.Table) -> pa.Table:
+        book, _ = shared.value
+        rows = table.to_pylist()
+        del table
+        contexts = [EliasFano(np.frombuffer(x["contexts"], np.uint8)).values() for x in rows]
+        ends = np.cumsum([len(c) for c in contexts])
+        level, place = np.unique(np.concatenate(contexts), return_inverse=True)
+        totals = np.bincount(place, np.concatenate([_big(x["totals"]) for x in rows])).astype(np.int64)
+        own = np.repeat(place, np.concatenate([_big(x["sizes"]) for x in rows]))
+        following, lengths = [], []
+        for x in rows:
+            code, rare = _big(x["next"]), np.frombuffer(x["rare"], "<u8")
+            word = np.empty(len(code), np.uint64)
+            known = code < BOOK
+            word[known], word[~known] = book[code[known]], rare
+            following.append(word)
+            lengths.append(len(code))
+        counts = np.concatenate([_big(x["counts"]) for x in rows])
+        words, number = np.unique(np.concatenate(following), return_inverse=True)
+        asked, inverse = np.unique(own << 32 | number, return_inverse=True)
+        del own, number, following
+        count = np.bincount(inverse, counts, minlength=len(asked)).astype(np.int64)
+        seen, of = count > 0, asked >> 32
+        # What training documents hold goes into the levels, and what they don't is not found there.
+        held, used = totals > 0, np.zeros(len(words), bool)
+        used[asked[seen] & 0xFFFFFFFF] = True
+        data = Trie.packed(level[held], totals[held], words[used], (np.cumsum(held) - 1)[of[seen]], (np.cumsum(used) - 1)[asked[seen] & 0xFFFFFFFF], count[seen])
+        if as_model:
+            return _rows([{"part": rows[0]["part"], "n_contexts": int(held.sum()), "n_sequences": int(seen.sum()), "levels": data}], _MODEL)
+        memory = mmap.mmap(-1, len(data))
+        memory.write(data)
+        del data, count, seen, counts
+        total, code = Trie(np.frombuffer(memory, np.uint8)).ask(level, of, words[asked & 0xFFFFFFFF])
+        total, code = total[place], code[inverse]
+        said, at, to = [], 0, 0
+        for x, end, n in zip(rows, ends.tolist(), lengths, strict=True):
+            said.append({"part": x["part"], "block": x["block"], "totals": _small(total[at:end]), "codes": _small(code[to : to + n])})
+            at, to = end, to + n
+        return _rows(said, _SAID)
+
+    return part
 
 
-def _scorer(shared, shards: int):
-    def score(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        hot, hot_counts, hot_spread, n_train, distinct = shared.value
-        answers = answers.sort_values("shard")
-        x = block.iloc[0].to_dict()
+def _scorer(shared, parts: int, word_parts: int, n_train: int, distinct: int):
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        _, hot = shared.value
+        x, said = block.to_pylist()[0], sorted(answers.to_pylist(), key=lambda a: a["part"])
         b = _Block(x)
-        contexts, following = b.words[b.context], b.words[b.next]
-        shard = _shard_of(contexts, following, hot, shards)
-        order = np.argsort(shard, kind="stable")
-        codes = np.empty(len(order), np.int64)
-        codes[order] = np.concatenate([_big(c) for c in answers["codes"]])
-        starts = np.concatenate([np.append(True, (c := contexts[own])[1:] != c[:-1]) for own in np.split(order, np.searchsorted(shard[order], np.arange(1, shards))) if len(own)])
-        known, spread = np.zeros(len(b.words), np.int64), np.zeros(len(b.words), np.int64)
-        asked = b.context[order[starts]]
-        known[asked] = np.concatenate([_big(c) for c in answers["known"]])
-        spread[asked] = np.concatenate([_big(c) for c in answers["spread"]])
-        at = np.minimum(np.searchsorted(hot, b.words), max(0, len(hot) - 1))
-        is_hot = hot[at] == b.words if len(hot) else np.zeros(len(b.words), bool)
-        if len(hot):
-            spread[is_hot], known[is_hot] = hot_spread[at[is_hot]], hot_counts[at[is_hot]]
-        # Each text begins and ends once; so the contexts seen in training are as many as the distinct tokens.
-        known[-1] = known[-2]
-        unigram = np.log10((known + ADDED) / (n_train + ADDED * (distinct + 1)))
-        left = np.log10(np.where(known > 0, np.maximum(spread, 1) * DISCOUNT / np.maximum(known, 1), 1.0))
-        pair = np.where(codes < STEPS, _value(codes), left[b.context] + unigram[b.next])
-        doc = b.doc
-        n = np.bincount(doc, minlength=len(b.n))
+        b.dealt(hot, parts)
+        counts = np.zeros(len(b.words), np.int64)
+        # Each text begins once and ends once.
+        order, _ = _word_order(np.append(b.words[:-2], END), word_parts)
+        order[order == len(b.words) - 2] += 1
+        counts[order] = np.concatenate([_big(a["totals"]) for a in reversed(said) if a["part"] < 0])
+        counts[-2] = counts[-1]
+        total = np.concatenate([_big(a["totals"]) for a in said if a["part"] >= 0])[b.place]
+        total = np.where(total < STEPS, _power(total, 1), 0.0)  # of each pair
+        code = np.empty(len(b.of), np.int64)
+        code[b.order] = np.concatenate([_big(a["codes"]) for a in said if a["part"] >= 0])
+        base = np.log10((counts + ADDED) / (n_train + ADDED * (distinct + 1)))
+        single = (10.0**base)[b.token]
+        double = (total[b.pair] + WEIGHTS[0] * single) / (counts[b.before] + WEIGHTS[0])
+        own = np.where(code < STEPS, _power(code, -1), 0.0)[b.triple]
+        third = np.log10(own + WEIGHTS[1] / (total[b.of[b.triple]] + WEIGHTS[1]) * double)
+        n = np.bincount(b.doc, minlength=len(b.n))
         ids = np.frombuffer(x["doc_ids"], "<i8", count=len(b.n))
         given = np.frombuffer(x["doc_ids"], np.uint8, offset=8 * len(b.n)).astype(bool)
-        return pd.DataFrame(
-            {
-                "doc_id": pd.Series(ids).astype("Int64").mask(~given), "held_out": b.held, "n_tokens": n,
-                "n_known": np.bincount(doc, known[b.following] > 0, minlength=len(n)).astype(np.int64), "train_tokens": n_train,
-                "base_score": np.bincount(doc, unigram[b.following], minlength=len(n)), "score": np.bincount(doc, pair[b.inverse], minlength=len(n)),
-            }
-        )
+        columns = {
+            "doc_id": pa.array(ids, mask=~given), "held_out": pa.array(b.held), "n_tokens": n, "n_known": np.bincount(b.doc, counts[b.token] > 0, minlength=len(n)).astype(np.int64),
+            "train_tokens": np.full(len(n), n_train, np.int64), "base_score": np.bincount(b.doc, base[b.token], minlength=len(n)), "score": np.bincount(b.doc, third, minlength=len(n)),
+        }
+        return pa.table(columns)
 
     return score

@@ -290,24 +290,20 @@ def test_shards_of_many_small_sources(spark):
 def test_lm_scores(spark, docs, none):
     rows = made()
     train = [lower(t) for i, t, *_ in rows if i is None or zlib.crc32(str(i).encode()) % 10]
-    one, two, after = Counter(), Counter(), Counter()
+    one, two, three, at_start = Counter(), Counter(), Counter(), len(train)
     for t in train:
-        w = [*words(t), "</>"]
-        one.update(w)
-        for p in zip(["<>", *w], w):
-            two[p] += 1
-    for a, _ in two:
-        after[a] += 1
+        w = ["<>", "<>", *words(t), "</>"]
+        one.update(w[2:])
+        two.update(zip(w[1:], w[2:]))
+        three.update(zip(w, w[1:], w[2:]))
     total, distinct = sum(one.values()), len(one)
+    known = one | {"<>": at_start}
+    pairs = two | {("<>", "<>"): at_start}
     base = lambda w: math.log10((one[w] + 0.1) / (total + 0.1 * (distinct + 1)))
-    context = Counter()
-    for (a, _), n in two.items():
-        context[a] += n
 
-    def log(a, b):
-        if two[a, b]:
-            return math.log10((two[a, b] - 0.75) / context[a])
-        return base(b) + (math.log10(0.75 * after[a] / context[a]) if context[a] else 0)
+    def log(u, v, w):
+        double = (two[v, w] + 500 * 10 ** base(w)) / (known.get(v, 0) + 500)
+        return math.log10((three[u, v, w] + 4 * double) / (pairs.get((u, v), 0) + 4))
 
     scores, model = lm_scores(docs)
     texts = {i: t for i, t, *_ in rows}
@@ -316,11 +312,49 @@ def test_lm_scores(spark, docs, none):
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(one[x] > 0 for x in w), total)
         assert r["base_score"] == pytest.approx(sum(map(base, w)), abs=1e-6)
-        assert r["score"] == pytest.approx(sum(log(a, b) for a, b in zip(["<>", *w], w)), abs=2e-4 * len(w))
-    assert model.count() > 0
+        assert r["score"] == pytest.approx(sum(log(*x) for x in zip(["<>", "<>", *w], ["<>", *w], w)), abs=2e-4 * len(w))
+    assert model.agg(F.sum("n_sequences"), F.sum("n_contexts")).first() == (len(three), len(pairs))
     assert lm_scores(none)[0].count() == 0
 
 
+def test_trie_is_asked_through_its_pointers():
+    import numpy as np
+
+    from corpusq.llm.lm import STEPS, EliasFano, Trie
+
+    r = np.random.default_rng(3)
+    contexts, words = np.unique(r.integers(0, 1 << 63, 50).astype(np.uint64)), np.unique(r.integers(0, 1 << 63, 30).astype(np.uint64))
+    held = np.unique(r.integers(0, 50 * 30, 400))
+    of, number, counts = held // 30, held % 30, r.integers(1, 9, len(held))
+    totals = np.maximum(np.bincount(of, counts, minlength=50).astype(np.int64), 1)
+    data = np.frombuffer(Trie.packed(contexts, totals, words, of, number, counts), np.uint8)
+    asked = np.arange(50 * 30)
+    many, found = Trie(data).ask(np.append(contexts, np.uint64(7)), np.append(asked // 30, 50), np.append(words[asked % 30], words[0]))
+    assert many[-1] == STEPS and found[-1] == STEPS and (many[:-1] < STEPS).all()
+    assert set(np.flatnonzero(found < STEPS)) == set(held.tolist())
+    want = np.log10(counts / (totals[of] + 4))
+    assert np.abs(found[held] / (STEPS - 1) * -12 - want).max() < 1e-4
+    broken = Trie(data)
+    ends = broken.pointers.values()
+    broken.pointers = EliasFano(np.frombuffer(EliasFano.packed(np.append(ends[:-1] // np.uint64(2), ends[-1:]), len(held) + 1), np.uint8))
+    assert (broken.ask(contexts, asked // 30, words[asked % 30])[1] != found[:-1]).sum() > 100
+
+
+def test_split_contexts_score_as_others(spark, docs, monkeypatch):
+    """Parts of every size, a tiny code book and split contexts give the same scores."""
+    import corpusq.llm.lm as lm
+
+    plain = {str(tuple(r)[:5]): tuple(r)[5:] for r in lm_scores(docs)[0].collect()}
+    found = []
+    for name, value in (("BOOK", 3), ("HOT", 10), ("PART_ASKED", 90), ("BLOCK_BYTES", 900)):
+        monkeypatch.setattr(lm, name, value)
+    hot = lm.hot_contexts
+    monkeypatch.setattr(lm, "hot_contexts", lambda blocks, n: found.append(hot(blocks, 50)) or found[-1])
+    for r in lm.lm_scores(docs)[0].collect():
+        assert tuple(r)[5:] == pytest.approx(plain[str(tuple(r)[:5])], abs=1e-3)
+    assert len(found[0]) > 0
+
+
 def test_lm_beats_unigrams_on_held_out_texts(spark):
     path = "/root/testdata/sf0.01/documents.parquet"
     if not __import__("os").path.exists(path):
