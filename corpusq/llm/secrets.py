@@ -27,10 +27,6 @@ ASSIGNED = rf"{ASSIGNS}(?:\"[^\"]+|'[^']+|`[^`]+|[^\"'`]+)"
 BEFORE = rf"(?:{ASSIGNS}|{NAMES}[A-Za-z0-9_\-]*[\"'`\])]* (?:=>|:=|[=:]+)|(?i)\bbearer)$"
 OPEN = rf"{ASSIGNS}(\"[^\"]*|'[^']*|`[^`]*)$"
 QUOTED = "^(\"[^\"]+\"|'[^']+'|`[^`]+`)"
-#: Tokens of services that their form tells.
-SERVICE = r"^(gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_\-]{16,}|xox[abeprs]-[A-Za-z0-9\-]{10,}|[sr]k_(live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35}|npm_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+)$"
-#: Unnamed values that may be keys as well as digests or identifiers: long hex, and long mixes of small, capital and digit.
-UNSURE = r"^([0-9a-fA-F]{32,}|(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_\-]{20,})$"
 #: Words in a value or path that say that it is none.
 PLACEHOLDER = r"(?i)(example|sample|dummy|test|xxxx|placeholder|changeme|0{8}|1234567)"
 
@@ -89,13 +85,21 @@ def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.length(value)
 
 
-def features(found: DataFrame) -> DataFrame:
-    """Adds FEATURES. The dictionary of ``coverage`` are the words of letters that stand beside candidates of at least two documents."""
-    parts = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
-    words = found.select("doc_id", F.explode(F.array_distinct(parts(F.concat_ws(" ", "before", "after")))).alias("part"))
-    dictionary = written(words.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("part"), "dictionary")
+def _parts(text: Column) -> Column:
+    """Lower-cased runs of at least three letters."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 3)
+
+
+def dictionary(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """part: the runs of letters that texts of at least two documents of the whole corpus hold."""
+    words = documents.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(_parts(F.col(text_col)))).alias("part"))
+    return written(words.groupBy("part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b").select("part"), "dictionary")
+
+
+def features(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds FEATURES to candidates; ``coverage`` is the share of the value that runs of letters of ``words`` make up."""
     values = found.select("value").distinct()
-    covered = values.select("value", F.explode(parts(F.col("value"))).alias("part")).join(dictionary, "part").groupBy("value").agg(F.sum(F.length("part")).alias("covered"))
+    covered = values.select("value", F.explode(_parts(F.col("value"))).alias("part")).join(words.hint("merge"), "part").groupBy("value").agg(F.sum(F.length("part")).alias("covered"))
     x = found.join(covered.hint("merge"), "value", "left")
     v = F.col("value")
     flag = lambda c: c.cast("double")
@@ -110,16 +114,40 @@ def features(found: DataFrame) -> DataFrame:
     return x.withColumns({k: c.cast("double") for k, c in columns.items()}).drop("covered")
 
 
-def rule_labels(found: DataFrame) -> DataFrame:
-    """``label`` of findings by their form, where no reviewed labels are given: 1 for an access key, a service's token
-    or a named assignment of a mixed value of 12 signs, 0 for numbers, placeholders and values that nothing names; null
-    where forms disagree or don't tell: unnamed long hex or mixed values, and named ones that are short or not mixed."""
-    v = F.col("value")
-    name = F.col("lead").rlike(NAMES) | F.col("before").rlike(NAMES)
-    named = name & (F.col("lead").rlike("[=:]") | F.col("before").rlike("[=:]$"))
-    label = F.when(v.rlike(PLACEHOLDER) | v.rlike("^[0-9]+$"), 0).when(v.rlike(ACCESS_KEY) | v.rlike(SERVICE), 1)
-    label = label.when(named & (F.length(v) >= 12) & v.rlike("[A-Za-z]") & v.rlike(MIXED), 1).when(~name & ~v.rlike(UNSURE) & ~v.rlike(r"^\S+\.\S+\.\S+$"), 0)
-    return found.withColumn("label", label.cast("double"))
+def generated_findings(documents: DataFrame, most_rows: int = 20_000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """Labelled findings whose truth is known because they are made: doc_id (of a text of its own), text, source, value,
+    label. Each of a seeded sample of documents (as many as give ``most_rows`` findings at most) lends its path and words
+    of its text to one finding of each kind, true or false; characters of values are drawn from hashes.
+
+    True ones are keys, tokens, passwords and passphrases, with names that differ, some of letters alone and some with no name.
+    False ones are what rules on names and forms get wrong: digests, identifiers, paths, placeholders, variables,
+    and words of prose after a name."""
+    docs = documents.select(F.col(id_col).alias("i"), F.coalesce(F.col(path_col), F.lit("")).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    docs = docs.select("*", F.xxhash64(F.lit(seed), "i", "t").alias("h")).orderBy("h", "i", "source").limit(max(1, most_rows // 20))
+    docs = docs.select("h", "source", F.regexp_extract_all("t", F.lit(r"(\p{L}{3,12})")).alias("words"))
+    drawn = lambda n: F.sha2(F.concat_ws(" ", F.lit(n), F.col("h")), 256)
+    mixed = lambda n, k: F.left(F.translate(F.concat(F.base64(F.unhex(drawn(n))), F.base64(F.unhex(drawn(n + 50)))), "+/=\r\n", "xY"), F.lit(k))
+    hexed = lambda n, k: F.left(drawn(n), F.lit(k))
+    digits = lambda n, k: F.left(F.translate(drawn(n), "abcdef", "012345"), F.lit(k))
+    letters = lambda n, k: F.left(F.translate(drawn(n), "0123456789", "ghijklmnop"), F.lit(k))
+    word = lambda n: F.coalesce(F.get("words", F.pmod(F.xxhash64(F.lit(n), "h"), F.greatest(F.size("words"), F.lit(1))).cast("int")), F.lit("word"))
+    one = lambda n, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(F.xxhash64(F.lit(n), "h"), F.lit(len(xs))) + 1).cast("int"))
+    name = lambda n: one(n, "password", "passwd", "secret", "token", "api_key", "API_KEY", "access-key", "apikey", "client_secret")
+    sign = lambda n: one(n, "=", ": ", " = ", ":")
+    kinds = [  # what stands before, the value, what stands after, label
+        (F.concat(name(1), sign(2)), mixed(1, 14), "", 1), (F.concat(F.lit('"'), name(3), F.lit('": "')), mixed(2, 32), '"', 1), ("", F.concat(one(4, "AKIA", "ASIA"), F.upper(mixed(3, 16))), "", 1),
+        ("", F.concat(one(5, "ghp_", "glpat-", "sk_live_", "npm_"), mixed(4, 36)), "", 1), (F.concat(name(6), sign(7)), hexed(5, 40), "", 1), (F.concat(one(8, "passphrase", "password"), F.lit(' = "')), F.concat_ws(" ", word(9), word(10), word(11), word(12)), '"', 1),
+        ("Authorization: Bearer ", mixed(6, 40), "", 1), (F.concat(name(13), sign(14)), letters(7, 11), "", 1), ("key ", mixed(8, 44), "", 1), (F.concat(name(15), F.lit("=")), F.concat(mixed(9, 5), F.lit("!"), mixed(10, 4)), "", 1),
+        (one(16, "commit ", "build ", "rev "), hexed(11, 40), "", 0), (one(17, "sha256:", "digest ", "checksum="), hexed(12, 64), "", 0), (one(18, "id ", "order ", "card ", "id="), digits(13, 16), "", 0),
+        (F.concat(name(19), sign(20)), one(21, "changeme123", "your-api-key-here1", "example1234567", "xxxxxxxxxxxx1", "test-token-000000"), "", 0), ("id=", F.concat_ws("-", hexed(14, 8), hexed(15, 4), hexed(16, 4), hexed(17, 12)), "", 0),
+        ("", F.concat_ws("/", F.lit("docs"), F.lower(word(22)), F.concat(F.lower(word(23)), digits(18, 2))), ".html", 0), (F.concat(name(24), F.lit(": ")), F.lower(word(25)), "", 0), (F.concat(name(26), F.lit("=")), F.concat(F.lit("${"), F.upper(word(27)), F.lit("}")), "", 0),
+        ("data:image/png;base64,", mixed(19, 60), "", 0), ("", F.concat_ws("-", F.lower(word(28)), F.lower(word(29)), digits(20, 4)), "", 0),
+    ]
+    column = lambda x: F.lit(x) if isinstance(x, str) else x
+    made = F.array(*[F.struct(F.xxhash64("h", F.lit(k)).alias("doc_id"), column(a).alias("lead"), v.alias("value"), column(z).alias("tail"), F.lit(float(y)).alias("label")) for k, (a, v, z, y) in enumerate(kinds)])
+    made = docs.select("source", F.concat_ws(" ", word(30), word(31)).alias("before"), word(32).alias("after"), F.explode(made).alias("x"))
+    text = F.concat(F.col("before"), F.lit(" "), F.col("x.lead"), F.col("x.value"), F.col("x.tail"), F.lit(" "), F.col("after"))
+    return written(made.select("x.doc_id", text.alias("text"), "source", "x.value", "x.label"), "made-findings")
 
 
 def train(labelled: DataFrame, trees: int = 30, depth: int = 6, most_rows: int = 20_000, seed: int = 11) -> PipelineModel | None:
@@ -138,23 +166,28 @@ def train(labelled: DataFrame, trees: int = 30, depth: int = 6, most_rows: int =
 def secret_scan(documents: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", most_rows: int = 20_000) -> DataFrame:
     """Findings in all documents: doc_id, at, value, kind, probability, is_secret.
 
-    Each value of ``candidates`` is a finding; a word may have several. The forest is
-    trained on ``labels`` (doc_id, value, label 0 or 1, reviewed findings) or, without them, on labels by form
-    (``rule_labels``), at most ``most_rows`` of them. Where labels of only one kind occur, the labels by form decide.
+    Each value of ``candidates`` is a finding; a word may have several. The forest is trained on ``labels`` (doc_id,
+    value, label 0 or 1: reviewed findings of these documents); without them, or where they hold one kind only, on
+    ``generated_findings``. At most ``most_rows`` labelled rows are fitted. A probability of exactly ``threshold`` is a
+    secret.
 
     Null and empty texts have no findings; a null path counts as empty; rows with null or repeated ids are scanned
     like others; a value that occurs again is found again. Tables without candidates give an empty table. Further
-    columns are not looked at.
+    columns are not looked at, whatever they are called.
     """
-    found = written(rule_labels(features(candidates(documents, id_col, text_col, path_col))), "findings")
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).alias("source"))
+    words = dictionary(docs)
+    found = written(features(candidates(docs), words), "findings")
+    model = None
     if labels is not None:
         known = labels.select("doc_id", "value", F.col("label").cast("double").alias("label")).dropDuplicates(["doc_id", "value"])
-        labelled = found.drop("label").join(known.hint("merge"), ["doc_id", "value"])
-    else:
-        labelled = found
-    model = train(labelled, most_rows=most_rows)
+        model = train(found.join(known.hint("merge"), ["doc_id", "value"]), most_rows=most_rows)
     if model is None:
-        scored = found.withColumn("probability", F.coalesce("label", F.lit(0.0)))
+        made = generated_findings(docs, most_rows)
+        known = made.select("doc_id", "value", "label")
+        model = train(features(candidates(made), words).join(known.hint("merge"), ["doc_id", "value"]), most_rows=most_rows)
+    if model is None:  # no document, so nothing to scan
+        scored = found.withColumn("probability", F.lit(0.0))
     else:
         scored = model.transform(found).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
     kind = F.when(F.col("value").rlike(ACCESS_KEY), "access_key").when(F.col("named") + F.col("name_before") > 0, "named_value").otherwise("value")
