@@ -32,11 +32,13 @@ def sub_chunks(df: DataFrame, text_col: str, limit: int = 2000, overlap: int = 2
     return _mapped(df, [text_col], "chunks", T.ArrayType(T.StringType()), lambda t: paragraph_chunks(t, limit, overlap))
 
 
-def word_windows(text: Column, size: int = 1000, overlap: int = 50) -> Column:
-    """Windows of ``size`` words, each beginning ``size - overlap`` behind the last; the last may be all overlap (C4)."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+def word_windows(df: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 50) -> DataFrame:
+    """id, chunk, text: windows of ``size`` words, each beginning ``size - overlap`` behind the last; the last may be all
+    overlap (C4). A text is split once; each word goes to the windows that it is in, by its place."""
+    step = size - overlap
+    words = df.select(id_col, F.array_remove(F.split(F.regexp_replace(text_col, r"\s+", " "), " "), "").alias("_w")).withColumn("_n", F.size("_w"))
+    starts = words.where("_n > 0").select(id_col, "_w", F.posexplode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(step))).alias("chunk", "_s"))
+    return starts.select(id_col, "chunk", F.array_join(F.slice("_w", F.col("_s") + 1, size), " ").alias("text"))
 
 
 def numbered_sections(text: Column) -> Column:

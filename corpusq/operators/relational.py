@@ -35,7 +35,7 @@ def related(cases: DataFrame, id_col: str = "case_id", cited_col: str = "cited_c
     Two equi-joins over citation edges; a join on "either cites the other" would compare all pairs."""
     edges = cases.select(F.col(id_col).alias("source"), F.explode(cited_col).alias("related")).where("source != related").distinct()
     known = cases.select(F.col(id_col).alias("related")).distinct()
-    forth = edges.join(known, "related", "left_semi").select("source", "related")
+    forth = edges.join(known.hint("merge"), "related", "left_semi").select("source", "related")
     return forth.union(forth.select(F.col("related"), F.col("source"))).distinct()
 
 

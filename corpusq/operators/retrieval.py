@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from corpusq.functions import terms as N
 from corpusq.operators.relational import top_per_key
+from corpusq.sources.shared import written
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 #: Numbers in the query vectors that are compared with the corpus at once.
 QUERY_NUMBERS = 8_000_000
+#: Similarities that a task holds at once.
+SIMILARITIES = 4_000_000
 
 
 def postings(corpus: DataFrame, id_col: str, text_col: str, stop_words: list[str] | None = None) -> DataFrame:
@@ -26,6 +29,20 @@ def postings(corpus: DataFrame, id_col: str, text_col: str, stop_words: list[str
     return rows.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def index_for(corpus: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The postings of ``terms`` (distinct) alone, and the sizes of the whole corpus (n_docs, mean_dl), written from one
+    pass over the texts. What other terms have is dropped before anything is shuffled or counted.
+
+    Each text sends a row without a term, which stands for itself."""
+    known = written(terms.select("term", F.lit(True).alias("asked")), "asked-terms")
+    rows = corpus.select(F.col(id_col).alias("id"), N.tokens(F.col(text_col)).alias("w")).withColumn("dl", F.size("w"))
+    rows = rows.select("id", "dl", F.explode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("term"))
+    rows = rows.join(known, "term", "left").where("asked OR term IS NULL")
+    table = written(rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")), "postings")
+    sizes = table.where("term IS NULL").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("mean_dl"))
+    return table.where("term IS NOT NULL"), sizes
+
+
 def query_terms(queries: DataFrame, text_col: str = "text", form: str = "or") -> DataFrame:
     """query_id, term and n_terms, the number of the query's distinct terms."""
     kept = {"or": N.key_terms, "and": N.and_terms, "plain": N.tokens}[form](F.col(text_col))
@@ -36,10 +53,10 @@ def keyword_search(queries: DataFrame, index: DataFrame, sizes: DataFrame, k: in
     """Texts with any (R3) or all (R4, R9) of a query's terms by BM25. sizes: one row, n_docs and mean_dl.
 
     The index is joined by term, so only postings of terms that are asked for are moved."""
-    asked = query_terms(queries, text_col, form)
+    asked = written(query_terms(queries, text_col, form), "query-terms")
     hits = index.join(asked, "term")
     df = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = hits.join(df, "term").crossJoin(F.broadcast(sizes))  # sizes is a single row
+    hits = hits.join(df.hint("merge"), "term").crossJoin(F.broadcast(sizes))  # sizes is a single row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_dl")))
     found = hits.groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"))
@@ -58,25 +75,27 @@ def prefix_search(queries: DataFrame, index: DataFrame, k: int, text_col: str =
     Index terms are joined by their prefixes of the lengths that are asked for: an equi-join, where "starts with"
     would compare each pattern with each term."""
     p = queries.select("query_id", F.explode(N.prefix_patterns(F.col(text_col))).alias("p")).select("query_id", "p.*")
-    p = p.withColumn("n", F.when(F.col("is_prefix"), F.length("pattern")).otherwise(0))
+    p = written(p.withColumn("n", F.when(F.col("is_prefix"), F.length("pattern")).otherwise(0)), "query-patterns")
     terms = index.select("term").distinct()
     # Each term is looked up by all of its prefixes that a pattern can be: six letters and more.
     longer = terms.where(F.length("term") >= N.LEAST_PREFIX).select("term", F.explode(F.sequence(F.lit(N.LEAST_PREFIX), F.length("term"))).alias("n"))
     by_prefix = longer.select("term", "n", F.left("term", F.col("n")).alias("pattern"))
     whole = terms.select("term", F.lit(0).alias("n"), F.col("term").alias("pattern"))
     met = p.join(by_prefix.unionByName(whole).hint("merge"), ["n", "pattern"]).select("query_id", "group", "pattern", "is_prefix", "term")
+    met = written(met, "met-terms")
     hits = index.join(met, "term").select("query_id", "id", "group", "pattern", "is_prefix").distinct()
     need = p.groupBy("query_id").agg(F.max("group").alias("n_groups"))
     found = hits.groupBy("query_id", "id").agg(F.count_distinct(F.when(F.col("group") > 0, F.col("group"))).alias("g"), F.count_if(F.col("group") == 0).alias("extras"), F.count("*").cast("double").alias("score"))
-    found = found.join(need, "query_id").where("(n_groups > 0 AND g = n_groups) OR extras > 0")
+    found = found.join(need.hint("merge"), "query_id").where("(n_groups > 0 AND g = n_groups) OR extras > 0")
     return top_per_key(found, ["query_id"], [F.col("score").desc(), F.col("id")], k).select("query_id", "id", "score")
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, threshold: float, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` texts of a cosine similarity over ``threshold`` for each query vector.
 
-    Query vectors go to the tasks in rounds of at most QUERY_NUMBERS numbers; a task multiplies a batch of the corpus
-    with them, and keeps the best of each query in the batch. Vectors of no length are similar to nothing."""
+    Query vectors go to the tasks in rounds of at most QUERY_NUMBERS numbers; a task multiplies a few rows of the corpus
+    with them, as many as give SIMILARITIES numbers, and keeps the best of each query among these. Vectors of no length
+    are similar to nothing."""
     spark = corpus.sparkSession
     asked = queries.select("query_id", vector_col).where(F.size(vector_col) > 0)
     size = asked.agg(F.count("*"), F.max(F.size(vector_col))).first()
@@ -95,12 +114,14 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int, threshold: floa
                 if not len(lists) or not len(ids):
                     continue
                 own = _unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1))
-                similar = np.round(own @ asked.T, 6)
-                n = min(k, len(similar))
-                # The n-th best of each query, with all that equal it, so that ties are cut by id later.
-                edge = np.partition(similar, len(similar) - n, axis=0)[len(similar) - n]
-                at, q = np.nonzero((similar >= edge) & (similar > threshold))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), b.column(0).take(pa.array(at)), pa.array(similar[at, q])], ["query_id", "id", "score"])
+                step = max(1, SIMILARITIES // len(ids))
+                for i in range(0, len(own), step):
+                    similar = np.round(own[i : i + step] @ asked.T, 6)
+                    n = min(k, len(similar))
+                    # The n-th best of each query, with all that equal it, so that ties are cut by id later.
+                    edge = np.partition(similar, len(similar) - n, axis=0)[len(similar) - n]
+                    at, q = np.nonzero((similar >= edge) & (similar > threshold))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), b.column(0).take(pa.array(i + at)), pa.array(similar[at, q])], ["query_id", "id", "score"])
 
         vectors = corpus.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.size("v") == (size[1] or 0))
         found = vectors.mapInArrow(best, f"query_id {kind}, id {id_kind}, score double")

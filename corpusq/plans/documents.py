@@ -175,7 +175,7 @@ def c3_numbered_sections(spark, d):
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 95)) AS s FROM w)
 SELECT doc_id, s // 95 AS chunk, array_to_string(w[s + 1:s + 100], ' ') AS text FROM s""")
 def c4_word_windows(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(C.word_windows(F.col("text"), 100, 5)).alias("chunk", "text"))
+    return C.word_windows(table(spark, d, "documents"), "doc_id", "text", 100, 5)
 
 
 @query()

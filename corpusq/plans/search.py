@@ -11,6 +11,7 @@ from corpusq.operators import fusion as X
 from corpusq.operators import relational as L
 from corpusq.operators import retrieval as R
 from corpusq.plans.registry import query, table
+from corpusq.sources.shared import written
 from pyspark.sql import functions as F
 
 _STOPS = ", ".join(f"'{w}'" for w in N.STOP_WORDS)
@@ -43,9 +44,7 @@ def asked(spark, d):
 
 
 def _index(spark, d, queries, form):
-    docs = table(spark, d, "documents")
-    index = R.postings(docs, "doc_id", "text").join(R.query_terms(queries, form=form).select("term").distinct(), "term", "left_semi")
-    return index, R.corpus_sizes(docs, "text")
+    return R.index_for(table(spark, d, "documents"), R.query_terms(queries, form=form).select("term").distinct(), "doc_id", "text")
 
 
 def _or(spark, d):
@@ -65,9 +64,9 @@ def _both(spark, d):
     return R.keyword_search(q, index, sizes, 25), R.keyword_search(q, index, sizes, 25, "and")
 
 
-@query(rf"SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ('the', 'la'))[1:30] AS w FROM documents")
+@query(rf"SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ('the', 'la')) AS w FROM documents")
 def n1_analyzer(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.slice(N.tokens(F.col("text"), ["the", "la"]), 1, 30).alias("w"))
+    return table(spark, d, "documents").select("doc_id", N.tokens(F.col("text"), ["the", "la"]).alias("w"))
 
 
 @query(f"WITH {TOKENS_SQL} SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM tok) GROUP BY term")
@@ -106,13 +105,12 @@ def r4_fts_and(spark, d):
     return _and(spark, d)
 
 
-@query(rf"""WITH {QUERIES_SQL}, {TOKENS_SQL}, q1 AS (SELECT query_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM q), q2 AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:3] AS w FROM q1)
-SELECT query_id, id, len(list_intersect(tok.w, q2.w)) AS n FROM q2, tok WHERE list_has_all(tok.w, q2.w) AND len(q2.w) > 0""")
+@query(rf"""WITH {QUERIES_SQL}, {TOKENS_SQL}, q1 AS (SELECT query_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM q), q2 AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM q1)
+SELECT query_id, id, len(q2.w) AS n FROM q2, tok WHERE list_has_all(tok.w, q2.w) AND len(q2.w) > 0""")
 def r9_plain_and(spark, d):
-    q = asked(spark, d).select("query_id", F.concat_ws(" ", F.slice(F.array_distinct(N.tokens(F.col("text"))), 1, 3)).alias("text"))
-    docs = table(spark, d, "documents")
-    terms = R.query_terms(q, form="plain")
-    hits = R.postings(docs, "doc_id", "text").join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
+    terms = written(R.query_terms(asked(spark, d), form="plain"), "query-terms")
+    index, _ = R.index_for(table(spark, d, "documents"), terms.select("term").distinct(), "doc_id", "text")
+    hits = index.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
     return hits.where("n = n_terms").select("query_id", "id", "n")
 
 
@@ -124,7 +122,7 @@ SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM m JOIN n USING (quer
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 25""")
 def r6_prefix_channel(spark, d):
     docs = table(spark, d, "documents")
-    return R.prefix_search(asked(spark, d), R.postings(docs, "doc_id", "text"), 25)
+    return R.prefix_search(asked(spark, d), written(R.postings(docs, "doc_id", "text"), "postings"), 25)
 
 
 VECTORS_SQL = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), vec AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.id % 50 = 0 QUALIFY score > {t} AND row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.id) <= {k})"
@@ -200,10 +198,10 @@ def r19_r21_rerank_blend(spark, d):
     return X.blend(h).select("query_id", "id", "blended")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.3 WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 0.3 ELSE doc_id / 10.0 END AS base FROM documents WHERE doc_id > 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.3 WHEN doc_id % 3 = 1 AND doc_id % 2 = 0 THEN 0.3 ELSE doc_id / 10.0 END AS base FROM documents")
 def r20_base_score(spark, d):
     s = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when((F.col("doc_id") % 3 == 1) & (F.col("doc_id") % 2 == 0), 0.0).otherwise(F.col("doc_id") / 10.0)
-    return table(spark, d, "documents").where("doc_id > 0").select("doc_id", X.base_score(s).alias("base"))
+    return table(spark, d, "documents").select("doc_id", X.base_score(s).alias("base"))
 
 
 _WORDS = f"list_distinct(list_filter(string_split_regex(trim(lower(q)), '\\s+'), lambda x: length(x) >= 4 AND x NOT IN ({', '.join(repr(w) for w in X.PLAIN_WORDS)})))"
@@ -307,6 +305,6 @@ def n5_u8_glossary_expansion(spark, d):
     """Words of parts' names as a glossary: the first word of a name adds the second."""
     glossary = table(spark, d, "part").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("term"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("fi")).distinct()
     q = asked(spark, d).withColumn("w", N.tokens(F.col("text")))
-    added = q.select("query_id", "w", F.explode(F.array_distinct("w")).alias("term")).join(glossary, "term").where(~F.array_contains("w", F.col("fi")))
+    added = q.select("query_id", "w", F.explode(F.array_distinct("w")).alias("term")).join(glossary.hint("merge"), "term").where(~F.array_contains("w", F.col("fi")))
     added = added.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("fi")), " ").alias("added"))
-    return q.join(added, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "added").alias("text"))
+    return q.join(added.hint("merge"), "query_id", "left").select("query_id", F.concat_ws(" ", "text", "added").alias("text"))

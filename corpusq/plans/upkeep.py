@@ -2,35 +2,28 @@
 
 from __future__ import annotations
 
-import uuid
-
 from corpusq.operators import filters as P
 from corpusq.operators import relational as R
 from corpusq.operators import upkeep as K
 from corpusq.plans.registry import query, table
 from corpusq.plans.reporting import tracking
 from corpusq.sources import sinks as I
+from corpusq.sources.shared import shared_path as _folder
 from corpusq.streaming import jobs as X
 from pyspark.sql import functions as F
 
 
-def _folder(spark, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'de' AND n_chars BETWEEN 500 AND 3000")
 def s1_s2_scan(spark, d):
     return table(spark, d, "documents").where("lang = 'de' AND n_chars BETWEEN 500 AND 3000").select("doc_id", "lang")
 
 
-@query("SELECT doc_id AS case_id, lang AS court_code, CAST(1990 + doc_id % 30 AS INT) AS case_year FROM documents WHERE doc_id % 3 > 0")
+@query("SELECT doc_id AS case_id, lang AS court_code, CAST(1990 + doc_id % 30 AS INT) AS case_year FROM documents")
 def s3_s4_s5_json_year_files(spark, d):
     """Documents written as year files by court, type and year, and read back by their layout."""
     from corpusq.sources.readers import write_year_files
 
-    docs = table(spark, d, "documents").where("doc_id % 3 > 0").selectExpr("doc_id AS case_id", "lang AS court_code", "CASE WHEN doc_id % 2 = 0 THEN 'precedent' ELSE 'x' END AS decision_type", "CAST(1990 + doc_id % 30 AS INT) AS case_year")
+    docs = table(spark, d, "documents").selectExpr("doc_id AS case_id", "lang AS court_code", "CASE WHEN doc_id % 2 = 0 THEN 'precedent' ELSE 'x' END AS decision_type", "CAST(1990 + doc_id % 30 AS INT) AS case_year")
     path = _folder(spark, "year-files")
     write_year_files(docs, path)
     return spark.read.schema("case_id bigint, court_code string, decision_type string, case_year int, court string, subtype string, year int").json(path).select("case_id", "court_code", "case_year")
@@ -43,12 +36,12 @@ def s6_s17_merged_scrape(spark, d):
     return I.merged_scrape(docs, new, "doc_id", "text", P.meaningful(F.substring("text", 5, 10**9), ["no such words"]))
 
 
-@query("SELECT doc_id, text FROM documents WHERE n_chars < 1000")
+@query("SELECT doc_id, text FROM documents")
 def s7_text_files(spark, d):
     """Texts as bytes in UTF-8 or, where every character allows it, Latin-1, decoded again."""
     from corpusq.sources.readers import text_of
 
-    docs = table(spark, d, "documents").where("n_chars < 1000")
+    docs = table(spark, d, "documents")
     latin = ~F.col("text").rlike(r"[^\x00-\xFF]") & (F.col("doc_id") % 2 == 0)
     data = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     return docs.select("doc_id", text_of(data).alias("text"))
@@ -197,9 +190,8 @@ def k7_resume_page(spark, d):
 
 @query("SELECT y AS year, s AS subtype FROM (SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS y FROM orders), (SELECT DISTINCT o_orderstatus AS s FROM orders)")
 def k8_work_list(spark, d):
-    o = table(spark, d, "orders")
-    years = o.agg(F.sequence(F.max(F.year("o_orderdate")), F.min(F.year("o_orderdate")), F.lit(-1)).alias("y"), F.collect_set("o_orderstatus").alias("s"))  # one row
-    return years.select(F.explode("y").alias("year"), "s").select("year", F.explode("s").alias("subtype"))
+    first, last, kinds = table(spark, d, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate")), F.collect_set("o_orderstatus")).first()
+    return K.work_list(spark, first, last, sorted(kinds))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'already_exists' WHEN n_chars < 300 THEN 'no_chunks' ELSE 'completed' END AS status FROM documents")
@@ -212,14 +204,15 @@ def k9_tenant_documents(spark, d):
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars > 200")
 def x1_x4_incremental_ingest(spark, d):
-    """Documents as a stream of files into a table with versions; short ones are its errors."""
+    """Documents as a stream of files into a table that is a log; short ones are its errors."""
     base = _folder(spark, "stream")
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     docs.repartition(3).write.parquet(f"{base}/in")
     stream = X.landed(spark, f"{base}/in", docs.schema, files=1)
     q = X.ingest(stream, f"{base}/table", f"{base}/errors", f"{base}/checkpoint", "doc_id", lambda b: (b.where("n_chars > 200"), b.where("n_chars <= 200")))
     q.awaitTermination()
-    return X.current(spark, f"{base}/table")
+    X.compacted(spark, f"{base}/table", "doc_id", most=2)
+    return X.current(spark, f"{base}/table", "doc_id")
 
 
 def _stream(spark, d, make, keys: str):

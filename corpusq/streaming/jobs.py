@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from corpusq.sources.sinks import upserted
+from corpusq.operators.relational import latest_by_key
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,30 +17,49 @@ def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parqu
 
 
 def ingest(stream: DataFrame, table: str, errors: str, checkpoint: str, key: str, check: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> StreamingQuery:
-    """Each batch is checked; good rows become the table's next version, the others are appended to ``errors``.
+    """Each batch is checked; good rows are appended to ``table``, the others to ``errors``.
 
-    A version is a folder named by its batch, written with overwrite, so a batch that runs again after a failure
-    leaves the same table. ``current`` finds the last version."""
+    The table is a log: a batch writes its own rows alone, to a folder named by its number, with overwrite, so a batch
+    that runs again after a failure leaves the same table. ``current`` reads the last row of each ``key``, and
+    ``compacted`` joins many batches to one."""
 
     def write(batch: DataFrame, number: int) -> None:
         good, bad = check(batch)
         bad.write.mode("overwrite").parquet(f"{errors}/batch={number}")
-        spark = batch.sparkSession
-        before = current(spark, table, number)
-        (upserted(before, good, [key]) if before is not None else good).write.mode("overwrite").parquet(f"{table}/version={number}")
+        good.dropDuplicates([key]).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The table's last version, or the last before a batch; None where there is none."""
+def _batches(spark: SparkSession, table: str):
+    """The file system, and the numbers of the batches that are whole."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    found = fs.listStatus(path) if fs.exists(path) else []
+    return fs, sorted(int(f.getPath().getName().split("=")[1]) for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+
+
+def current(spark: SparkSession, table: str, key: str) -> DataFrame | None:
+    """The last row of each key; None where no batch is there."""
+    _, numbers = _batches(spark, table)
+    if not numbers:
         return None
-    versions = sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.parquet(f"{table}/version={versions[-1]}") if versions else None
+    log = spark.read.option("basePath", table).parquet(*[f"{table}/batch={n}" for n in numbers])
+    return latest_by_key(log, [key], F.col("batch")).drop("batch")
+
+
+def compacted(spark: SparkSession, table: str, key: str, most: int = 50) -> None:
+    """Where a log has more than ``most`` batches, the rows that are current replace them all, as the last of them. To be
+    run between streaming queries; the rows that it replaces are deleted after the new ones stand."""
+    fs, numbers = _batches(spark, table)
+    if len(numbers) > most:
+        fresh, last = f"{table}-compacting", f"{table}/batch={numbers[-1]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        current(spark, table, key).write.mode("overwrite").parquet(fresh)
+        fs.delete(path(last), True)
+        fs.rename(path(fresh), path(last))
+        for n in numbers[:-1]:
+            fs.delete(path(f"{table}/batch={n}"), True)
 
 
 def unique(stream: DataFrame, keys: list[str], time: str | None = None, delay: str = "1 day") -> DataFrame:
