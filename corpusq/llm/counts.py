@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -120,14 +122,21 @@ class PrefixCounter:
 
     def prefix_counts(self, word: str) -> list[int]:
         """The number of tokens of each prefix of a word, if the text ended there."""
+        return self.prefix_states(word)[0]
+
+    def prefix_states(self, word: str, most: int = NONE) -> tuple[list[int], list[str], list[int]]:
+        """The same, with the last token and the count of each prefix that goes on. Ends early where counts are over
+        ``most`` by more than a token can have letters, as no longer prefix can come back to it."""
         lasts, counts, out = [""], [0], [0]
         for i in range(1, len(word) + 1):
+            if counts[-1] > most + self.longest:
+                break
             whole = self.last(word, i, lasts, self.end)
             out.append(counts[i - len(whole) + len(self.end)] + 1)
             t = self.last(word, i, lasts, "")
             lasts.append(t)
             counts.append(counts[i - len(t)] + 1)
-        return out
+        return out, lasts, counts
 
     def pretokens(self, chunk: str) -> list[str]:
         text = "".join(c.lower() for c in unicodedata.normalize("NFC", chunk)) if not chunk.isascii() else chunk.lower()
@@ -157,39 +166,118 @@ class PrefixCounter:
     def text_count(self, text: str) -> int:
         return sum(self.chunk_counts(text.split()))
 
+    def chunk_prefixes(self, chunk: str, most: int = NONE) -> list[int]:
+        """The number of tokens of each prefix of a chunk, from the empty one on, in one pass. With ``most``, it ends
+        where no longer prefix can have as few."""
+        out, before, at = [0], 0, 0
+        for m in self.special.finditer(chunk) if self.special is not None and "<|" in chunk else ():
+            # Cut short, a special string is text that goes on.
+            counts = NormalPrefixes(self, chunk[at : m.end()], most - before).counts()
+            out += [before + n for n in counts[1 : m.end() - at]]
+            if len(out) < m.end():
+                return out
+            before += counts[m.start() - at] + 1
+            out.append(before)
+            at = m.end()
+        return out + [before + n for n in NormalPrefixes(self, chunk[at:], most - before).counts()[1:]]
+
     def cut(self, chunk: str, budget: int) -> int:
         """The characters of the longest prefix of a chunk that has ``budget`` tokens at most."""
-        best = 0
-        if (self.special is not None and "<|" in chunk) or not unicodedata.is_normalized("NFC", chunk) or any(len(c.lower()) > 1 for c in chunk):
-            # Prefixes of such a chunk aren't prefixes of its normal form: each is counted for itself.
-            for i in range(1, len(chunk) + 1):
-                n = self.text_count(chunk[:i])
-                if n <= budget:
-                    best = i
-                elif n > budget + self.longest:  # a prefix that goes on has this many less at most
-                    break
-            return best
+        counts = self.chunk_prefixes(chunk, budget)
+        return max((i for i, n in enumerate(counts) if n <= budget), default=0)
+
+
+@lru_cache(maxsize=1)
+def seconds() -> frozenset[str]:
+    """The characters that may compose with one before them: those that stand second in a canonical decomposition, and the
+    vowels and final consonants of Hangul."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset([chr(int(d[1], 16)) for d in pairs if len(d) == 2 and not d[0].startswith("<")] + [chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))])
+
+
+class NormalPrefixes:
+    """The token counts of the prefixes of a text without special strings. The normal form of most prefixes is a prefix of the
+    text's normal form, whose counts are stored; where it isn't (a letter whose accents are still to come), it differs in
+    its last few letters, and only these are added to what is stored."""
+
+    def __init__(self, own: PrefixCounter, text: str, most: int):
+        self.own, self.text = own, text
+        bounds = range(len(text) + 1)
+        if not unicodedata.is_normalized("NFC", text):
+            # Nothing composes or changes places over these bounds.
+            bounds = [0, *(i for i in range(1, len(text)) if not unicodedata.combining(text[i]) and text[i] not in seconds()), len(text)]
+        self.segments = [text[i:j] for i, j in zip(bounds, bounds[1:])]
+        forms = [self.form(s) for s in self.segments]
+        self.ends = [0, *np.cumsum([len(f) for f in forms]).tolist()]
+        self.normal = "".join(forms)
+        self.stored, self.words = [0], []
         before = 0
-        normal = "".join(c.lower() for c in chunk)
-        for m in self.pattern.finditer(normal):
-            if before <= budget:
-                best = m.start()  # over white space beyond ASCII, if any
-            if before > budget + self.longest:
-                return best
+        for m in own.pattern.finditer(self.normal):
+            self.stored += [before] * (m.start() + 1 - len(self.stored))  # over white space beyond ASCII, if any
             word = m.group()
             if word[0] == "'" and len(word) > 1 and word[1].isalpha():  # cut short, it is a quote and letters
-                counts = [0, self.prefix_counts("'")[1]]
-                counts += [counts[1] + n for n in self.prefix_counts(word[1:-1])[1:]] + [self.word_counts([word])[0]]
+                counts = [0, own.prefix_counts("'")[1]]
+                counts += [counts[1] + n for n in own.prefix_counts(word[1:-1])[1:]] + [own.word_counts([word])[0]]
+                self.words.append((m.start(), before, word, None))
             else:
-                letters = self.prefix_counts(self.spelt(word))
-                counts = [letters[e] for e in np.cumsum([0, *(len(c.encode()) for c in word)])]
-            for i, n in enumerate(counts):
-                if before + n <= budget:
-                    best = m.start() + i
+                spelt = own.spelt(word)
+                states = own.prefix_states(spelt, most - before)
+                cuts = np.cumsum([0, *(len(c.encode()) for c in word)]).tolist()
+                counts = [states[0][e] for e in cuts if e < len(states[0])]
+                self.words.append((m.start(), before, spelt, (states, cuts)))
+            self.stored += [before + n for n in counts[1:]]
+            if len(counts) <= len(word) or before + counts[-1] > most + own.longest:
+                break
             before += counts[-1]
-        if before <= budget:
-            best = len(chunk)
-        return best
+        else:
+            self.stored += [before] * (len(self.normal) + 1 - len(self.stored))
+        self.starts = [w[0] for w in self.words]
+
+    @staticmethod
+    def form(text: str) -> str:
+        return "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+
+    def counts(self) -> list[int]:
+        out = [0]
+        for k, segment in enumerate(self.segments):
+            at = self.ends[k]
+            for i in range(1, len(segment) + 1):
+                tail = self.form(segment[:i])
+                if self.normal.startswith(tail, at):
+                    if at + len(tail) >= len(self.stored):
+                        return out
+                    out.append(self.stored[at + len(tail)])
+                elif at >= len(self.stored):
+                    return out
+                else:
+                    out.append(self.with_tail(at, tail))
+        return out
+
+    def with_tail(self, at: int, tail: str) -> int:
+        """The count of the first ``at`` letters of the normal form and ``tail``."""
+        own = self.own
+        many = lambda words: sum(own.word_counts([own.spelt(w) for w in words]))
+        k = bisect.bisect_left(self.starts, at) - 1  # the word that the letter before is in
+        if k < 0 or self.normal[at - 1].isspace():
+            return self.stored[at] + many(own.pattern.findall(tail))
+        start, before, spelt, known = self.words[k]
+        if known is None or at - start <= own.longest:
+            return before + many(own.pattern.findall(self.normal[start:at] + tail))
+        first, *rest = own.pattern.findall(self.normal[at - 1] + tail)
+        if len(first) == 1:
+            return self.stored[at] + many(rest)
+        # The word goes on: no token reaches back further than the longest.
+        (_, lasts, counts), cuts = known
+        end = cuts[at - start]
+        low = end - own.longest
+        word = spelt[low:end] + own.spelt(first[1:])
+        lasts, counts = lasts[low : end + 1], counts[low : end + 1]
+        for i in range(end - low + 1, len(word)):
+            t = own.last(word, i, lasts, "")
+            lasts.append(t)
+            counts.append(counts[i - len(t)] + 1)
+        t = own.last(word, len(word), lasts, own.end)
+        return before + counts[len(word) - len(t) + len(own.end)] + 1 + many(rest)
 
 
 @lru_cache(maxsize=2)
@@ -226,14 +314,14 @@ def token_counts(documents: DataFrame, path: str, budget: int = 2048, id_col: st
     """Exact token counts of whole texts, and the answer to where a budget of tokens ends.
 
     Returns for each row doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``budget`` tokens), cut_chars (the
-    characters of the longest prefix that keeps to the budget) and, ``with_prefixes``, prefix_ends and
-    prefix_tokens: the tokens of the prefix up to the end of each run of non-blank characters (in bytes); inside a
-    run, ``PrefixCounter.prefix_counts`` has the counts. No token is added at the begin or end; strings of special
+    characters of the longest prefix that keeps to the budget), prefixes_sha256 (of the counts of the prefixes up to the end
+    of each run of non-blank characters, as little-endian unsigned 32-bit integers) and, ``with_prefixes``, these counts as
+    prefix_tokens with prefix_ends (in bytes); inside a run, ``PrefixCounter.chunk_prefixes`` has the counts. No token is added at the begin or end; strings of special
     tokens inside a text count as one token. A null text counts as empty: no bytes, no tokens. Rows are taken one by
     one, so repeated rows and null ids pass; an empty table gives an empty table. ``path`` names a vocabulary file that
     all executors have; further columns are not looked at.
     """
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long" + ", prefix_ends array<long>, prefix_tokens array<long>" * with_prefixes
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, cut_chars long, prefixes_sha256 string" + ", prefix_ends array<long>, prefix_tokens array<long>" * with_prefixes
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, chunks = counter(path), chunk_counts(path)
@@ -244,7 +332,7 @@ def token_counts(documents: DataFrame, path: str, budget: int = 2048, id_col: st
                 sums = np.concatenate([[0], np.cumsum(chunks.of(w.bytes, w.starts, w.lengths))])
                 base = sums[w.first]
                 total = base[1:] - base[:-1]
-                cuts, ends, prefixes = [], [], []
+                cuts, digests, ends, prefixes = [], [], [], []
                 for k in range(j - i):
                     a, b = int(off[i + k]), int(off[i + k + 1])
                     first, last = w.first[k], w.first[k + 1]
@@ -256,12 +344,13 @@ def token_counts(documents: DataFrame, path: str, budget: int = 2048, id_col: st
                         text = buf[a:b].tobytes()
                         chunk = text[start : start + int(w.lengths[x])].decode()
                         cuts.append(len(text[:start].decode()) + own.cut(chunk, budget - int(sums[x] - base[k])))
+                    digests.append(hashlib.sha256((sums[first + 1 : last + 1] - base[k]).astype("<u4").tobytes()).hexdigest())
                     if with_prefixes:
                         ends.append(w.starts[first:last] + w.lengths[first:last] + off[i] - a)
                         prefixes.append(sums[first + 1 : last + 1] - base[k])
-                arrays = [batch.column(0).slice(i, j - i), pa.array(np.diff(off[i : j + 1])), pa.array(total), pa.array(total > budget), pa.array(cuts, pa.int64())]
+                arrays = [batch.column(0).slice(i, j - i), pa.array(np.diff(off[i : j + 1])), pa.array(total), pa.array(total > budget), pa.array(cuts, pa.int64()), pa.array(digests, pa.string())]
                 if with_prefixes:
                     arrays += [pa.array(ends, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars"] + ["prefix_ends", "prefix_tokens"] * with_prefixes)
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars", "prefixes_sha256"] + ["prefix_ends", "prefix_tokens"] * with_prefixes)
 
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, schema)

@@ -48,7 +48,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), WORDS).select("doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars")
+    return token_counts(table(spark, sf_dir, "documents"), WORDS).select("doc_id", "n_bytes", "n_tokens", "over_limit", "cut_chars", "prefixes_sha256")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,10 +373,28 @@ def test_prefix_counter_is_the_library():
         for chunk in t.split()[:2]:
             for budget in (0, 2, 5):
                 assert own.cut(chunk, budget) == max(i for i in range(len(chunk) + 1) if n(chunk[:i]) <= budget)
+    r = random.Random(8)
+    marks = ["e", "a", "\u0301", "\u0323", "İ", "가", "\u1100", "\u1161", "\u11a8", "Å", "x", "1", "'s", "!", "<|endoftext|>", "\u0344", "th", "　", "ﬁ", "ẞ"]
+    for t in ["".join(r.choice(marks) for _ in range(r.randint(1, 25))) for _ in range(150)] + ["e\u0301" * 40, "a\u0323\u0301" * 20 + "!", "x" * 60 + "e\u0301"]:
+        for chunk in t.split():
+            assert own.chunk_prefixes(chunk) == [n(chunk[:i]) for i in range(len(chunk) + 1)], ascii(chunk)
+            assert own.cut(chunk, 7) == max(i for i in range(len(chunk) + 1) if n(chunk[:i]) <= 7)
     for word in ("unbelievable", "thethethe", "a", "internationalization"):
         assert own.prefix_counts(word) == [n(word[:i]) for i in range(len(word) + 1)]
 
 
+def test_prefixes_of_long_chunks_take_linear_time():
+    """Letters whose lower case is longer, accents of their own and special strings lead to no second encoding."""
+    import time
+
+    own = PrefixCounter(P.path("word_bpe_49k.json"))
+    for chunk in ("İ" + "ab" * 50_000, "e\u0301" * 50_000, "<|endoftext|>" * 3 + "the" * 33_000):
+        began = time.process_time()
+        assert len(own.chunk_prefixes(chunk)) == len(chunk) + 1
+        assert time.process_time() - began < 5
+        assert own.cut(chunk, 2048) < len(chunk)
+
+
 def test_token_counts(spark, docs, none):
     from tokenizers import Tokenizer
 
