@@ -43,8 +43,8 @@ def word_windows(df: DataFrame, id_col: str, text_col: str, size: int = 1000, ov
 
 def numbered_sections(text: Column) -> Column:
     """number and text of the parts that lines like ``§ 3`` begin; what stands before is a preamble without a number."""
-    parts = F.filter(F.split(text, r"(?m)(?=^\s*§\s*\d+)"), lambda p: F.trim(p) != "")
-    return F.transform(parts, lambda p: F.struct(F.nullif(F.regexp_extract(p, r"^\s*§\s*(\d+)", 1), F.lit("")).alias("number"), F.trim(p).alias("text")))
+    parts = F.transform(F.split(text, r"(?m)(?=^\s*§\s*\d+)"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(F.nullif(F.regexp_extract(p, r"^§\s*(\d+)", 1), F.lit("")).alias("number"), p.alias("text")))
 
 
 def sized_sections(parts: list[dict], most: int, least: int, overlap: int) -> list[dict]:
@@ -70,16 +70,29 @@ def section_chunks(df: DataFrame, sections_col: str, most: int = 1000, least: in
     return _mapped(df, [sections_col], "chunks", CHUNK, lambda parts: sized_sections(parts or [], most, least, overlap))
 
 
-def section_rows(df: DataFrame, id_col: str, title: Column, sections_col: str, limit: int = 2000) -> DataFrame:
-    """Rows of the section table: numbered within the case, with a header that names case, title and section, parts
-    counted, and a priority by type (C2)."""
-    each = df.select(id_col, title.alias("case_title"), F.posexplode(sections_col).alias("no", "s")).select(id_col, "case_title", "no", "s.*")
-    parts = sub_chunks(each, "content", limit).select(id_col, "case_title", "no", "type", "title", F.size("chunks").alias("n"), F.posexplode("chunks").alias("part", "text"))
-    label = F.concat(F.col("title"), F.when(F.col("n") > 1, F.format_string(" (Part %d/%d)", F.col("part") + 1, F.col("n"))).otherwise(""))
-    head = F.concat_ws("\n", F.concat(F.lit("Case: "), F.col(id_col).cast("string")), F.concat(F.lit("Title: "), "case_title"), F.concat(F.lit("Section: "), label))
-    priority = F.when(F.col("type").isin("reasoning", "judgment"), "high").otherwise("medium")
+def section_rows(df: DataFrame, id_col: str, title: Column, sections_col: str, text_col: str, keywords: Column | None = None, courts: Column | None = None, laws: Column | None = None, limit: int = 2000) -> DataFrame:
+    """Rows of the section table, numbered within the case (C2): parts of the sections with content, each under a header
+    that names the case, the section, its keywords, the courts before and 15 cited laws at most. Cases without such sections
+    have the parts of their whole text, of medium priority. keywords and laws are arrays; courts is text, null or empty
+    where there is none."""
+    none = F.array().cast("array<string>")
+    keywords, laws, courts = (x if x is not None else y for x, y in ((keywords, none), (laws, none), (courts, F.lit(""))))
+    line = lambda name, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{name}: "), value, F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("["), F.col(id_col).cast("string"), F.lit("] "), F.coalesce(title, F.lit("")), F.lit("\n"))
+    tail = F.concat(F.lit("Keywords: "), F.array_join(keywords, ", "), F.lit("\n"), line("Jurisdiction", courts), line("Cited laws/regulations", F.array_join(F.slice(laws, 1, 15), ", ")), F.lit("\n"))
+    kept = F.filter(sections_col, lambda x: F.trim(x["content"]) != "")
+    whole = F.transform(F.filter(F.array(F.coalesce(F.col(text_col), F.lit(""))), lambda t: t != ""), lambda t: F.struct(F.lit("reasoning").alias("type"), F.lit(None).cast("string").alias("title"), t.alias("content")))
+    each = df.select(id_col, head.alias("_h"), tail.alias("_t"), F.posexplode(F.when(F.size(kept) > 0, kept).otherwise(whole)).alias("no", "s")).select(id_col, "_h", "_t", "no", "s.*")
+    parts = sub_chunks(each, "content", limit).select(id_col, "_h", "_t", "no", "type", "title", F.size("chunks").alias("n"), F.posexplode("chunks").alias("part", "text"))
+    of = F.concat((F.col("part") + 1).cast("string"), F.lit("/"), F.col("n").cast("string"))
+    name = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Section"))
+    label = F.when(F.col("title").isNull(), F.concat(F.lit("Full Text Part "), of)).otherwise(F.when(F.col("n") > 1, F.concat(name, F.lit(" (Part "), of, F.lit(")"))).otherwise(name))
+    heading = F.when(F.col("title").isNull(), "").otherwise(F.concat(F.lit("Section: "), name, F.lit("\n")))
     number = F.row_number().over(Window.partitionBy(id_col).orderBy("no", "part"))
-    return parts.select(id_col, number.alias("section_number"), F.col("type").alias("section_type"), priority.alias("priority"), F.concat(head, F.lit("\n\n"), "text").alias("content"))
+    return parts.select(
+        id_col, number.alias("section_number"), F.coalesce(F.nullif(F.trim("type"), F.lit("")), F.lit("other")).alias("section_type"), label.alias("section_title"),
+        F.when(F.col("title").isNull(), "medium").otherwise("high").alias("priority"), F.concat("_h", heading, "_t", "text").alias("content"),
+    )
 
 
 def hashed_embedding(df: DataFrame, text_col: str, dims: int = 64, most: int = 8000) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from corpusq.functions import legal as P
 from corpusq.functions import scalars as S
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +26,13 @@ HEADINGS = [
 ]
 #: Section types that are stored; the others become ``other``. Fixed values.
 STORED_TYPES = ["background", "lower_court", "appeal_court", "reasoning", "judgment", "other"]
+#: Headings that end the block of keywords. Fixed values.
+KEYWORDS_END = "Case year|Tapausvuosi|Date of issue|Antopäivä|Language versions|Kieliversiot|Kausi|Päiväkirjanumero"
 #: Citations in the body of a decision. Fixed values.
 KKO_CITE, EU_CITE = r"(?i)KKO\s+(\d{4})\s*:\s*(\d+)", r"\b(C-\d+/\d+)\b"
 CRIMINAL_CODE = r"(?i)(?:RL|Rikoslaki)\s+(?:Chapter\s+)?(\d+)\s*(?:Section\s+)?(\d+)"
 LAW_CHAPTER = r"(?i)(?:Chapter|Luku)\s+(\d+)\s*,?\s*(?:Section|§)\s*(\d+[a-z]?)"
 EU_REGULATION = r"(?i)(Regulation\s+\(EU\)\s+(?:No\s+)?\d+/\d+)"
-VOTE = r"(?i)(?:Äänestys|Vote|Voting)\s+(\d+)\s*[-–]\s*(\d+)(?:\s*[-–]\s*(\d+))?"
-#: References to provisions, in order. Fixed values.
-PROVISIONS = [r"\d+\s+luvun\s+\d+\s*§(?::n)?(?:\s+\d+\s+momentin?)?", r"\b(?:OYL|RL|OK|VML|SOL|SotOikL)\s*\d+:\d+\b", r"(?i)Chapter\s+\d+\s*,?\s*Section\s+\d+[a-z]?", r"(?i)Article\s+\d+(?:\(\d+\))?", r"\b\d+\s*§"]
 SECTION = T.ArrayType(T.StructType().add("type", "string").add("title", "string").add("content", "string"))
 
 
@@ -74,10 +74,18 @@ def split_text(text: str | None, mode: str = "position") -> list[dict]:
 
 
 def sections(df: DataFrame, text_col: str, mode: str = "position") -> DataFrame:
-    """Adds ``sections`` (E9, E10); a text without headings is one section ``other`` of 50,000 characters at most."""
+    """Adds ``sections`` (E9, E10). A text without headings of their own lines, but with a reasoning and a judgment among
+    others, has the reasoning between the two; else it is one section ``other`` of 50,000 characters at most."""
+    inner = [re.compile(rf"\n\s*(?:{w})\s*\n", re.IGNORECASE) for w in ("Reasoning|Perustelut|Pääasiaratkaisun perustelut|Johtopäätös", "Judgment|Tuomiolauselma|Päätöslauselma|Päätös")]
 
     def made(text):
-        return split_text(text, mode) or ([{"type": "other", "title": "Full text", "content": text.strip()[:50_000]}] if (text or "").strip() else [])
+        found = split_text(text, mode)
+        if found or not (text or "").strip():
+            return found
+        begin, end = (p.search(text) for p in inner)
+        if begin and end and text[begin.end() : end.start()].strip():
+            return [{"type": "reasoning", "title": "Reasoning", "content": text[begin.end() : end.start()].strip()}]
+        return [{"type": "other", "title": "Full text", "content": text.strip()[:50_000]}]
 
     return _mapped(df, [text_col], "sections", SECTION, made)
 
@@ -118,35 +126,76 @@ def judges(text: Column) -> Column:
     return F.struct(F.filter(names, lambda n: F.length(n) > 2).alias("names"), last.alias("rapporteur"))
 
 
+def _named_vote(text: Column, pattern: str) -> Column:
+    a, b, c = (F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).cast("int") for i in (1, 2, 3))
+    third = F.nullif(c, F.lit(0))
+    strength = F.concat_ws("-", a.cast("string"), b.cast("string"), third.cast("string"))
+    return F.when(a.isNotNull(), F.struct((a + b + F.coalesce(third, F.lit(0))).alias("total"), b.alias("dissenting"), strength.alias("strength")))
+
+
+def _counted_vote(n: Column, d: Column) -> Column:
+    return F.when(n > 0, F.struct(n.alias("total"), d.alias("dissenting"), F.concat_ws("-", (n - d).cast("string"), d.cast("string")).alias("strength")))
+
+
 def vote(text: Column) -> Column:
-    """total, dissenting and strength: from the vote that the text names, else from its line of judges with those of
-    another mind (E4)."""
-    a, b, c = (F.nullif(F.regexp_extract(text, VOTE, i), F.lit("")).cast("int") for i in (1, 2, 3))
-    less = b + F.coalesce(c, F.lit(0))
-    named = F.struct((a + less).alias("total"), less.alias("dissenting"), F.concat_ws("-", a.cast("string"), b.cast("string"), c.cast("string")).alias("strength"))
-    line = F.regexp_extract(text, r"(?is)Asian\s+ovat\s+ratkaisseet\s+(?:oikeusneuvokset|[\w\s\-]+?)\s+(.+?)(?=\.\s*Esittelijä|\.\s*Rapporteur|\.\s*$|\n\n)", 1)
-    members = F.filter(F.split(line, r",\s*|\s+ja\s+"), lambda x: (F.length(F.trim(x)) >= 4) & ~x.rlike("(?i)esittelijä|rapporteur|legal\\s+advisor"))
-    n, d = F.size(members), F.size(F.filter(members, lambda x: x.rlike(r"(?i)\(eri\s+mieltä\)")))
-    lined = F.struct(n.alias("total"), d.alias("dissenting"), F.concat_ws("-", (n - d).cast("string"), d.cast("string")).alias("strength"))
-    return F.when(a.isNotNull(), named).when(n > 0, lined)
+    """total, dissenting and strength (E4): from the vote that the text names, else from its line of judges with those of
+    another mind, else from an older line with the members whose opinions follow, else from the judges who are named and
+    whether a dissenting section is there."""
+    members = lambda p, cut, least: F.filter(F.transform(F.split(F.regexp_extract(text, p, 1), cut), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) >= least)
+    line = F.filter(members(P.JUDGES_LINE, r",\s*|\s+ja\s+", 4), lambda x: ~x.rlike(P.NO_JUDGE))
+    short = lambda p: F.length(F.regexp_extract(text, p, 1)) <= 2000
+    lined = F.when(short(P.JUDGES_LINE), _counted_vote(F.size(line), F.size(F.filter(line, lambda x: x.rlike(P.OTHER_MIND)))))
+    n = F.size(members(P.OLD_JUDGES_LINE, r",\s*|\s+(?:ja|sekä)\s+", 3))
+    d = F.when(text.rlike(P.DISSENTERS), F.greatest(F.lit(1), F.regexp_count(text, F.lit(P.DISSENT_NAMED)))).otherwise(0)
+    old = F.when(short(P.OLD_JUDGES_LINE), _counted_vote(n, F.when(n - d < 1, 0).otherwise(d)))
+    named = F.size(judges(text)["names"])
+    return F.coalesce(*[_named_vote(text, p) for p in P.VOTES], lined, old, _counted_vote(named, F.when(text.rlike(P.DISSENT_SECTION), 1).otherwise(0)))
+
+
+def outcome(text: Column) -> Column:
+    """The outcome that a decision's text names."""
+    found = None
+    for name, pattern in P.OUTCOMES:
+        found = F.when(text.rlike(pattern), name) if found is None else found.when(text.rlike(pattern), name)
+    return found.otherwise(P.NO_OUTCOME)
+
+
+def _court(text: Column, pattern: str) -> Column:
+    """name (what stands in the line before), date and number. The name is taken from what precedes the match: a pattern that
+    began with any characters would try each place of a long line with each other."""
+    g = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
+    before = F.left(text, F.regexp_instr(text, F.lit(pattern)) - 1)
+    line = F.element_at(F.split(F.regexp_replace(before, r"\s+$", ""), "\n"), -1)
+    return F.struct(F.when(g(1).isNotNull() & before.rlike(r"\s\z"), F.nullif(line, F.lit(""))).alias("name"), g(1).alias("date"), g(2).alias("number"))
 
 
 def lower_court(text: Column) -> Column:
     """name, date and number of the first court's judgment (E5)."""
-    p = r"(?i)(?:([^\n]+?)\s+)?(?:District Court|Käräjäoikeus)\s+(?:judgment|tuomio)\s+(?:of\s+)?(\d{1,2}[./]\d{1,2}[./]\d{2,4})\s+(?:no\.?|n:o)\s*(\d{2}/\d+)"
-    g = lambda i: F.nullif(F.regexp_extract(text, p, i), F.lit(""))
-    return F.struct(g(1).alias("name"), g(2).alias("date"), g(3).alias("number"))
+    return _court(text, P.DISTRICT_COURT)
+
+
+def appeal_court(text: Column) -> Column:
+    """name, date and number of the court of appeal's judgment (E5)."""
+    return _court(text, P.APPEAL_COURT)
 
 
 def citations(text: Column, own: Column | None = None) -> Column:
-    """cases, eu_cases, laws (100 at most) and regulations (30 at most), each once, in the order of the text."""
+    """cases, eu_cases, laws (100 at most), regulations (30 at most) and articles of regulations, each once, in the order of
+    the text (E6)."""
     grab = lambda p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
     pair = lambda p, a, b: F.zip_with(grab(p, 1), grab(p, 2), lambda x, y: F.concat(F.lit(a), x, F.lit(b), y))
     cases = F.array_distinct(pair(KKO_CITE, "KKO:", ":"))
     if own is not None:
         cases = F.filter(cases, lambda c: c != own)
     laws = F.slice(F.array_distinct(F.concat(pair(CRIMINAL_CODE, "RL ", ":"), pair(LAW_CHAPTER, "Chapter ", " Section "))), 1, 100)
-    return F.struct(cases.alias("cases"), F.array_distinct(grab(EU_CITE, 1)).alias("eu_cases"), laws.alias("laws"), F.slice(F.array_distinct(grab(EU_REGULATION, 1)), 1, 30).alias("regulations"))
+    articles = F.array_distinct(F.zip_with(grab(P.REGULATION_ARTICLE, 1), grab(P.REGULATION_ARTICLE, 2), lambda a, b: F.concat(F.lit("Article "), a, F.when(b != "", F.concat(F.lit("("), b, F.lit(")"))).otherwise(""))))
+    return F.struct(cases.alias("cases"), F.array_distinct(grab(EU_CITE, 1)).alias("eu_cases"), laws.alias("laws"), F.slice(F.array_distinct(grab(EU_REGULATION, 1)), 1, 30).alias("regulations"), articles.alias("articles"))
+
+
+def header_laws(text: Column, most: int = 2000) -> Column:
+    """The lines of the first ``most`` characters that name a section of a law, each once."""
+    lines = F.transform(F.split(F.left(text, F.lit(most)), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(lines, lambda x: x.contains("§")))
 
 
 def reference_edges(df: DataFrame, id_col: str, cited: str) -> DataFrame:
@@ -157,15 +206,58 @@ def reference_edges(df: DataFrame, id_col: str, cited: str) -> DataFrame:
 
 
 def phrases(text: Column, patterns: Sequence[str], least: int, budget: int, joined: str = " | ") -> Column:
-    """Distinct matches of at least ``least`` characters in the order of the patterns, as many as fit in ``budget``
-    characters, joined (E13, E14)."""
-    grab = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x: F.trim(x)) for p in patterns]))
-    kept = F.filter(F.array_distinct(grab), lambda x: F.length(x) >= least)
+    """Distinct matches of at least ``least`` characters in the order of the text, as many as fit in ``budget``
+    characters with what joins them (E13, E14)."""
+    every = F.transform(F.regexp_extract_all(text, F.lit("(?isu)" + "|".join(f"({p})" for p in patterns)), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    kept = F.filter(F.array_distinct(every), lambda x: F.length(x) >= least)
     empty = F.struct(F.array().cast("array<string>").alias("a"), F.lit(0).alias("n"), F.lit(False).alias("full"))
-    step = lambda s, x: F.when(s["full"] | (s["n"] + F.length(x) > budget), F.struct(s["a"].alias("a"), s["n"].alias("n"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(s["a"], F.array(x)).alias("a"), (s["n"] + F.length(x)).alias("n"), F.lit(False).alias("full")))
+    size = lambda x: F.length(x) + len(joined)
+    step = lambda s, x: F.when(s["full"] | (s["n"] + size(x) > budget), F.struct(s["a"].alias("a"), s["n"].alias("n"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(s["a"], F.array(x)).alias("a"), (s["n"] + size(x)).alias("n"), F.lit(False).alias("full")))
     return F.array_join(F.aggregate(kept, empty, step, lambda s: s["a"]), joined)
 
 
+def exceptions(text: Column) -> Column:
+    """Sentences that except or limit."""
+    return phrases(text, P.EXCEPTIONS, 20, 2000)
+
+
+def distinctive_facts(text: Column) -> Column:
+    """Sentences that name what decided."""
+    return phrases(text, P.FACTS, 15, 1500)
+
+
+def _section_text(text: Column, kind: str) -> Column:
+    """What stands behind the first heading of a kind up to the first of any other kind; null without one."""
+    own = dict(HEADINGS)[kind]
+    others = "|".join(w for k, w in HEADINGS if k != kind)
+    heading = rf"(?imu)^(?:{own})\s*$"
+    return F.when(text.rlike(heading), F.regexp_extract(text, rf"(?imsu)^(?:{own})\s*?$(.*?)(?=^(?:{others})\s*?$|\z)", 1))
+
+
+def _squeezed(text: Column, most: int) -> Column:
+    return F.left(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " "), F.lit(most))
+
+
+def reasoning_excerpt(text: Column, most: int = 1500) -> Column:
+    """The beginning of the reasoning section, else of what stands for it in older decisions, if over 40 characters."""
+    out = _squeezed(_section_text(text, "reasoning"), most)
+    for p in P.OLD_REASONING:
+        flags, body = p[: p.index(")") + 1].replace(")", "s)"), p[p.index(")") + 1 :]
+        part = _squeezed(F.regexp_extract(text, rf"{flags}(?:{body})(.*?)(?={P.OLD_REASONING_END.removeprefix('(?iu)')}|\z)", 1), most)
+        out = F.coalesce(out, F.when(F.length(part) > 40, part))
+    return F.coalesce(out, F.lit(""))
+
+
+def ruling_instruction(text: Column, most: int = 600) -> Column:
+    """The beginning of the judgment section, else an abstract of over 30 characters, else the first paragraph behind the
+    keywords of over 40 (E16)."""
+    abstract = _squeezed(F.regexp_extract(text, P.ABSTRACT, 1), most)
+    behind = F.regexp_extract(text, rf"(?imsu)^\s*(?:{KEYWORDS_END})\s*$(.*)", 1)
+    paragraphs = F.transform(F.split(behind, r"\n\s*\n", 6), lambda x: _squeezed(x, 10**6))
+    first = F.get(F.filter(paragraphs, lambda x: (F.length(x) > 40) & ~x.rlike(P.NO_ABSTRACT)), F.lit(0))
+    return F.coalesce(_squeezed(_section_text(text, "judgment"), most), F.when(F.length(abstract) > 30, abstract), F.left(first, F.lit(most)), F.lit(""))
+
+
 def excerpt(text: Column, heading: str, end: str, most: int) -> Column:
     """The text behind a heading up to the next one, ``most`` characters of it."""
     part = F.regexp_replace(F.regexp_extract(text, rf"(?ims)^(?:{heading})\s*$(.+?)(?=^(?:{end})\s*$|\Z)", 1), r"^\s+|\s+$", "")
@@ -173,17 +265,34 @@ def excerpt(text: Column, heading: str, end: str, most: int) -> Column:
 
 
 def provisions(text: Column, most: int = 30) -> Column:
-    """References to provisions, pattern by pattern, each once."""
-    grab = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", " ")) for p in PROVISIONS]
+    """References to provisions in their common form, pattern by pattern, each once."""
+    grab = []
+    for pattern, form in P.PROVISIONS:
+        groups = sorted({int(n) for n in re.findall(r"\{(\d)\}", form)})
+        found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(n)).alias(f"g{n}") for n in groups])
+        filled = lambda x, form: F.concat(*[x[f"g{part[1]}"] if part.startswith("{") else F.lit(part) for part in re.split(r"(\{\d\})", form) if part])
+        whole, _, bare = form.partition("|")
+        # Where the second group is empty, the form without it holds.
+        grab.append(F.transform(found, (lambda whole, bare: lambda x: F.when(x["g2"] == "", filled(x, bare)).otherwise(filled(x, whole)) if bare else filled(x, whole))(whole, bare)))
     return F.slice(F.array_distinct(F.concat(*grab)), 1, most)
 
 
+def applied_provisions(text: Column, most: int = 800) -> Column:
+    """The references of the reasoning section (else of what follows the court's name, else of the text), joined."""
+    old = F.when(text.rlike(P.OLD_PROVISIONS), F.regexp_extract(text, P.OLD_PROVISIONS.replace("(?imu)", "(?imsu)") + "(.*)", 1))
+    block = F.coalesce(_section_text(text, "reasoning"), old, text)
+    return F.left(F.array_join(provisions(block), ", "), F.lit(most))
+
+
 def provision_report(text: Column) -> Column:
-    """provisions (sorted) and confidence: a tenth for each, up to 1, with 0.15 at most for statutes."""
-    found = F.array_sort(provisions(text, 10_000))
-    statutes = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(S.STATUTE), F.lit(1))))
-    n = F.least(F.size(found) / F.lit(10), F.lit(1.0)) + F.least(statutes / F.lit(5), F.lit(0.15))
-    return F.struct(found.alias("provisions"), F.round(F.least(n, F.lit(1.0)), 4).alias("confidence"))
+    """provisions (as they stand, sorted), statutes (sorted) and confidence: a tenth for each provision, up to 1, with
+    0.15 at most for statutes (E18)."""
+    grab = lambda p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
+    sections = F.zip_with(grab(P.STATUTE_SECTION, 1), grab(P.STATUTE_SECTION, 2), lambda a, b: F.concat(a, F.lit(" § "), b))
+    found = F.array_sort(F.array_distinct(F.concat(*[grab(p, 0) for p in P.ANY_PROVISION], sections)))
+    statutes = F.array_sort(F.array_distinct(grab(P.STATUTE_SECTION, 1)))
+    n = F.least(F.size(found) / F.lit(10), F.lit(1.0)) + F.least(F.size(statutes) / F.lit(5), F.lit(0.15))
+    return F.struct(found.alias("provisions"), statutes.alias("statutes"), F.when(F.size(found) == 0, 0.0).otherwise(F.round(F.least(n, F.lit(1.0)), 4)).alias("confidence"))
 
 
 CONTEXT = T.ArrayType(T.StructType().add("position", "integer").add("provision", "string").add("context", "string"))
@@ -194,23 +303,24 @@ def provision_contexts(df: DataFrame, text_col: str, around: int = 150) -> DataF
 
     def made(text):
         text = text or ""
-        at = {(m.start(), m.group()) for p in PROVISIONS for m in re.finditer(p, text)}
+        at = {(m.start(), m.group()) for p in P.ANY_PROVISION for m in re.finditer(p, text)}
         return [{"position": s, "provision": g, "context": text[max(0, s - around) : s + len(g) + around]} for s, g in sorted(at)]
 
     return _mapped(df, [text_col], "contexts", CONTEXT, made)
 
 
 def header(text: Column) -> Column:
-    """ecli, diary, volume, year, date and keywords from the first 4,000 characters."""
+    """ecli, diary, volume, year, date and keywords from the first 4,000 characters, and the outcome from all of the text
+    (E1, E2)."""
     head = F.left(text, F.lit(4000))
     grab = lambda p: F.nullif(F.trim(F.regexp_extract(head, p, 1)), F.lit(""))
-    block = F.regexp_extract(head, r"(?ims)^\s*(?:Keywords|Asiasanat)\s*$(.{0,800}?)(?=^\s*(?:Case year|Tapausvuosi|Date of issue|Antopäivä|Language versions|Kieliversiot|Kausi|Päiväkirjanumero)\s*$|\Z)", 1)
+    block = F.regexp_extract(head, r"(?ims)^\s*(?:Keywords|Asiasanat)\s*$(.{0,800}?)(?=^\s*(?:" + KEYWORDS_END + r")\s*$|\Z)", 1)
     words = F.slice(F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 50)
     english = S.english_date(grab(r"(?i)(?:Date of issue|Antopäivä)\s*\n\s*([A-Z][a-z]+\s+\d{1,2},?\s+\d{4})"))
     numeric = S.iso_date(grab(r"(?i)(?:Date of issue|Antopäivä)\s*\n\s*(\d{1,2}\.\d{1,2}\.\d{4})"))
     return F.struct(
         grab(r"(?i)(ECLI\s*:\s*FI\s*:\s*KKO\s*:\s*\d{4}\s*:\s*\d+)").alias("ecli"), grab(r"(?i)(?:Diary number|Päiväkirjanumero|Dnro)\s*\n\s*([A-Z]?\s*\d+/\d+(?:/\d+)?)").alias("diary"),
-        grab(r"(?i)(?:Volume|Taltio)\s*\n\s*([^\n]+)").alias("volume"), grab(r"(?i)(?:Case year|Kausi)\s*\n\s*(\d{4})").cast("int").alias("year"), F.coalesce(english, numeric).alias("date"), words.alias("keywords"),
+        grab(r"(?i)(?:Volume|Taltio)\s*\n\s*([^\n]+)").alias("volume"), grab(r"(?i)(?:Case year|Kausi)\s*\n\s*(\d{4})").cast("int").alias("year"), F.coalesce(english, numeric).alias("date"), words.alias("keywords"), outcome(text).alias("outcome"),
     )
 
 
@@ -238,6 +348,45 @@ def derived_case_id(title: Column, url: Column, text: Column) -> Column:
     return F.coalesce(first(title), by_url, first(F.left(text, F.lit(500))), F.concat(F.lit("URL:"), F.left(F.sha2(url, 256), F.lit(16))))
 
 
+def decision_type(url: Column) -> Column:
+    """A decision's type by its URL."""
+    found = None
+    for kind, pattern in P.URL_TYPES:
+        found = F.when(url.rlike(pattern), kind) if found is None else found.when(url.rlike(pattern), kind)
+    return found.otherwise("precedent")
+
+
+def cjeu_sections(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``sections`` of judgments of the Court of Justice."""
+    return marked_sections(df, text_col, P.CJEU_MARKERS)
+
+
+def echr_sections(df: DataFrame, text_col: str) -> DataFrame:
+    """Adds ``sections`` of judgments of the Court of Human Rights."""
+    return marked_sections(df, text_col, P.ECHR_MARKERS)
+
+
+def background(text: Column, most: int = 2000) -> Column:
+    """The text behind the heading of the background, null without one."""
+    found = None
+    for heading, skip in P.BACKGROUNDS:
+        part = F.substring(text, F.locate(heading, text) + skip, F.lit(most))
+        found = F.when(text.contains(heading), part) if found is None else found.when(text.contains(heading), part)
+    return found
+
+
+def dissent(text: Column, flag: Column, own: Column, most: int = 2000) -> Column:
+    """flag and text of a dissent (D5): both from its section; the flag alone from a mark of the vote; the text of cases
+    that are flagged already from the section."""
+    section = text.contains(P.OTHER_MIND_SECTION)
+    part = F.when(section, F.substring(text, F.locate(P.OTHER_MIND_SECTION, text), F.lit(most)))
+    marked = F.lit(False)
+    for m in P.OTHER_MIND_MARKS:
+        marked = marked | text.contains(m)
+    was = F.coalesce(flag, F.lit(False))
+    return F.struct((was | section | marked).alias("flag"), F.when(~was & section, part).otherwise(F.coalesce(F.nullif(own, F.lit("")), F.when(was, part), own)).alias("text"))
+
+
 def eu_document(df: DataFrame) -> DataFrame:
     """case_id, court_type, year and language label of an EU document by celex, ecli, date and lang."""
     court = F.when(F.col("celex").rlike("^6\\d{4}CJ"), "cjeu").when(F.col("celex").rlike("^6\\d{4}TJ"), "general_court")

@@ -1,7 +1,7 @@
 """Queries of sources, extraction, chunking and conversations (§2.1, 2.10, 2.11 of the survey).
 
 Where the tables have no legal text, decisions are made of the documents' own rows: headings, citations and votes are
-put around parts of their texts."""
+put around their whole texts."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from corpusq.sources import readers as I
 from pyspark.sql import functions as F
 
 _HEAD = "'ECLI:FI:KKO:', 1990 + doc_id % 30, ':', doc_id % 80, '\nDate of issue\nJanuary ', 1 + doc_id % 28, ', ', 1990 + doc_id % 30, '\nDiary number\nS', 1990 + doc_id % 30, '/', doc_id, '\nKeywords\n', source, '\n', lang, '\nCase year\n', 1990 + doc_id % 30, '\n'"
-_BODY = "'Reasoning\n', left(text, 300), ' KKO 1999:', doc_id % 50, ' and KKO ', 1990 + doc_id % 30, ':', doc_id % 80, ', C-', doc_id, '/18; RL 10:', doc_id % 9, ', 5 luvun ', doc_id % 7, ' §, Regulation (EU) No 12/', doc_id % 30, '\nJudgment\nTuomio ', substr(text, 300, 100), ' Äänestys ', 3 + doc_id % 3, '-', doc_id % 3, '\n'"
-DECISION = f"concat({_HEAD}, 'Background of the matter\n', left(text, 80), '\n', {_BODY})"
+_BODY = "'Reasoning\n', text, ' KKO 1999:', doc_id % 50, ' and KKO ', 1990 + doc_id % 30, ':', doc_id % 80, ', C-', doc_id, '/18; RL 10:', doc_id % 9, ', 5 luvun ', doc_id % 7, ' §, Regulation (EU) No 12/', doc_id % 30, ', Article ', doc_id % 5, '(2) of the Regulation. Poikkeuksena tilanteissa, joissa ', lang, ' on sovellettava toisin.\nJudgment\nTuomio ', source, ' palautetaan. Äänestys ', 3 + doc_id % 3, '-', doc_id % 3, '\n'"
+DECISION = f"concat({_HEAD}, 'Background of the matter\n', text, '\n', {_BODY})"
 
 
 def decisions(spark, d):
@@ -24,9 +24,9 @@ def decisions(spark, d):
 _V = "CAST({} AS VARCHAR)".format
 
 
-@query(f"SELECT doc_id, 'ECLI:FI:KKO:' || {_V('1990 + doc_id % 30')} || ':' || {_V('doc_id % 80')} AS ecli, 'S' || {_V('1990 + doc_id % 30')} || '/' || {_V('doc_id')} AS diary, 1990 + doc_id % 30 AS year, {_V('1990 + doc_id % 30')} || '-01-' || lpad({_V('1 + doc_id % 28')}, 2, '0') AS date, [source, lang] AS keywords FROM documents")
+@query(f"SELECT doc_id, 'ECLI:FI:KKO:' || {_V('1990 + doc_id % 30')} || ':' || {_V('doc_id % 80')} AS ecli, 'S' || {_V('1990 + doc_id % 30')} || '/' || {_V('doc_id')} AS diary, 1990 + doc_id % 30 AS year, {_V('1990 + doc_id % 30')} || '-01-' || lpad({_V('1 + doc_id % 28')}, 2, '0') AS date, [source, lang] AS keywords, 'case_remanded' AS outcome FROM documents")
 def e1_e2_header(spark, d):
-    return decisions(spark, d).select("doc_id", E.header(F.col("full_text")).alias("h")).select("doc_id", "h.ecli", "h.diary", "h.year", "h.date", "h.keywords")
+    return decisions(spark, d).select("doc_id", E.header(F.col("full_text")).alias("h")).select("doc_id", "h.ecli", "h.diary", "h.year", "h.date", "h.keywords", "h.outcome")
 
 
 @query(f"SELECT doc_id, ['Anna ' || source, 'Bo Ek'] AS names, 'Eva' AS rapporteur FROM documents")
@@ -35,87 +35,112 @@ def e3_judges(spark, d):
     return table(spark, d, "documents").select("doc_id", E.judges(t).alias("j")).select("doc_id", "j.*")
 
 
-@query(f"SELECT doc_id, 3 + doc_id % 3 + doc_id % 3 AS total, doc_id % 3 AS dissenting, {_V('3 + doc_id % 3')} || '-' || {_V('doc_id % 3')} AS strength FROM documents")
+@query(f"""SELECT doc_id, CASE WHEN k = 0 THEN 3 + doc_id % 3 + doc_id % 3 WHEN k = 1 THEN 3 ELSE 2 END AS total, CASE WHEN k = 0 THEN doc_id % 3 WHEN k = 1 THEN 1 ELSE 1 END AS dissenting,
+CASE WHEN k = 0 THEN {_V('3 + doc_id % 3')} || '-' || {_V('doc_id % 3')} WHEN k = 1 THEN '2-1' ELSE '1-1' END AS strength FROM (SELECT doc_id, doc_id // 7 % 3 AS k FROM documents)""")
 def e4_vote(spark, d):
-    return decisions(spark, d).select("doc_id", E.vote(F.col("full_text")).alias("v")).select("doc_id", "v.*")
+    """A named vote, a line of judges and an older one, behind the whole text."""
+    k = F.expr("doc_id div 7 % 3")
+    last = F.when(k == 1, "Asian ovat ratkaisseet oikeusneuvokset Anna Ek, Bo Ask (eri mieltä) ja Eva Ola. Esittelijä X.").when(k == 2, "Ratkaisuun osallistuneet: oikeusneuvokset Ek sekä Ask\n\nEri mieltä olevan jäsenen lausunto\nOikeusneuvos Ask: x")
+    docs = decisions(spark, d).select("doc_id", F.when(k == 0, F.col("full_text")).otherwise(F.concat("text", F.lit("\n"), last)).alias("t"))
+    return docs.select("doc_id", E.vote(F.col("t")).alias("v")).select("doc_id", "v.*")
 
 
-@query(f"SELECT doc_id, lang AS name, {_V('1 + doc_id % 28')} || '.4.2023' AS date, '23/' || {_V('doc_id')} AS number FROM documents")
+@query(f"SELECT doc_id, lang AS name, {_V('1 + doc_id % 28')} || '.4.2023' AS date, '23/' || {_V('doc_id')} AS number, source AS appeal_name, '18 October 2021' AS appeal_date, {_V('doc_id')} AS appeal_number FROM documents")
 def e5_lower_court(spark, d):
-    t = F.concat(F.lit("A\n"), F.col("lang"), F.lit(" District Court judgment "), (1 + F.col("doc_id") % 28).cast("string"), F.lit(".4.2023 no. 23/"), F.col("doc_id").cast("string"))
-    return table(spark, d, "documents").select("doc_id", E.lower_court(t).alias("c")).select("doc_id", "c.*")
+    t = F.concat("text", F.lit("\n"), "lang", F.lit(" District Court judgment "), (1 + F.col("doc_id") % 28).cast("string"), F.lit(".4.2023 no. 23/"), F.col("doc_id").cast("string"), F.lit("\n"), "source", F.lit(" Court of Appeal judgment 18 October 2021 no. "), F.col("doc_id").cast("string"))
+    found = table(spark, d, "documents").select("doc_id", E.lower_court(t).alias("c"), E.appeal_court(t).alias("a"))
+    return found.select("doc_id", "c.*", F.col("a.name").alias("appeal_name"), F.col("a.date").alias("appeal_date"), F.col("a.number").alias("appeal_number"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN 1990 + doc_id % 30 = 1999 AND doc_id % 50 = doc_id % 80 THEN ['KKO:1999:' || {_V('doc_id % 50')}] ELSE ['KKO:1999:' || {_V('doc_id % 50')}, 'KKO:' || {_V('1990 + doc_id % 30')} || ':' || {_V('doc_id % 80')}] END AS cases,
-['C-' || {_V('doc_id')} || '/18'] AS eu_cases, ['Regulation (EU) No 12/' || {_V('doc_id % 30')}] AS regulations FROM documents""")
+['C-' || {_V('doc_id')} || '/18'] AS eu_cases, ['Regulation (EU) No 12/' || {_V('doc_id % 30')}] AS regulations, ['Article ' || {_V('doc_id % 5')} || '(2)'] AS articles FROM documents""")
 def e6_citations(spark, d):
-    return decisions(spark, d).select("doc_id", E.citations(F.col("full_text")).alias("c")).select("doc_id", "c.cases", "c.eu_cases", "c.regulations")
+    return decisions(spark, d).select("doc_id", E.citations(F.col("full_text")).alias("c")).select("doc_id", "c.cases", "c.eu_cases", "c.regulations", "c.articles")
 
 
 @query(f"""WITH c AS (SELECT doc_id, unnest(['KKO:1999:' || {_V('doc_id % 50')}, 'KKO:' || {_V('1990 + doc_id % 30')} || ':' || {_V('doc_id % 80')}]) AS r, 'KKO:' || {_V('1990 + doc_id % 30')} || ':' || {_V('doc_id % 80')} AS own FROM documents)
-SELECT DISTINCT doc_id AS source, r AS referenced_id, 'cited_case' AS reference_type FROM c WHERE r <> own""")
+SELECT DISTINCT doc_id AS source, r AS referenced_id, 'cited_case' AS reference_type FROM c WHERE r <> own
+UNION ALL SELECT doc_id, '5 luku ' || {_V('doc_id % 7')} || ' §', 'header_law' FROM documents""")
 def e7_e8_reference_edges(spark, d):
     own = F.concat(F.lit("KKO:"), (1990 + F.col("doc_id") % 30).cast("string"), F.lit(":"), (F.col("doc_id") % 80).cast("string"))
     c = decisions(spark, d).select("doc_id", E.citations(F.col("full_text"), own).alias("c"))
-    return E.reference_edges(c, "doc_id", "c").where("reference_type = 'cited_case'")
+    cited = E.reference_edges(c, "doc_id", "c").where("reference_type = 'cited_case'")
+    heads = F.expr("concat('ECLI:FI:KKO:1\n5 luku ', doc_id % 7, ' §\nKeywords\n', text)")
+    laws = table(spark, d, "documents").select(F.col("doc_id").alias("source"), F.explode(F.filter(E.header_laws(heads, 40), lambda x: x.startswith("5 luku"))).alias("referenced_id"), F.lit("header_law").alias("reference_type"))
+    return cited.unionByName(laws)
 
 
-@query("SELECT doc_id, ['background', 'reasoning', 'judgment'] AS kinds, length(trim(left(text, 80), ' ' || chr(10))) AS n FROM documents")
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['background', 'reasoning', 'judgment'] ELSE ['reasoning'] END AS kinds, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS n FROM documents""")
 def e9_e10_sections(spark, d):
-    s = E.sections(decisions(spark, d).select("doc_id", "full_text"), "full_text")
+    """Decisions with headings and, every second, texts whose headings stand after a blank."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.col("full_text")).otherwise(F.concat(F.lit("x\n Perustelut\n"), F.regexp_replace("text", r"^\s+|\s+$", ""), F.lit(".\n Tuomiolauselma\nx")))
+    s = E.sections(decisions(spark, d).select("doc_id", t.alias("full_text")), "full_text")
     return s.select("doc_id", F.transform("sections", lambda x: x["type"]).alias("kinds"), F.length(F.col("sections")[0]["content"]).alias("n"))
 
 
-@query("SELECT doc_id, false AS enough, ['background', 'reasoning', 'judgment'] AS kinds FROM documents")
+@query(r"""SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) + 1 >= 0.9 * (length(text) + 23 + CASE WHEN doc_id % 2 = 0 THEN 400 ELSE 0 END) AS enough, ['background', 'judgment'] AS kinds FROM documents""")
 def e11_sufficiency(spark, d):
-    s = E.sections(decisions(spark, d).select("doc_id", F.concat(F.lit("x " * 400), "full_text").alias("full_text")), "full_text")
-    return s.select("doc_id", E.sufficient("sections", "full_text").alias("enough"), F.transform(E.stored_sections("sections"), lambda x: x["type"]).alias("kinds"))
+    """Sections of whole texts behind a preface, every second of which is long."""
+    t = F.concat(F.expr("repeat('x ', CASE WHEN doc_id % 2 = 0 THEN 200 ELSE 0 END)"), F.lit("\nAsian tausta\n"), "text", F.lit("\nPäätös\nx"))
+    s = E.sections(table(spark, d, "documents").select("doc_id", t.alias("full_text")), "full_text")
+    n = F.aggregate("sections", F.lit(0), lambda a, x: a + F.length(x["content"]))
+    enough = E.sufficient("sections", "full_text") & (n > 0)
+    return s.select("doc_id", enough.alias("enough"), F.transform(E.stored_sections("sections"), lambda x: x["type"]).alias("kinds"))
 
 
-@query("SELECT doc_id, CASE WHEN length(trim(left(text, 200), ' ' || chr(10))) > 100 THEN ['background', 'reasoning', 'judgment'] ELSE ['reasoning', 'judgment'] END AS kinds FROM documents")
+@query(r"""SELECT doc_id, CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 100 THEN ['background'] ELSE [] END || CASE WHEN doc_id % 2 = 0 THEN ['legal_framework', 'operative_part'] ELSE ['facts', 'law', 'operative_part'] END AS kinds FROM documents""")
 def e12_marked_sections(spark, d):
-    t = F.concat(F.left("text", F.lit(200)), F.lit("\nLegal context\nabc\nOn those grounds\nx"))
-    s = E.marked_sections(table(spark, d, "documents").select("doc_id", t.alias("t")), "t", [("judgment", "^On those grounds"), ("reasoning", "^Legal context")])
-    return s.select("doc_id", F.transform("sections", lambda x: x["type"]).alias("kinds"))
+    """Whole texts before the sections of judgments of one European court or the other."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    one = E.cjeu_sections(docs.where("doc_id % 2 = 0").select("doc_id", F.concat("text", F.lit("\nLegal framework\nabc\nOn those grounds\nx")).alias("t")), "t")
+    two = E.echr_sections(docs.where("doc_id % 2 = 1").select("doc_id", F.concat("text", F.lit("\nTHE FACTS\nabc\nTHE LAW\nx\nFOR THESE REASONS\ny")).alias("t")), "t")
+    return one.unionByName(two).select("doc_id", F.transform("sections", lambda x: x["type"]).alias("kinds"))
 
 
 @query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][^.]*\.')) AS x, unnest(range(len(regexp_extract_all(text, '[A-Z][^.]*\.')))) AS i FROM documents),
-u AS (SELECT doc_id, trim(x) AS x, min(i) AS i FROM m WHERE length(trim(x)) >= 20 GROUP BY 1, 2), o AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM u), f AS (SELECT doc_id, min(i) AS stop FROM o WHERE s > 400 GROUP BY 1)
-SELECT d.doc_id, coalesce(string_agg(o.x, ' | ' ORDER BY o.i) FILTER (o.i < coalesce(f.stop, 1000000000)), '') AS facts FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY 1""")
+u AS (SELECT doc_id, trim(x) AS x, min(i) AS i FROM m WHERE length(trim(x)) >= 20 GROUP BY 1, 2), o AS (SELECT *, sum(length(x) + 3) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM u), f AS (SELECT doc_id, min(i) AS stop FROM o WHERE s > 400 GROUP BY 1)
+SELECT d.doc_id, coalesce(string_agg(o.x, ' | ' ORDER BY o.i) FILTER (o.i < coalesce(f.stop, 1000000000)), '') AS sentences, 'Poikkeuksena tilanteissa, joissa ' || any_value(d.lang) || ' on sovellettava toisin. | Unless otherwise stated in the ' || any_value(d.source) || ' rules.' AS exceptions, 'Näillä perusteilla ' || any_value(d.source) || ' on ratkaistu.' AS facts FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY 1""")
 def e13_e14_phrases(spark, d):
-    return table(spark, d, "documents").select("doc_id", E.phrases(F.col("text"), [r"[A-Z][^.]*\."], 20, 400).alias("facts"))
+    made = F.expr("concat(text, '\n. Poikkeuksena tilanteissa, joissa ', lang, ' on sovellettava toisin. Näillä perusteilla ', source, ' on ratkaistu. Unless otherwise stated in the ', source, ' rules.')")
+    return table(spark, d, "documents").select("doc_id", E.phrases(F.col("text"), [r"(?-i)[A-Z][^.]*\."], 20, 400).alias("sentences"), E.exceptions(made).alias("exceptions"), E.distinctive_facts(made).alias("facts"))
 
 
-@query(r"SELECT doc_id, nullif(left(trim(regexp_replace(regexp_extract(t, '(?s)^Reasoning\n(.*)\nJudgment\n', 1), '^\s+|\s+$', '', 'g')), 120), '') AS excerpt FROM (SELECT doc_id, 'Reasoning' || chr(10) || left(text, 300) || chr(10) || 'Judgment' || chr(10) || 'x' AS t FROM documents)")
+@query(r"""SELECT doc_id, left(t, 1500) AS reasoning, left('Tuomio ' || t, 600) AS ruling FROM (SELECT doc_id, regexp_replace(regexp_replace(text || ' y', '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS t FROM documents)""")
 def e15_e16_excerpts(spark, d):
-    t = F.concat(F.lit("Reasoning\n"), F.left("text", F.lit(300)), F.lit("\nJudgment\nx"))
-    return table(spark, d, "documents").select("doc_id", E.excerpt(t, "Reasoning", "Judgment", 120).alias("excerpt"))
+    """Reasoning and ruling of decisions with headings and, every second, of older ones without."""
+    old = F.concat(F.lit("Diaarinumero\nS1\n"), F.lit("Tuomio "), F.regexp_replace("text", r"\s+", " "), F.lit(" y\n\nKORKEIN OIKEUS\n"), "text", F.lit(" y\nRatkaisuun osallistuneet: x"))
+    new = F.concat(F.lit("Reasoning\n"), "text", F.lit(" y\nJudgment\nTuomio "), "text", F.lit(" y\nLegislation\nz"))
+    docs = table(spark, d, "documents").select("doc_id", F.when((F.col("doc_id") % 2 == 0) | (F.length("text") < 60), new).otherwise(old).alias("t"))
+    return docs.select("doc_id", E.reasoning_excerpt(F.col("t")).alias("reasoning"), E.ruling_instruction(F.col("t")).alias("ruling"))
 
 
-@query(f"SELECT doc_id, ['5 luvun ' || {_V('doc_id % 7')} || ' §', 'RL 10:' || {_V('doc_id % 9')}, {_V('doc_id % 7')} || ' §'] AS provisions FROM documents")
+@query(f"SELECT doc_id, ['RL 10 luku ' || {_V('doc_id % 9')} || ' §', 'Luku 3 § ' || {_V('doc_id % 4')}, '5 luku ' || {_V('doc_id % 7')} || ' §', 'HE ' || {_V('doc_id')} || '/2001 vp', 'C-' || {_V('doc_id')} || '/18'] AS provisions, 'RL 10 luku ' || {_V('doc_id % 9')} || ' §, Luku 3 § ' || {_V('doc_id % 4')} || ', 5 luku ' || {_V('doc_id % 7')} || ' §, HE ' || {_V('doc_id')} || '/2001 vp, C-' || {_V('doc_id')} || '/18' AS applied FROM documents")
 def e17_provisions(spark, d):
-    t = F.expr("concat('RL 10:', doc_id % 9, ', 5 luvun ', doc_id % 7, ' § x ', doc_id % 7, ' §')")
-    return table(spark, d, "documents").select("doc_id", E.provisions(t).alias("provisions"))
+    t = F.expr("concat('x HE 1/1999 vp\nPerustelut\n', text, ' . C-', doc_id, '/18, HE ', doc_id, '/2001 vp, Chapter 3 Section ', doc_id % 4, '; 5 luvun ', doc_id % 7, ' § ja RL 10 ', doc_id % 9, ' .\nPäätös\nHE 2/1999 vp')")
+    docs = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    body = F.regexp_extract("t", r"(?s)Perustelut\n(.*)\nPäätös", 1)
+    return docs.select("doc_id", E.provisions(body).alias("provisions"), E.applied_provisions(F.col("t")).alias("applied"))
 
 
-@query("SELECT doc_id, round(least(3 / 10 + 1 / 5.0 * 0 + 0.15, 1.0), 4) AS confidence FROM documents")
+@query(f"SELECT doc_id, list_sort(['RL § ' || {_V('doc_id % 9')}, 'HE ' || {_V('doc_id')} || '/2001', 'C-' || {_V('doc_id')} || '/18', 'Chapter 5 § ' || {_V('doc_id % 7')}]) AS provisions, ['RL'] AS statutes, 0.55 AS confidence FROM documents")
 def e18_provision_confidence(spark, d):
-    t = F.expr("concat('RL 10:', doc_id % 9, ', 5 luvun ', doc_id % 7, ' §')")
-    return table(spark, d, "documents").select("doc_id", E.provision_report(t)["confidence"].alias("confidence"))
+    t = F.expr("concat(regexp_replace(text, '(?iu)[0-9]|echr', 'x'), ' . RL § ', doc_id % 9, '; Chapter 5 § ', doc_id % 7, ', HE ', doc_id, '/2001 and C-', doc_id, '/18')")
+    return table(spark, d, "documents").select("doc_id", E.provision_report(t).alias("r")).select("doc_id", "r.*")
 
 
-@query("SELECT doc_id, 2 AS n, strpos(t, '5 luvun') - 1 AS first FROM (SELECT doc_id, left(replace(text, '§', ''), 50) || ' 5 luvun 3 §' AS t FROM documents)")
+@query("SELECT doc_id, 2 AS n, length(t) + 3 AS first, right(t, 147) || ' . HE 3/2001, ' AS before FROM (SELECT doc_id, regexp_replace(text, '[0-9]|echr', 'x', 'gi') AS t FROM documents)")
 def e19_provision_contexts(spark, d):
-    t = F.concat(F.left(F.replace("text", F.lit("§"), F.lit("")), F.lit(50)), F.lit(" 5 luvun 3 §"))
+    t = F.concat(F.regexp_replace("text", "(?iu)[0-9]|echr", "x"), F.lit(" . HE 3/2001, C-1/18"))
     c = E.provision_contexts(table(spark, d, "documents").select("doc_id", t.alias("t")), "t")
-    return c.select("doc_id", F.size("contexts").alias("n"), F.col("contexts")[0]["position"].alias("first"))
+    before = F.regexp_replace(F.col("contexts")[0]["context"], "C-1/18$", "")
+    return c.select("doc_id", F.size("contexts").alias("n"), F.col("contexts")[0]["position"].alias("first"), before.alias("before"))
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'KKO:2001:' || {_V('doc_id')} WHEN doc_id % 3 = 1 THEN 'KHO:2002:' || {_V('doc_id')} ELSE 'URL:' || left(sha256('https://x/' || {_V('doc_id')}), 16) END AS case_id FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'KKO:2001:' || {_V('doc_id')} WHEN doc_id % 3 = 1 THEN 'KHO:2002:' || {_V('doc_id')} ELSE 'URL:' || left(sha256('https://x/' || {_V('doc_id')}), 16) END AS case_id, CASE WHEN doc_id % 3 = 1 THEN 'other_decision' ELSE 'precedent' END AS decision_type FROM documents")
 def e21_case_id(spark, d):
     k, i = F.col("doc_id") % 3, F.col("doc_id").cast("string")
-    title, url = F.when(k == 0, F.concat(F.lit("KKO 2001:"), i)).otherwise("x"), F.when(k == 1, F.concat(F.lit("https://x/kho/2002/"), i)).otherwise(F.concat(F.lit("https://x/"), i))
-    return table(spark, d, "documents").select("doc_id", E.derived_case_id(title, url, F.lit("")).alias("case_id"))
+    title, url = F.when(k == 0, F.concat(F.lit("KKO 2001:"), i)).otherwise("x"), F.when(k == 1, F.concat(F.lit("https://x/muut/kho/2002/"), i)).otherwise(F.concat(F.lit("https://x/"), i))
+    return table(spark, d, "documents").select("doc_id", E.derived_case_id(title, url, F.lit("")).alias("case_id"), E.decision_type(url).alias("decision_type"))
 
 
 @query("SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END, ''), lang) AS lang, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), 'new') AS source FROM documents")
@@ -125,14 +150,27 @@ def e22_merge_extraction(spark, d):
     return E.merged_extraction(docs, "x", ["lang"], ["source"])
 
 
-_XML = "concat('<?xml version=\"1.0\"?><akomaNtoso xmlns=\"http://x\"><docTitle>Act ', doc_id, '</docTitle><docDate date=\"2020-01-', lpad(doc_id % 28 + 1, 2, '0'), '\"/><section id=\"a\"><num>1 §</num><heading>', lang, '</heading><p>', source, '  text</p></section><section><p>x</p></section><a href=\"f', doc_id, '.pdf\"/><a href=\"x.html\"/></akomaNtoso>')"
+_XML = (
+    "concat('<?xml version=\"1.0\"?><akomaNtoso xmlns=\"http://x\" xmlns:finlex=\"http://y\"><meta><FRBRWork><FRBRdate date=\"2020-01-', lpad(doc_id % 28 + 1, 2, '0'), '\" name=\"dateIssued\"/></FRBRWork>"
+    "<finlex:isInForce value=\"', doc_id % 2 = 0, '\"/><finlex:title language=\"eng\">Act ', doc_id, '</finlex:title></meta><act><preface><docTitle>Laki ', doc_id, '</docTitle></preface><preamble><block name=\"repeals\">', lang, '</block></preamble>"
+    "<body><section><num>1 §</num><heading>', lang, '</heading><content><p>', text, '</p></content></section><section><p>x</p></section><section><num>2 §</num><heading>Määritelmät</heading><p>', source, ' on</p></section>"
+    "<p><a href=\"f', doc_id, '.pdf\"/><a href=\"x.html\"/><affectedDocument href=\"/u/', doc_id, '\">muutossäädös</affectedDocument></p></body>"
+    "<hcontainer name=\"attachments\"><hcontainer name=\"attachment\"><content><table><tr><td>', lang, '</td><td>', source, '</td></tr></table><p>end</p></content></hcontainer></hcontainer></act></akomaNtoso>')"
+)
 
 
-@query(f"SELECT doc_id, 'Act ' || {_V('doc_id')} AS title, ['1 §'] AS numbers, [lang] AS headings, [source || ' text'] AS contents, ['f' || {_V('doc_id')} || '.pdf'] AS pdf_links, '2020-01-' || lpad({_V('doc_id % 28 + 1')}, 2, '0') AS date FROM documents")
+@query(rf"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Act ' ELSE 'Laki ' END || {_V('doc_id')} AS title, trim(concat_ws(' ', 'Laki ' || {_V('doc_id')}, lang, '1 §', lang, nullif(t, ''), 'x 2 § Määritelmät', source, 'on muutossäädös')) AS text, ['1 §', '2 §'] AS numbers, [lang, 'Määritelmät'] AS headings, [t, source || ' on'] AS contents,
+['f' || {_V('doc_id')} || '.pdf'] AS pdf_links, '2020-01-' || lpad({_V('doc_id % 28 + 1')}, 2, '0') AS issued, doc_id % 2 = 0 AS in_force, ['Liite: ' || lang || ' | ' || source || chr(10) || chr(10) || 'end'] AS attachments, ['2 §: ' || source || ' on'] AS definitions, ['/u/' || {_V('doc_id')} || ' amending'] AS refs, [lang] AS repeals
+FROM (SELECT *, trim(regexp_replace(translate(text, '<>&', '   '), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM documents)""")
 def s10_e23_e24_e25_statute_xml(spark, d):
-    s = I.statutes(table(spark, d, "documents").selectExpr("doc_id", f"{_XML} AS xml"), "doc_id", "xml")
+    docs = table(spark, d, "documents").selectExpr("doc_id", "lang", "source", "translate(text, '<>&', '   ') AS text").selectExpr("doc_id", f"{_XML} AS xml")
+    both = I.statutes(docs.where("doc_id % 3 = 0"), "doc_id", "xml", "eng").unionByName(I.statutes(docs.where("doc_id % 3 > 0"), "doc_id", "xml", "swe"))
     part = lambda n: F.transform("sections", lambda x: x[n])
-    return s.select("doc_id", "title", part("number").alias("numbers"), part("heading").alias("headings"), part("content").alias("contents"), "pdf_links", "date")
+    joined = lambda c, a, sep, b: F.transform(c, lambda x: F.concat(x[a], F.lit(sep), x[b])).alias(c)
+    return both.select(
+        "doc_id", "title", "text", part("number").alias("numbers"), part("heading").alias("headings"), part("content").alias("contents"), "pdf_links", F.col("scope.issued").alias("issued"), F.col("scope.in_force").alias("in_force"),
+        joined("attachments", "heading", ": ", "content"), joined("definitions", "section", ": ", "text"), F.transform("references", lambda x: F.concat(x["uri"], F.lit(" "), x["type"])).alias("refs"), F.col("amendments.repeals").alias("repeals"),
+    )
 
 
 @query("SELECT conv_id, turn, l.quality AS quality FROM conversations LEFT JOIN labels l ON l.doc_id = conv_id")
@@ -162,14 +200,18 @@ def c1_sub_chunks(spark, d):
 
 @query()
 def c2_section_rows(spark, d):
-    s = E.sections(decisions(spark, d).select("doc_id", "source", "full_text"), "full_text")
-    return C.section_rows(s, "doc_id", F.col("source"), "sections")
+    """Sections of decisions and, every tenth, of texts without any."""
+    docs = decisions(spark, d).select("doc_id", "source", "lang", F.when(F.col("doc_id") % 10 == 0, F.col("text")).otherwise(F.col("full_text")).alias("full_text"))
+    docs = docs.withColumn("laws", E.provisions(F.col("full_text")))
+    s = E.sections(docs, "full_text").withColumn("sections", F.filter("sections", lambda x: x["title"] != "Full text"))
+    return C.section_rows(s, "doc_id", F.col("source"), "sections", "full_text", F.array("lang"), F.concat(F.lit("Lower court: "), "source"), F.col("laws"))
 
 
-@query(f"SELECT doc_id, [NULL, '1', '2'] AS numbers FROM documents")
+@query(r"SELECT doc_id, [NULL, '1', '2'] AS numbers, '§ 1 ' || regexp_replace(text, '\s', ' ', 'g') AS first FROM documents")
 def c3_numbered_sections(spark, d):
-    t = F.concat(F.lit("Preamble\n§ 1 "), F.regexp_replace(F.left("text", F.lit(50)), "\n", " "), F.lit("\n§ 2 b"))
-    return table(spark, d, "documents").select("doc_id", F.transform(C.numbered_sections(t), lambda x: x["number"]).alias("numbers"))
+    t = F.concat(F.lit("Preamble\n§ 1 "), F.regexp_replace("text", r"\s", " "), F.lit("x\n§ 2 b"))
+    parts = table(spark, d, "documents").select("doc_id", C.numbered_sections(t).alias("p"))
+    return parts.select("doc_id", F.transform("p", lambda x: x["number"]).alias("numbers"), F.regexp_replace(F.col("p")[1]["text"], "x$", "").alias("first"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 95)) AS s FROM w)

@@ -117,10 +117,21 @@ def d4_backfill_from_sections(spark, d):
     return R.fill_missing(base, first, "conv_id", ["judgment"])
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 60) ELSE source END AS background, contains(text, 'password') AS dissent FROM documents")
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(chr(10) || text || chr(10) || '. Ratkaisevaa oli ' || source || ' asiassa. Äänestys 4-1' || chr(10) || 'Tuomiolauselma' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'Valitus hylätään' ELSE 'Asia palautetaan' END || chr(10) || CASE WHEN doc_id % 4 IN (1, 2) THEN 'Eri mieltä: ' || lang WHEN doc_id % 4 = 3 THEN '(Ään.)' ELSE '' END, 2000) ELSE source END AS background, CASE WHEN doc_id % 3 = 0 THEN 'dismissed' WHEN doc_id % 3 = 1 THEN 'remanded' ELSE 'old' END AS outcome, doc_id % 4 > 0 AS dissent, CASE doc_id % 4 WHEN 1 THEN 'Eri mieltä: ' || lang WHEN 2 THEN 'own' WHEN 3 THEN '' ELSE '' END AS dissent_text,
+CASE WHEN doc_id % 5 = 0 THEN 'kept' ELSE '4-1' END AS vote, 'Ratkaisevaa oli ' || source || ' asiassa.' AS facts FROM documents""")
 def d5_d6_backfill_from_text(spark, d):
-    docs = table(spark, d, "documents").selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS background")
-    return K.backfilled(docs, {"background": F.left("text", F.lit(60))}).select("doc_id", "background", F.contains("text", F.lit("password")).alias("dissent"))
+    """Background, outcome, dissent, vote and facts of decisions, filled where they are empty."""
+    from corpusq.functions.scalars import outcome
+    from corpusq.operators import extract as E
+
+    tail = "CASE doc_id % 4 WHEN 1 THEN concat('Eri mieltä: ', lang) WHEN 2 THEN concat('Eri mieltä: ', lang) WHEN 3 THEN '(Ään.)' ELSE '' END"
+    made = f"concat('Asian tausta\n', text, '\n. Ratkaisevaa oli ', source, ' asiassa. Äänestys 4-1\nTuomiolauselma\n', CASE WHEN doc_id % 3 = 0 THEN 'Valitus hylätään' ELSE 'Asia palautetaan' END, '\n', {tail}) AS full_text"
+    stored = ["CASE WHEN doc_id % 2 = 0 THEN '' ELSE source END AS background", "CASE WHEN doc_id % 3 = 2 THEN 'old' ELSE '' END AS outcome", "doc_id % 4 = 2 AS dissent", "CASE WHEN doc_id % 4 = 2 THEN 'own' ELSE '' END AS dissent_text", "CASE WHEN doc_id % 5 = 0 THEN 'kept' END AS vote", "'' AS facts"]
+    docs = table(spark, d, "documents").selectExpr("doc_id", made, *stored)
+    t = F.col("full_text")
+    filled = K.backfilled(docs, {"background": E.background(t), "outcome": outcome(t), "vote": E.vote(t)["strength"], "facts": E.distinctive_facts(t)})
+    filled = filled.withColumn("x", E.dissent(t, F.col("dissent"), F.col("dissent_text")))
+    return filled.select("doc_id", "background", "outcome", F.col("x.flag").alias("dissent"), F.col("x.text").alias("dissent_text"), "vote", "facts")
 
 
 @query("SELECT c_custkey, concat_ws(' ', c_name, c_mktsegment) AS doc FROM customer WHERE c_custkey % 3 = 0")

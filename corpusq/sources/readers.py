@@ -111,20 +111,67 @@ def main_block(blocks: Column) -> Column:
     return best["b"]
 
 
-def statutes(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
-    """id, title, sections (number, heading, content), pdf_links, in_force and dates of statute XML.
+def _plain_xml(part: Column) -> Column:
+    """The text of a piece of XML: names left out, white space squeezed, entities resolved."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(part, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
 
-    Names are matched without their namespace. A section without a number is left out; XML that doesn't parse gives
+
+def _inner(xml: Column, name: str, attributes: str = "") -> Column:
+    """What the first element of a name holds, empty without one."""
+    return F.regexp_extract(xml, rf"(?s)<{name}(?=[\s>]){attributes}[^>]*(?<!/)>(.*?)</{name}>", 1)
+
+
+def _each(xml: Column, name: str, attributes: str = "") -> Column:
+    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}(?=[\s>]){attributes}[^>]*(?<!/)>(.*?)</{name}>"), F.lit(1))
+
+
+def _present(texts: Column) -> Column:
+    return F.filter(texts, lambda t: t != "")
+
+
+def _table_or_text(part: Column) -> Column:
+    """The rows of a table as lines of cells, or the text of a paragraph."""
+    rows = F.transform(_each(part, "tr"), lambda r: F.array_join(_present(F.transform(_each(r, "td"), _plain_xml)), " | "))
+    return F.when(part.startswith("<table"), F.array_join(_present(rows), "\n")).otherwise(_plain_xml(part))
+
+
+def statutes(docs: DataFrame, id_col: str, xml_col: str, language: str = "fin") -> DataFrame:
+    """id and what statute XML holds (S10, E23-E25): title, text, sections (number, heading, content), attachments (heading,
+    content), pdf_links, definitions (section, text), references (statute, uri, type), scope (issued, published, in_force,
+    entry_into_force) and amendments (insertions, repeals, substitutions, modifications).
+
+    Names are matched without their prefix and namespace. The title is that of the language, for others than Finnish the
+    Finnish one, else the one in the preface or header. A section without a number is left out. What isn't one element gives
     null columns."""
-    x = F.regexp_replace(F.col(xml_col), r"<\?xml[^>]*\?>|\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    x = F.when(x.rlike(r"^\s*<(\w+)[\s\S]*</\1>\s*$"), x)
-    grab = lambda path: F.xpath(x, F.lit(path))
-    # Each section's parts are taken by position, so that a missing heading doesn't shift the others.
-    sections = F.transform(
-        F.filter(F.split(x, r"(?=<section[\s>])"), lambda s: s.startswith("<section")),
-        lambda s: F.struct(F.trim(F.regexp_extract(s, r"<num>([^<]*)</num>", 1)).alias("number"), F.trim(F.regexp_extract(s, r"<heading>([^<]*)</heading>", 1)).alias("heading"), F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(s, r"(?s)^<section[^>]*>(.*?)</section>", 1), r"(?s)<num>.*?</num>|<heading>.*?</heading>", ""), r"<[^>]+>|\s+", " ")).alias("content")),
-    )
-    return docs.select(
-        id_col, F.get(grab("//docTitle/text()"), F.lit(0)).alias("title"), F.filter(sections, lambda s: s["number"] != "").alias("sections"),
-        F.array_distinct(F.filter(grab("//@href"), lambda h: h.endswith(".pdf"))).alias("pdf_links"), F.get(grab("//@date"), F.lit(0)).alias("date"),
-    )
+    x = F.regexp_replace(F.col(xml_col), r"(?s)<\?xml[^>]*\?>|<!--.*?-->|\sxmlns(:\w+)?=\"[^\"]*\"", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"(</?)\w+:(?=\w)", "$1"), r"\s\w+:(\w+=\")", " $1")
+    docs = docs.select(id_col, F.when(x.rlike(r"^\s*<(\w+)[\s\S]*</\1>\s*$"), x).alias("x"))
+    x = F.col("x")
+    titled = lambda codes: F.nullif(_plain_xml(_inner(x, "title", rf'(?=[^>]*\blang(?:uage)?=\"(?:{codes})\")')), F.lit(""))
+    named = lambda place: F.nullif(_plain_xml(_inner(_inner(x, place), "docTitle")), F.lit(""))
+    title = F.coalesce(titled("eng|en" if language == "eng" else language), titled("fin"), named("preface"), named("header"), F.lit("Untitled Document"))
+    text = F.array_join(_present(F.array(*[_plain_xml(_inner(x, n)) for n in ("preface", "preamble", "body", "conclusions", "judgmentBody")])), " ")
+    section = lambda s: F.struct(_plain_xml(_inner(s, "num")).alias("number"), F.nullif(_plain_xml(_inner(s, "heading")), F.lit("")).alias("heading"), _plain_xml(F.regexp_replace(s, r"(?s)<num[\s>].*?</num>|<heading[\s>].*?</heading>", " ")).alias("content"))
+    body = F.coalesce(F.nullif(_inner(x, "body"), F.lit("")), x)
+    sections = F.filter(F.transform(_each(body, "section"), section), lambda s: s["number"] != "")
+    pieces = F.filter(F.split(x, r'(?=<hcontainer[^>]*\bname="attachment")'), lambda a: a.rlike(r'^<hcontainer[^>]*\bname="attachment"'))
+    content = lambda a: F.array_join(_present(F.transform(F.regexp_extract_all(_inner(a, "content"), F.lit(r"(?s)(<table[\s>].*?</table>|<p[\s>].*?</p>)"), F.lit(1)), _table_or_text)), "\n\n")
+    attachments = F.transform(pieces, lambda a: F.struct(F.coalesce(F.nullif(_plain_xml(_inner(a, "heading")), F.lit("")), F.lit("Liite")).alias("heading"), content(a).alias("content")))
+    defining = F.filter(_each(x, "section"), lambda s: F.lower(_inner(s, "heading")).rlike("määritel|definition"))
+    terms = lambda s: F.transform(_present(F.transform(_each(s, "p"), _plain_xml)), lambda t: F.struct(F.coalesce(F.nullif(_plain_xml(_inner(s, "num")), F.lit("")), F.lit("?")).alias("section"), t.alias("text")))
+    other = r'(?s)<affectedDocument(?=[\s>])[^>]*\bhref="([^"]+)"[^>]*?(?:/>|>([^<]*))'
+    references = F.zip_with(F.regexp_extract_all(x, F.lit(other), F.lit(1)), F.regexp_extract_all(x, F.lit(other), F.lit(2)), lambda u, t: F.struct(_plain_xml(t).alias("statute"), u.alias("uri"), F.when(F.lower(t).contains("muutossäädös"), "amending").otherwise("referenced").alias("type")))
+    work = _inner(x, "FRBRWork")
+    dated = lambda name: F.nullif(F.coalesce(F.nullif(F.regexp_extract(work, rf'<FRBRdate(?=[^>]*\bname="{name}")[^>]*\bdate="([^"]*)"', 1), F.lit(""))), F.lit(""))
+    force = F.regexp_extract(x, r'<isInForce[^>]*\bvalue="([^"]*)"', 1)
+    scope = F.struct(dated("dateIssued").alias("issued"), dated("datePublished").alias("published"), F.when(x.rlike(r"<isInForce[\s>]"), F.lower(force) == "true").alias("in_force"), F.nullif(_plain_xml(_inner(x, "entryIntoForce")), F.lit("")).alias("entry_into_force"))
+    amendments = F.struct(*[_present(F.transform(_each(x, "block", rf'(?=[^>]*\bname="{n}")'), _plain_xml)).alias(n) for n in ("insertions", "repeals", "substitutions", "modifications")])
+    links = F.array_distinct(F.filter(F.regexp_extract_all(x, F.lit(r'<a(?=\s)[^>]*\bhref="([^"]*)"'), F.lit(1)), lambda h: F.lower(h).endswith(".pdf")))
+    columns = {
+        "title": title, "text": text, "sections": sections, "attachments": F.filter(attachments, lambda a: a["content"] != ""), "pdf_links": links, "definitions": F.flatten(F.transform(defining, terms)),
+        "references": references, "scope": scope, "amendments": amendments,
+    }
+    return docs.select(id_col, *[F.when(x.isNotNull(), c).alias(n) for n, c in columns.items()])
