@@ -246,7 +246,8 @@ def r27_retry_on_empty(spark, d):
 
 @query()
 def r15_approximate_vectors(spark, d):
-    """Random projection buckets on unit vectors, exact cosine within them; recall is measured in the tests."""
+    """Random projection buckets on unit vectors, exact cosine within them, over the threshold of 0.3; nine tenths of the exact
+    neighbours at least are found (tested as registered)."""
     return approximate(spark, table(spark, d, "embeddings"))
 
 
@@ -258,7 +259,7 @@ def approximate(spark, embeddings, k: int = 10, bucket: float = 1.0, tables: int
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=5).fit(v)
     near = model.approxSimilarityJoin(v.where("vec_id % 50 = 0"), v, 1.19, "distance")
     found = near.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("id"), F.round(1 - F.col("distance") ** 2 / 2, 6).alias("score"))
-    return L.top_per_key(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    return L.top_per_key(found.where("score > 0.3"), ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
 @query(f"""WITH {QUERIES_SQL}, {TOKENS_SQL}, {OR_SQL}, {AND_SQL}, {RRF_SQL},
