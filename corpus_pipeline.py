@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is one of ``ids`` (unique); null is an id like others. Kept ids grow with the
-    documents, so they are never broadcast: a merge join moves the same share of the texts at every size."""
-    keys = ids.select(F.coalesce("_id", F.lit(0)).alias("_key"), F.col("_id").isNull().alias("_null"))
-    named = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()})
-    return named.join(keys.hint("merge"), ["_key", "_null"], "left_semi").select(*docs.columns)
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is none of ``ids``; null is an id like others. Few ids are dropped, so they are
+    what is looked up; they are written, so that Spark chooses the join by their true size."""
+    gone = written(ids.select(F.col("doc_id").alias("_id")), "dropped-ids")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
 
 
 def _counted(rows: DataFrame, before: DataFrame) -> DataFrame:
@@ -35,30 +34,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier one holds; n_chars follows the text. Rows that share an id keep their
-    own text."""
-    deduped = deduped_rows(docs)
-    columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
-    if "n_chars" in docs.columns:
-        columns[docs.columns.index("n_chars")] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("row")["n_chars"]).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return deduped.select(*columns)
+    """All rows, without lines that an earlier document holds; n_chars follows the text. Rows that share an id keep their
+    own text; null and empty texts stay as they are."""
+    kept = deduped_rows(docs)
+    return _counted(kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]), docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates; a row of another set with an id that is kept stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return _only(docs, written(kept, "kept-ids"))
+    """The rows of the least id of each group of near duplicates. Rows that share an id stay if one of them is kept; rows
+    without words or without an id are linked with nothing and stay."""
+    verdicts = near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    return _without(docs, verdicts.where("NOT kept"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark. Rows that share an id stay if all of them are clean."""
+    """Rows without a passage of the benchmark. Of rows that share an id, or have none, all go if one holds a passage;
+    texts without words stay."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    kept = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("contaminated").alias("bad")).where("NOT bad").select("_id")
-    return _only(docs, written(kept, "kept-ids"))
+    return _without(docs, found.where("contaminated").select("doc_id").distinct())
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document."""
+    """Token counts and digests of each row; a null text is an empty one."""
     return encode_decode(docs, PIECES)
 
 
@@ -73,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The last stage has no SQL; tests hold all stages against brute force.
+#: The last stage has no SQL; tests hold each stage against brute force on its own input.
 ORACLE_SQL = None
