@@ -203,8 +203,13 @@ def crowded_pairs(regions: DataFrame, found: DataFrame, sets: DataFrame, percent
     return pairs.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
 
 
-def _more(links: DataFrame, found: DataFrame) -> DataFrame:
-    return written(links.unionByName(written(found, "links")), "links")
+def _joined(links: DataFrame, found: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and their components once those of ``pairs`` are added that are similar; without any, both stay as they are."""
+    more = written(confirmed(pairs, sets, percent), "links")
+    if more.isEmpty():
+        return links, found
+    links = written(links.unionByName(more), "links")
+    return links, written(components(links), "components")
 
 
 def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,11 +244,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, i
     found = written(components(links), "components")
     side = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
     left_open = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
-    links = _more(links, confirmed(written(left_open, "open-candidates"), sets, percent))
-    found = written(components(links), "components")
+    links, found = _joined(links, found, written(left_open, "open-candidates"), sets, percent)
     crowded = written(crowded_pairs(regions, found, sets, percent), "crowded-candidates")
-    links = _more(links, confirmed(crowded, sets, percent))
-    found = components(links)
+    links, found = _joined(links, found, crowded, sets, percent)
     forget(nodes, trees, pairs, sets)
     roots = leads.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("root"))
     # Nodes are least ids of their classes, so the least node of a component is the least id in it.
