@@ -114,6 +114,13 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     return x.withColumns({k: c.cast("double") for k, c in columns.items()}).drop("covered")
 
 
+def _least(rows: DataFrame, most: int, n: int) -> DataFrame:
+    """The ``most`` rows of least hash ``h`` of about ``n``. Only those below a bound that some four times as many meet
+    are sorted, so that no task gets more than these."""
+    share = min(1.0, 4 * most / max(n, 1))
+    return rows.where(F.pmod("h", F.lit(1 << 31)) < int(share * (1 << 31))).orderBy(F.pmod("h", F.lit(1 << 31)), *rows.columns).limit(most)
+
+
 def generated_findings(documents: DataFrame, most_rows: int = 20_000, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """Labelled findings whose truth is known because they are made: doc_id (of a text of its own), text, source, value,
     label. Each of a seeded sample of documents (as many as give ``most_rows`` findings at most) lends its path and words
@@ -123,7 +130,7 @@ def generated_findings(documents: DataFrame, most_rows: int = 20_000, seed: int
     False ones are what rules on names and forms get wrong: digests, identifiers, paths, placeholders, variables,
     and words of prose after a name."""
     docs = documents.select(F.col(id_col).alias("i"), F.coalesce(F.col(path_col), F.lit("")).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    docs = docs.select("*", F.xxhash64(F.lit(seed), "i", "t").alias("h")).orderBy("h", "i", "source").limit(max(1, most_rows // 20))
+    docs = _least(docs.select("source", F.xxhash64(F.lit(seed), "i", "t").alias("h"), "i", "t"), max(1, most_rows // 20), documents.count())
     docs = docs.select("h", "source", F.regexp_extract_all("t", F.lit(r"(\p{L}{3,12})")).alias("words"))
     drawn = lambda n: F.sha2(F.concat_ws(" ", F.lit(n), F.col("h")), 256)
     mixed = lambda n, k: F.left(F.translate(F.concat(F.base64(F.unhex(drawn(n))), F.base64(F.unhex(drawn(n + 50)))), "+/=\r\n", "xY"), F.lit(k))
@@ -153,8 +160,8 @@ def generated_findings(documents: DataFrame, most_rows: int = 20_000, seed: int
 def train(labelled: DataFrame, trees: int = 30, depth: int = 6, most_rows: int = 20_000, seed: int = 11) -> PipelineModel | None:
     """A forest from ``labelled`` (FEATURES, label). Of more than ``most_rows`` labelled rows, those of least seeded
     hash are taken; that bound keeps the one task that fits them small. None if not both labels occur."""
-    rows = labelled.where("label IS NOT NULL").select(*FEATURES, "label", F.xxhash64(F.lit(seed), "value", "doc_id", "at").alias("_h"))
-    rows = written(rows.orderBy("_h", *FEATURES).limit(most_rows).drop("_h"), "labelled-findings")
+    rows = written(labelled.where("label IS NOT NULL").select(*FEATURES, "label", F.xxhash64(F.lit(seed), "value", "doc_id", "at").alias("h")), "labelled-findings")
+    rows = written(_least(rows, most_rows, rows.count()).drop("h"), "fitted-findings")
     if rows.select("label").distinct().count() < 2:
         return None
     # One sorted partition, so that the forest is the same in each run.
@@ -177,7 +184,8 @@ def secret_scan(documents: DataFrame, labels: DataFrame | None = None, threshold
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).alias("source"))
     words = dictionary(docs)
-    found = written(features(candidates(docs), words), "findings")
+    # Written, as features read candidates twice.
+    found = written(features(written(candidates(docs), "candidates"), words), "findings")
     model = None
     if labels is not None:
         known = labels.select("doc_id", "value", F.col("label").cast("double").alias("label")).dropDuplicates(["doc_id", "value"])
