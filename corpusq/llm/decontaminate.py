@@ -149,21 +149,28 @@ def passages(index: DataFrame, window_rows: DataFrame, slop: int = 0) -> DataFra
     for k in range(rounds):
         part = window_rows.where(F.pmod(F.xxhash64("item_id", "terms"), F.lit(rounds)) == k)
         used = part.select(F.explode("terms").alias("term")).distinct()
-        ranks = dict(used.join(counts.hint("merge"), "term").select("term", "n").collect())
-        rows = part.collect()  # at most about WINDOWS_AT_ONCE windows
-        terms = np.array(sorted(ranks), np.int64).view(np.uint64)
-        terms.sort()
-        place = {int(t): i for i, t in enumerate(terms.view(np.int64))}
-        rows = [r for r in rows if all(t in ranks for t in r["terms"])]  # others hold a word that no document has
-        widths = np.array([len(r["terms"]) for r in rows], np.int64)
+        known = used.join(counts.hint("merge"), "term").select("term", "n").toArrow()
+        terms = known.column("term").to_numpy().view(np.uint64)
+        by_term = np.argsort(terms)
+        terms, often = terms[by_term], known.column("n").to_numpy()[by_term]
+        asked = part.select("item_id", "terms").toArrow()  # at most about WINDOWS_AT_ONCE windows
+        items, lists = asked.column("item_id").to_pylist(), asked.column("terms").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        widths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        row = np.repeat(np.arange(len(widths)), widths)
+        column = np.arange(len(flat)) - np.repeat(np.cumsum(widths) - widths, widths)
+        place = np.minimum(np.searchsorted(terms, flat), max(0, len(terms) - 1))
+        there = terms[place] == flat if len(terms) else np.zeros(len(flat), bool)
+        # Windows with a word that no document has are nowhere.
+        whole = np.bincount(row, there, minlength=len(widths)) == widths
         most = int(widths.max(initial=1))
-        table = np.full((len(rows), most), -1, np.int64)
-        rarity = np.full((len(rows), most), np.iinfo(np.int64).max, np.int64)
-        for i, r in enumerate(rows):
-            table[i, : widths[i]] = [place[t] for t in r["terms"]]
-            rarity[i, : widths[i]] = [ranks[t] for t in r["terms"]]
+        table, rarity = np.full((len(widths), most), -1, np.int64), np.full((len(widths), most), np.iinfo(np.int64).max, np.int64)
+        if len(terms):
+            table[row, column], rarity[row, column] = place, often[place]
+        table, rarity, widths, items = table[whole], rarity[whole], widths[whole], [x for x, w in zip(items, whole.tolist(), strict=True) if w]
         order = np.argsort(rarity, axis=1, kind="stable")
-        shared = spark.sparkContext.broadcast((terms, table, widths, order, [r["item_id"] for r in rows]))
+        shared = spark.sparkContext.broadcast((terms, table, widths, order, items))
         found = index.groupBy("block").applyInPandas(_matcher(shared, slop), "block long, doc int, item_id string, start long, stop long, kind string")
         out = found if out is None else out.unionByName(found)
     return out
@@ -207,10 +214,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10, i
     about 4 MB of text or one longer document, so each task's memory is bounded whatever passage or word is frequent.
     """
     spark = documents.sparkSession
-    rows = written(windows(benchmark, width), "benchmark-windows")
+    rows = written(windows(benchmark, width).distinct(), "benchmark-windows")
     vocabulary = written(rows.select(F.explode("terms").alias("t")).distinct(), "benchmark-terms")
     # Up to MOST_TERMS words of the benchmark are sent to the tasks; beyond that, all words are indexed.
-    terms = np.sort(np.array([x[0] for x in vocabulary.collect()], np.int64).view(np.uint64)) if vocabulary.count() <= MOST_TERMS else None
+    terms = np.sort(vocabulary.toArrow().column(0).to_numpy().view(np.uint64)) if vocabulary.count() <= MOST_TERMS else None
     index = written(positional_index(documents, terms, id_col, text_col), "positional-index")
     spans = passages(index, rows).where("kind = 'phrase'")
     merged = spans.groupBy("block", "doc").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.storage import written
+from corpusq.llm.storage import quoted, written
 
 #: Characters that are stripped at both ends of a line.
 BLANKS = " \t\n\x0b\f\r"
@@ -52,7 +52,7 @@ def deduped_rows(documents: DataFrame, min_chars: int = 10, min_documents: int =
     firsts = written(firsts.where("common" if min_documents <= 2 else f"n >= {min_documents}").select("a", "b", "first_id"), "line-firsts")
     drops = found.join(firsts, ["a", "b"]).where("doc_id != first_id")
     drops = written(drops.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("drop")), "line-drops")
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != text_col]).alias("row"))
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(quoted(c)) for c in documents.columns if c != text_col]).alias("row"))
     joined = rows.join(drops, "doc_id", "left").withColumn("keys", F.when(F.col("drop").isNotNull(), F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, _hash(k)))))
     schema = rows.select("row", "text").schema.add("n_lines", "long").add("n_dropped", "long")
     return joined.select("row", "text", "keys", "drop").mapInArrow(_reassemble, schema)

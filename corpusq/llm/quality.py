@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.storage import written
+from corpusq.llm.storage import quoted, written
 
 BLANKS = " \t\n\x0b\f\r"
 #: [\x20\x09-\x0D] in the syntax of Java's patterns.
@@ -151,7 +151,7 @@ def quality_rules(
 def quality_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", only_kept: bool = True, **rules) -> DataFrame:
     """The rows of ``documents`` that ``quality_rules`` keeps (or all), with all their columns, and with texts that have
     lost their common lines; a text that loses none is left as it is."""
-    named = documents.select(*[documents[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(documents.columns)], F.struct(*_docs(documents, id_col, text_col, host_col)).alias("_doc"))
+    named = documents.select(*[F.col(quoted(c)).alias(f"_{i}") for i, c in enumerate(documents.columns)], F.struct(*_docs(documents, id_col, text_col, host_col)).alias("_doc"))
     named = _named(named.select("*", "_doc.*")).drop("_doc", "doc_id", "host", "text")
     defaults = {"min_words": 50, "max_repeat_share": 50, "line_limit": 10, "min_line_chars": 10, "min_left": 0.3, "by_text": False, "first_keeps": False}
     verdicts = _verdicts(documents.select(*_docs(documents, id_col, text_col, host_col)), **(defaults | rules))

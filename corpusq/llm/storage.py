@@ -20,6 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def quoted(column: str) -> str:
+    """A column's name as it must be written where names are parsed."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
