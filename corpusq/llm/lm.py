@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.llm.storage import written
+from corpusq.llm.storage import scratch, written
 from corpusq.llm.text import Words, mix, slices, utf8
 
 #: What a text begins with (a context, no token) and ends with (a token), as hashes.
@@ -25,11 +25,13 @@ WEIGHTS = (500.0, 4.0)
 #: Steps of quantised log10 numbers, over twelve decades.
 STEPS, DECADES = 65_535, 12.0
 #: Text bytes of a block, and sequences or words that a part of the trie is meant to be asked for.
-BLOCK_BYTES, PART_ASKED = 8 << 20, 3_000_000
+BLOCK_BYTES, PART_ASKED = 8 << 20, 2_000_000
 #: A pair of words with more than 1 / HOT of all tokens is split into SPLIT parts; there are fewer than HOT such pairs.
 HOT, SPLIT = 10_000, 32
-#: Words of the code book that shortens messages, and blocks that it is taken from. It changes no result.
-BOOK, BOOK_BLOCKS = 65_535, 64
+#: Words of the code book that shortens messages, and the blocks and their words that it is taken from. It changes no result.
+BOOK, BOOK_BLOCKS, BOOK_WORDS = 65_535, 16, 32_768
+#: Bits of a pair's hash that tell it apart in its part; which part it is in follows from others.
+BITS = 48
 
 _BLOCKS = "block long, n_train long, n_words long, n_triples long, doc_ids binary, held binary, lengths binary, words binary, counts binary, tokens binary"
 _ASKED = "part long, block long, contexts binary, totals binary, sizes binary, next binary, rare binary, counts binary"
@@ -66,8 +68,7 @@ class EliasFano:
     @staticmethod
     def packed(values: np.ndarray, universe: int) -> bytes:
         n = len(values)
-        low = max(0, int(universe // max(n, 1)).bit_length() - 1)
-        low = min(56, -(-low // 8) * 8) if low > 4 else 0  # whole bytes
+        low = min(range(0, 57, 8), key=lambda k: n * k + (universe >> k))  # whole bytes, as few bits as may be
         lows = values.view(np.uint8).reshape(n, 8)[:, : low // 8].tobytes() if n else b""
         high = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
@@ -94,6 +95,21 @@ def _places(sequence: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(sequence[at] == asked, at, -1)
 
 
+def _codes(x: np.ndarray) -> bytes:
+    """Codes of which few are different: those that occur, and for each its place among them."""
+    there = np.zeros(STEPS + 1, bool)
+    there[x] = True
+    kinds = np.flatnonzero(there)
+    number = np.zeros(STEPS + 1, np.int64)
+    number[kinds] = np.arange(len(kinds))
+    return len(kinds).to_bytes(4, "little") + kinds.astype("<u2").tobytes() + _small(number[x])
+
+
+def _uncoded(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:4], "little")
+    return np.frombuffer(x, "<u2", n, 4).astype(np.int64)[_big(x[4 + 2 * n :])]
+
+
 def _code(log10: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.abs(log10) / DECADES * (STEPS - 1)), 0, STEPS - 1).astype("<u2")
 
@@ -121,7 +137,7 @@ class Trie:
         stored = (base[of] + number + 1).astype(np.uint64)
         prob = counts / (totals[of] + WEIGHTS[1])
         levels = [
-            EliasFano.packed(contexts, 1 << 64), _code(np.log10(totals)).tobytes(), EliasFano.packed(ends.astype(np.uint64), len(of) + 1), EliasFano.packed(words, 1 << 64),
+            EliasFano.packed(contexts, 1 << BITS), _code(np.log10(totals)).tobytes(), EliasFano.packed(ends.astype(np.uint64), len(of) + 1), EliasFano.packed(words, 1 << 64),
             EliasFano.packed(stored, int(span.sum()) + 1), _code(np.log10(prob)).tobytes(),
         ]
         return b"".join(len(x).to_bytes(8, "little") + x for x in levels)
@@ -135,14 +151,14 @@ class Trie:
         self.contexts, self.pointers, self.words, self.successors = (EliasFano(parts[k]) for k in (0, 2, 3, 4))
         self.totals, self.probabilities = (np.frombuffer(parts[k], "<u2") for k in (1, 5))
 
-    def ask(self, contexts: np.ndarray, of: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For contexts (hashes): codes of their log10 counts; for words (hashes) after contexts[of]: codes of log10
+    def ask(self, contexts: np.ndarray, words: np.ndarray, of: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For contexts (hashes): codes of their log10 counts; for words[which] (hashes) after contexts[of]: codes of log10
         probabilities. STEPS stands for what was never seen."""
         place = _places(self.contexts.values(), contexts)
         totals = np.where(place >= 0, self.totals[place] if len(self.totals) else STEPS, STEPS)
         ends, stored = self.pointers.values().astype(np.int64), self.successors.values().astype(np.int64)
         own = place[of]
-        number = _places(self.words.values(), following)
+        number = _places(self.words.values(), words)[which]
         out = np.full(len(of), STEPS, np.int64)
         live = np.flatnonzero((own >= 0) & (number >= 0))
         own = own[live]
@@ -194,6 +210,10 @@ def token_blocks(documents: DataFrame, id_col: str, text_col: str, held_out_of:
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, _BLOCKS)
 
 
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(mix(first.copy()) * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
 class _Block:
     """A block's pairs and triples of words: distinct ones, training counts, and where each token has its own."""
 
@@ -219,7 +239,8 @@ class _Block:
         self.totals = np.append(np.bincount(self.pair[train], minlength=len(pairs)), int((~self.held).sum()))
         first = self.words[np.append(pairs >> 32, begin)]
         second = self.words[np.append(pairs & 0xFFFFFFFF, begin)]
-        self.contexts = mix(mix(first.copy()) * np.uint64(0x9E3779B97F4A7C15) + second)
+        self.contexts = _pair_hash(first, second)
+        self.prints = mix(self.contexts ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(64 - BITS)
         context = np.empty_like(self.pair)
         context[1:] = self.pair[:-1]
         context[starts] = len(pairs)
@@ -237,7 +258,8 @@ class _Block:
         salt = np.concatenate([np.zeros(len(plain), np.uint64), np.tile(np.arange(1, SPLIT + 1, dtype=np.uint64), len(split))])
         part = (mix(self.contexts[context] + salt * np.uint64(0xD1B54A32D192ED03)) % np.uint64(parts)).astype(np.int64)
         place = np.empty(len(context), np.int64)
-        order = np.lexsort((salt, self.contexts[context], part))
+        order = np.argsort(self.prints[context], kind="stable")
+        order = order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")]
         context, part = context[order], part[order]
         new = np.append(True, (context[1:] != context[:-1]) | (part[1:] != part[:-1]))  # a split context comes once to a part
         place[order] = np.cumsum(new) - 1
@@ -249,7 +271,7 @@ class _Block:
         salted = np.flatnonzero(is_hot[self.of])
         own[salted] += (mix(self.words[self.next[salted]].copy()) % np.uint64(SPLIT)).astype(np.int64)
         at = place[own]
-        self.order = np.argsort(at, kind="stable")
+        self.order = np.argsort(at.astype(np.int32), kind="stable")
         self.at = at[self.order]
         self.place = place[first]  # an entry of each context
 
@@ -269,23 +291,24 @@ def lm_scores(documents: DataFrame, held_out_of: int = 10, id_col: str = "doc_id
     further columns are not looked at.
 
     Returns (scores, model). scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. model: one
-    row per part of the trie with its levels (see ``Trie``). Words and pairs are told apart by 64 bits.
+    row per part of the trie with its levels (see ``Trie``). Words are told apart by 64 bits, pairs by 48 bits within a
+    part: with the parts' fixed size, one pair in 10^8 is taken for another, at every size of the input.
 
     Blocks of about 8 MB of text ask for their distinct words first, then for their distinct pairs and triples, with
     counts. A part adds up the counts of all blocks, builds its levels, maps them to memory and answers each block by
-    successor search. Parts hold about 3 million asked triples each, at every size of the input; triples go by their
+    successor search. Parts hold about 2 million asked triples each, at every size of the input; triples go by their
     first two words, and those of pairs with more than 1 / 10,000 of all tokens by the third as well. A block and a part
     exchange one row each way. All tables grow with the distinct triples of blocks; none is gathered in one place.
     """
     spark = documents.sparkSession
-    blocks = written(token_blocks(documents, id_col, text_col, held_out_of), "token-blocks")
-    n_train, n_words, n_triples = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_words", "n_triples"))).first()
+    blocks = _bucketed(token_blocks(documents, id_col, text_col, held_out_of))
+    n_train, n_words, n_triples, n_blocks = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_words", "n_triples")), F.count("*")).first()
     parts = _parts(n_words)
     asked = blocks.select("block", "words", "counts", "held").mapInArrow(_ask_words(parts), "part long, block long, words binary, counts binary")
     known = written(asked.groupBy("part").applyInArrow(_word_part, "part long, block long, n_distinct long, counts binary"), "word-counts")
     # The blocks of a part all carry the number of its distinct words.
     distinct = known.groupBy("part").agg(F.max("n_distinct").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = spark.sparkContext.broadcast((code_book(blocks), hot_contexts(blocks, n_triples)))
+    shared = spark.sparkContext.broadcast((code_book(blocks, n_blocks), hot_contexts(blocks, n_triples)))
     word_parts, parts = parts, _parts(n_triples)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,10 +323,20 @@ def lm_scores(documents: DataFrame, held_out_of: int = 10, id_col: str = "doc_id
     empty = F.lit(None).cast("binary")
     answers = said.unionByName(known.select((-1 - F.col("part")).alias("part"), "block", F.col("counts").alias("totals"), empty.alias("codes")))
     score = _scorer(shared, parts, word_parts, n_train, distinct)
-    scores = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scores = blocks.drop("counts", "n_train", "n_words", "n_triples").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scores, model
 
 
+def _bucketed(blocks: DataFrame) -> DataFrame:
+    """``blocks`` written into buckets by their number: where answers come back to them, only answers are shuffled."""
+    spark = blocks.sparkSession
+    path = scratch(spark, "token-blocks")
+    name = "token_blocks_" + path[-32:]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def _word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of words by part and hash, and where parts begin and end in it."""
     part = (mix(words.copy()) % np.uint64(parts)).astype(np.int64)
@@ -338,18 +371,21 @@ def _word_part(table: pa.Table) -> pa.Table:
     return _rows([{"part": x["part"], "block": x["block"], "n_distinct": n, "counts": _small(c)} for x, c in zip(rows, said, strict=True)], "part long, block long, n_distinct long, counts binary")
 
 
-def code_book(blocks: DataFrame) -> np.ndarray:
-    """Hashes, ascending, of words that are frequent in a few blocks: they have two bytes in messages, others nine."""
+def code_book(blocks: DataFrame, n_blocks: int) -> np.ndarray:
+    """Hashes of words that are frequent in a few blocks, the most frequent first: they have two bytes at most in messages,
+    others ten."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                words = np.frombuffer(x, "<u8")[:BOOK].view(np.int64)
+                words = np.frombuffer(x, "<u8")[:BOOK_WORDS].view(np.int64)
                 yield pa.RecordBatch.from_pydict({"word": words, "weight": 1.0 / (1 + np.arange(len(words)))})
 
-    some = blocks.select("words", F.xxhash64("block").alias("h")).orderBy("h").limit(BOOK_BLOCKS).select("words")
+    # Some sixteen blocks by their hash: they are not sorted, so that none is moved.
+    share = min(1.0, BOOK_BLOCKS / max(n_blocks, 1))
+    some = blocks.where(F.pmod(F.xxhash64("block"), F.lit(1 << 31)) < int(share * (1 << 31))).select("words")
     rows = some.mapInArrow(first, "word long, weight double").groupBy("word").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "word").limit(BOOK).collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    return np.array([r[0] for r in rows], np.int64).view(np.uint64)
 
 
 def hot_contexts(blocks: DataFrame, n: int) -> np.ndarray:
@@ -359,12 +395,20 @@ def hot_contexts(blocks: DataFrame, n: int) -> np.ndarray:
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                b = _Block(x)
-                often = np.append(np.bincount(b.pair, minlength=len(b.contexts) - 1), len(b.n))
-                keep = often * 2 * HOT > len(b.token)
-                yield pa.RecordBatch.from_pydict({"context": b.contexts[keep].view(np.int64), "n": often[keep]})
-
-    found = blocks.select("held", "lengths", "words", "tokens").mapInArrow(frequent, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+                words, n = np.frombuffer(x["words"], "<u8"), _big(x["lengths"])
+                tokens, most = _big(x["tokens"]), len(n) + int(n.sum())
+                # Both words of such a pair are as frequent; frequent words have small numbers.
+                rare = int(np.count_nonzero(np.bincount(tokens, minlength=len(words)) * 2 * HOT > most))
+                inside = np.ones(max(0, len(tokens) - 1), bool)
+                inside[(np.cumsum(n)[:-1] - 1)[(np.cumsum(n)[:-1] > 0) & (np.cumsum(n)[:-1] < len(tokens))]] = False
+                before, after = tokens[:-1], tokens[1:]
+                keep = inside & (before < rare) & (after < rare)
+                pairs, often = np.unique(before[keep] << 32 | after[keep], return_counts=True)
+                pairs, often = pairs[often * 2 * HOT > most], often[often * 2 * HOT > most]
+                context = np.append(_pair_hash(words[pairs >> 32], words[pairs & 0xFFFFFFFF]), _pair_hash(np.array([BEGIN]), np.array([BEGIN])))
+                yield pa.RecordBatch.from_pydict({"context": context.view(np.int64), "n": np.append(often, len(n))})
+
+    found = blocks.select("lengths", "words", "tokens").mapInArrow(frequent, "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
     # Small inputs have nothing to split.
     rows = found.where((F.col("n") * HOT > n) & (F.col("n") > PART_ASKED // 100)).collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
@@ -376,15 +420,16 @@ def _ask(b: _Block, block: int, book: np.ndarray, hot: np.ndarray, parts: int) -
     edges = np.searchsorted(b.part, np.arange(parts + 1))
     cuts = np.searchsorted(b.at, edges)
     sizes = np.bincount(b.at, minlength=len(b.entry))
-    number = _places(book, b.words)
-    code = np.where(number >= 0, number, BOOK)
+    by_hash = np.argsort(book)
+    number = _places(book[by_hash], b.words)
+    code = np.where(number >= 0, by_hash[number] if len(book) else BOOK, BOOK)
     rows, held = [], 0
     for s in np.flatnonzero(np.diff(edges)).tolist():
         e, t = slice(edges[s], edges[s + 1]), b.order[cuts[s] : cuts[s + 1]]
         following = b.next[t]
         rare = following[code[following] == BOOK]
         row = {
-            "part": s, "block": block, "contexts": EliasFano.packed(b.contexts[b.entry[e]], 1 << 64), "totals": _small(b.totals[b.entry[e]]), "sizes": _small(sizes[e]),
+            "part": s, "block": block, "contexts": EliasFano.packed(b.prints[b.entry[e]], 1 << BITS), "totals": _small(b.totals[b.entry[e]]), "sizes": _small(sizes[e]),
             "next": _small(code[following]), "rare": b.words[rare].astype("<u8").tobytes(), "counts": _small(b.counts[t]),
         }
         rows.append(row)
@@ -405,18 +450,18 @@ def _part(shared, as_model: bool):
         level, place = np.unique(np.concatenate(contexts), return_inverse=True)
         totals = np.bincount(place, np.concatenate([_big(x["totals"]) for x in rows])).astype(np.int64)
         own = np.repeat(place, np.concatenate([_big(x["sizes"]) for x in rows]))
-        following, lengths = [], []
-        for x in rows:
-            code, rare = _big(x["next"]), np.frombuffer(x["rare"], "<u8")
-            word = np.empty(len(code), np.uint64)
-            known = code < BOOK
-            word[known], word[~known] = book[code[known]], rare
-            following.append(word)
-            lengths.append(len(code))
+        following = [_big(x["next"]) for x in rows]
+        lengths = [len(c) for c in following]
+        code = np.concatenate(following)
+        rare = np.frombuffer(b"".join(x["rare"] for x in rows), "<u8")
         counts = np.concatenate([_big(x["counts"]) for x in rows])
-        words, number = np.unique(np.concatenate(following), return_inverse=True)
+        used = np.zeros(BOOK + 1, bool)
+        used[code] = True
+        words = np.union1d(book[used[: len(book)]], rare)
+        number = np.searchsorted(words, book)[np.minimum(code, len(book) - 1)] if len(book) else np.zeros(len(code), np.int64)
+        number[code == BOOK] = np.searchsorted(words, rare)
         asked, inverse = np.unique(own << 32 | number, return_inverse=True)
-        del own, number, following
+        del own, number, following, code
         count = np.bincount(inverse, counts, minlength=len(asked)).astype(np.int64)
         seen, of = count > 0, asked >> 32
         # What training documents hold goes into the levels, and what they don't is not found there.
@@ -428,11 +473,11 @@ def _part(shared, as_model: bool):
         memory = mmap.mmap(-1, len(data))
         memory.write(data)
         del data, count, seen, counts
-        total, code = Trie(np.frombuffer(memory, np.uint8)).ask(level, of, words[asked & 0xFFFFFFFF])
+        total, code = Trie(np.frombuffer(memory, np.uint8)).ask(level, words, of, asked & 0xFFFFFFFF)
         total, code = total[place], code[inverse]
         said, at, to = [], 0, 0
         for x, end, n in zip(rows, ends.tolist(), lengths, strict=True):
-            said.append({"part": x["part"], "block": x["block"], "totals": _small(total[at:end]), "codes": _small(code[to : to + n])})
+            said.append({"part": x["part"], "block": x["block"], "totals": _codes(total[at:end]), "codes": _codes(code[to : to + n])})
             at, to = end, to + n
         return _rows(said, _SAID)
 
@@ -451,10 +496,10 @@ def _scorer(shared, parts: int, word_parts: int, n_train: int, distinct: int):
         order[order == len(b.words) - 2] += 1
         counts[order] = np.concatenate([_big(a["totals"]) for a in reversed(said) if a["part"] < 0])
         counts[-2] = counts[-1]
-        total = np.concatenate([_big(a["totals"]) for a in said if a["part"] >= 0])[b.place]
+        total = np.concatenate([_uncoded(a["totals"]) for a in said if a["part"] >= 0])[b.place]
         total = np.where(total < STEPS, _power(total, 1), 0.0)  # of each pair
         code = np.empty(len(b.of), np.int64)
-        code[b.order] = np.concatenate([_big(a["codes"]) for a in said if a["part"] >= 0])
+        code[b.order] = np.concatenate([_uncoded(a["codes"]) for a in said if a["part"] >= 0])
         base = np.log10((counts + ADDED) / (n_train + ADDED * (distinct + 1)))
         single = (10.0**base)[b.token]
         double = (total[b.pair] + WEIGHTS[0] * single) / (counts[b.before] + WEIGHTS[0])

@@ -323,13 +323,13 @@ def test_trie_is_asked_through_its_pointers():
     from corpusq.llm.lm import STEPS, EliasFano, Trie
 
     r = np.random.default_rng(3)
-    contexts, words = np.unique(r.integers(0, 1 << 63, 50).astype(np.uint64)), np.unique(r.integers(0, 1 << 63, 30).astype(np.uint64))
+    contexts, words = np.unique(r.integers(0, 1 << 48, 50).astype(np.uint64)), np.unique(r.integers(0, 1 << 63, 30).astype(np.uint64))
     held = np.unique(r.integers(0, 50 * 30, 400))
     of, number, counts = held // 30, held % 30, r.integers(1, 9, len(held))
     totals = np.maximum(np.bincount(of, counts, minlength=50).astype(np.int64), 1)
     data = np.frombuffer(Trie.packed(contexts, totals, words, of, number, counts), np.uint8)
     asked = np.arange(50 * 30)
-    many, found = Trie(data).ask(np.append(contexts, np.uint64(7)), np.append(asked // 30, 50), np.append(words[asked % 30], words[0]))
+    many, found = Trie(data).ask(np.append(contexts, np.uint64(7)), words, np.append(asked // 30, 50), np.append(asked % 30, 0))
     assert many[-1] == STEPS and found[-1] == STEPS and (many[:-1] < STEPS).all()
     assert set(np.flatnonzero(found < STEPS)) == set(held.tolist())
     want = np.log10(counts / (totals[of] + 4))
@@ -337,7 +337,7 @@ def test_trie_is_asked_through_its_pointers():
     broken = Trie(data)
     ends = broken.pointers.values()
     broken.pointers = EliasFano(np.frombuffer(EliasFano.packed(np.append(ends[:-1] // np.uint64(2), ends[-1:]), len(held) + 1), np.uint8))
-    assert (broken.ask(contexts, asked // 30, words[asked % 30])[1] != found[:-1]).sum() > 100
+    assert (broken.ask(contexts, words, asked // 30, asked % 30)[1] != found[:-1]).sum() > 100
 
 
 def test_split_contexts_score_as_others(spark, docs, monkeypatch):
@@ -346,9 +346,10 @@ def test_split_contexts_score_as_others(spark, docs, monkeypatch):
 
     plain = {str(tuple(r)[:5]): tuple(r)[5:] for r in lm_scores(docs)[0].collect()}
     found = []
-    for name, value in (("BOOK", 3), ("HOT", 10), ("PART_ASKED", 90), ("BLOCK_BYTES", 900)):
+    for name, value in (("HOT", 10), ("PART_ASKED", 90), ("BLOCK_BYTES", 900)):
         monkeypatch.setattr(lm, name, value)
-    hot = lm.hot_contexts
+    hot, book = lm.hot_contexts, lm.code_book
+    monkeypatch.setattr(lm, "code_book", lambda blocks, n: book(blocks, n)[:3])
     monkeypatch.setattr(lm, "hot_contexts", lambda blocks, n: found.append(hot(blocks, 50)) or found[-1])
     for r in lm.lm_scores(docs)[0].collect():
         assert tuple(r)[5:] == pytest.approx(plain[str(tuple(r)[:5])], abs=1e-3)
@@ -428,7 +429,7 @@ def lines_of_hosts(rows, limit, by_text=False, first_keeps=False):
     return {k: min((i for _, i in x if i is not None), default=None) if first_keeps else None for k, x in held.items() if n(x) > limit}
 
 
-def judged(rows, limit=2, **how):
+def judged(rows, limit=2, least=20, **how):
     """Measures, verdict and cleaned text of each row."""
     common, out = lines_of_hosts(rows, limit, **how), []
     for i, t, s, *_ in rows:
@@ -437,7 +438,7 @@ def judged(rows, limit=2, **how):
         repeats = {k + j for k in range(len(w) - 2) if at[tuple(w[k : k + 3])] > 1 for j in range(3)}
         gone = lambda x: (s, key(x)) in common and (i is None or common[s, key(x)] != i)  # noqa: B023, E731
         lost = sum(len(words(x)) for x in (t or "").split("\n") if gone(x))
-        failed = len(w) < 20 or 100 * len(repeats) > 50 * len(w)
+        failed = len(w) < least or 100 * len(repeats) > 50 * len(w)
         row = (i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(repeats), lost, failed, not failed and len(w) - lost >= 0.3 * len(w))
         out.append((row, None if t is None else "\n".join(x for x in t.split("\n") if not gone(x))))
     return out
