@@ -26,6 +26,8 @@ WEIGHTS = (500.0, 4.0)
 STEPS, DECADES = 65_535, 12.0
 #: Text bytes of a block, and sequences or words that a part of the trie is meant to be asked for.
 BLOCK_BYTES, PART_ASKED = 8 << 20, 2_000_000
+#: Buckets that Spark writes at most, unless it is told otherwise.
+MOST_BUCKETS = 100_000
 #: A pair of words with more than 1 / HOT of all tokens is split into SPLIT parts; there are fewer than HOT such pairs.
 HOT, SPLIT = 10_000, 32
 #: Words of the code book that shortens messages, and the blocks and their words that it is taken from. It changes no result.
@@ -301,11 +303,13 @@ def lm_scores(documents: DataFrame, held_out_of: int = 10, id_col: str = "doc_id
     exchange one row each way. All tables grow with the distinct triples of blocks; none is gathered in one place.
     """
     spark = documents.sparkSession
-    blocks = _bucketed(token_blocks(documents, id_col, text_col, held_out_of))
+    size = documents.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+    blocks = _bucketed(token_blocks(documents, id_col, text_col, held_out_of), size)
     n_train, n_words, n_triples, n_blocks = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_train", "n_words", "n_triples")), F.count("*")).first()
     parts = _parts(n_words)
     asked = blocks.select("block", "words", "counts", "held").mapInArrow(_ask_words(parts), "part long, block long, words binary, counts binary")
-    known = written(asked.groupBy("part").applyInArrow(_word_part, "part long, block long, n_distinct long, counts binary"), "word-counts")
+    # As many tasks as parts, whatever the session's number of partitions is.
+    known = written(asked.repartition(parts, "part").groupBy("part").applyInArrow(_word_part, "part long, block long, n_distinct long, counts binary"), "word-counts")
     # The blocks of a part all carry the number of its distinct words.
     distinct = known.groupBy("part").agg(F.max("n_distinct").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = spark.sparkContext.broadcast((code_book(blocks, n_blocks), hot_contexts(blocks, n_triples)))
@@ -317,7 +321,7 @@ def lm_scores(documents: DataFrame, held_out_of: int = 10, id_col: str = "doc_id
             for x in batch.to_pylist():
                 yield from _ask(_Block(x), x["block"], book, hot, parts)
 
-    asked = blocks.drop("doc_ids", "counts").mapInArrow(ask, _ASKED)
+    asked = blocks.drop("doc_ids", "counts").mapInArrow(ask, _ASKED).repartition(parts, "part")
     said = asked.groupBy("part").applyInArrow(_part(shared, False), _SAID)
     model = asked.groupBy("part").applyInArrow(_part(shared, True), _MODEL)
     empty = F.lit(None).cast("binary")
@@ -327,12 +331,13 @@ def lm_scores(documents: DataFrame, held_out_of: int = 10, id_col: str = "doc_id
     return scores, model
 
 
-def _bucketed(blocks: DataFrame) -> DataFrame:
-    """``blocks`` written into buckets by their number: where answers come back to them, only answers are shuffled."""
+def _bucketed(blocks: DataFrame, size: int) -> DataFrame:
+    """``blocks`` of ``size`` bytes of text written into buckets by their number, of about four each: where answers come back to
+    them, only answers are shuffled."""
     spark = blocks.sparkSession
     path = scratch(spark, "token-blocks")
     name = "token_blocks_" + path[-32:]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (4 * BLOCK_BYTES)))
     blocks.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
     return spark.table(name)
 
