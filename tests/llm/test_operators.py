@@ -127,7 +127,7 @@ def test_near_duplicates_in_a_template_group(spark):
 
 
 def test_pairs_among_pages_of_one_site(spark):
-    """A third of each page is its own, which makes all alike by 0.72; pairs of 0.75 to 0.78 lose none of their links."""
+    """A sixth of each page is its own, which makes all alike by 0.73; pairs of 0.75 to 0.78 lose none of their links."""
     import numpy as np
 
     r, rows = random.Random(6), []
