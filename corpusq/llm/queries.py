@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusq.llm.counts import token_counts
 from corpusq.llm.decontaminate import contamination
+from corpusq.llm.divergence import divergence
 from corpusq.llm.lines import line_dedup
 from corpusq.llm.lm import lm_scores
 from corpusq.llm.minhash import near_duplicates
@@ -69,8 +70,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_minhash_near_dedup, op2_secret_scans, op3_sentencepiece, op4_sharding, op5_lm_scoring, op6_token_counts, op7_quality_rules, op8_warc, op9_line_dedup, op10_decontamination,
+    op11_source_divergence,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scans, op3_sentencepiece, op4_sharding, op5_lm_scoring, op6_token_counts, op7_quality_rules, op8_warc, op9_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in ALL}
 
 
 #: The words [^\x20\x09-\x0D]+ of a lower-cased text. DuckDB's lower() reaches beyond A-Z, so A-Z are translated.
@@ -131,6 +142,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coa
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () i, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[a-z\\x{{80}}-\\x{{10FFFF}}]+') w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) term FROM d),
+k AS (SELECT lang, term, count(*) n FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= 10),
+v AS (SELECT lang, count(*) v, sum(n) n FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) n FROM t SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(sum(c.n), 0) n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT lang, g.source, term, coalesce(c.n, 0) n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (g.n + 2 * v) p, 1 + (1000000000 * (k.n + 2)::HUGEINT) // (v.n + 2 * v) q
+ FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT x.lang, x.source, y.source item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) s FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+r AS (SELECT x.lang, x.source, 'pair' part, y.source item, coalesce(s, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+ UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1, "op7_quality_rules": OP7, "op8_warc": OP8, "op9_line_dedup": OP9, "op10_decontamination": OP10}
+    return {"op1_minhash_near_dedup": OP1, "op7_quality_rules": OP7, "op8_warc": OP8, "op9_line_dedup": OP9, "op10_decontamination": OP10, "op11_source_divergence": OP11}
