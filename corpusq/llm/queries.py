@@ -16,6 +16,8 @@ from corpusq.llm.pieces import encode_decode
 from corpusq.llm.quality import quality_rules
 from corpusq.llm.secrets import secret_scan
 from corpusq.llm.sharding import shard
+from corpusq.llm.simhash import simhash_duplicates
+from corpusq.llm.trie import grafted_trie
 from corpusq.llm.warc import warc_round_trip
 
 #: Tokenizer files; another place is given by calling the operators.
@@ -74,9 +76,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grafted_trie(table(spark, sf_dir, "conversations"))
+
+
 ALL = (
     op1_minhash_near_dedup, op2_secret_scans, op3_sentencepiece, op4_sharding, op5_lm_scoring, op6_token_counts, op7_quality_rules, op8_warc, op9_line_dedup, op10_decontamination,
-    op11_source_divergence,
+    op11_source_divergence, op12_simhash_near_dedup, op13_conversation_trie,
 )
 
 
@@ -157,6 +167,23 @@ r AS (SELECT x.lang, x.source, 'pair' part, y.source item, coalesce(s, 0)::BIGIN
 SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
 """
 
+#: CRC32 of a conversation's decimal digits, bit by bit; nodes are told apart by the numbers of their turns.
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"
+
+OP13 = f"""
+WITH t AS (SELECT conv_id c, dense_rank() OVER (ORDER BY coalesce(role, ''), coalesce(text, '')) k, length(coalesce(text, '')) chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 p FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, c - c % 100 base, {CRC} % 6 h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT s.c, k, chars, 0 part, p FROM s JOIN t ON t.c = base AND p < h UNION ALL SELECT s.c, k, chars, 1, p FROM s JOIN t ON t.c = s.c AND p >= h),
+x AS (SELECT c, row_number() OVER w AS d, array_to_string(list(k) OVER w, ',') k, array_to_string((list(k) OVER w)[:-2], ',') pk, chars FROM r WINDOW w AS (PARTITION BY c ORDER BY part, p) UNION ALL SELECT c, 0, '', NULL, 0 FROM s),
+n AS (SELECT d, k, any_value(pk) pk, min(c) c, count(*) n, (count(*) - 1) * any_value(chars) own FROM x GROUP BY 1, 2),
+ch AS (SELECT d - 1 d, pk k, count(*) n FROM n WHERE d > 0 GROUP BY 1, 2),
+v AS (SELECT n.*, coalesce(ch.n, 0) children FROM n LEFT JOIN ch USING (d, k)),
+u AS (SELECT x.d, x.k, count(*) FILTER (children = 0) leaves, sum(own) saved FROM v JOIN x ON x.c = v.c AND x.d <= v.d GROUP BY 1, 2),
+e AS (SELECT d, k, string_agg(c::VARCHAR, ',' ORDER BY c) ids FROM x JOIN (SELECT c, max(d) d FROM x GROUP BY 1) USING (c, d) GROUP BY 1, 2)
+SELECT v.c AS conv_id, v.d AS depth, q.c AS parent_conv_id, v.n AS n_convs, v.children AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v JOIN u USING (d, k) LEFT JOIN e USING (d, k) LEFT JOIN n q ON q.d = v.d - 1 AND q.k = v.pk
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1, "op7_quality_rules": OP7, "op8_warc": OP8, "op9_line_dedup": OP9, "op10_decontamination": OP10, "op11_source_divergence": OP11}
+    return {"op1_minhash_near_dedup": OP1, "op7_quality_rules": OP7, "op8_warc": OP8, "op9_line_dedup": OP9, "op10_decontamination": OP10, "op11_source_divergence": OP11, "op13_conversation_trie": OP13}
