@@ -26,6 +26,7 @@ ASSIGNED = rf"{ASSIGNS}(?:\"[^\"]+|'[^']+|`[^`]+|[^\"'`]+)"
 #: Words before that assign the whole next word, and an assignment whose quote a later word closes.
 BEFORE = rf"(?:{ASSIGNS}|{NAMES}[A-Za-z0-9_\-]*[\"'`\])]* (?:=>|:=|[=:]+)|(?i)\bbearer)$"
 OPEN = rf"{ASSIGNS}(\"[^\"]*|'[^']*|`[^`]*)$"
+QUOTES = {"double": '"', "single": "'", "back": "`"}
 QUOTED = "^(\"[^\"]+\"|'[^']+'|`[^`]+`)"
 #: Words in a value or path that say that it is none.
 PLACEHOLDER = r"(?i)(example|sample|dummy|test|xxxx|placeholder|changeme|0{8}|1234567)"
@@ -46,15 +47,33 @@ def candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     holds several times counts once there.
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = docs.select("doc_id", "path", F.filter(F.split(F.translate("text", "\t\n\x0b\f\r", "     "), " "), lambda w: w != "").alias("words"))
+    words = docs.select("doc_id", "path", "text", F.filter(F.split(F.translate("text", "\t\n\x0b\f\r", "     "), " "), lambda w: w != "").alias("words"))
     around = lambda i: F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1))  # noqa: E731  a place beyond the words is null
     holds = lambda w: (F.length(w) >= 12) & w.rlike(MIXED) & w.rlike(VALUE)
     # What BEFORE and ASSIGNS can't do without is looked for first, as patterns on every word are slow.
     last = lambda i: F.when(i > 0, F.get("words", F.greatest(i - 1, F.lit(0)))).otherwise("")
     ends = lambda w: w.endswith("=") | w.endswith(":") | w.endswith(">") | (F.lower(F.right(w, F.lit(6))) == "bearer")
     named = lambda w, i: ((w.contains("=") | w.contains(":")) & w.rlike(ASSIGNS)) | (ends(last(i)) & around(i).rlike(BEFORE))
-    # The words that follow are only joined where a quote is open.
-    rest = lambda w, i: F.when(F.regexp_count(w, F.lit("[\"'`]")) > 0, F.when(w.rlike(OPEN) | (w.rlike("^[\"'`]") & around(i).rlike(BEFORE)), F.array_join(F.slice("words", i + 2, F.size("words")), " ")))
+    # Where a quote is open, the words up to the next one that has such a quote are joined. For each word, ``close`` has the
+    # place of the first such word from there on: each place of a quote fills the places since the one before.
+    def next_quotes(q: str) -> Column:
+        at = F.filter(F.transform("words", lambda w, i: F.when(F.contains(w, F.lit(q)), i)), lambda i: i.isNotNull())
+        spans = F.arrays_zip(F.concat(F.array(F.lit(-1)), at).alias("before"), at.alias("at"))
+        filled = F.flatten(F.transform(F.filter(spans, lambda x: x["at"].isNotNull()), lambda x: F.array_repeat(x["at"], x["at"] - x["before"])))
+        return F.when(F.contains("text", F.lit(q)), filled).otherwise(F.array().cast("array<int>"))
+
+    words = words.withColumn("close", F.arrays_zip(*[next_quotes(q).alias(name) for name, q in QUOTES.items()]))
+    close = lambda q, i: F.get("close", i + 1)[next(n for n, x in QUOTES.items() if x == q)]
+    joined = lambda i, until: F.when(until.isNotNull(), F.array_join(F.slice("words", i + 2, until - i), " "))
+
+    def rest(w: Column, i: Column) -> Column:
+        opened = F.when(w.rlike(OPEN), F.left(F.regexp_extract(w, OPEN, 3), F.lit(1)))
+        starts = F.when(w.rlike("^(?:\"[^\"]*|'[^']*|`[^`]*)$") & around(i).rlike(BEFORE), F.left(w, F.lit(1)))
+        quote, until = F.coalesce(opened, starts), F.lit(None).cast("int")
+        for q in QUOTES.values():
+            until = F.when(quote == q, close(q, i)).otherwise(until)
+        return F.when(F.regexp_count(w, F.lit("[\"'`]")) > 0, joined(i, until))
+
     found = F.filter(
         F.transform("words", lambda w, i: F.when(holds(w) | named(w, i), F.struct(i.alias("at"), w.alias("word"), around(i).alias("before"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after"), rest(w, i).alias("rest")))),
         lambda x: x.isNotNull(),
@@ -193,7 +212,7 @@ def secret_scan(documents: DataFrame, labels: DataFrame | None = None, threshold
     if model is None:
         made = generated_findings(docs, most_rows)
         known = made.select("doc_id", "value", "label")
-        model = train(features(candidates(made), words).join(known.hint("merge"), ["doc_id", "value"]), most_rows=most_rows)
+        model = train(features(written(candidates(made), "made-candidates"), words).join(known.hint("merge"), ["doc_id", "value"]), most_rows=most_rows)
     if model is None:  # no document, so nothing to scan
         scored = found.withColumn("probability", F.lit(0.0))
     else:

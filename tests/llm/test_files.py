@@ -234,3 +234,14 @@ def test_pipeline_runs_over_the_tables(spark):
         pytest.skip("no test tables")
     assert [n for n, _ in c.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "pieces"]
     assert 0 < c.run(spark, sf).count() < spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_long_texts_of_quoted_fields(spark):
+    """Each field names a value and opens quotes; the work is linear in the text. Open quotes end at the next such quote."""
+    text = " ".join(['"token": "w17",'] * 100_000)
+    rows = candidates(spark.createDataFrame([(1, text, "a.json")], "doc_id long, text string, source string"))
+    assert rows.count() == 100_000 and {r["value"] for r in rows.select("value").distinct().collect()} == {"w17"}
+    some = ["token='a b' secret=\"c d\" `x` password: `e", "f g` token=\"it's open", "to the end"]
+    got = candidates(spark.createDataFrame([(1, " ".join(some), "")], "doc_id long, text string, source string")).collect()
+    assert {"a b", "c d", "e f g"} <= {r["value"] for r in got}
+    assert all("open to" not in r["value"] for r in got)
