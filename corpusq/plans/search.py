@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from corpusq.functions import scalars as S
 from corpusq.functions import terms as N
+from corpusq.operators import blocks as K
 from corpusq.operators import fusion as X
 from corpusq.operators import relational as L
 from corpusq.operators import retrieval as R
 from corpusq.plans.registry import query, table
+from corpusq.sources.index import kept_index
 from corpusq.sources.shared import written
 from pyspark.sql import functions as F
 
@@ -43,25 +45,22 @@ def asked(spark, d):
     return table(spark, d, "conversations").where("turn = 0 AND conv_id % 50 = 0").select(F.col("conv_id").alias("query_id"), "text")
 
 
-def _index(spark, d, queries, form):
-    return R.index_for(table(spark, d, "documents"), R.query_terms(queries, form=form).select("term").distinct(), "doc_id", "text")
+def stored(spark, d):
+    """The stored index of all documents; queries of a session share it."""
+    return kept_index(spark, f"{d}/documents.parquet", "doc_id", F.col("text"))
 
 
 def _or(spark, d):
-    q = asked(spark, d)
-    return R.keyword_search(q, *_index(spark, d, q, "or"), 25)
+    return K.top_search(asked(spark, d), stored(spark, d), 25)
 
 
 def _and(spark, d):
-    q = asked(spark, d)
-    return R.keyword_search(q, *_index(spark, d, q, "and"), 25, "and")
+    return K.all_terms_search(asked(spark, d), stored(spark, d), 25).select("query_id", "id", "score")
 
 
 def _both(spark, d):
-    """The OR and the AND channel over one index, as the terms of the second are among those of the first."""
-    q = asked(spark, d)
-    index, sizes = _index(spark, d, q, "or")
-    return R.keyword_search(q, index, sizes, 25), R.keyword_search(q, index, sizes, 25, "and")
+    """The OR and the AND channel."""
+    return _or(spark, d), _and(spark, d)
 
 
 @query(rf"SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND x NOT IN ('the', 'la')) AS w FROM documents")
@@ -71,7 +70,9 @@ def n1_analyzer(spark, d):
 
 @query(f"WITH {TOKENS_SQL} SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM tok) GROUP BY term")
 def n2_inverted_index(spark, d):
-    return R.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    """The dictionary of the stored index, with the number of all places from its postings."""
+    index = stored(spark, d)
+    return index.postings(index.terms().select("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(f"SELECT conv_id, turn, {_T} AS terms FROM conversations")
@@ -108,10 +109,7 @@ def r4_fts_and(spark, d):
 @query(rf"""WITH {QUERIES_SQL}, {TOKENS_SQL}, q1 AS (SELECT query_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM q), q2 AS (SELECT query_id, list_filter(w, lambda x, i: list_position(w, x) = i) AS w FROM q1)
 SELECT query_id, id, len(q2.w) AS n FROM q2, tok WHERE list_has_all(tok.w, q2.w) AND len(q2.w) > 0""")
 def r9_plain_and(spark, d):
-    terms = written(R.query_terms(asked(spark, d), form="plain"), "query-terms")
-    index, _ = R.index_for(table(spark, d, "documents"), terms.select("term").distinct(), "doc_id", "text")
-    hits = index.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("n"), F.first("n_terms").alias("n_terms"))
-    return hits.where("n = n_terms").select("query_id", "id", "n")
+    return K.all_terms_search(asked(spark, d), stored(spark, d), None, "plain").select("query_id", "id", F.col("n_terms").cast("long").alias("n"))
 
 
 @query(f"""WITH {QUERIES_SQL}, {TOKENS_SQL}, t AS (SELECT query_id, {_T} AS terms, {_LONG} AS longs FROM q),
@@ -121,8 +119,7 @@ w AS (SELECT DISTINCT id, unnest(w) AS term FROM tok), m AS (SELECT DISTINCT que
 SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM m JOIN n USING (query_id) GROUP BY query_id, id, n HAVING (n > 0 AND count(DISTINCT CASE WHEN g > 0 THEN g END) = n) OR count(*) FILTER (g = 0) > 0
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 25""")
 def r6_prefix_channel(spark, d):
-    docs = table(spark, d, "documents")
-    return R.prefix_search(asked(spark, d), written(R.postings(docs, "doc_id", "text"), "postings"), 25)
+    return K.prefix_search(asked(spark, d), stored(spark, d), 25)
 
 
 VECTORS_SQL = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings), vec AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.id % 50 = 0 QUALIFY score > {t} AND row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.id) <= {k})"
