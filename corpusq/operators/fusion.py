@@ -30,6 +30,15 @@ def rrf(channels: Mapping[str, DataFrame], k: int = 60) -> DataFrame:
     return fused.select("query_id", "id", "rrf_score", F.col("_first.score").alias("score"), F.col("_first.channel").alias("channel"))
 
 
+def with_named_cases(fused: DataFrame, named: DataFrame) -> DataFrame:
+    """query_id, pos, id, rrf_score, channel: fused hits, and behind them those on cases that a query names, unless they
+    are among them (R17)."""
+    more = named.select("query_id", "id").distinct().join(fused.select("query_id", "id").hint("merge"), ["query_id", "id"], "left_anti")
+    both = fused.select("query_id", "id", "rrf_score", "channel").unionByName(more.withColumns({"rrf_score": F.lit(None).cast("double"), "channel": F.lit("case_id")}))
+    w = Window.partitionBy("query_id").orderBy(F.col("rrf_score").desc_nulls_last(), "id")
+    return both.select("query_id", F.row_number().over(w).alias("pos"), "id", "rrf_score", "channel")
+
+
 def rerank(hits: DataFrame, scorer: Column, first: int, order: str) -> DataFrame:
     """Adds ``rerank_score`` to the first rows of each list; others are left out."""
     return top_per_key(hits, ["query_id"], [F.col(order).desc(), F.col("id")], first).withColumn("rerank_score", scorer)

@@ -12,8 +12,8 @@ from corpusq.operators import fusion as X
 from corpusq.operators import relational as L
 from corpusq.operators import retrieval as R
 from corpusq.plans.registry import query, table
-from corpusq.sources.index import kept_index
-from corpusq.sources.shared import written
+from corpusq.sources.index import TextIndex, kept_index
+from corpusq.sources.shared import shared_path, written
 from pyspark.sql import functions as F
 
 _STOPS = ", ".join(f"'{w}'" for w in N.STOP_WORDS)
@@ -28,10 +28,10 @@ QUERIES_SQL = "q AS (SELECT conv_id AS query_id, text FROM conversations WHERE t
 TOKENS_SQL = r"tok AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)"
 
 
-def _bm25_sql(terms: str, need_all: bool, k: int, name: str) -> str:
+def _bm25_sql(terms: str, need_all: bool, k: int, name: str, tok: str = "tok") -> str:
     return f"""{name}t AS (SELECT query_id, len(w) AS n_terms, unnest(w) AS term FROM (SELECT query_id, list_distinct({terms}) AS w FROM q)),
-{name}p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM tok) GROUP BY ALL HAVING term IN (SELECT term FROM {name}t)),
-{name}d AS (SELECT term, count(*) AS df FROM {name}p GROUP BY 1), {name}s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM tok),
+{name}p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM {tok}) GROUP BY ALL HAVING term IN (SELECT term FROM {name}t)),
+{name}d AS (SELECT term, count(*) AS df FROM {name}p GROUP BY 1), {name}s AS (SELECT count(*) AS n, avg(len(w)) AS m FROM {tok}),
 {name} AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / m))), 6) AS score FROM {name}p JOIN {name}t USING (term) JOIN {name}d USING (term) CROSS JOIN {name}s
 GROUP BY query_id, id {"HAVING count(*) = any_value(n_terms)" if need_all else ""} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {k})"""
 
@@ -112,12 +112,18 @@ def r9_plain_and(spark, d):
     return K.all_terms_search(asked(spark, d), stored(spark, d), None, "plain").select("query_id", "id", F.col("n_terms").cast("long").alias("n"))
 
 
-@query(f"""WITH {QUERIES_SQL}, {TOKENS_SQL}, t AS (SELECT query_id, {_T} AS terms, {_LONG} AS longs FROM q),
-p AS (SELECT query_id, longs, terms, unnest(range(1, len(longs) + 1)) AS g FROM t), gp AS (SELECT DISTINCT query_id, g, u.* FROM (SELECT query_id, g, unnest(list_concat([{{'pat': longs[g], 'pre': false}}], list_transform(list_filter([greatest(6, CAST(floor(length(longs[g]) * 0.5) AS INT)), greatest(6, CAST(floor(length(longs[g]) * 0.65) AS INT)), greatest(6, CAST(floor(length(longs[g]) * 0.8) AS INT))], lambda n: n < length(longs[g]) - 2), lambda n: {{'pat': left(longs[g], n), 'pre': true}}))) AS u FROM p)),
-e AS (SELECT DISTINCT query_id, 0 AS g, unnest(list_filter(terms, lambda x: NOT list_contains(longs, x))) AS pat, false AS pre FROM t), a AS (SELECT query_id, g, pat, pre FROM gp UNION ALL SELECT * FROM e),
-w AS (SELECT DISTINCT id, unnest(w) AS term FROM tok), m AS (SELECT DISTINCT query_id, id, g, pat, pre FROM a JOIN w ON (CASE WHEN pre THEN starts_with(term, pat) ELSE term = pat END)), n AS (SELECT query_id, max(g) AS n FROM a GROUP BY 1)
-SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM m JOIN n USING (query_id) GROUP BY query_id, id, n HAVING (n > 0 AND count(DISTINCT CASE WHEN g > 0 THEN g END) = n) OR count(*) FILTER (g = 0) > 0
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 25""")
+def _prefix_sql(name: str, k: int, tok: str = "tok") -> str:
+    """The k best of the prefix form of each query; CTEs begin with the name."""
+    n, at = name, [f"greatest(6, CAST(floor(length(longs[g]) * {x}) AS INT))" for x in N.PREFIX_SHARES]
+    return f"""{n}t AS (SELECT query_id, {_T} AS terms, {_LONG} AS longs FROM q), {n}p AS (SELECT query_id, longs, terms, unnest(range(1, len(longs) + 1)) AS g FROM {n}t),
+{n}g AS (SELECT DISTINCT query_id, g, u.* FROM (SELECT query_id, g, unnest(list_concat([{{'pat': longs[g], 'pre': false}}], list_transform(list_filter([{', '.join(at)}], lambda n: n < length(longs[g]) - 2), lambda n: {{'pat': left(longs[g], n), 'pre': true}}))) AS u FROM {n}p)),
+{n}e AS (SELECT DISTINCT query_id, 0 AS g, unnest(list_filter(terms, lambda x: NOT list_contains(longs, x))) AS pat, false AS pre FROM {n}t), {n}a AS (SELECT query_id, g, pat, pre FROM {n}g UNION ALL SELECT * FROM {n}e),
+{n}w AS (SELECT DISTINCT id, unnest(w) AS term FROM {tok}), {n}m AS (SELECT DISTINCT query_id, id, g, pat, pre FROM {n}a JOIN {n}w ON (CASE WHEN pre THEN starts_with(term, pat) ELSE term = pat END)), {n}n AS (SELECT query_id, max(g) AS n FROM {n}a GROUP BY 1),
+{n} AS (SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM {n}m JOIN {n}n USING (query_id) GROUP BY query_id, id, n HAVING (n > 0 AND count(DISTINCT CASE WHEN g > 0 THEN g END) = n) OR count(*) FILTER (g = 0) > 0
+ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {k})"""
+
+
+@query(f"WITH {QUERIES_SQL}, {TOKENS_SQL}, {_prefix_sql('pre', 25)} SELECT * FROM pre")
 def r6_prefix_channel(spark, d):
     return K.prefix_search(asked(spark, d), stored(spark, d), 25)
 
@@ -175,10 +181,38 @@ def r16_rrf_merge(spark, d):
     return X.rrf(dict(zip(("or", "and"), _both(spark, d), strict=True)))
 
 
-@query(f"WITH {QUERIES_SQL}, {TOKENS_SQL}, {OR_SQL}, {AND_SQL}, {RRF_SQL} SELECT query_id, id, rrf_score FROM rrf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) <= 20")
+#: Five documents in a row are a case; its title is how its first one begins, its metadata are that, language and source.
+TITLE, META = "left(text, 150)", "concat_ws(' ', left(text, 150), lang, source)"
+CHANNELS = ("vector", "or", "and", "metadata", "prefix_title", "prefix_content")
+_CUT = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w"
+HYBRID_SQL = f"""WITH q AS (SELECT conv_id AS query_id, text || CASE WHEN conv_id % 100 = 0 THEN ' KKO:2020:' || (conv_id // 50 + 1) ELSE '' END AS text FROM conversations WHERE turn = 0 AND conv_id % 50 = 0), {TOKENS_SQL},
+f AS (SELECT min(doc_id) AS id FROM documents GROUP BY doc_id // 5), tt AS (SELECT id, {_CUT.format(TITLE)} FROM f JOIN documents ON doc_id = id), mt AS (SELECT id, {_CUT.format(META)} FROM f JOIN documents ON doc_id = id),
+{OR_SQL}, {AND_SQL}, {_bm25_sql(_T, False, 20, "meta", "mt")}, {_prefix_sql("tit", 20, "tt")}, {_prefix_sql("pre", 20)}, {VECTORS_SQL.format(t=0.3, k=25)},
+u AS ({" UNION ALL ".join(f"SELECT query_id, id, score, {no} AS no, '{name}' AS channel FROM {cte} SEMI JOIN q USING (query_id)" for no, (name, cte) in enumerate(zip(CHANNELS, ("vec", "ors", "ands", "meta", "tit", "pre"), strict=True)))}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, no ORDER BY score DESC, id) AS r FROM u),
+m AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf_score, min_by(channel, no) AS channel FROM r GROUP BY 1, 2),
+b AS (SELECT query_id, doc_id AS id FROM q JOIN documents ON doc_id // 5 = query_id // 50 WHERE query_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY doc_id) <= 2),
+a AS (SELECT * FROM m UNION ALL SELECT query_id, id, NULL, 'case_id' FROM b ANTI JOIN m USING (query_id, id))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC NULLS LAST, id) AS pos, id, rrf_score, channel FROM a"""
+
+
+@query(HYBRID_SQL)
 def r17_hybrid_search(spark, d):
-    fused = X.rrf(dict(zip(("or", "and"), _both(spark, d), strict=True)))
-    return L.top_per_key(fused, ["query_id"], [F.col("rrf_score").desc(), F.col("id")], 20).select("query_id", "id", "rrf_score")
+    """All channels: vectors, any and all key terms, metadata, prefixes in titles and in texts, fused by rank; behind them
+    the first two sections of a case that the query names."""
+    q = table(spark, d, "conversations").where("turn = 0 AND conv_id % 50 = 0")
+    q = q.select(F.col("conv_id").alias("query_id"), F.concat("text", F.when(F.col("conv_id") % 100 == 0, F.concat(F.lit(" KKO:2020:"), F.expr("conv_id div 50 + 1"))).otherwise("")).alias("text"))
+    docs = table(spark, d, "documents").withColumn("case_id", F.concat(F.lit("KKO:2020:"), F.expr("doc_id div 5 + 1")))
+    firsts = docs.groupBy("case_id").agg(F.min("doc_id").alias("doc_id"))
+    cases = written(docs.join(firsts, ["case_id", "doc_id"]).select("doc_id", F.expr(TITLE).alias("title"), F.expr(META).alias("meta")), "cases")
+    index, (titles, meta) = stored(spark, d), (TextIndex(spark, shared_path(spark, "index")).add(cases, "doc_id", c, distinct_ids=True) for c in ("title", "meta"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    vectors = e.join(q.select(F.col("query_id").alias("id")), "id").withColumnRenamed("id", "query_id")
+    found = X.rrf(dict(zip(CHANNELS, (
+        R.vector_search(vectors, e, 25, 0.3), K.top_search(q, index, 25), K.all_terms_search(q, index, 25), K.top_search(q, meta, 20), K.prefix_search(q, titles, 20), K.prefix_search(q, index, 20),
+    ), strict=True)))
+    named = q.select("query_id", F.explode(S.case_ids(F.col("text"))).alias("case_id"))
+    return X.with_named_cases(found, R.id_search(named, docs.select(F.col("doc_id").alias("id"), "case_id"), "case_id", 0.95, 2))
 
 
 @query(f"WITH {QUERIES_SQL}, {TOKENS_SQL}, {OR_SQL}, {AND_SQL}, a AS (SELECT query_id, id, score, 0 AS n FROM ors UNION ALL SELECT query_id, id, score, 1 FROM ands) SELECT query_id, id, max(score) AS score FROM a GROUP BY 1, 2")

@@ -77,7 +77,7 @@ def _range_blocks(rows: pa.Table, ranges: np.ndarray) -> Iterator[pa.RecordBatch
 
 @dataclass
 class Manifest:
-    """What a version of an index consists of. segments: name to numbers of rows, and of live documents and their tokens;
+    """What a version of an index consists of. segments: name to the ids' type, and numbers of rows, and of live documents and their tokens;
     stale: folders of (segment, id, dl, tokens) of documents that were replaced or deleted."""
 
     version: int = 0
@@ -135,16 +135,14 @@ class TextIndex:
             out = df if out is None else out.unionByName(df)
         return out
 
-    def _part(self, segment: str, part: str) -> DataFrame:
-        """A segment's part; an empty one has no file below its folders, so its columns are named here."""
-        if part == "docs":
-            return self.spark.read.parquet(f"{self.path}/{segment}/docs")
-        kind = self.spark.read.parquet(f"{self.path}/{segment}/docs").schema["id"].dataType.simpleString()
+    def _part(self, segment: str, part: str, kind: str | None = None) -> DataFrame:
+        """A segment's part; its columns are named here, as an empty one has no file below its folders."""
+        kind = kind or self.manifest.segments[segment]["id_type"]
         return self.spark.read.schema(self._columns(kind)[part]).parquet(f"{self.path}/{segment}/{part}")
 
     @staticmethod
     def _columns(kind: str) -> dict[str, str]:
-        return {"terms": "term string, df long, bucket int", "blocks": f"term string, range long, n int, top_tf int, least_dl int, postings array<struct<id:{kind},dl:int,tf:int,places:array<int>>>, bucket int"}
+        return {"docs": f"id {kind}, tokens array<string>, dl int, slot long", "terms": "term string, df long, bucket int", "blocks": f"term string, range long, n int, top_tf int, least_dl int, postings array<struct<id:{kind},dl:int,tf:int,places:array<int>>>, bucket int"}
 
     def _stale(self) -> DataFrame | None:
         """segment, id, dl, tokens of documents that are no longer live, in segments that are still there."""
@@ -170,17 +168,17 @@ class TextIndex:
         tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // TASK_DOCS) * 8))
         rows = rows.repartitionByRange(tasks, "dl", "id").sortWithinPartitions("dl", "id").withColumn("slot", F.monotonically_increasing_id())
         rows.write.parquet(f"{self.path}/{name}/docs")
-        docs = spark.read.parquet(f"{self.path}/{name}/docs")
-        kind = self._columns(docs.schema["id"].dataType.simpleString())["blocks"].removesuffix(", bucket int")
-        blocks = docs.select("id", "slot", "dl", "tokens").mapInArrow(_blocks, kind).withColumn("bucket", _bucket(F.col("term")))
+        kind = docs.schema["id"].dataType.simpleString()
+        docs = self._part(name, "docs", kind)
+        blocks = docs.select("id", "slot", "dl", "tokens").mapInArrow(_blocks, self._columns(kind)["blocks"].removesuffix(", bucket int")).withColumn("bucket", _bucket(F.col("term")))
         blocks = blocks.repartition("bucket", F.floor(F.col("range") / F.lit(SPAN))).sortWithinPartitions("bucket", "term", "range")
         blocks.write.partitionBy("bucket").parquet(f"{self.path}/{name}/blocks")
-        blocks = self._part(name, "blocks")
+        blocks = self._part(name, "blocks", kind)
         terms = blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").sortWithinPartitions("term")
         terms.write.partitionBy("bucket").parquet(f"{self.path}/{name}/terms")
         self._files.delete(self._path(staged), True)
         n = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        return name, {"rows": n[0], "docs": n[0], "tokens": n[1]}
+        return name, {"id_type": kind, "rows": n[0], "docs": n[0], "tokens": n[1]}
 
     def _retired(self, ids: DataFrame) -> tuple[list[str], dict[str, dict]]:
         """Writes what goes stale when ``ids`` are replaced or deleted; the folder, and the segments' sizes without it."""
