@@ -48,10 +48,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a passage of the benchmark. Of rows that share an id, or have none, all go if one holds a passage;
-    texts without words stay."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select("doc_id").distinct())
+    """Rows without a passage of the benchmark, each by its own text, which a hash names; so a row goes alone, also where
+    rows share an id or have none. Texts without words stay."""
+    named = docs.select(F.xxhash64("text").alias("_row"), "text")
+    found = contamination(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    gone = written(found.where("contaminated").select(F.col("doc_id").alias("_row")).distinct(), "dropped-texts")
+    return docs.join(gone, F.xxhash64(docs["text"]) == gone["_row"], "left_anti")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
