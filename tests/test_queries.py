@@ -40,15 +40,44 @@ def test_entry(spark):
     assert entry.entry(spark).columns[:3] == ["query_id", "pos", "id"]
 
 
-def test_approximate_vectors_recall(spark):
-    """The query as it is registered against all exact neighbours over 0.3, ten at most for each query."""
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_approximate_vectors_recall(spark, sf):
+    """The query as it is registered against the ten exact neighbours of each query, whatever their similarity."""
     from corpusq.operators.retrieval import vector_search
 
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
-    exact = vector_search(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 10, 0.3)
-    want = {(r["query_id"], r["id"]) for r in exact.collect()}
-    got = {(r["query_id"], r["id"]) for r in registry.queries()["r15_approximate_vectors"](spark, "/root/testdata/sf0.01").where("score > 0.3").collect()}
-    assert len(want) > 20 and len(want & got) >= 0.9 * len(want)
+    e = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    exact = vector_search(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), e, 10, -2.0)
+    want = {(r["query_id"], r["id"]): r["score"] for r in exact.collect()}
+    got = {(r["query_id"], r["id"]): r["score"] for r in registry.queries()["r15_approximate_vectors"](spark, f"/root/testdata/{sf}").collect()}
+    assert len(got) == len(want) and len(want.keys() & got) >= 0.95 * len(want)
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in want.keys() & got)
+
+
+def test_vector_index_follows_groups(spark, monkeypatch):
+    """Vectors in 200 groups: eight cells of 64 hold all neighbours; cells and their queries in small parts; vectors that
+    can't be compared are left out."""
+    import numpy as np
+    from corpusq.operators.retrieval import vector_search
+    from corpusq.sources import vectors
+    from corpusq.sources.shared import shared_path
+
+    monkeypatch.setattr(vectors, "CELL_ROWS", 20)
+    monkeypatch.setattr(vectors, "CELL_QUERIES", 3)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(200, 24))
+    rows = [(i, (centres[i % 200] + 0.15 * r.normal(size=24)).tolist()) for i in range(3_000)]
+    schema = "id long, embedding array<double>"
+    good = spark.createDataFrame(rows, schema)
+    odd = spark.createDataFrame([(9_000, None), (9_001, []), (9_002, [1.0]), (9_003, [0.0] * 24), (9_004, [None] * 24)], schema)
+    index = vectors.VectorIndex(spark, shared_path(spark, "vectors")).build(good.unionByName(odd))
+    assert index.rows().count() == 3_001
+    queries = good.where("id % 60 = 0").withColumnRenamed("id", "query_id")
+    want = {tuple(x) for x in vector_search(queries, good, 10, -2.0).select("query_id", "id").collect()}
+    got = {tuple(x) for x in index.search(queries, 10, probes=8).select("query_id", "id").collect()}
+    assert len(want & got) >= 0.95 * len(want)
+    assert index.search(odd.withColumnRenamed("id", "query_id").where("query_id <> 9003"), 10).count() == 0
+    with pytest.raises(ValueError):
+        vectors.VectorIndex(spark, shared_path(spark, "vectors")).build(odd.where("id < 9002"))
 
 
 def whole_table(spark, name, columns):
