@@ -11,6 +11,7 @@ from corpusq.operators import blocks as K
 from corpusq.operators import fusion as X
 from corpusq.operators import relational as L
 from corpusq.operators import retrieval as R
+from corpusq.operators.proximity import WEIGHTS, proximity_search
 from corpusq.plans.registry import query, table
 from corpusq.sources.index import TextIndex, kept_index
 from corpusq.sources.shared import shared_path, written
@@ -30,6 +31,8 @@ def _terms_sql(text: str, n: int = 5) -> str:
 QUERIES_SQL = "q AS (SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0 AND conv_id % 50 = 0)"
 TOKENS_SQL = r"tok AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)"
 
+_CUT = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w"
+
 
 def _bm25_sql(terms: str, need_all: bool, k: int, name: str, tok: str = "tok") -> str:
     return f"""{name}t AS (SELECT query_id, len(w) AS n_terms, unnest(w) AS term FROM (SELECT query_id, list_distinct({terms}) AS w FROM q)),
@@ -175,6 +178,25 @@ def r12_weighted_score(spark, d):
     return _vectors(spark, d, 25, 0.3).select("query_id", "id", F.round(R.combined_score(F.col("score"), F.col("id") % 10 / 10, p), 6).alias("score"))
 
 
+_FIELDS = ("left(text, 150)", "concat_ws(' ', lang, source, lang)", "text")
+
+
+@query(rf"""WITH q AS (SELECT doc_id AS query_id, left(text, 120) AS text FROM documents WHERE doc_id % 50 = 0), t AS (SELECT query_id, len(w) AS n_terms, unnest(w) AS term FROM (SELECT query_id, list_distinct(CASE WHEN len({_T}) >= 2 THEN ({_T})[1:3] ELSE [] END) AS w FROM q)),
+f AS ({" UNION ALL ".join(f"SELECT doc_id AS id, {no} AS field, {w} AS weight, {_CUT.format(text)} FROM documents" for no, (w, text) in enumerate(zip(WEIGHTS.values(), _FIELDS, strict=True)))}),
+h AS (SELECT query_id, n_terms, id, field, weight, term, pos + field::BIGINT * 268435456 AS pos FROM (SELECT id, field, weight, unnest(w) AS term, unnest(range(len(w))) AS pos FROM f) JOIN t USING (term)),
+c AS (SELECT e.query_id, e.id, e.pos AS stop, p.term, max(p.pos) AS pos, any_value(e.n_terms) AS n_terms FROM h e JOIN h p ON e.query_id = p.query_id AND e.id = p.id AND p.pos <= e.pos GROUP BY 1, 2, 3, 4),
+s AS (SELECT query_id, id, begin, min(stop) AS stop FROM (SELECT query_id, id, stop, min(pos) AS begin FROM c GROUP BY 1, 2, 3 HAVING count(*) = any_value(n_terms)) GROUP BY 1, 2, 3),
+m AS (SELECT s.query_id, s.id, begin, stop, count(*) AS n, sum(1 / weight) AS inv FROM s JOIN h ON h.query_id = s.query_id AND h.id = s.id AND h.pos BETWEEN begin AND stop GROUP BY 1, 2, 3, 4),
+k AS (SELECT query_id, id, count(DISTINCT field) AS n_fields FROM h GROUP BY 1, 2)
+SELECT query_id, id, round(sum((n / inv) / (1 + (stop - begin + 1 - n))), 6) AS score, any_value(n_fields) AS n_fields FROM m JOIN k USING (query_id, id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""")
+def r8_r12_cover_density(spark, d):
+    """The first words of every fiftieth document as queries, ranked by nearness in titles, keywords and texts."""
+    docs = table(spark, d, "documents")
+    q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.left("text", F.lit(120)).alias("text"))
+    short = {name: kept_index(spark, f"{d}/documents.parquet", "doc_id", F.expr(text)) for name, text in zip(("title", "keywords"), _FIELDS, strict=False)}
+    return proximity_search(q, short | {"text": stored(spark, d)}, 10)
+
+
 RRF_SQL = """u AS (SELECT query_id, id, score, 0 AS no, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM ors UNION ALL SELECT query_id, id, score, 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM ands),
 rrf AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf_score, min_by(score, no) AS score, CASE WHEN min(no) = 0 THEN 'or' ELSE 'and' END AS channel FROM u GROUP BY query_id, id)"""
 
@@ -187,7 +209,6 @@ def r16_rrf_merge(spark, d):
 #: Five documents in a row are a case; its title is how its first one begins, its metadata are that, language and source.
 TITLE, META = "left(text, 150)", "concat_ws(' ', left(text, 150), lang, source)"
 CHANNELS = ("vector", "or", "and", "metadata", "prefix_title", "prefix_content")
-_CUT = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w"
 HYBRID_SQL = f"""WITH q AS (SELECT conv_id AS query_id, text || CASE WHEN conv_id % 100 = 0 THEN ' KKO:2020:' || (conv_id // 50 + 1) ELSE '' END AS text FROM conversations WHERE turn = 0 AND conv_id % 50 = 0), {TOKENS_SQL},
 f AS (SELECT min(doc_id) AS id FROM documents GROUP BY doc_id // 5), tt AS (SELECT id, {_CUT.format(TITLE)} FROM f JOIN documents ON doc_id = id), mt AS (SELECT id, {_CUT.format(META)} FROM f JOIN documents ON doc_id = id),
 {OR_SQL}, {AND_SQL}, {_bm25_sql(_T, False, 20, "meta", "mt")}, {_prefix_sql("tit", 20, "tt")}, {_prefix_sql("pre", 20)}, {VECTORS_SQL.format(t=0.3, k=25)},
