@@ -8,11 +8,19 @@ from corpusq.operators import upkeep as K
 from corpusq.plans.registry import query, table
 from corpusq.plans.reporting import tracking
 from corpusq.sources import sinks as I
+from corpusq.sources.index import TextIndex
+from corpusq.sources.keyed import KeyedTable, counted, recounted, reindexed
 from corpusq.sources.shared import shared_path as _folder
+from corpusq.sources.shared import written
 from corpusq.streaming import jobs as X
 from pyspark.sql import functions as F
 
 
+def _keyed(spark, rows, keys, by=None):
+    """A stored table of the rows, as a change finds it."""
+    return KeyedTable.create(spark, _folder(spark, "keyed"), rows, keys, by, buckets=8)
+
+
 @query("SELECT doc_id, lang FROM documents WHERE lang = 'de' AND n_chars BETWEEN 500 AND 3000")
 def s1_s2_scan(spark, d):
     return table(spark, d, "documents").where("lang = 'de' AND n_chars BETWEEN 500 AND 3000").select("doc_id", "lang")
@@ -51,7 +59,7 @@ def s7_text_files(spark, d):
 def s11_upsert(spark, d):
     o = table(spark, d, "orders").selectExpr("o_orderkey", "o_orderstatus AS s")
     new = o.where("o_orderkey % 5 = 0").withColumn("s", F.lit("U")).unionByName(o.where("o_orderkey % 50 = 0 AND o_orderkey > 0").selectExpr("-o_orderkey AS o_orderkey", "'N' AS s"))
-    return I.upserted(o, new, ["o_orderkey"], F.col("s"))
+    return _keyed(spark, o, ["o_orderkey"]).upsert(new, F.col("s")).read()
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'new' ELSE l_returnflag END AS f FROM lineitem")
@@ -64,7 +72,7 @@ def s12_composite_upsert(spark, d):
 def s13_children_replaced(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     new = table(spark, d, "orders").where("o_orderkey % 4 = 0").selectExpr("o_orderkey AS l_orderkey", "99 AS l_linenumber")
-    return I.children_replaced(li, new, "l_orderkey")
+    return _keyed(spark, li, ["l_orderkey", "l_linenumber"], ["l_orderkey"]).replace_children(new).read()
 
 
 @query("SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'insert' WHEN doc_id % 3 = 0 THEN 'replace' ELSE 'skip' END AS action FROM documents")
@@ -96,7 +104,39 @@ def _scope(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1995)")
 def d1_cascaded_delete(spark, d):
-    return I.cascade(*_scope(spark, d))["lineitem"].select("l_orderkey", "l_linenumber")
+    """Orders of a year go from both tables; only buckets that hold some are written."""
+    gone = table(spark, d, "orders").where("year(o_orderdate) = 1995").select(F.col("o_orderkey").alias("l_orderkey"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    return _keyed(spark, li, ["l_orderkey", "l_linenumber"], ["l_orderkey"]).delete(gone, ["l_orderkey"]).read()
+
+
+_AFTER = "SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 11 > 0 UNION ALL SELECT -c_custkey, c_nationkey, 5.0 FROM customer WHERE c_custkey % 100 = 0 AND c_custkey > 0"
+
+
+@query(f"SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 4) AS c_acctbal FROM ({_AFTER}) GROUP BY 1")
+def d9_kept_counts(spark, d):
+    """Numbers and balances of customers by nation, kept up by what an update, an insert and a delete have changed."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    stored = _keyed(spark, c, ["c_custkey"])
+    counts = counted(stored, ["c_nationkey"], ["c_acctbal"])
+    new = c.where("c_custkey % 7 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1).unionByName(c.where("c_custkey % 100 = 0 AND c_custkey > 0").selectExpr("-c_custkey AS c_custkey", "c_nationkey", "5.0D AS c_acctbal"))
+    counts = written(counts, "kept-counts")
+    counts = recounted(counts, stored.upsert(new).changes(), ["c_nationkey"], ["c_acctbal"])
+    counts = recounted(counts, stored.delete(c.where("c_custkey % 11 = 0")).changes(), ["c_nationkey"], ["c_acctbal"])
+    return counts.select("c_nationkey", "n", F.round("c_acctbal", 4).alias("c_acctbal"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || ' revised ' || source ELSE text END AS text FROM documents WHERE doc_id % 6 > 0)
+SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM t) GROUP BY 1""")
+def d7_x1_kept_index(spark, d):
+    """The dictionary of an index that follows a stored table: some texts are revised, some documents deleted; no other text is
+    read again."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    stored = _keyed(spark, docs, ["doc_id"])
+    index = TextIndex(spark, _folder(spark, "index")).add(docs, "doc_id", distinct_ids=True)
+    revised = table(spark, d, "documents").where("doc_id % 4 = 1").select("doc_id", F.concat_ws(" revised ", "text", "source").alias("text"))
+    reindexed(index, stored.upsert(revised).changes(), "doc_id", "text")
+    return reindexed(index, stored.delete(docs.where("doc_id % 6 = 0")).changes(), "doc_id", "text").terms()
 
 
 @query("SELECT 'orders' AS name, count(*) AS n FROM orders WHERE year(o_orderdate) = 1995 UNION ALL SELECT 'lineitem', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(o_orderdate) = 1995")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -10,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from corpusq.functions import terms as N
+from corpusq.sources.keyed import Versions
 from corpusq.sources.shared import shared_path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,32 +100,14 @@ class TextIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
-        self._files = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-        self.manifest = self._latest()
-
-    def _latest(self) -> Manifest:
-        if not self._files.exists(self._path("versions")):
-            return Manifest()
-        named = [s.getPath().getName() for s in self._files.listStatus(self._path("versions"))]
-        last = max((n for n in named if n.isdigit()), default=None)
-        if last is None:
-            return Manifest()
-        line = self.spark.read.text(f"{self.path}/versions/{last}", wholetext=True).first()[0]
-        return Manifest(**json.loads(line))
+        self.spark, self.log = spark, Versions(spark, path)
+        self.path = self.log.path
+        version, state = self.log.read()
+        self.manifest = Manifest(version, **(state or {}))
 
     def _commit(self, segments: dict[str, dict], stale: list[str]) -> None:
-        """The next version; fails if another change has made it meanwhile."""
-        new = Manifest(self.manifest.version + 1, segments, stale)
-        draft, final = self._path(f"versions/.{uuid.uuid4().hex}"), self._path(f"versions/{new.version:08d}")
-        out = self._files.create(draft, False)
-        out.write(bytearray(json.dumps(new.__dict__).encode()))
-        out.close()
-        if self._files.exists(final) or not self._files.rename(draft, final):
-            raise RuntimeError(f"another change has made version {new.version}")
-        self.manifest = new
+        self.log.commit(self.manifest.version + 1, {"segments": segments, "stale": stale})
+        self.manifest = Manifest(self.manifest.version + 1, segments, stale)
 
     def _read(self, part: str) -> DataFrame | None:
         """The rows of all segments with their segment."""
@@ -176,7 +158,7 @@ class TextIndex:
         blocks = self._part(name, "blocks", kind)
         terms = blocks.groupBy("bucket", "term").agg(F.sum("n").alias("df")).repartition("bucket").sortWithinPartitions("term")
         terms.write.partitionBy("bucket").parquet(f"{self.path}/{name}/terms")
-        self._files.delete(self._path(staged), True)
+        self.log.delete(staged)
         n = docs.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return name, {"id_type": kind, "rows": n[0], "docs": n[0], "tokens": n[1]}
 
@@ -234,12 +216,12 @@ class TextIndex:
     def vacuum(self) -> None:
         """Deletes what this version doesn't use."""
         used = {*self.manifest.segments, *self.manifest.stale, "versions"}
-        for s in self._files.listStatus(self._path("")):
-            if s.getPath().getName() not in used:
-                self._files.delete(s.getPath(), True)
-        for s in self._files.listStatus(self._path("versions")):
-            if s.getPath().getName() != f"{self.manifest.version:08d}":
-                self._files.delete(s.getPath(), True)
+        for name in self.log.names(""):
+            if name not in used:
+                self.log.delete(name)
+        for name in self.log.names("versions"):
+            if name != f"{self.manifest.version:08d}":
+                self.log.delete(f"versions/{name}")
 
     def n_docs(self) -> int:
         return sum(s["docs"] for s in self.manifest.segments.values())
