@@ -67,13 +67,12 @@ ABSTRACT = r"(?:ECLI[^\n]*\n+|Diaarinumero\s*\n[^\n]+\n+|Kopioi ECLI-linkki\s*\n
 NO_ABSTRACT = r"^\d{4}$|^ECLI|^Tapausvuosi|^Antopäivä|^Diaarinumero|^Taltio|^Kieliversiot"
 
 #: References to provisions in order, each with what it becomes; {1} stands for the first group.
-NAMED_LAWS = r"työsopimus|vahingonkorvaus|rikos|oikeudenkäymiskaaren|konkurssi|ulosotto|osakeyhtiö|asunto-osakeyhtiö|maa-?kaari|kauppa-?kaari|perintö-?kaari|avioliitto|lapsenhuolto|julkis(?:uus)?|hallintolainkäyttö|hallinto|vero(?:tusmenettelylain)?|kuluttajansuoja|tuotevastuulain|vakuutussopimuslain|maankäyttö|ympäristönsuojelu|jäte|vesilain|metsä|kalastus|rakennus|tieliikenne|potilasvakuutus|liikennevakuutus|tapaturma(?:vakuutus)?|työtapaturma|eläke|työaika|vuosiloma|yhdenvertaisuus|tasa-arvo|henkilötieto|työsuojelu|tilintarkastus|arvopaperimarkkina|luottolaitostoiminta|sijoituspalvelu|maksukyvyttömyys|saneeraus|velkajärjestely"
 PROVISIONS = [
     (r"(?iu)(?:RL|Rikoslaki)\s+(?:Chapter\s+)?(\d+)\s*(?:Section\s+)?(\d+)(?:\s*Subsection\s*\d+)?(?:\s*Paragraph\s*\d+)?(?:\s*\(\d+/\d+\))?", "RL {1} luku {2} §"),
     (r"(?iu)(?:Chapter|Luku)\s+(\d+)\s*,?\s*(?:Section|§)\s*(\d+[a-z]?)", "Luku {1} § {2}"),
     (r"(?iu)(?:TSL|työsopimuslain?)\s+(\d+)\s*(?:luvun?\s+)(\d+[a-z]?)\s*§", "TSL {1} luku {2} §"),
     (r"(?iu)(?:oikeudenkäymiskaaren|OK)\s+(\d+)\s*(?:luvun?\s+)(\d+[a-z]?)\s*§", "OK {1} luku {2} §"),
-    (rf"(?iu)((?:{NAMED_LAWS})(?:lain|laki)?)(?:\s+(\d+)\s*(?:luvun?\s+)?)?(\d+[a-z]?)\s*§", "{1} {2} luku {3} §|{1} {3} §"),
+    (r"(?iu)((?:työsopimus|vahingonkorvaus|rikos|oikeudenkäymiskaaren|konkurssi|ulosotto|osakeyhtiö|asunto-osakeyhtiö|maa-?kaari|kauppa-?kaari|perintö-?kaari|avioliitto|lapsenhuolto|julkis(?:uus)?|hallintolainkäyttö|hallinto|vero(?:tusmenettelylain)?|kuluttajansuoja|tuotevastuulain|vakuutussopimuslain|maankäyttö|ympäristönsuojelu|jäte|vesilain|metsä|kalastus|rakennus|tieliikenne|potilasvakuutus|liikennevakuutus|tapaturma(?:vakuutus)?|työtapaturma|eläke|työaika|vuosiloma|yhdenvertaisuus|tasa-arvo|henkilötieto|työsuojelu|tilintarkastus|arvopaperimarkkina|luottolaitostoiminta|sijoituspalvelu|maksukyvyttömyys|saneeraus|velkajärjestely)(?:lain|laki)?)(?:\s+(\d+)\s*(?:luvun?\s+)?)?(\d+[a-z]?)\s*§", "{1} {2} luku {3} §|{1} {3} §"),
     (r"(?iu)(\d+)\s*(?:luvun\s+)?(\d+[a-z]?)\s*§(?::n|:ssä|:ää)?", "{1} luku {2} §"),
     (r"(?iu)(?:lain|laki)\s+(\d+)\s*§(?::n|:ssä|:ää)?", "lain {1} §"),
     (r"(?iu)(?:HE|hallituksen\s+esitys)\s+(\d+/\d+\s*vp)", "HE {1}"),

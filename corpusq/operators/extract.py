@@ -32,7 +32,7 @@ KEYWORDS_END = "Case year|Tapausvuosi|Date of issue|Antopäivä|Language version
 KKO_CITE, EU_CITE = r"(?i)KKO\s+(\d{4})\s*:\s*(\d+)", r"\b(C-\d+/\d+)\b"
 CRIMINAL_CODE = r"(?i)(?:RL|Rikoslaki)\s+(?:Chapter\s+)?(\d+)\s*(?:Section\s+)?(\d+)"
 LAW_CHAPTER = r"(?i)(?:Chapter|Luku)\s+(\d+)\s*,?\s*(?:Section|§)\s*(\d+[a-z]?)"
-EU_REGULATION = r"(?i)(Regulation\s+\(EU\)\s+(?:No\s+)?\d+/\d+)"
+EU_REGULATION = r"(?i)(Council\s+Regulation\s+\(EU\)\s+No\s+\d+/\d+(?:\s+[^.]*?)?(?=\s*[,.]|$)|Regulation\s+\(EU\)\s+(?:No\s+)?\d+/\d+)"
 SECTION = T.ArrayType(T.StructType().add("type", "string").add("title", "string").add("content", "string"))
 
 
@@ -181,14 +181,15 @@ def appeal_court(text: Column) -> Column:
 
 def citations(text: Column, own: Column | None = None) -> Column:
     """cases, eu_cases, laws (100 at most), regulations (30 at most) and articles of regulations, each once, in the order of
-    the text (E6)."""
-    grab = lambda p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
-    pair = lambda p, a, b: F.zip_with(grab(p, 1), grab(p, 2), lambda x, y: F.concat(F.lit(a), x, F.lit(b), y))
+    the text (E6). A text is looked through once for each pattern; parts are taken from what was found."""
+    grab = lambda p, i=0: F.regexp_extract_all(text, F.lit(p), F.lit(i))
+    pair = lambda p, a, b: F.transform(grab(p), lambda x: F.concat(F.lit(a), F.regexp_extract(x, p, 1), F.lit(b), F.regexp_extract(x, p, 2)))
     cases = F.array_distinct(pair(KKO_CITE, "KKO:", ":"))
     if own is not None:
         cases = F.filter(cases, lambda c: c != own)
     laws = F.slice(F.array_distinct(F.concat(pair(CRIMINAL_CODE, "RL ", ":"), pair(LAW_CHAPTER, "Chapter ", " Section "))), 1, 100)
-    articles = F.array_distinct(F.zip_with(grab(P.REGULATION_ARTICLE, 1), grab(P.REGULATION_ARTICLE, 2), lambda a, b: F.concat(F.lit("Article "), a, F.when(b != "", F.concat(F.lit("("), b, F.lit(")"))).otherwise(""))))
+    part = lambda x, i: F.regexp_extract(x, P.REGULATION_ARTICLE, i)
+    articles = F.array_distinct(F.transform(grab(P.REGULATION_ARTICLE), lambda x: F.concat(F.lit("Article "), part(x, 1), F.when(part(x, 2) != "", F.concat(F.lit("("), part(x, 2), F.lit(")"))).otherwise(""))))
     return F.struct(cases.alias("cases"), F.array_distinct(grab(EU_CITE, 1)).alias("eu_cases"), laws.alias("laws"), F.slice(F.array_distinct(grab(EU_REGULATION, 1)), 1, 30).alias("regulations"), articles.alias("articles"))
 
 
@@ -269,7 +270,8 @@ def provisions(text: Column, most: int = 30) -> Column:
     grab = []
     for pattern, form in P.PROVISIONS:
         groups = sorted({int(n) for n in re.findall(r"\{(\d)\}", form)})
-        found = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(n)).alias(f"g{n}") for n in groups])
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        found = F.transform(whole, (lambda pattern, groups: lambda x: F.struct(*[F.regexp_extract(x, pattern, n).alias(f"g{n}") for n in groups]))(pattern, groups))
         filled = lambda x, form: F.concat(*[x[f"g{part[1]}"] if part.startswith("{") else F.lit(part) for part in re.split(r"(\{\d\})", form) if part])
         whole, _, bare = form.partition("|")
         # Where the second group is empty, the form without it holds.

@@ -104,3 +104,17 @@ def test_statute_xml(spark):
     assert r["amendments"] == {"insertions": ["uusi 2 §"], "repeals": [], "substitutions": [], "modifications": []}
     assert got[2]["title"] is None and got[3]["sections"] is None
     assert got[4]["title"] == "Untitled Document" and got[4]["sections"][0]["number"] == "3 §" and got[4]["scope"]["in_force"] is None
+
+
+def test_citations_of_many_forms(spark):
+    text = (
+        "KKO 2001: 5 and kko\n1999:12, KKO 2001:5. See C-12/34 and C-12/34. RL Chapter 3 Section 4 Subsection 2, Rikoslaki 5 6; Luku 7 § 8a. "
+        "Council Regulation (EU) No 12/2001 on common rules, then council  regulation (EU) No 5/99. Regulation (EU) 7/2020 and Regulation (EU) No 9/2021 x. "
+        "Article 5(2) of the Regulation and Article 6a Council Regulation (EU) No 77/2002 at the end"
+    )
+    c = each(spark, [text, "", None], E.citations)
+    assert c[0]["cases"] == ["KKO:2001:5", "KKO:1999:12"] and c[0]["eu_cases"] == ["C-12/34"]
+    assert c[0]["laws"] == ["RL 3:4", "RL 5:6", "Chapter 3 Section 4", "Chapter 7 Section 8a"]
+    assert c[0]["regulations"] == ["Council Regulation (EU) No 12/2001 on common rules", "council  regulation (EU) No 5/99", "Regulation (EU) 7/2020", "Regulation (EU) No 9/2021", "Council Regulation (EU) No 77/2002 at the end"]
+    assert c[0]["articles"] == ["Article 5(2)", "Article 6a"]
+    assert c[1]["cases"] == [] and c[1]["regulations"] == []
