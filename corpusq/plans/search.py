@@ -11,6 +11,7 @@ from corpusq.operators import blocks as K
 from corpusq.operators import fusion as X
 from corpusq.operators import relational as L
 from corpusq.operators import retrieval as R
+from corpusq.operators.language import language_model, with_language
 from corpusq.operators.proximity import WEIGHTS, proximity_search
 from corpusq.plans.registry import query, table
 from corpusq.sources.index import TextIndex, kept_index
@@ -343,6 +344,18 @@ def n4_language_detection(spark, d):
     return hits.groupBy("doc_id").agg(F.max_by("lang", F.struct("n", "lang")).alias("detected"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents), g AS (SELECT doc_id, lang, substr(t, i, 3) AS run, count(*) AS n FROM (SELECT doc_id, lang, t, unnest(range(1, length(t) - 1)) AS i FROM d) GROUP BY ALL),
+c AS (SELECT lang, run, sum(n) AS n FROM g WHERE doc_id % 10 > 0 GROUP BY 1, 2), s AS (SELECT lang, sum(n) AS a, count(*) AS v FROM c GROUP BY 1),
+m AS (SELECT lang, run, ln((n + 0.5) / (a + 0.5 * (v + 1))) AS w FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, run) <= 20000) JOIN s USING (lang)), f AS (SELECT lang, ln(0.5 / (a + 0.5 * (v + 1))) AS w FROM s),
+p AS (SELECT doc_id, f.lang, sum(g.n * coalesce(m.w, f.w)) AS score FROM g CROSS JOIN f LEFT JOIN m ON m.lang = f.lang AND m.run = g.run GROUP BY 1, 2)
+SELECT doc_id, d.lang, b.lang AS detected FROM d LEFT JOIN (SELECT doc_id, lang FROM p QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1) b USING (doc_id)""")
+def n4_f41_language_model(spark, d):
+    """Languages of all documents by a model that nine tenths of them have taught."""
+    docs = table(spark, d, "documents")
+    model = language_model(docs.where("doc_id % 10 > 0"))
+    return with_language(docs.select("doc_id", "lang", "text"), model).drop("text")
+
+
 @query(f"""WITH {QUERIES_SQL}, g AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS term, lower(split_part(p_name, ' ', 2)) AS fi FROM part), w AS (SELECT query_id, text, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM q),
 e AS (SELECT query_id, list_sort(list_distinct(list(fi))) AS added FROM (SELECT query_id, w, unnest(list_distinct(w)) AS term FROM w) JOIN g USING (term) WHERE NOT list_contains(w, fi) GROUP BY 1)
 SELECT query_id, concat_ws(' ', text, array_to_string(added, ' ')) AS text FROM w LEFT JOIN e USING (query_id)""")
