@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from xml.parsers.expat import ExpatError, ParserCreate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The directory of each decision type; other types go to ``other``. Fixed values.
 TYPE_DIRECTORIES = {"precedent": "precedents", "leave_to_appeal": "leaves_to_appeal", "ruling": "rulings", "other_decision": "other"}
@@ -111,31 +113,89 @@ def main_block(blocks: Column) -> Column:
     return best["b"]
 
 
-def _plain_xml(part: Column) -> Column:
-    """The text of a piece of XML: names left out, white space squeezed, entities resolved."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(part, r"(?s)<[^>]*>", " "), r"\s+", " "))
-    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    return text
+ELEMENTS = T.ArrayType(
+    T.StructType().add("no", "integer").add("last", "integer").add("depth", "integer").add("parent", "integer").add("name", "string").add("attributes", T.MapType(T.StringType(), T.StringType())).add("head", "string").add("begin", "integer").add("end", "integer")
+)
+
+
+def _parsed(xml: str | None) -> tuple[list, list] | None:
+    """Elements in the order of their beginnings and pieces of text in the order of the document; None for what isn't XML."""
+    elements, texts, open_, pieces = [], [], [], []
+
+    def flush() -> None:
+        piece = "".join(pieces)
+        pieces.clear()
+        if piece.strip():
+            if open_ and open_[-1]["no"] == len(elements) - 1 and open_[-1]["begin"] == len(texts):
+                open_[-1]["head"] = piece.strip()
+            texts.append(piece.strip())
+
+    def begin(name: str, attributes: dict[str, str]) -> None:
+        flush()
+        own = {"no": len(elements), "last": 0, "depth": len(open_), "parent": open_[-1]["no"] if open_ else -1, "name": name.rpartition(":")[2], "head": "", "begin": len(texts), "end": 0}
+        own["attributes"] = [(k.rpartition(":")[2], v) for k, v in {k.rpartition(":")[2]: v for k, v in attributes.items() if not k.startswith("xmlns")}.items()]
+        elements.append(own)
+        open_.append(own)
+
+    def end(name: str) -> None:
+        flush()
+        own = open_.pop()
+        own["last"], own["end"] = len(elements) - 1, len(texts)
+
+    parser = ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = begin, end, pieces.append
+    try:
+        parser.Parse((xml or "").strip(), True)
+    except ExpatError:
+        return None
+    return elements, texts
+
+
+def xml_elements(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
+    """id, elements, texts of XML, both null for what isn't well formed: an element has its number (from 0, in the order of
+    beginnings), the number of the last one within it, depth, parent, name and attributes without prefixes, the text before
+    its first child (head), and where its pieces of text begin and end in ``texts``. Comments are left out; CDATA is text.
+
+    An element's descendants stand behind it up to ``last``, however they are nested."""
+    kind = T.StructType([docs.schema[id_col], T.StructField("elements", ELEMENTS), T.StructField("texts", T.ArrayType(T.StringType()))])
+    arrow = to_arrow_schema(kind)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_parsed(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m and m[0] for m in made], arrow.field(1).type), pa.array([m and m[1] for m in made], arrow.field(2).type)], arrow.names)
+
+    return docs.select(id_col, xml_col).mapInArrow(rows, kind)
+
+
+def _text(x: Column) -> Column:
+    """All text of an element, white space squeezed."""
+    joined = F.array_join(F.slice("texts", x["begin"] + 1, x["end"] - x["begin"]), " ")
+    return F.coalesce(F.trim(F.regexp_replace(joined, r"\s+", " ")), F.lit(""))
+
+
+def _within(x: Column | None, name: str, test: Callable[[Column], Column] | None = None) -> Column:
+    """The elements of a name within ``x``, or of the whole document."""
+    rows = F.col("elements") if x is None else F.slice("elements", x["no"] + 2, x["last"] - x["no"])
+    return F.filter(rows, lambda y: (y["name"] == name) & (test(y) if test else F.lit(True)))
 
 
-def _inner(xml: Column, name: str, attributes: str = "") -> Column:
-    """What the first element of a name holds, empty without one."""
-    return F.regexp_extract(xml, rf"(?s)<{name}(?=[\s>]){attributes}[^>]*(?<!/)>(.*?)</{name}>", 1)
+def _first(rows: Column) -> Column:
+    return F.get(rows, F.lit(0))
 
 
-def _each(xml: Column, name: str, attributes: str = "") -> Column:
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{name}(?=[\s>]){attributes}[^>]*(?<!/)>(.*?)</{name}>"), F.lit(1))
+def _is(key: str, *values: str) -> Callable[[Column], Column]:
+    return lambda y: F.coalesce(y["attributes"][key].isin(*values), F.lit(False))
 
 
 def _present(texts: Column) -> Column:
     return F.filter(texts, lambda t: t != "")
 
 
-def _table_or_text(part: Column) -> Column:
+def _table_or_text(x: Column) -> Column:
     """The rows of a table as lines of cells, or the text of a paragraph."""
-    rows = F.transform(_each(part, "tr"), lambda r: F.array_join(_present(F.transform(_each(r, "td"), _plain_xml)), " | "))
-    return F.when(part.startswith("<table"), F.array_join(_present(rows), "\n")).otherwise(_plain_xml(part))
+    rows = F.transform(_within(x, "tr"), lambda r: F.array_join(_present(F.transform(_within(r, "td"), _text)), " | "))
+    return F.when(x["name"] == "table", F.array_join(_present(rows), "\n")).otherwise(_text(x))
 
 
 def statutes(docs: DataFrame, id_col: str, xml_col: str, language: str = "fin") -> DataFrame:
@@ -144,34 +204,49 @@ def statutes(docs: DataFrame, id_col: str, xml_col: str, language: str = "fin")
     entry_into_force) and amendments (insertions, repeals, substitutions, modifications).
 
     Names are matched without their prefix and namespace. The title is that of the language, for others than Finnish the
-    Finnish one, else the one in the preface or header. A section without a number is left out. What isn't one element gives
-    null columns."""
-    x = F.regexp_replace(F.col(xml_col), r"(?s)<\?xml[^>]*\?>|<!--.*?-->|\sxmlns(:\w+)?=\"[^\"]*\"", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"(</?)\w+:(?=\w)", "$1"), r"\s\w+:(\w+=\")", " $1")
-    docs = docs.select(id_col, F.when(x.rlike(r"^\s*<(\w+)[\s\S]*</\1>\s*$"), x).alias("x"))
-    x = F.col("x")
-    titled = lambda codes: F.nullif(_plain_xml(_inner(x, "title", rf'(?=[^>]*\blang(?:uage)?=\"(?:{codes})\")')), F.lit(""))
-    named = lambda place: F.nullif(_plain_xml(_inner(_inner(x, place), "docTitle")), F.lit(""))
-    title = F.coalesce(titled("eng|en" if language == "eng" else language), titled("fin"), named("preface"), named("header"), F.lit("Untitled Document"))
-    text = F.array_join(_present(F.array(*[_plain_xml(_inner(x, n)) for n in ("preface", "preamble", "body", "conclusions", "judgmentBody")])), " ")
-    section = lambda s: F.struct(_plain_xml(_inner(s, "num")).alias("number"), F.nullif(_plain_xml(_inner(s, "heading")), F.lit("")).alias("heading"), _plain_xml(F.regexp_replace(s, r"(?s)<num[\s>].*?</num>|<heading[\s>].*?</heading>", " ")).alias("content"))
-    body = F.coalesce(F.nullif(_inner(x, "body"), F.lit("")), x)
-    sections = F.filter(F.transform(_each(body, "section"), section), lambda s: s["number"] != "")
-    pieces = F.filter(F.split(x, r'(?=<hcontainer[^>]*\bname="attachment")'), lambda a: a.rlike(r'^<hcontainer[^>]*\bname="attachment"'))
-    content = lambda a: F.array_join(_present(F.transform(F.regexp_extract_all(_inner(a, "content"), F.lit(r"(?s)(<table[\s>].*?</table>|<p[\s>].*?</p>)"), F.lit(1)), _table_or_text)), "\n\n")
-    attachments = F.transform(pieces, lambda a: F.struct(F.coalesce(F.nullif(_plain_xml(_inner(a, "heading")), F.lit("")), F.lit("Liite")).alias("heading"), content(a).alias("content")))
-    defining = F.filter(_each(x, "section"), lambda s: F.lower(_inner(s, "heading")).rlike("määritel|definition"))
-    terms = lambda s: F.transform(_present(F.transform(_each(s, "p"), _plain_xml)), lambda t: F.struct(F.coalesce(F.nullif(_plain_xml(_inner(s, "num")), F.lit("")), F.lit("?")).alias("section"), t.alias("text")))
-    other = r'(?s)<affectedDocument(?=[\s>])[^>]*\bhref="([^"]+)"[^>]*?(?:/>|>([^<]*))'
-    references = F.zip_with(F.regexp_extract_all(x, F.lit(other), F.lit(1)), F.regexp_extract_all(x, F.lit(other), F.lit(2)), lambda u, t: F.struct(_plain_xml(t).alias("statute"), u.alias("uri"), F.when(F.lower(t).contains("muutossäädös"), "amending").otherwise("referenced").alias("type")))
-    work = _inner(x, "FRBRWork")
-    dated = lambda name: F.nullif(F.coalesce(F.nullif(F.regexp_extract(work, rf'<FRBRdate(?=[^>]*\bname="{name}")[^>]*\bdate="([^"]*)"', 1), F.lit(""))), F.lit(""))
-    force = F.regexp_extract(x, r'<isInForce[^>]*\bvalue="([^"]*)"', 1)
-    scope = F.struct(dated("dateIssued").alias("issued"), dated("datePublished").alias("published"), F.when(x.rlike(r"<isInForce[\s>]"), F.lower(force) == "true").alias("in_force"), F.nullif(_plain_xml(_inner(x, "entryIntoForce")), F.lit("")).alias("entry_into_force"))
-    amendments = F.struct(*[_present(F.transform(_each(x, "block", rf'(?=[^>]*\bname="{n}")'), _plain_xml)).alias(n) for n in ("insertions", "repeals", "substitutions", "modifications")])
-    links = F.array_distinct(F.filter(F.regexp_extract_all(x, F.lit(r'<a(?=\s)[^>]*\bhref="([^"]*)"'), F.lit(1)), lambda h: F.lower(h).endswith(".pdf")))
+    Finnish one, else the one in the preface or header. A section without a number is left out; one within another stands
+    for itself too. What isn't well formed gives null columns."""
+    docs = xml_elements(docs, id_col, xml_col)
+    some = lambda t: F.nullif(t, F.lit(""))
+    spoken = lambda *codes: lambda y: _is("lang", *codes)(y) | _is("language", *codes)(y)
+    titled = lambda *codes: some(_text(_first(_within(None, "title", spoken(*codes)))))
+    named = lambda place: some(_text(_first(_within(_first(_within(None, place)), "docTitle"))))
+    title = F.coalesce(titled(*(("eng", "en") if language == "eng" else (language,))), titled("fin"), named("preface"), named("header"), F.lit("Untitled Document"))
+    text = F.array_join(_present(F.array(*[F.coalesce(_text(_first(_within(None, n))), F.lit("")) for n in ("preface", "preamble", "body", "conclusions", "judgmentBody")])), " ")
+
+    def section(s: Column) -> Column:
+        # The pieces of text of children that are neither number nor heading, and those between them.
+        own = F.filter(F.slice("elements", s["no"] + 2, s["last"] - s["no"]), lambda y: (y["parent"] == s["no"]) & y["name"].isin("num", "heading"))
+        kept = F.filter(F.transform(F.slice("texts", s["begin"] + 1, s["end"] - s["begin"]), lambda t, i: F.struct(t.alias("t"), (i + s["begin"]).alias("i"))), lambda p: ~F.exists(own, lambda y: (p["i"] >= y["begin"]) & (p["i"] < y["end"])))
+        content = F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda p: p["t"]), " "), r"\s+", " "))
+        return F.struct(F.coalesce(_first(_within(s, "num"))["head"], F.lit("")).alias("number"), some(_text(_first(_within(s, "heading")))).alias("heading"), content.alias("content"))
+
+    body = _first(_within(None, "body"))
+    sections = F.filter(F.transform(F.when(body.isNotNull(), _within(body, "section")).otherwise(_within(None, "section")), section), lambda s: s["number"] != "")
+    attached = F.flatten(F.transform(_within(None, "hcontainer", _is("name", "attachments")), lambda c: _within(c, "hcontainer", _is("name", "attachment"))))
+
+    def attachment(a: Column) -> Column:
+        content = _first(_within(a, "content"))
+        parts = F.filter(F.slice("elements", content["no"] + 2, content["last"] - content["no"]), lambda y: (y["parent"] == content["no"]) & y["name"].isin("table", "p"))
+        return F.struct(F.coalesce(some(_text(_first(_within(a, "heading")))), F.lit("Liite")).alias("heading"), F.coalesce(F.array_join(_present(F.transform(parts, _table_or_text)), "\n\n"), F.lit("")).alias("content"))
+
+    attachments = F.filter(F.transform(attached, attachment), lambda a: a["content"] != "")
+    defining = F.filter(_within(None, "section"), lambda s: F.lower(_text(_first(_within(s, "heading")))).rlike("määritel|definition"))
+    terms = lambda s: F.transform(_present(F.transform(_within(s, "p"), _text)), lambda t: F.struct(F.coalesce(some(_first(_within(s, "num"))["head"]), F.lit("?")).alias("section"), t.alias("text")))
+    others = F.filter(_within(None, "affectedDocument"), lambda y: F.coalesce(y["attributes"]["href"], F.lit("")) != "")
+    references = F.transform(others, lambda y: F.struct(y["head"].alias("statute"), y["attributes"]["href"].alias("uri"), F.when(F.lower(y["head"]).contains("muutossäädös"), "amending").otherwise("referenced").alias("type")))
+    work, force = _first(_within(None, "FRBRWork")), _first(_within(None, "isInForce"))
+    dated = lambda name: some(F.element_at(_within(work, "FRBRdate", _is("name", name)), -1)["attributes"]["date"])
+    scope = F.struct(
+        dated("dateIssued").alias("issued"), dated("datePublished").alias("published"), F.when(force.isNotNull(), F.lower(F.coalesce(force["attributes"]["value"], F.lit(""))) == "true").alias("in_force"),
+        some(_text(_first(_within(None, "entryIntoForce")))).alias("entry_into_force"),
+    )
+    amendments = F.struct(*[_present(F.transform(_within(None, "block", _is("name", n)), _text)).alias(n) for n in ("insertions", "repeals", "substitutions", "modifications")])
+    anchors = lambda x: F.when(F.size(_within(x, "a")) > 0, _within(x, "a"))
+    links = F.coalesce(anchors(body), anchors(_first(_within(None, "judgmentBody"))), _within(None, "a"))
+    links = F.array_distinct(F.filter(F.transform(links, lambda y: F.coalesce(y["attributes"]["href"], F.lit(""))), lambda h: F.lower(h).endswith(".pdf")))
     columns = {
-        "title": title, "text": text, "sections": sections, "attachments": F.filter(attachments, lambda a: a["content"] != ""), "pdf_links": links, "definitions": F.flatten(F.transform(defining, terms)),
+        "title": title, "text": text, "sections": sections, "attachments": attachments, "pdf_links": links, "definitions": F.flatten(F.transform(defining, terms)),
         "references": references, "scope": scope, "amendments": amendments,
     }
-    return docs.select(id_col, *[F.when(x.isNotNull(), c).alias(n) for n, c in columns.items()])
+    return docs.select(id_col, *[F.when(F.col("elements").isNotNull(), c).alias(n) for n, c in columns.items()])

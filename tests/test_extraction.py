@@ -118,3 +118,20 @@ def test_citations_of_many_forms(spark):
     assert c[0]["regulations"] == ["Council Regulation (EU) No 12/2001 on common rules", "council  regulation (EU) No 5/99", "Regulation (EU) 7/2020", "Regulation (EU) No 9/2021", "Council Regulation (EU) No 77/2002 at the end"]
     assert c[0]["articles"] == ["Article 5(2)", "Article 6a"]
     assert c[1]["cases"] == [] and c[1]["regulations"] == []
+
+
+NESTED = """<?xml version="1.0" encoding="utf-8"?><!-- <section>no</section> --><a:act xmlns:a="http://a"><a:body><a:section><a:num>1 §</a:num><a:heading>Outer</a:heading><a:p>before</a:p>
+<a:section><a:num>1 a §</a:num><a:p>inner <![CDATA[<b> & co]]></a:p></a:section>tail <a:p>after</a:p></a:section><a:p><a:a href="in.pdf"/></a:p></a:body><a:a href="out.pdf"/>
+<a:hcontainer name="attachments"><a:hcontainer name="attachment"><a:content><a:table><a:tr><a:td>x<a:table><a:tr><a:td>y</a:td></a:tr></a:table></a:td><a:td>z</a:td></a:tr></a:table>loose<a:p>p<!-- c -->q</a:p></a:content></a:hcontainer></a:hcontainer></a:act>"""
+
+
+def test_xml_by_structure(spark):
+    """Sections within sections, tables in tables, CDATA and comments."""
+    docs = spark.createDataFrame([(1, NESTED), (2, "<a><b></a></b>"), (3, ""), (4, "<body/>"), (5, "&amp;")], "i int, x string")
+    got = {r["i"]: r.asDict(recursive=True) for r in I.statutes(docs, "i", "x").collect()}
+    assert got[1]["sections"] == [{"number": "1 §", "heading": "Outer", "content": "before 1 a § inner <b> & co tail after"}, {"number": "1 a §", "heading": None, "content": "inner <b> & co"}]
+    assert got[1]["attachments"] == [{"heading": "Liite", "content": "x y | y | z\ny\n\npq"}] and got[1]["pdf_links"] == ["in.pdf"]
+    assert all(v is None for i in (2, 3, 5) for k, v in got[i].items() if k != "i")
+    assert got[4]["sections"] == [] and got[4]["title"] == "Untitled Document"
+    e = {r["i"]: r["elements"] for r in I.xml_elements(docs, "i", "x").collect()}
+    assert [(x["name"], x["depth"], x["parent"], x["last"]) for x in e[1][:4]] == [("act", 0, -1, 23), ("body", 1, 0, 11), ("section", 2, 1, 9), ("num", 3, 2, 3)]
