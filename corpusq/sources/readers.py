@@ -236,7 +236,7 @@ def statutes(docs: DataFrame, id_col: str, xml_col: str, language: str = "fin")
     others = F.filter(_within(None, "affectedDocument"), lambda y: F.coalesce(y["attributes"]["href"], F.lit("")) != "")
     references = F.transform(others, lambda y: F.struct(y["head"].alias("statute"), y["attributes"]["href"].alias("uri"), F.when(F.lower(y["head"]).contains("muutossäädös"), "amending").otherwise("referenced").alias("type")))
     work, force = _first(_within(None, "FRBRWork")), _first(_within(None, "isInForce"))
-    dated = lambda name: some(F.element_at(_within(work, "FRBRdate", _is("name", name)), -1)["attributes"]["date"])
+    dated = lambda name: some(F.try_element_at(_within(work, "FRBRdate", _is("name", name)), F.lit(-1))["attributes"]["date"])
     scope = F.struct(
         dated("dateIssued").alias("issued"), dated("datePublished").alias("published"), F.when(force.isNotNull(), F.lower(F.coalesce(force["attributes"]["value"], F.lit(""))) == "true").alias("in_force"),
         some(_text(_first(_within(None, "entryIntoForce")))).alias("entry_into_force"),

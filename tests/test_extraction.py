@@ -127,11 +127,11 @@ NESTED = """<?xml version="1.0" encoding="utf-8"?><!-- <section>no</section> -->
 
 def test_xml_by_structure(spark):
     """Sections within sections, tables in tables, CDATA and comments."""
-    docs = spark.createDataFrame([(1, NESTED), (2, "<a><b></a></b>"), (3, ""), (4, "<body/>"), (5, "&amp;")], "i int, x string")
+    docs = spark.createDataFrame([(1, NESTED), (2, "<a><b></a></b>"), (3, ""), (4, "<FRBRWork><body/></FRBRWork>"), (5, "&amp;")], "i int, x string")
     got = {r["i"]: r.asDict(recursive=True) for r in I.statutes(docs, "i", "x").collect()}
     assert got[1]["sections"] == [{"number": "1 §", "heading": "Outer", "content": "before 1 a § inner <b> & co tail after"}, {"number": "1 a §", "heading": None, "content": "inner <b> & co"}]
     assert got[1]["attachments"] == [{"heading": "Liite", "content": "x y | y | z\ny\n\npq"}] and got[1]["pdf_links"] == ["in.pdf"]
     assert all(v is None for i in (2, 3, 5) for k, v in got[i].items() if k != "i")
-    assert got[4]["sections"] == [] and got[4]["title"] == "Untitled Document"
+    assert got[4]["sections"] == [] and got[4]["title"] == "Untitled Document" and got[4]["scope"]["issued"] is None
     e = {r["i"]: r["elements"] for r in I.xml_elements(docs, "i", "x").collect()}
     assert [(x["name"], x["depth"], x["parent"], x["last"]) for x in e[1][:4]] == [("act", 0, -1, 23), ("body", 1, 0, 11), ("section", 2, 1, 9), ("num", 3, 2, 3)]
