@@ -82,3 +82,17 @@ def with_language(documents: DataFrame, model: DataFrame, out: str = "detected",
 
     schema = StructType([*documents.schema.fields, StructField(out, StringType())])
     return documents.select("*", spelled(F.col(text_col)).alias("_spelled")).mapInArrow(detected, schema)
+
+
+def compounds(words: DataFrame, least: int = 4, word_col: str = "term") -> DataFrame:
+    """term, first, second: where a word of ``words`` (distinct) is two others of them, each of ``least`` letters at least, one
+    behind the other; of several ways the one with the longest first part.
+
+    Each distinct word is cut at each place and looked up twice by equality, so a text's length plays no part."""
+    rows = words.select(F.col(word_col).alias("term"))
+    known = written(rows.where(F.length("term") >= least), "compound-parts")
+    cuts = known.where(F.length("term") >= 2 * least).select("term", F.explode(F.sequence(F.lit(least), F.length("term") - least)).alias("n"))
+    cuts = cuts.select("term", F.left("term", F.col("n")).alias("first"), F.substr("term", F.col("n") + 1).alias("second"))
+    both = cuts.join(known.select(F.col("term").alias("first")).hint("merge"), "first").join(known.select(F.col("term").alias("second")).hint("merge"), "second")
+    best = both.groupBy("term").agg(F.max_by(F.struct("first", "second"), F.length("first")).alias("x"))
+    return best.select("term", "x.first", "x.second")

@@ -5,13 +5,14 @@ query vector."""
 
 from __future__ import annotations
 
+from corpusq.functions import finnish as W
 from corpusq.functions import scalars as S
 from corpusq.functions import terms as N
 from corpusq.operators import blocks as K
 from corpusq.operators import fusion as X
 from corpusq.operators import relational as L
 from corpusq.operators import retrieval as R
-from corpusq.operators.language import language_model, with_language
+from corpusq.operators.language import compounds, language_model, with_language
 from corpusq.operators.proximity import WEIGHTS, proximity_search
 from corpusq.plans.registry import query, table
 from corpusq.sources.index import TextIndex, kept_index
@@ -75,6 +76,28 @@ def n1_analyzer(spark, d):
     return table(spark, d, "documents").select("doc_id", N.tokens(F.col("text"), ["the", "la"]).alias("w"))
 
 
+def _stem_sql(word: str) -> str:
+    out = word
+    for least, endings in W.STEPS:
+        out = f"regexp_replace({out}, '{W.ending(least, endings)}', '\\1')"
+    return f"CASE WHEN length({word}) < {W.LEAST} THEN {word} ELSE {out} END"
+
+
+@query(f"WITH {TOKENS_SQL}, t AS (SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(w) AS term FROM tok) GROUP BY 1), s AS (SELECT term, {_stem_sql('term')} AS stem FROM t), n AS (SELECT stem, count(*) AS forms FROM s GROUP BY 1) SELECT term, stem, forms FROM s JOIN n USING (stem)")
+def n1_stems(spark, d):
+    """Each distinct word of the stored index with its stem, and how many words share that."""
+    rows = written(stored(spark, d).terms().select("term", W.stem(F.col("term")).alias("stem")), "stems")
+    return rows.join(rows.groupBy("stem").agg(F.count("*").alias("forms")).hint("merge"), "stem").select("term", "stem", "forms")
+
+
+@query(f"""WITH {TOKENS_SQL}, t AS (SELECT DISTINCT unnest(w) AS term FROM tok), k AS (SELECT term FROM t WHERE length(term) >= 4),
+c AS (SELECT term, left(term, n) AS first, substr(term, n + 1) AS second FROM (SELECT term, unnest(range(4, length(term) - 3)) AS n FROM k WHERE length(term) >= 8))
+SELECT term, first, second FROM c WHERE first IN (SELECT term FROM k) AND second IN (SELECT term FROM k) QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(first) DESC) = 1""")
+def n1_compounds(spark, d):
+    """Words that are two other words of the corpus."""
+    return compounds(stored(spark, d).terms())
+
+
 @query(f"WITH {TOKENS_SQL} SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM tok) GROUP BY term")
 def n2_inverted_index(spark, d):
     """The dictionary of the stored index, with the number of all places from its postings."""

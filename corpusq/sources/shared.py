@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``. Where it is unset, below the warehouse, which a cluster shares; or in a
-    temporary folder where Spark runs in one process."""
+    """A new path below ``spark.checkpoint.dir``. Where it is unset, in a temporary folder if Spark runs in one process;
+    a cluster must have it set, as there is no other place that all executors share for certain."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and spark.sparkContext.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
