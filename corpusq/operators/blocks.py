@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Slack for scores that are rounded to six digits.
 SLACK = 2e-6
+#: Postings up to which all are scored.
+DIRECT = 1_000_000
 #: A range of documents of a query.
 PLACE = ["query_id", "segment", "range"]
 
@@ -68,10 +70,14 @@ def chosen_blocks(blocks: DataFrame, index: TextIndex, k: int) -> tuple[list[Dat
     return [own, second, third], [found, more, _scored(index, third)]
 
 
-def top_search(queries: DataFrame, index: TextIndex, k: int, text_col: str = "text") -> DataFrame:
-    """query_id, id, score: the ``k`` best texts with any of a query's key terms by BM25 (R3), from the blocks that can matter."""
+def top_search(queries: DataFrame, index: TextIndex, k: int, text_col: str = "text", direct: int = DIRECT) -> DataFrame:
+    """query_id, id, score: the ``k`` best texts with any of a query's key terms by BM25 (R3). Of more than ``direct`` postings,
+    only the blocks that can matter are taken apart; of fewer, all are, as choosing costs more. The rows are the same."""
     asked = written(query_terms(queries, text_col, "or"), "query-terms")
-    found = reduce(DataFrame.unionByName, chosen_blocks(asked_blocks(asked, index, k), index, k)[1]).groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
+    blocks = asked_blocks(asked, index, k)
+    few = (blocks.agg(F.sum("n")).first()[0] or 0) <= direct
+    found = _scored(index, blocks) if few else reduce(DataFrame.unionByName, chosen_blocks(blocks, index, k)[1])
+    found = found.groupBy("query_id", "id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return top_per_key(found, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
