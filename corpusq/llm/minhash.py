@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,10 @@ TREES, DEPTH = 32, 6
 LEAST_DEPTH = 3
 #: Rows of a region that are all compared; a larger one is taken a level deeper.
 REGION = 12
+#: Nodes that hold a shingle, up to which those that lead with it are paired there.
+RARE = 16
+#: Nodes of a crowded region that are compared with as many others at once, and the bits of a set's bitmap at most.
+CELL, MOST_BITS = 2048, 65536
 #: Rows of an order that a task is meant to hold.
 TASK_ROWS = 1_000_000
 
@@ -175,6 +180,83 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     return both.withColumn("i", common).where(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * percent).select("a", "b")
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over node, component, leads, shingles: the set's size and a bitmap of it by the low bits of its hashes,
+    eight or more bits a shingle up to ``MOST_BITS``."""
+    for batch in batches:
+        off = batch.column(3).offsets.to_numpy()
+        flat = batch.column(3).values.to_numpy()
+        maps = []
+        for i, j in zip(off[:-1], off[1:]):
+            m = min(MOST_BITS, max(512, 8 << int(j - i - 1).bit_length()))
+            held = np.zeros(m, bool)
+            held[flat[i:j] & (m - 1)] = True
+            maps.append(np.packbits(held, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(off).astype(np.int64)), pa.array(maps, pa.binary())], ["node", "component", "leads", "size", "bits"])
+
+
+def _alike(x: dict, y: dict, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of pairs of a row of ``x`` that leads and a row of ``y`` of no smaller set in another component, whose
+    bitmaps leave room for the similarity. Both are rows of one bitmap length each, in order of size.
+
+    A bit that one bitmap has and the other hasn't stands for a shingle at least, so the sets have no more in common
+    than size - bits + common bits of either. A longer bitmap is folded to the length of the shorter."""
+    words = min(x["bits"].shape[1], y["bits"].shape[1])
+    fold = lambda b: np.bitwise_or.reduce(b.reshape(len(b), -1, words), axis=1)
+    p, q = fold(x["bits"]), fold(y["bits"])
+    spare_x, spare_y = (t["size"] - np.bitwise_count(b).sum(axis=1, dtype=np.int64) for t, b in ((x, p), (y, q)))
+    first = np.searchsorted(y["size"], x["size"], "left")
+    end = np.searchsorted(y["size"], x["size"] * 100 // percent, "right")
+    for i in np.flatnonzero(x["leads"] & (first < end)):
+        for at in range(first[i], end[i], 512):
+            k = slice(at, min(at + 512, end[i]))
+            most = np.minimum(spare_x[i], spare_y[k]) + np.bitwise_count(p[i] & q[k]).sum(axis=1, dtype=np.int64)
+            fits = ((100 + percent) * most >= percent * (x["size"][i] + y["size"][k])) & (x["component"][i] != y["component"][k])
+            if fits.any():
+                other = y["node"][k][fits]
+                yield np.full(len(other), x["node"][i]), other
+
+
+def _compared(percent: int):
+    """mapInArrow over region, lo, hi, cell, node, component, leads, size, bits, sorted by the first three: pairs a < b of
+    the cells lo and hi of a region that ``_alike`` leaves. One pair of cells is held at a time."""
+
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        column = {c: rows.column(c).to_numpy() for c in ("cell", "node", "component", "leads", "size")}
+        bits = rows.column("bits").combine_chunks()
+        length = pc.binary_length(bits).to_numpy()
+        order = np.argsort(column["size"], kind="stable")
+        sides: dict[int, list[dict]] = {}
+        for cell in np.unique(column["cell"]):
+            for n in np.unique(length):
+                at = order[(column["cell"][order] == cell) & (length[order] == n)]
+                if len(at):
+                    held = {c: column[c][at] for c in ("node", "component", "leads", "size")}
+                    held["bits"] = np.frombuffer(b"".join(bits[int(i)].as_py() for i in at), np.uint64).reshape(len(at), -1)
+                    sides.setdefault(int(cell), []).append(held)
+        same = rows.column("lo")[0] == rows.column("hi")[0]
+        for c, d in [(c, d) for c in sides for d in sides if (c == d) == same]:
+            for x in sides[c]:
+                for y in sides[d]:
+                    for a, b in _alike(x, y, percent):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = [held.column(c).to_numpy() for c in ("region", "lo", "hi")]
+            starts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for i, j in zip([0, *starts[:-1]], starts):
+                yield from pairs_of(held.slice(int(i), int(j - i)))
+            if len(starts):
+                held = held.slice(int(starts[-1]))
+        if held is not None and len(held):
+            yield from pairs_of(held)
+
+    return rows
+
+
 def crowded_pairs(regions: DataFrame, found: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """All pairs a < b of nodes of crowded ``regions`` (node, region) that are in different components of ``found``
     (node, component; a node without one is its own) and may be similar: an exact join over the rarest shingles.
@@ -184,10 +266,16 @@ def crowded_pairs(regions: DataFrame, found: DataFrame, sets: DataFrame, percent
     shingle among its first size - 2 p size / (100 + p) + 1 and the larger among its first size - p size / 100 + 1.
     Pairs whose sizes or places leave too few common shingles are not made. Texts of one template share all but
     what is their own, and that is rarest: they meet nowhere.
+
+    A pair that meets in a shingle of at most ``RARE`` nodes is made there. Where the smaller set leads with a more
+    frequent one, as on pages that each leave out some of a site's passages, both nodes are compared within the regions
+    they share, by bitmaps that bound what two sets have in common, and the pair is made only if the bound allows it.
+    Regions are cut into cells of ``CELL`` nodes, and each two cells are a piece of work of their own.
     """
     rows = regions.join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("region")
-    nodes = written(rows.join(mixed.hint("merge"), "region").select("node", "component").distinct(), "crowded-nodes")
+    rows = written(rows.join(mixed.hint("merge"), "region").select("node", "component", "region").distinct(), "crowded-rows")
+    nodes = written(rows.select("node", "component").distinct(), "crowded-nodes")
     own = nodes.join(sets.hint("merge"), "node").select("node", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
     common = own.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     common = written(common.select("token", "n"), "common-shingles")
@@ -195,12 +283,30 @@ def crowded_pairs(regions: DataFrame, found: DataFrame, sets: DataFrame, percent
     place = F.col("size") - F.count("*").over(by_node) + F.row_number().over(by_node.orderBy("n", "token"))
     placed = own.join(common.hint("merge"), "token").withColumn("place", place)
     least = f"({percent} * size + 99) div 100"
-    placed = written(placed.where(f"place <= size - {least} + 1").select("node", "component", "size", "token", "place"), "rarest-shingles")
-    small = placed.where(f"place <= size - (2 * {percent} * size + {99 + percent}) div {100 + percent} + 1")
-    sides = [t.select("token", *(F.col(c).alias(c + k) for c in ("node", "component", "size", "place"))) for t, k in ((small, "x"), (placed, "y"))]
+    leads = f"place <= size - (2 * {percent} * size + {99 + percent}) div {100 + percent} + 1"
+    placed = placed.where(f"place <= size - {least} + 1").select("node", "component", "size", "token", "place", "n", F.expr(leads).alias("leads"))
+    placed = written(placed, "rarest-shingles")
+    rare = placed.where(f"n <= {RARE}")
+    sides = [t.select("token", *(F.col(c).alias(c + k) for c in ("node", "component", "size", "place"))) for t, k in ((rare.where("leads"), "x"), (rare, "y"))]
     pairs = sides[0].join(sides[1].hint("merge"), "token").where("componentx != componenty AND (sizex < sizey OR (sizex = sizey AND nodex < nodey))")
     pairs = pairs.where(f"100 * sizex >= {percent} * sizey AND ({100 + percent}) * (1 + least(sizex - placex, sizey - placey)) >= {percent} * (sizex + sizey)")
-    return pairs.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+    pairs = pairs.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b"))
+    frequent = placed.where(f"n > {RARE}")
+    led = frequent.where("leads").select("token").distinct()
+    busy = frequent.join(led.hint("merge"), "token").groupBy("node", "component").agg(F.max("leads").alias("leads"))
+    maps = busy.join(sets.hint("merge"), "node").select("node", "component", "leads", "shingles").mapInArrow(_bitmaps, "node long, component long, leads boolean, size long, bits binary")
+    maps = written(maps, "bitmaps")
+    busy_rows = written(rows.select("node", "region").join(maps.select("node").hint("merge"), "node"), "busy-rows")
+    cells = busy_rows.groupBy("region").agg(F.ceil(F.count("*") / CELL).cast("long").alias("cells"), F.count("*").alias("n")).where("n > 1").drop("n")
+    at = busy_rows.join(cells.hint("merge"), "region").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")))
+    at = at.join(maps.hint("merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    at = at.select("region", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", "node", "component", "leads", "size", "bits")
+    # Pieces are in the order of their keys in each task; a task reads as many as fall to it, one at a time.
+    pieces = at.repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+    alike = pieces.mapInArrow(_compared(percent), "a long, b long")
+    out = written(pairs.unionByName(alike).distinct(), "crowded-candidates")
+    forget(rows, nodes, common, placed, maps, busy_rows)
+    return out
 
 
 def _joined(links: DataFrame, found: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -245,8 +351,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle: int = 5, i
     side = lambda n: found.select(F.col("node").alias(n), F.col("component").alias(f"c{n}"))
     left_open = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
     links, found = _joined(links, found, written(left_open, "open-candidates"), sets, percent)
-    crowded = written(crowded_pairs(regions, found, sets, percent), "crowded-candidates")
-    links, found = _joined(links, found, crowded, sets, percent)
+    links, found = _joined(links, found, crowded_pairs(regions, found, sets, percent), sets, percent)
     forget(nodes, trees, pairs, sets)
     roots = leads.join(found, "node", "left").select(*keys, F.coalesce("component", "node").alias("root"))
     # Nodes are least ids of their classes, so the least node of a component is the least id in it.

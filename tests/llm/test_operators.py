@@ -156,6 +156,67 @@ def test_pairs_among_pages_of_one_site(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("pages", [200, 400])
+def test_candidates_among_pages_that_leave_out_passages(spark, monkeypatch, pages):
+    """Pages hold each of a site's passages with a chance of 0.85: alike by 0.6, they are not made into pairs, while all
+    planted near copies are found. Cells are small here, so that they are compared across."""
+    from corpusq.llm import minhash
+
+    monkeypatch.setattr(minhash, "CELL", 50)
+    counted, plain = [], minhash.crowded_pairs
+
+    def crowded_pairs(*args):
+        out = plain(*args)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "crowded_pairs", crowded_pairs)
+    r, rows = random.Random(8), []
+    passages = [" ".join(f"p{k}x{j}" for j in range(10)) for k in range(60)]
+    for i in range(pages):
+        kept = [p for p in passages if r.random() < 0.85]
+        rows.append((i, " ".join(kept + [f"o{i}y{j}" for j in range(60)])))
+        if i % 20 == 0:
+            rows.append((100_000 + i, " ".join(kept[r.randint(1, 5) :] + [f"o{i}y{j}" for j in range(40)] + [f"n{i}y{j}" for j in range(20)])))
+    want = groups(rows)
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: c for i, (_, c) in want.items()}
+    assert len(counted) == 1 and counted[0] <= 2 * pages
+
+
+def test_bounds_of_bitmaps():
+    """No pair at the similarity is lost, at sizes whose bitmaps differ in length too."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusq.llm.minhash import _bitmaps, _compared
+
+    r = np.random.default_rng(1)
+    sets, k = {}, 0
+    for size in (1, 2, 3, 60, 70, 500, 513, 520, 1030, 9000):
+        base = r.integers(-(1 << 63), 1 << 63, size)
+        for changed in (0, size // 20, size // 8, size // 6, size // 3):
+            sets[k] = np.concatenate([base[changed // 2 :], r.integers(-(1 << 63), 1 << 63, changed // 2)])
+            k += 1
+    want = set()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            common = len(np.intersect1d(x, y))
+            if a < b and 100 * common >= 75 * (len(x) + len(y) - common):
+                want.add((a, b))
+    batch = pa.RecordBatch.from_arrays([pa.array([*sets], pa.int64()), pa.array([*sets], pa.int64()), pa.array([True] * len(sets)), pa.array([*sets.values()], pa.list_(pa.int64()))], ["node", "component", "leads", "shingles"])
+    made = pa.Table.from_batches(_bitmaps(iter([batch])))
+    for cells in (1, 2):
+        pieces = []
+        for lo, hi in [(0, 0)] if cells == 1 else [(0, 0), (0, 1), (1, 1)]:
+            for row in made.to_pylist():
+                cell = row["node"] % cells
+                if cell in (lo, hi):
+                    pieces.append({"region": 7, "lo": lo, "hi": hi, "cell": cell, **row})
+        got = {(a, b) for out in _compared(75)(iter(pa.Table.from_pylist(pieces).to_batches(max_chunksize=7))) for a, b in zip(*out.to_pydict().values(), strict=True) if a != b}
+        assert want <= got and len(got) <= 1.2 * len(want)
+
+
 def test_neighbours_in_the_sorted_orders():
     """Regions deepen where they are crowded; rows stand beside what shares their longest prefix."""
     import numpy as np
