@@ -7,8 +7,12 @@ from collections import Counter
 
 import pytest
 
+import numpy as np
+import pyarrow as pa
+
 from corpusq.operators.blocks import all_terms_search, asked_blocks, chosen_blocks, prefix_search, top_search
 from corpusq.operators.retrieval import query_terms
+from corpusq.sources import index as I
 from corpusq.sources.index import TextIndex, kept_index
 from corpusq.sources.shared import shared_path, written
 from pyspark.sql import functions as F
@@ -149,3 +153,31 @@ def test_kept_index_is_made_once_and_anew_for_a_changed_table(spark, tmp_path):
     spark.createDataFrame([(1, "alpha"), (2, "beta")], "id long, text string").write.mode("overwrite").parquet(path)
     again = kept_index(spark, path, "id", F.col("text"))
     assert again.path != first.path and again.n_docs() == 2
+
+
+def test_counts_follow_changes_without_taking_postings_apart(spark):
+    index = TextIndex(spark, shared_path(spark, "index")).add(spark.createDataFrame([(1, "alpha alpha beta"), (2, "alpha gamma"), (3, "beta")], "id long, text string"))
+    index.add(spark.createDataFrame([(2, "beta beta delta"), (4, "gamma")], "id long, text string")).delete(spark.createDataFrame([(3,)], "id long"))
+    counts = index.counts()
+    assert {tuple(r) for r in counts.collect()} == {("alpha", 1, 2), ("beta", 2, 3), ("gamma", 1, 1), ("delta", 1, 1)}
+    once = TextIndex(spark, shared_path(spark, "index")).add(spark.createDataFrame([(1, "alpha alpha")], "id long, text string")).counts()
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_blocks_are_made_of_a_bounded_number_of_words(monkeypatch):
+    """Long texts in a batch are taken apart a few ranges at once, and all ranges are there, each whole."""
+    r, made = random.Random(3), []
+    docs = [[f"w{r.randrange(30)}" for _ in range(r.choice([0, 3, 90, 400]))] for _ in range(203)]
+    slot = np.arange(203) + 5 + (np.arange(203) > 99) * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(203)), pa.array(slot), pa.array([len(d) for d in docs], pa.int32()), pa.array(docs, pa.list_(pa.string()))], ["id", "slot", "dl", "tokens"])
+    whole = I._range_blocks
+    monkeypatch.setattr(I, "WORDS", 3000)
+    monkeypatch.setattr(I, "_range_blocks", lambda rows, ranges: made.append(sum(rows.column("dl").to_pylist())) or whole(rows, ranges))
+    got = [b for part in I._blocks(iter([batch.slice(0, 77), batch.slice(77)])) for b in part.to_pylist()]
+    assert max(made) <= 3000 + 8 * 400
+    want = {}
+    for i, (s, d) in enumerate(zip(slot, docs)):
+        for w in set(d):
+            want.setdefault((w, int(s) // I.BLOCK), []).append((i, len(d), d.count(w), [p for p, x in enumerate(d) if x == w]))
+    assert {(b["term"], b["range"]): [tuple(p.values()) for p in b["postings"]] for b in got} == want and len(got) == len(want)
