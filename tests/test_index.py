@@ -181,3 +181,14 @@ def test_blocks_are_made_of_a_bounded_number_of_words(monkeypatch):
         for w in set(d):
             want.setdefault((w, int(s) // I.BLOCK), []).append((i, len(d), d.count(w), [p for p, x in enumerate(d) if x == w]))
     assert {(b["term"], b["range"]): [tuple(p.values()) for p in b["postings"]] for b in got} == want and len(got) == len(want)
+
+
+def test_all_terms_are_looked_up_from_the_rarest(spark, monkeypatch):
+    """Only postings where all terms of a query have a block are taken apart; a query with an unknown word costs none."""
+    texts = {i: "alpha beta" + (" rare gamma" if i in (7, 90) else "") + (" single" if i == 8 else "") for i in range(400)}
+    index = TextIndex(spark, shared_path(spark, "index")).add(spark.createDataFrame(list(texts.items()), "id long, text string"))
+    queries = spark.createDataFrame([(1, "rare alpha beta"), (2, "alpha beta unknown"), (3, "single gamma"), (4, "rare gamma Rare")], "query_id int, text string")
+    taken, whole = [], TextIndex.exploded
+    monkeypatch.setattr(TextIndex, "exploded", lambda self, blocks: taken.append(blocks.agg(F.sum(F.size("postings"))).first()[0]) or whole(self, blocks))
+    got = {tuple(r) for r in all_terms_search(queries, index, None, "plain").select("query_id", "id", "n_terms").collect()}
+    assert got == {(1, 7, 3), (1, 90, 3), (4, 7, 2), (4, 90, 2)} and sum(taken) <= 2 * (8 + 8 + 2) + 2 * 4
