@@ -48,15 +48,26 @@ def proximity_search(queries: DataFrame, fields: Mapping[str, TextIndex], k: int
     """query_id, id, score, n_fields: the ``k`` best documents that hold all terms of a query in some of their ``fields``, by
     cover density over the places in all fields, each with its weight (R8, R12). Fields stand far apart, so covers
     within one are what counts; equal scores go by id. Documents of a query are put together by their ids, so what meets
-    in a row are the places of a query's terms in one document."""
-    asked = query_terms(queries, text_col, form)
-    asked = written(asked.withColumn("no", F.row_number().over(Window.partitionBy("query_id").orderBy("term")) - 1), "query-terms")
-    terms = asked.select("term").distinct()
+    in a row are the places of a query's terms in one document. Only documents with a query's rarest term are looked into."""
+    asked = written(query_terms(queries, text_col, form), "query-terms")
+    terms = written(asked.select("term").distinct(), "terms")
+    df = reduce(DataFrame.unionByName, [index.terms(terms) for index in fields.values()]).groupBy("term").agg(F.sum("df").alias("df"))
+    known = asked.join(df.hint("merge"), "term")
+    whole = known.groupBy("query_id").agg(F.count("*").alias("met"), F.first("n_terms").alias("n_terms")).where("met = n_terms").select("query_id")
+    of = Window.partitionBy("query_id")
+    known = known.join(whole.hint("merge"), "query_id").select("*", (F.row_number().over(of.orderBy("term")) - 1).alias("no"), F.row_number().over(of.orderBy("df", "term")).alias("nth"))
+    asked = written(known, "asked-terms")
+    terms, rarest = (written(rows.select("term").distinct(), "terms") for rows in (asked, asked.where("nth = 1")))
+
     def places(no: int, weight: float) -> Column:
         return F.transform("places", lambda p: F.struct((p + F.lit(no * APART)).cast("long").alias("place"), F.lit(float(weight)).alias("weight")))
 
+    # The documents of a query's rarest term are those that others are looked up in; so common terms cost each place once.
+    held = reduce(DataFrame.unionByName, [index.postings(rarest).select("term", "id") for index in fields.values()]).distinct()
+    wanted = held.join(asked.where("nth = 1").select("query_id", "term").hint("merge"), "term").select("query_id", "id")
+    wanted = written(wanted.join(asked.select("query_id", "term", "n_terms", "no").hint("merge"), "query_id"), "wanted-terms")
     rows = [index.postings(terms).select("term", "id", F.lit(no).alias("field"), places(no, weights[name]).alias("places")) for no, (name, index) in enumerate(fields.items())]
-    found = reduce(DataFrame.unionByName, rows).join(asked, "term")
+    found = reduce(DataFrame.unionByName, rows).join(wanted.hint("merge"), ["term", "id"])
     found = found.groupBy("query_id", "id").agg(F.first("n_terms").alias("n_terms"), F.count_distinct("no").alias("met"), F.count_distinct("field").alias("n_fields"), F.collect_list(F.struct("no", "places")).alias("x")).where("met = n_terms")
     hits = F.array_sort(F.flatten(F.transform("x", lambda t: F.transform(t["places"], lambda p: F.struct(p["place"].alias("place"), t["no"].alias("term"), p["weight"].alias("weight"))))))
     scored = found.withColumn("hits", hits).select("query_id", "id", F.round(cover_density(F.col("hits"), F.col("n_terms")), 6).alias("score"), "n_fields")

@@ -38,3 +38,16 @@ def test_fields_weights_and_ties(spark):
     hits = {i: sorted([(p + f * APART, ["alpha", "beta"].index(w), weight) for f, (t, weight) in enumerate(((titles, 1.0), (texts, 0.1))) for p, w in enumerate((t[i] or "").lower().replace(",", "").replace("!", "").split()) if w in ("alpha", "beta")]) for i in titles}
     want = sorted(((1, i, round(brute(h, 2), 6), len({p // APART for p, _, _ in h})) for i, h in hits.items()), key=lambda x: (-x[2], x[1]))[:4]
     assert got == want and got[0][2] == got[1][2] and [x[1] for x in got[:2]] == [1, 4]
+
+
+def test_common_terms_meet_no_query_by_themselves(spark):
+    """Documents with a query's common terms alone are not put together with it, in whatever field they stand."""
+    texts = {i: "alpha beta" + (" rare" if i == 5 else "") for i in range(300)}
+    titles = {i: "rare" if i == 9 else "alpha" for i in range(300)}
+    make = lambda t: TextIndex(spark, shared_path(spark, "index")).add(spark.createDataFrame(list(t.items()), "id long, text string"))
+    queries = spark.createDataFrame([(q, "alpha beta rare") for q in range(40)] + [(99, "alpha beta unknown")], "query_id int, text string")
+    found = proximity_search(queries, {"title": make(titles), "text": make(texts)}, 400)
+    assert {(r["query_id"], r["id"], r["n_fields"]) for r in found.collect()} == {(q, i, 2) for q in range(40) for i in (5, 9)}
+    asked = found.inputFiles()
+    wanted = spark.read.parquet(*[f for f in asked if "wanted-terms" in f])
+    assert wanted.count() == 40 * 2 * 3
