@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from corpusq.functions import legal as P
 from corpusq.functions import scalars as S
+from corpusq.sources.shared import small
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,13 +38,13 @@ SECTION = T.ArrayType(T.StructType().add("type", "string").add("title", "string"
 
 
 def _mapped(df: DataFrame, columns: Sequence[str], out: str, kind: T.DataType, f: Callable) -> DataFrame:
-    """Adds ``out``, made by ``f`` from the values of ``columns``, batch by batch."""
+    """Adds ``out``, made by ``f`` from the values of ``columns``, a small slice of a batch at once."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, kind)])
     at = [df.columns.index(c) for c in columns]
     arrow = pa_type(kind)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             made = [f(*x) for x in zip(*(b.column(i).to_pylist() for i in at), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, arrow)], [*b.schema.names, out])
 
