@@ -1,8 +1,10 @@
 """Python functions take a batch apart in slices, so that their memory doesn't follow the length of texts."""
 
 import pyarrow as pa
+import pytest
 
 from corpusq.operators import extract as E
+from corpusq.sources import readers as R
 from corpusq.sources import shared
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,3 +28,26 @@ def test_sections_are_made_slice_by_slice(spark, monkeypatch):
     made = list(taken[0](iter(table.to_batches())))
     assert {r["id"]: r["n"] for b in made for r in b.to_pylist()} == {i: 100_000 + len(str(i)) for i in range(60)}
     assert len(made) > 2 and all(b.nbytes <= shared.SLICE_BYTES + 1000 for b in made)
+
+
+def _function(monkeypatch, df, make):
+    """The Python function that ``make`` gives to ``mapInArrow``."""
+
+    class Taken(Exception):
+        pass
+
+    def take(self, f, schema):
+        raise Taken(f)
+
+    monkeypatch.setattr(type(df), "mapInArrow", take)
+    with pytest.raises(Taken) as e:
+        make()
+    return e.value.args[0]
+
+
+def test_xml_is_parsed_slice_by_slice(spark, monkeypatch):
+    docs = spark.createDataFrame([], "id long, xml string")
+    xml = [f"<a><b>{i}</b>{'word ' * 20_000}</a>" for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(xml)], ["id", "xml"])
+    made = list(_function(monkeypatch, docs, lambda: R.xml_elements(docs, "id", "xml"))(iter([batch])))
+    assert [(r["id"], r["texts"][0]) for b in made for r in b.to_pylist()] == [(i, str(i)) for i in range(60)] and len(made) > 2
