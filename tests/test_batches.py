@@ -51,3 +51,10 @@ def test_xml_is_parsed_slice_by_slice(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(xml)], ["id", "xml"])
     made = list(_function(monkeypatch, docs, lambda: R.xml_elements(docs, "id", "xml"))(iter([batch])))
     assert [(r["id"], r["texts"][0]) for b in made for r in b.to_pylist()] == [(i, str(i)) for i in range(60)] and len(made) > 2
+
+
+def test_pages_become_text_slice_by_slice(spark, monkeypatch):
+    pages = spark.createDataFrame([], "id long, html string")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([f"<b>{i}</b>{' word' * 20_000}" for i in range(60)])], ["id", "html"])
+    made = list(_function(monkeypatch, pages, lambda: R.html_text(pages, "id", "html"))(iter([batch])))
+    assert [(r["id"], r["text"].split(" ")[0]) for b in made for r in b.to_pylist()] == [(i, str(i)) for i in range(60)] and len(made) > 2
