@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from corpusq.sources.shared import written
+from corpusq.sources.shared import small, written
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -29,8 +29,8 @@ def _runs(text: str) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over lang, text: lang, run, n of each batch."""
-    for b in batches:
+    """mapInArrow over lang, text: lang, run, n of each slice of a batch."""
+    for b in small(batches):
         langs = b.column(0).dictionary_encode()
         texts = b.column(1).to_pylist()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
@@ -67,7 +67,7 @@ def with_language(documents: DataFrame, model: DataFrame, out: str = "detected",
 
     def detected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, runs, table = shared.value
-        for b in batches:
+        for b in small(batches):
             found = []
             for text in b.column(b.num_columns - 1).to_pylist():
                 own = _runs(text)

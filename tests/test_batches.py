@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from corpusq.operators import extract as E
+from corpusq.operators import language as L
 from corpusq.sources import readers as R
 from corpusq.sources import shared
 from pyspark.sql import functions as F
@@ -58,3 +59,16 @@ def test_pages_become_text_slice_by_slice(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([f"<b>{i}</b>{' word' * 20_000}" for i in range(60)])], ["id", "html"])
     made = list(_function(monkeypatch, pages, lambda: R.html_text(pages, "id", "html"))(iter([batch])))
     assert [(r["id"], r["text"].split(" ")[0]) for b in made for r in b.to_pylist()] == [(i, str(i)) for i in range(60)] and len(made) > 2
+
+
+def test_runs_are_counted_and_told_slice_by_slice(monkeypatch):
+    sizes, whole = [], L._runs
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "fi"] * 30), pa.array([f"{'abc ' * 25_000}{i}" for i in range(60)])], ["lang", "text"])
+    monkeypatch.setattr(L, "_runs", lambda t: sizes.append(len(t)) or whole(t))
+    made = list(L._counts(iter([batch])))
+    total = {}
+    for b in made:
+        for r in b.to_pylist():
+            total[r["lang"]] = total.get(r["lang"], 0) + r["n"]
+    assert total == {lang: sum(100_000 + len(str(i)) - 2 for i in range(60) if i % 2 == k) for k, lang in enumerate(("en", "fi"))}
+    assert len(made) > 4
