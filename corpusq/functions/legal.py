@@ -58,6 +58,10 @@ FACTS = [
     r"The\s+(?:key|decisive)\s+facts?\s+(?:were|was)[^.]{10,200}\.",
 ]
 
+#: The first two letters of the sentences above, in any case; so that other places cost no look at each pattern.
+EXCEPTIONS_BEGIN = {"p": "o", "v": "a", "k": "u", "e": "ldxni", "t": "oäh", "s": "i", "r": "a", "u": "n"}
+FACTS_BEGIN = {"a": "s", "t": "oh", "r": "a", "k": "oke", "m": "e", "h": "u", "n": "ä", "e": "d", "d": "e"}
+
 #: Where the reasoning of older decisions begins and ends, without a heading of its own.
 OLD_REASONING = [r"(?imu)^(?:KORKEIN\s+OIKEUS|KKO)\s*$", r"(?imu)^(?:Korkeimman\s+oikeuden\s+(?:ratkaisu|päätös|kannanotto))\s*$", r"(?iu)KKO\s+(?:p|t)\.\s*\d"]
 OLD_REASONING_END = r"(?iu)Eri mieltä olev|Ratkaisuun osallistuneet|Asian ovat ratkaisseet"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from corpusq.functions import legal as P
@@ -207,10 +207,22 @@ def reference_edges(df: DataFrame, id_col: str, cited: str) -> DataFrame:
     return df.select(F.col(id_col).alias("source"), F.explode(F.concat(*each)).alias("e")).select("source", "e.*").distinct()
 
 
-def phrases(text: Column, patterns: Sequence[str], least: int, budget: int, joined: str = " | ") -> Column:
+#: Letters besides the two cases that are equal to a letter where a pattern ignores case.
+FOLDED = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}
+
+
+def begins(pairs: Mapping[str, str]) -> str:
+    """A look ahead at two letters, a first one to all its second ones, in any case. It is compared by sets of characters, which
+    is many times faster than letters whose case is ignored."""
+    of = lambda letters: "[" + "".join(c.lower() + c.upper() + FOLDED.get(c, "") for c in letters) + "]"
+    return f"(?-iu:(?={of(pairs)})(?={'|'.join(of(a) + of(b) for a, b in pairs.items())}))"
+
+
+def phrases(text: Column, patterns: Sequence[str], least: int, budget: int, joined: str = " | ", begin: Mapping[str, str] | None = None) -> Column:
     """Distinct matches of at least ``least`` characters in the order of the text, as many as fit in ``budget``
-    characters with what joins them (E13, E14)."""
-    every = F.transform(F.regexp_extract_all(text, F.lit("(?isu)" + "|".join(f"({p})" for p in patterns)), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    characters with what joins them (E13, E14). ``begin``: the letters that all patterns begin with, for ``begins``."""
+    pattern = "(?isu)" + (begins(begin) if begin else "") + "(?:" + "|".join(f"({p})" for p in patterns) + ")"
+    every = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     kept = F.filter(F.array_distinct(every), lambda x: F.length(x) >= least)
     empty = F.struct(F.array().cast("array<string>").alias("a"), F.lit(0).alias("n"), F.lit(False).alias("full"))
     size = lambda x: F.length(x) + len(joined)
@@ -220,12 +232,12 @@ def phrases(text: Column, patterns: Sequence[str], least: int, budget: int, join
 
 def exceptions(text: Column) -> Column:
     """Sentences that except or limit."""
-    return phrases(text, P.EXCEPTIONS, 20, 2000)
+    return phrases(text, P.EXCEPTIONS, 20, 2000, begin=P.EXCEPTIONS_BEGIN)
 
 
 def distinctive_facts(text: Column) -> Column:
     """Sentences that name what decided."""
-    return phrases(text, P.FACTS, 15, 1500)
+    return phrases(text, P.FACTS, 15, 1500, begin=P.FACTS_BEGIN)
 
 
 def _section_text(text: Column, kind: str) -> Column:
@@ -266,8 +278,21 @@ def excerpt(text: Column, heading: str, end: str, most: int) -> Column:
     return F.nullif(F.left(part, F.lit(most)), F.lit(""))
 
 
+def near_digits(text: Column) -> Column:
+    """A text in which, of each eight or more words in a row without a digit, only the first three and the last four are
+    sure to stay; a sign that no pattern has stands for the others. References to provisions that have a digit have at most
+    three words before it and one behind, so they are found there as in the whole text, in the same order."""
+    word = r"[^\d\s]++\s++"
+    # Stretches are bounded, as repeated groups take stack.
+    return F.regexp_replace(text, rf"((?:{word}){{3}})(?:{word}){{1,200}}(?=(?:{word}){{4}})", "$1\u0001 ")
+
+
 def provisions(text: Column, most: int = 30) -> Column:
     """References to provisions in their common form, pattern by pattern, each once."""
+    return F.get(F.transform(F.array(near_digits(text)), lambda t: _provisions(t, most)), F.lit(0))
+
+
+def _provisions(text: Column, most: int) -> Column:
     grab = []
     for pattern, form in P.PROVISIONS:
         groups = sorted({int(n) for n in re.findall(r"\{(\d)\}", form)})
@@ -290,9 +315,15 @@ def applied_provisions(text: Column, most: int = 800) -> Column:
 def provision_report(text: Column) -> Column:
     """provisions (as they stand, sorted), statutes (sorted) and confidence: a tenth for each provision, up to 1, with
     0.15 at most for statutes (E18)."""
+    # Only conventions are named without a digit.
+    named = F.regexp_extract_all(text, F.lit(P.ANY_PROVISION[-1]), F.lit(0))
+    return F.get(F.transform(F.array(F.struct(near_digits(text).alias("near"), named.alias("named"))), lambda x: _report(x["near"], x["named"])), F.lit(0))
+
+
+def _report(text: Column, named: Column) -> Column:
     grab = lambda p, i: F.regexp_extract_all(text, F.lit(p), F.lit(i))
     sections = F.zip_with(grab(P.STATUTE_SECTION, 1), grab(P.STATUTE_SECTION, 2), lambda a, b: F.concat(a, F.lit(" § "), b))
-    found = F.array_sort(F.array_distinct(F.concat(*[grab(p, 0) for p in P.ANY_PROVISION], sections)))
+    found = F.array_sort(F.array_distinct(F.concat(*[grab(p, 0) for p in P.ANY_PROVISION[:-1]], named, sections)))
     statutes = F.array_sort(F.array_distinct(grab(P.STATUTE_SECTION, 1)))
     n = F.least(F.size(found) / F.lit(10), F.lit(1.0)) + F.least(F.size(statutes) / F.lit(5), F.lit(0.15))
     return F.struct(found.alias("provisions"), statutes.alias("statutes"), F.when(F.size(found) == 0, 0.0).otherwise(F.round(F.least(n, F.lit(1.0)), 4)).alias("confidence"))
