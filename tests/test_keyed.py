@@ -1,9 +1,11 @@
 """Keyed tables against a dictionary: what a change writes, what it logs, and the views that follow it."""
 
 import random
+import time
 
 import pytest
 
+from corpusq.sources import shared
 from corpusq.sources.index import TextIndex
 from corpusq.sources.keyed import KeyedTable, counted, recounted, reindexed
 from corpusq.sources.shared import shared_path, written
@@ -83,3 +85,56 @@ def test_views_follow_changes(spark):
     assert rows_of(counts) == rows_of(counted(table, ["part"], ["size"]))
     anew = TextIndex(spark, shared_path(spark, "index")).add(table.read(), "id", "word")
     assert rows_of(index.terms().select("term", "df")) == rows_of(anew.terms().select("term", "df")) and index.n_docs() == anew.n_docs() and index.mean_dl() == anew.mean_dl()
+
+
+def shuffled(spark):
+    """Bytes shuffled so far: a task after a pause brings the store of figures up to date."""
+    time.sleep(0.5)
+    spark.range(1).count()
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_only_what_changes_is_shuffled(spark):
+    """Rows that stay, and texts of an index of which some are replaced or deleted, are not shuffled, whatever Spark takes for small."""
+    r = random.Random(8)
+    text = lambda: " ".join(f"{r.getrandbits(48):x}" for _ in range(80))
+    texts = {i: text() for i in range(3_000)}
+    rows = lambda d: spark.createDataFrame(list(d.items()), "id long, text string")
+    size = sum(map(len, texts.values()))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = KeyedTable.create(spark, shared_path(spark, "keyed"), rows(texts), ["id"], buckets=8)
+        index = TextIndex(spark, shared_path(spark, "index")).add(rows(texts))
+        new, began = {i: text() for i in range(0, 3_000, 30)}, shuffled(spark)
+        table.upsert(rows(new))
+        assert shuffled(spark) - began < size / 5
+        reindexed(index, table.changes(), "id", "text")
+        began = shuffled(spark)
+        gone = spark.createDataFrame([(i,) for i in range(0, 3_000, 45)], "id long")
+        reindexed(index, table.delete(gone).changes(), "id", "text")
+        assert shuffled(spark) - began < size / 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    left = {i: t for i, t in (texts | new).items() if i % 45}
+    assert rows_of(table.read()) == sorted(left.items(), key=repr) and index.n_docs() == len(left)
+    assert {x["id"] for x in index.documents().select("id").collect()} == set(left)
+
+
+def test_many_keys_are_met_by_a_merge(spark, monkeypatch):
+    monkeypatch.setattr(shared, "KEYS", 0)
+    test_views_follow_changes(spark)
+    test_changes_write_touched_buckets_only(spark)
+
+
+def test_pairs_keep_rows_that_did_not_change_and_types(spark):
+    """Rows given again as they are stand in the table and are no change; values take the table's types."""
+    table = KeyedTable.create(spark, shared_path(spark, "keyed"), spark.createDataFrame([(i, 0, "w", i) for i in range(9)], SCHEMA), ["id"], buckets=2)
+    table.upsert(spark.createDataFrame([(i, 0, "w", i if i else None) for i in range(5)], "id int, part int, word string, size int"))
+    assert rows_of(table.read()) == sorted([(i, 0, "w", i if i else None) for i in range(9)], key=repr)
+    assert rows_of(table.changes().selectExpr("before.id AS b", "after.id AS a", "after.size AS s")) == [(0, 0, None)]
+    table.replace_children(spark.createDataFrame([(3, 0, "w", 3), (4, 1, "x", 4)], SCHEMA))
+    assert table.read().count() == 9 and rows_of(table.changes().selectExpr("before.word AS b", "after.word AS a")) == [("w", "x")]
