@@ -57,9 +57,10 @@ def pa_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def split_text(text: str | None, mode: str = "position") -> list[dict]:
+def split_text(text: str | None, mode: str = "position", empty: bool = False) -> list[dict]:
     """Sections by their headings. With mode ``position`` a section ends where the next heading stands; with
-    ``reference`` only headings of later types in the list end it, so sections may overlap."""
+    ``reference`` only headings of later types in the list end it, so sections may overlap. Headings without content
+    make no section, unless ``empty``."""
     text = text or ""
     found = []
     for kind, words in HEADINGS:
@@ -69,18 +70,19 @@ def split_text(text: str | None, mode: str = "position") -> list[dict]:
     for i, (start, end, kind, title) in enumerate(found):
         after = [s for s, *_ in found if s > start] if mode == "position" else [start + 1 + m.start() for _, words in HEADINGS[[k for k, _ in HEADINGS].index(kind) + 1 :] if (m := re.search(rf"^(?:{words})\s*$", text[start + 1 :], re.IGNORECASE | re.MULTILINE))]
         content = text[end : min(after, default=len(text))].strip()
-        if content:
+        if content or empty:
             out.append((i, start, {"type": kind, "title": title, "content": content}))
     return [x for *_, x in sorted(out, key=lambda x: x[1] if mode == "position" else x[0])]
 
 
-def sections(df: DataFrame, text_col: str, mode: str = "position") -> DataFrame:
-    """Adds ``sections`` (E9, E10). A text without headings of their own lines, but with a reasoning and a judgment among
-    others, has the reasoning between the two; else it is one section ``other`` of 50,000 characters at most."""
+def sections(df: DataFrame, text_col: str, mode: str = "position", empty: bool = False) -> DataFrame:
+    """Adds ``sections`` (E9, E10), with ``empty`` also those without content. A text without headings of their own lines, but
+    with a reasoning and a judgment among others, has the reasoning between the two; else it is one section ``other`` of
+    50,000 characters at most."""
     inner = [re.compile(rf"\n\s*(?:{w})\s*\n", re.IGNORECASE) for w in ("Reasoning|Perustelut|Pääasiaratkaisun perustelut|Johtopäätös", "Judgment|Tuomiolauselma|Päätöslauselma|Päätös")]
 
     def made(text):
-        found = split_text(text, mode)
+        found = split_text(text, mode, empty)
         if found or not (text or "").strip():
             return found
         begin, end = (p.search(text) for p in inner)

@@ -31,6 +31,18 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize(("name", "texts"), [("e11_sufficiency", ["", "", " \n ", "\n\n", None, None]), ("e9_e10_sections", ["", "", " \n ", "\n\n"])])
+def test_sections_of_blank_texts(spark, tmp_path, name, texts):
+    """Blank texts with even and odd ids have their section, which is empty."""
+    texts = [*texts, "a" * 197, "a" * 197, "a" * 196, "a" * 3797, "b" * 3796]  # at the least coverage and below it
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(registry.oracle_sql()[name])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([c[0] for c in cur.description], cur.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
