@@ -51,3 +51,37 @@ def test_common_terms_meet_no_query_by_themselves(spark):
     asked = found.inputFiles()
     wanted = spark.read.parquet(*[f for f in asked if "wanted-terms" in f])
     assert wanted.count() == 40 * 2 * 3
+
+
+def test_parts_give_the_same_rows(spark, monkeypatch):
+    """Many queries part by part, in small slices, give the rows of one table, with ids of either type, replaced documents and
+    queries of the same terms; a document and query that meet are no row of any table."""
+    from corpusq.operators import proximity as X
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    text = lambda most: " ".join(r.choices(words, range(12, 0, -1), k=r.randint(0, most)))
+    queries = spark.createDataFrame([(q, " ".join(r.sample(words, 1 + q % 4))) for q in range(60)] + [(100 + q, "w1 w0 w2") for q in range(30)] + [(200, "w0 none"), (201, None)], "query_id int, text string")
+    monkeypatch.setattr(X, "LOOKED", 50)
+    for kind in ("long", "string"):
+        ids = [i if kind == "long" else f"d{i}" for i in range(150)]
+        make = lambda most: TextIndex(spark, shared_path(spark, "index")).add(spark.createDataFrame([(i, text(most)) for i in ids], f"id {kind}, text string")).add(spark.createDataFrame([(i, text(most)) for i in ids[:20]], f"id {kind}, text string"))
+        fields = {"title": make(4), "text": make(30)}
+        direct = proximity_search(queries, fields, 5, form="plain", direct=1 << 40)
+        parts = proximity_search(queries, fields, 5, form="plain", direct=0)
+        want = sorted(tuple(x) for x in direct.collect())
+        assert sorted(tuple(x) for x in parts.collect()) == want and parts.columns == direct.columns and parts.dtypes == direct.dtypes
+        assert {q for q, *_ in want} >= {100 + q for q in range(30)} and {f for *_, f in want} == {1, 2}
+        assert not any("wanted-terms" in f for f in parts.inputFiles())
+
+
+def test_a_part_sends_its_best_rows_alone():
+    """What leaves a part doesn't grow with the documents that hold a set's terms."""
+    import pyarrow as pa
+    from corpusq.operators.proximity import _looked_into
+
+    n = 500
+    left = pa.table({"t": [t for t in (3, 8) for _ in range(n)], "id": [i for _ in range(2) for i in range(n)], "field": pa.array([0] * 2 * n, pa.int8()), "places": pa.array([[t] if i % 2 else [t, t + 9] for t in (0, 1) for i in range(n)], pa.list_(pa.int32()))})
+    right = pa.table({"set": [1, 2, 3], "terms": pa.array([[3, 8], [8], [3, 9]], pa.list_(pa.int64()))})
+    got = _looked_into(4, [0.5])(left, right).to_pylist()
+    assert [(x["set"], x["id"]) for x in got] == [(2, 0), (2, 2), (2, 4), (2, 6), (1, 0), (1, 2), (1, 4), (1, 6)] and {x["score"] for x in got if x["set"] == 2} == {1.0}
